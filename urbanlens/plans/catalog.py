@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from urbanlens.functions import calendar, coords, text
 from urbanlens.operators import clean as C
+from urbanlens.operators import dashboard as D
 from urbanlens.operators import explore as E
+from urbanlens.operators import geo as G
+from urbanlens.operators import questions as Q
 from urbanlens.session import fresh_dir
 from urbanlens.sources import fixtures as X
 from urbanlens.sources import incidents as I
@@ -213,4 +216,161 @@ def q_topn_semi_join(spark, sf):
     return E.topn_semi_join(clean(spark, sf), "crm_cd_desc", 10).select("dr_no", "crm_cd_desc")
 
 
-_ = coords  # re-exported helpers are used by later query groups
+# ---------------------------------------------------------------- dashboard P15, A13-A17, L1-L3
+# Fixed selection used by the registered dashboard queries.
+DASH_YEARS = [1996, 1999, 2001]
+DASH_AREAS = ["NATION_1", "NATION_4", "NATION_12", "NATION_20", "NATION_24"]
+DASH_LABELS = ["VEHÍCULO ROBADO", "ROBO DE IDENTIDAD", "HURTO MENOR", "ROBO CON VIOLENCIA"]
+
+
+def dash_selection(spark, sf):
+    return D.filter_by_labels(clean(spark, sf), DASH_YEARS, DASH_AREAS, DASH_LABELS)
+
+
+@query("dashboard_filter")
+def q_dashboard_filter(spark, sf):
+    return dash_selection(spark, sf).select("dr_no", "year", "area_name", "crm_cd_desc")
+
+
+@query("dashboard_metrics")
+def q_dashboard_metrics(spark, sf):
+    return D.dashboard_metrics(dash_selection(spark, sf))
+
+
+@query("dashboard_metrics_all")
+def q_dashboard_metrics_all(spark, sf):
+    return D.dashboard_metrics(clean(spark, sf))
+
+
+@query("distinct_areas")
+def q_distinct_areas(spark, sf):
+    return D.distinct_values(clean(spark, sf), "area_name")
+
+
+@query("distinct_years")
+def q_distinct_years(spark, sf):
+    return D.distinct_values(clean(spark, sf), "year")
+
+
+@query("crime_options")
+def q_crime_options(spark, sf):
+    return D.crime_options(clean(spark, sf))
+
+
+@query("area_centroids")
+def q_area_centroids(spark, sf):
+    c = D.area_centroids(clean(spark, sf))
+    return c.select("area_name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("area_point")
+def q_area_point(spark, sf):
+    """A17 for every nation name (all have records) and every region name (none has: default point)."""
+    req = X.table(spark, sf, "nation").select(F.col("n_name").alias("area")).unionByName(
+        X.table(spark, sf, "region").select(F.col("r_name").alias("area"))
+    )
+    return D.area_point(clean(spark, sf), req)
+
+
+@query("sample_n")
+def q_sample_n(spark, sf):
+    return D.sample_n(clean(spark, sf), 1000, "42").select("dr_no", "crm_cd_desc")
+
+
+@query("heat_points")
+def q_heat_points(spark, sf):
+    return D.heat_points(dash_selection(spark, sf), 2000, "42")
+
+
+@query("context_heat_points")
+def q_context_heat_points(spark, sf):
+    return D.context_heat_points(clean(spark, sf), 1000)
+
+
+@query("in_city_box")
+def q_in_city_box(spark, sf):
+    p = X.points(spark, sf)
+    return p.select("point_id", coords.in_city_box(F.col("lat"), F.col("lon")).alias("in_box"))
+
+
+# ---------------------------------------------------------------- geo J2-J4, A22, R6
+@query("nearest_area")
+def q_nearest_area(spark, sf):
+    cents = D.area_centroids(clean(spark, sf))
+    return G.nearest_area(X.points(spark, sf), cents).select("point_id", "nearest_area")
+
+
+@query("incidents_near_point")
+def q_incidents_near_point(spark, sf):
+    return G.incidents_near_point(X.points(spark, sf), clean(spark, sf))
+
+
+@query("mode_near_point")
+def q_mode_near_point(spark, sf):
+    return G.mode_near_point(X.points(spark, sf), clean(spark, sf))
+
+
+@query("recent_years")
+def q_recent_years(spark, sf):
+    return G.recent_years(clean(spark, sf)).select("dr_no", "year")
+
+
+@query("route_risk_historical")
+def q_route_risk_historical(spark, sf):
+    return G.route_risk_historical(X.routes(spark, sf), clean(spark, sf))
+
+
+# ---------------------------------------------------------------- questions A18-A20, J6, Q1-Q3, P14
+def qfeat(spark, sf):
+    return Q.question_features(X.questions(spark, sf))
+
+
+@query("question_crime")
+def q_question_crime(spark, sf):
+    return X.questions(spark, sf).select("question_id", text.question_crime(F.col("text")).alias("crime"))
+
+
+@query("question_hours")
+def q_question_hours(spark, sf):
+    return qfeat(spark, sf).filter("has_interval").select("question_id", "start_h", "end_h")
+
+
+@query("hour_window_count")
+def q_hour_window_count(spark, sf):
+    return Q.hour_window_count(qfeat(spark, sf), clean(spark, sf))
+
+
+@query("question_areas")
+def q_question_areas(spark, sf):
+    f = Q.areas_found(qfeat(spark, sf), clean(spark, sf))
+    return f.select("question_id", F.posexplode("found").alias("pos", "a")).select(
+        "question_id", F.col("pos").cast("int").alias("pos"), F.col("a.area").alias("area_name"))
+
+
+@query("question_areas_qgram")
+def q_question_areas_qgram(spark, sf):
+    """J6 through the q-gram equi-join path (the one taken for area lists beyond the inline limit)."""
+    f = Q.areas_found(qfeat(spark, sf), clean(spark, sf), inline_max=0)
+    return f.select("question_id", F.posexplode("found").alias("pos", "a")).select(
+        "question_id", F.col("pos").cast("int").alias("pos"), F.col("a.area").alias("area_name"))
+
+
+@query("compare_areas")
+def q_compare_areas(spark, sf):
+    f = Q.areas_found(qfeat(spark, sf).filter("is_compare"), clean(spark, sf))
+    return Q.compare_areas(f)
+
+
+@query("yearly_trend")
+def q_yearly_trend(spark, sf):
+    return Q.yearly_trend(clean(spark, sf)).drop("change_text")
+
+
+@query("question_intent")
+def q_question_intent(spark, sf):
+    return Q.answer_questions(X.questions(spark, sf), clean(spark, sf)).select("question_id", "intent")
+
+
+@query("answer_questions")
+def q_answer_questions(spark, sf):
+    return Q.answer_questions(X.questions(spark, sf), clean(spark, sf))

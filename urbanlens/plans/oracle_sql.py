@@ -227,3 +227,217 @@ grid AS (SELECT g, CASE WHEN g = 199 THEN hi ELSE lo + g * ((hi - lo) / 199.0::D
 SELECT CAST(g AS INTEGER) AS grid_idx, ROUND(x, 6) AS x,
   ROUND(SUM(c * EXP(-0.5 * POW((x - a) / h, 2.0))) / (n * h * SQRT(2 * PI())) * n * ((hi - lo) / 40.0::DOUBLE), 4) AS density_count
 FROM grid, ages GROUP BY g, x, h, n, lo, hi"""
+
+# ---------------------------------------------------------------- more stand-in inputs
+register_cte("points", """points AS (
+  SELECT c_custkey AS point_id, n_name AS area,
+    CAST(337500 + 200 * nk + 3 * (c_custkey % 61) AS DOUBLE) / CAST(10000 AS DOUBLE) AS lat,
+    CAST(-1186500 + 200 * nk + 3 * (c_custkey % 67) AS DOUBLE) / CAST(10000 AS DOUBLE) AS lon,
+    2002 AS date_year, CAST(1 + c_custkey % 12 AS INTEGER) AS date_month, CAST(c_custkey % 7 AS INTEGER) AS day_of_week,
+    CAST(c_custkey % 24 AS INTEGER) AS hour_of_day, CAST(18 + c_custkey % 73 AS INTEGER) AS victim_age,
+    (['M', 'F', 'X', 'Z'])[c_custkey % 4 + 1] AS victim_sex
+  FROM (SELECT c_custkey, CAST(n_nationkey AS BIGINT) AS nk, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) s
+)""", [])
+
+register_cte("questions", """questions AS (
+  SELECT c_custkey AS question_id, CASE c_custkey % 6
+    WHEN 0 THEN 'Crímenes entre las ' || CAST(c_custkey % 24 AS VARCHAR) || ' y las ' || CAST((7 * c_custkey + 3) % 24 AS VARCHAR)
+    WHEN 1 THEN 'Compara Nation_' || CAST(c_custkey % 25 AS VARCHAR) || ' versus NATION_' || CAST((3 * c_custkey + 1) % 25 AS VARCHAR)
+    WHEN 2 THEN '¿Cuál es la tendencia de robos este año?'
+    WHEN 3 THEN 'Evolución de homicidios'
+    WHEN 4 THEN 'Compara NATION_7'
+    ELSE 'hola' END AS text
+  FROM customer
+)""", [])
+
+
+def _nat_lat(nk: str) -> str:
+    return f"CAST(337550 + 200 * ({nk}) AS DOUBLE) / CAST(10000 AS DOUBLE)"
+
+
+def _nat_lon(nk: str) -> str:
+    return f"CAST(-1186450 + 200 * ({nk}) AS DOUBLE) / CAST(10000 AS DOUBLE)"
+
+
+register_cte("trips", f"""trips AS (
+  SELECT s_suppkey AS trip_id, 'user_' || CAST(s_suppkey % 10 AS VARCHAR) AS user_name,
+    CASE WHEN s_suppkey % 70 = 0 THEN 35.0::DOUBLE ELSE {_nat_lat('nk')} END AS lat1, {_nat_lon('nk')} AS lon1,
+    {_nat_lat('(nk * 7 + 5) % 25')} AS lat2, {_nat_lon('(nk * 7 + 5) % 25')} AS lon2,
+    CAST(DATE '2002-01-01' + CAST(s_suppkey % 365 AS INTEGER) AS DATE) AS travel_date,
+    CAST(s_suppkey % 24 AS INTEGER) AS travel_hour, CAST(10 + s_suppkey % 80 AS INTEGER) AS age,
+    (['M', 'F', 'X'])[s_suppkey % 3 + 1] AS sex,
+    TIMESTAMP '2024-01-01 00:00:00' + TO_MINUTES(CAST(s_suppkey * 7 AS BIGINT)) AS requested_at
+  FROM (SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS nk FROM supplier) s
+)""", [])
+
+register_cte("routes", """routes AS (
+  SELECT trip_id, CAST(i AS INTEGER) AS route_seq, 'direct' AS kind, CAST(NULL AS INTEGER) AS cand_idx,
+    CAST(5000 + (trip_id % 50) * 40 + 150 * i AS DOUBLE) AS distance,
+    CASE WHEN trip_id % 17 = 0 AND i = 1 THEN NULL ELSE CAST(600 + (trip_id * 31 + 37 * i) % 400 AS DOUBLE) END AS duration
+  FROM (SELECT trip_id, unnest(generate_series(0, CASE WHEN trip_id % 9 = 0 THEN 6 ELSE 1 + trip_id % 3 END - 1)) AS i FROM trips) d
+  UNION ALL
+  SELECT trip_id, CAST(100 + i AS INTEGER), 'waypoint', CAST(i AS INTEGER),
+    CAST(5000 + (trip_id % 50) * 40 + (i * (trip_id % 13 + 1) * 23) % 700 AS DOUBLE),
+    CAST(650 + (trip_id * 17 + 41 * i) % 400 AS DOUBLE)
+  FROM (SELECT trip_id, unnest(generate_series(0, 9)) AS i FROM trips) w
+)""", ["trips"])
+
+register_cte("route_points", """route_points AS (
+  SELECT trip_id, route_seq, idx, n_points,
+    lon1 + (lon2 - lon1) * idx / (n_points - 1) AS lon,
+    lat1 + (lat2 - lat1) * idx / (n_points - 1) + (route_seq % 10) / 1000.0::DOUBLE AS lat
+  FROM (SELECT r.trip_id, r.route_seq, t.lat1, t.lon1, t.lat2, t.lon2, CAST(90 + (r.trip_id % 7) * 60 AS INTEGER) AS n_points,
+               unnest(generate_series(0, CAST(90 + (r.trip_id % 7) * 60 AS INTEGER) - 1)) AS idx
+        FROM routes r JOIN trips t ON r.trip_id = t.trip_id) x
+)""", ["routes"])
+
+# ---------------------------------------------------------------- dashboard
+_DASH = """dash AS (
+  SELECT * FROM clean
+  WHERE year IN (1996, 1999, 2001) AND area_name IN ('NATION_1', 'NATION_4', 'NATION_12', 'NATION_20', 'NATION_24')
+    AND crm_cd_desc IN (SELECT crm_cd_desc FROM options WHERE label IN ('VEHÍCULO ROBADO', 'ROBO DE IDENTIDAD', 'HURTO MENOR', 'ROBO CON VIOLENCIA'))
+)"""
+register_cte("options", f"""options AS (
+  SELECT label, arg_max(crm_cd_desc, rk) AS crm_cd_desc FROM (
+    SELECT crm_cd_desc, {translate_sql('crm_cd_desc')} AS label, ROW_NUMBER() OVER (ORDER BY n DESC, crm_cd_desc ASC) AS rk
+    FROM ({top_sql('clean', 'crm_cd_desc', 10, alias='n')}) t) r
+  GROUP BY label
+)""", ["clean"])
+register_cte("dash", _DASH, ["options"])
+
+_METRICS = (
+    "SELECT COUNT(*) AS total_rows, "
+    "CAST(COUNT(DISTINCT area_name) + COALESCE(MAX(CAST(area_name IS NULL AS INTEGER)), 0) AS BIGINT) AS n_areas, "
+    "CAST(COUNT(DISTINCT year) + COALESCE(MAX(CAST(year IS NULL AS INTEGER)), 0) AS BIGINT) AS n_years, "
+    "CAST(COUNT(DISTINCT crm_cd_desc) + COALESCE(MAX(CAST(crm_cd_desc IS NULL AS INTEGER)), 0) AS BIGINT) AS n_types FROM "
+)
+SQL["dashboard_filter"] = with_("dash") + "SELECT dr_no, year, area_name, crm_cd_desc FROM dash"
+SQL["dashboard_metrics"] = with_("dash") + _METRICS + "dash"
+SQL["dashboard_metrics_all"] = with_("clean") + _METRICS + "clean"
+SQL["distinct_areas"] = with_("clean") + "SELECT DISTINCT area_name FROM clean WHERE area_name IS NOT NULL"
+SQL["distinct_years"] = with_("clean") + "SELECT DISTINCT year FROM clean WHERE year IS NOT NULL"
+SQL["crime_options"] = with_("options") + "SELECT label, crm_cd_desc FROM options"
+SQL["area_centroids"] = with_("clean") + (
+    "SELECT area_name, ROUND(AVG(lat), 6) AS lat, ROUND(AVG(lon), 6) AS lon FROM clean WHERE area_name IS NOT NULL GROUP BY area_name"
+)
+SQL["area_point"] = with_("clean") + (
+    "SELECT r.area, COALESCE(f.lat, 34.05::DOUBLE) AS lat, COALESCE(f.lon, -118.24::DOUBLE) AS lon "
+    "FROM (SELECT n_name AS area FROM nation UNION ALL SELECT r_name FROM region) r "
+    "LEFT JOIN (SELECT area_name, arg_min(lat, dr_no) AS lat, arg_min(lon, dr_no) AS lon FROM clean WHERE area_name IS NOT NULL GROUP BY area_name) f "
+    "ON r.area = f.area_name"
+)
+SQL["sample_n"] = with_("clean") + "SELECT dr_no, crm_cd_desc FROM clean ORDER BY md5(CAST(dr_no AS VARCHAR) || '42'), dr_no LIMIT 1000"
+SQL["heat_points"] = with_("dash") + "SELECT lat, lon FROM dash ORDER BY md5(CAST(dr_no AS VARCHAR) || '42'), dr_no LIMIT 2000"
+SQL["context_heat_points"] = with_("clean") + (
+    "SELECT lat, lon FROM clean ORDER BY md5(CAST(dr_no AS VARCHAR) || 'context'), dr_no LIMIT 1000"
+)
+SQL["in_city_box"] = with_("points") + (
+    "SELECT point_id, (lat BETWEEN 33.7::DOUBLE AND 34.35::DOUBLE AND lon BETWEEN -118.7::DOUBLE AND -118.0::DOUBLE) AS in_box FROM points"
+)
+
+# ---------------------------------------------------------------- geo
+register_cte("centroids", """centroids AS (
+  SELECT area_name, AVG(lat) AS lat, AVG(lon) AS lon FROM clean WHERE area_name IS NOT NULL GROUP BY area_name
+)""", ["clean"])
+SQL["nearest_area"] = with_("centroids", "points") + """
+SELECT point_id, arg_min(area_name, [POW(c.lat - p.lat, 2.0) + POW(c.lon - p.lon, 2.0), r]) AS nearest_area
+FROM points p, (SELECT *, ROW_NUMBER() OVER (ORDER BY area_name) AS r FROM centroids) c GROUP BY point_id"""
+
+_NEAR = """near AS (
+  SELECT p.point_id, c.crm_cd_desc
+  FROM points p JOIN clean c
+    ON c.lat BETWEEN p.lat - 0.002::DOUBLE AND p.lat + 0.002::DOUBLE AND c.lon BETWEEN p.lon - 0.002::DOUBLE AND p.lon + 0.002::DOUBLE
+)"""
+register_cte("near", _NEAR, ["points", "clean"])
+SQL["incidents_near_point"] = with_("near") + (
+    "SELECT p.point_id, CAST(COUNT(n.point_id) AS BIGINT) AS n_incidents FROM points p LEFT JOIN near n ON p.point_id = n.point_id "
+    "GROUP BY p.point_id"
+)
+SQL["mode_near_point"] = with_("near") + """
+SELECT t.point_id, t.n_incidents, m.top_crime FROM
+  (SELECT point_id, COUNT(*) AS n_incidents FROM near GROUP BY point_id) t
+  LEFT JOIN (SELECT point_id, crm_cd_desc AS top_crime FROM (
+      SELECT point_id, crm_cd_desc, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY COUNT(*) DESC, crm_cd_desc ASC) AS rn
+      FROM near WHERE crm_cd_desc IS NOT NULL GROUP BY point_id, crm_cd_desc) z WHERE rn = 1) m
+  ON t.point_id = m.point_id"""
+SQL["recent_years"] = with_("clean") + "SELECT dr_no, year FROM clean WHERE year >= (SELECT MAX(year) FROM clean) - 1"
+SQL["route_risk_historical"] = with_("clean", "route_points") + f"""
+, rp AS (SELECT trip_id, route_seq, idx, lat, lon FROM route_points WHERE idx % 10 = 0),
+rec AS (SELECT * FROM clean WHERE year >= (SELECT MAX(year) FROM clean) - 1),
+hits AS (SELECT rp.trip_id, rp.route_seq, rp.idx, c.crm_cd_desc FROM rp JOIN rec c
+  ON c.lat BETWEEN rp.lat - 0.002::DOUBLE AND rp.lat + 0.002::DOUBLE AND c.lon BETWEEN rp.lon - 0.002::DOUBLE AND rp.lon + 0.002::DOUBLE),
+cnt AS (SELECT trip_id, route_seq, idx, COUNT(*) AS n FROM hits GROUP BY trip_id, route_seq, idx),
+md AS (SELECT trip_id, route_seq, idx, crm_cd_desc FROM (
+  SELECT trip_id, route_seq, idx, crm_cd_desc, ROW_NUMBER() OVER (PARTITION BY trip_id, route_seq, idx ORDER BY COUNT(*) DESC, crm_cd_desc) AS rn
+  FROM hits WHERE crm_cd_desc IS NOT NULL GROUP BY trip_id, route_seq, idx, crm_cd_desc) z WHERE rn = 1)
+SELECT rp.trip_id, rp.route_seq, CAST(rp.idx AS INTEGER) AS idx, rp.lat, rp.lon, cnt.n AS count,
+  {translate_sql('md.crm_cd_desc')} AS crime_type, 1 AS intensity
+FROM rp JOIN cnt USING (trip_id, route_seq, idx) LEFT JOIN md USING (trip_id, route_seq, idx) WHERE cnt.n > 5"""
+
+# ---------------------------------------------------------------- questions
+_HPAT = r"entre\s+las?\s+(\d{1,2})\s+y\s+las?\s+(\d{1,2})"
+register_cte("qf", f"""qf AS (
+  SELECT question_id, text, lower(text) AS low, {question_crime_sql('text')} AS crime,
+    regexp_matches(lower(text), '{_HPAT}') AS has_interval,
+    CASE WHEN regexp_matches(lower(text), '{_HPAT}') THEN TRY_CAST(regexp_extract(lower(text), '{_HPAT}', 1) AS INTEGER) END AS start_h,
+    CASE WHEN regexp_matches(lower(text), '{_HPAT}') THEN TRY_CAST(regexp_extract(lower(text), '{_HPAT}', 2) AS INTEGER) END AS end_h,
+    regexp_matches(lower(text), '{vocab.COMPARE_PATTERN}') AS is_compare,
+    regexp_matches(lower(text), '{vocab.TREND_PATTERN}') AS is_trend
+  FROM questions
+)""", ["questions"])
+register_cte("hours", """hours AS (
+  SELECT CAST(((FLOOR(time_occ / 100.0) % 24) + 24) % 24 AS INTEGER) AS h, COUNT(*) AS n FROM clean WHERE time_occ IS NOT NULL GROUP BY 1
+)""", ["clean"])
+register_cte("win", """win AS (
+  SELECT q.question_id, q.start_h, q.end_h, CAST(COALESCE(SUM(h.n), 0) AS BIGINT) AS n_incidents FROM qf q LEFT JOIN hours h
+    ON CASE WHEN q.start_h <= q.end_h THEN h.h >= q.start_h AND h.h <= q.end_h ELSE h.h >= q.start_h OR h.h <= q.end_h END
+  WHERE q.has_interval GROUP BY q.question_id, q.start_h, q.end_h
+)""", ["qf", "hours"])
+register_cte("acount", """acount AS (SELECT area_name, COUNT(*) AS n FROM clean WHERE area_name IS NOT NULL GROUP BY area_name)""", ["clean"])
+register_cte("qareas", """qareas AS (
+  SELECT q.question_id, a.area_name, a.n, ROW_NUMBER() OVER (PARTITION BY q.question_id ORDER BY a.area_name) - 1 AS pos
+  FROM qf q JOIN acount a ON contains(q.low, lower(a.area_name))
+)""", ["qf", "acount"])
+register_cte("cmp", """cmp AS (
+  SELECT a.question_id, a.area_name AS area1, b.area_name AS area2, a.n AS count1, b.n AS count2, ABS(a.n - b.n) AS diff,
+    CASE WHEN a.n > b.n THEN a.area_name ELSE b.area_name END AS winner
+  FROM qareas a JOIN qareas b ON a.question_id = b.question_id AND a.pos = 0 AND b.pos = 1
+)""", ["qareas"])
+register_cte("trend", """trend AS (
+  SELECT crime, last_year, prev_year, last_count, prev_count,
+    ROUND((last_count - prev_count) / CAST(prev_count AS DOUBLE) * 100, 6) AS change_pct,
+    CASE WHEN (last_count - prev_count) / CAST(prev_count AS DOUBLE) * 100 > 0 THEN 'subido' ELSE 'bajado' END AS trend,
+    printf('%.1f', ABS((last_count - prev_count) / CAST(prev_count AS DOUBLE) * 100)) AS change_text
+  FROM (
+    SELECT crime, MAX(CASE WHEN rn = 1 THEN year END) AS last_year, MAX(CASE WHEN rn = 2 THEN year END) AS prev_year,
+      MAX(CASE WHEN rn = 1 THEN n END) AS last_count, MAX(CASE WHEN rn = 2 THEN n END) AS prev_count, COUNT(*) AS k
+    FROM (SELECT crime, year, n, ROW_NUMBER() OVER (PARTITION BY crime ORDER BY year DESC) AS rn FROM (
+        SELECT crm_cd_desc AS crime, year, COUNT(*) AS n FROM clean WHERE year IS NOT NULL AND crm_cd_desc IS NOT NULL GROUP BY 1, 2
+        UNION ALL SELECT '*', year, COUNT(*) FROM clean WHERE year IS NOT NULL GROUP BY year) u) r
+    WHERE rn <= 2 GROUP BY crime) g
+  WHERE k > 1
+)""", ["clean"])
+
+SQL["question_crime"] = with_("questions") + f"SELECT question_id, {question_crime_sql('text')} AS crime FROM questions"
+SQL["question_hours"] = with_("qf") + "SELECT question_id, start_h, end_h FROM qf WHERE has_interval"
+SQL["hour_window_count"] = with_("win") + "SELECT * FROM win"
+SQL["question_areas"] = with_("qareas") + "SELECT question_id, CAST(pos AS INTEGER) AS pos, area_name FROM qareas"
+SQL["question_areas_qgram"] = SQL["question_areas"]
+SQL["compare_areas"] = with_("cmp", "qf") + "SELECT c.* FROM cmp c JOIN qf USING (question_id) WHERE qf.is_compare"
+SQL["yearly_trend"] = with_("trend") + "SELECT crime, last_year, prev_year, last_count, prev_count, change_pct, trend FROM trend"
+
+_ANSWER = f"""
+SELECT q.question_id,
+  CASE WHEN q.has_interval THEN 'hour_interval' WHEN q.is_compare AND c.area1 IS NOT NULL THEN 'comparison'
+       WHEN q.is_trend AND t.last_year IS NOT NULL THEN 'trend' ELSE 'generic' END AS intent,
+  CASE WHEN q.has_interval THEN 'He analizado el período entre las ' || CAST(q.start_h AS VARCHAR) || ':00 y las ' || CAST(q.end_h AS VARCHAR)
+         || ':00. Se registraron **' || format('{{:,}}', w.n_incidents) || ' incidentes**.'
+       WHEN q.is_compare AND c.area1 IS NOT NULL THEN 'Comparativa: **' || c.area1 || '** (' || format('{{:,}}', c.count1) || ') vs **'
+         || c.area2 || '** (' || format('{{:,}}', c.count2) || '). La zona de **' || c.winner || '** tiene ' || format('{{:,}}', c.diff) || ' crímenes más.'
+       WHEN q.is_trend AND t.last_year IS NOT NULL THEN 'La tendencia de ''' || COALESCE(q.crime, '{vocab.ALL_CRIMES_LABEL}') || ''' ha **'
+         || t.trend || '** un ' || t.change_text || '% en el último año registrado.'
+       ELSE {_q(vocab.GENERIC_ANSWER)} END AS answer
+FROM qf q LEFT JOIN win w USING (question_id) LEFT JOIN cmp c USING (question_id)
+  LEFT JOIN trend t ON t.crime = COALESCE(q.crime, '*')"""
+SQL["answer_questions"] = with_("qf", "win", "cmp", "trend") + _ANSWER
+SQL["question_intent"] = with_("qf", "win", "cmp", "trend") + "SELECT question_id, intent FROM (" + _ANSWER + ") a"
