@@ -17,9 +17,11 @@ from urbanlens.operators import dashboard as D
 from urbanlens.operators import explore as E
 from urbanlens.operators import geo as G
 from urbanlens.operators import questions as Q
+from urbanlens.operators import routes as R
 from urbanlens.session import fresh_dir
 from urbanlens.sources import fixtures as X
 from urbanlens.sources import incidents as I
+from urbanlens.sources import routes as RS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -374,3 +376,116 @@ def q_question_intent(spark, sf):
 @query("answer_questions")
 def q_answer_questions(spark, sf):
     return Q.answer_questions(X.questions(spark, sf), clean(spark, sf))
+
+
+# ---------------------------------------------------------------- routes R1-R13, U1, J5, P20, P23, S7, L6
+def route_job(spark, sf, scorer=None):
+    return R.analyze_routes(X.trips(spark, sf), X.routes(spark, sf), scorer or X.fixture_scorer)
+
+
+@query("request_calendar")
+def q_request_calendar(spark, sf):
+    """Travel date -> year, month, weekday (Monday = 0)."""
+    t = X.trips(spark, sf)
+    return t.select("trip_id", F.year("travel_date").alias("year"), F.month("travel_date").alias("month"),
+                    calendar.weekday_monday0(F.col("travel_date")).alias("day_of_week"))
+
+
+@query("scan_routes")
+def q_scan_routes(spark, sf):
+    """Candidate routes written as JSON lines and read back with an explicit schema."""
+    path = fresh_dir(spark, "routes-json")
+    RS.write_routes(X.routes(spark, sf), path)
+    r = RS.read_routes(spark, path)
+    return r.select("trip_id", "route_seq", "kind", "cand_idx", "distance", "duration",
+                    F.size("path").alias("n_points"),
+                    F.col("path")[0]["lon"].alias("first_lon"), F.col("path")[0]["lat"].alias("first_lat"),
+                    F.element_at("path", -1)["lon"].alias("last_lon"), F.element_at("path", -1)["lat"].alias("last_lat"))
+
+
+@query("trip_grid")
+def q_trip_grid(spark, sf):
+    return R.trip_grid(X.trips(spark, sf))
+
+
+@query("danger_zones")
+def q_danger_zones(spark, sf):
+    return route_job(spark, sf)["zones"]
+
+
+@query("threat_score")
+def q_threat_score(spark, sf):
+    """J5 + R3: threat of every detour candidate of every trip against the trip's zones (0 without zones)."""
+    trips = X.trips(spark, sf)
+    zones = route_job(spark, sf)["zones"]
+    cands = R.detour_candidates(trips)
+    t = R.threat_score(cands, zones, "wp_lat", "wp_lon")
+    return t.select("trip_id", "cand_idx", F.round("wp_lat", 9).alias("wp_lat"), F.round("wp_lon", 9).alias("wp_lon"),
+                    F.round("threat", 4).alias("threat"))
+
+
+@query("detour_waypoints")
+def q_detour_waypoints(spark, sf):
+    w = route_job(spark, sf)["waypoints"]
+    return w.select("trip_id", "cand_idx", F.col("rank").cast("int").alias("rank"), F.round("wp_lat", 9).alias("wp_lat"),
+                    F.round("wp_lon", 9).alias("wp_lon"), F.round("threat", 4).alias("threat"))
+
+
+@query("route_union")
+def q_route_union(spark, sf):
+    j = route_job(spark, sf)
+    return R.route_union(X.routes(spark, sf), j["waypoints"]).select("trip_id", "ord", "route_seq", "kind")
+
+
+@query("dedup_routes")
+def q_dedup_routes(spark, sf):
+    return route_job(spark, sf)["accepted"]
+
+
+@query("path_sample")
+def q_path_sample(spark, sf):
+    return R.path_samples(X.routes(spark, sf))
+
+
+@query("route_risk_scored")
+def q_route_risk_scored(spark, sf):
+    return route_job(spark, sf)["risks"]
+
+
+@query("best_route")
+def q_best_route(spark, sf):
+    return route_job(spark, sf)["best"]
+
+
+@query("route_danger_level")
+def q_route_danger_level(spark, sf):
+    return R.route_danger_level(route_job(spark, sf)["ranked"])
+
+
+@query("safety_rating")
+def q_safety_rating(spark, sf):
+    return R.safety_rating(route_job(spark, sf)["best"])
+
+
+@query("route_facts")
+def q_route_facts(spark, sf):
+    return R.route_facts(route_job(spark, sf)["accepted"])
+
+
+@query("route_danger_percent")
+def q_route_danger_percent(spark, sf):
+    return R.route_danger_percent(route_job(spark, sf)["ranked"])
+
+
+@query("routes_by_risk")
+def q_routes_by_risk(spark, sf):
+    """Routes of each trip in ascending risk order (position = rank)."""
+    return route_job(spark, sf)["ranked"].select("trip_id", "route_id", "n_risks", "rank")
+
+
+@query("duration_text")
+def q_duration_text(spark, sf):
+    """P20 over every candidate route's duration in whole minutes (missing -> 0)."""
+    r = X.routes(spark, sf)
+    m = F.floor(F.coalesce(F.col("duration"), F.lit(0.0)) / 60).cast("int")
+    return r.select("trip_id", "route_seq", m.alias("minutes"), text.duration_text(m).alias("duration_text"))

@@ -441,3 +441,153 @@ FROM qf q LEFT JOIN win w USING (question_id) LEFT JOIN cmp c USING (question_id
   LEFT JOIN trend t ON t.crime = COALESCE(q.crime, '*')"""
 SQL["answer_questions"] = with_("qf", "win", "cmp", "trend") + _ANSWER
 SQL["question_intent"] = with_("qf", "win", "cmp", "trend") + "SELECT question_id, intent FROM (" + _ANSWER + ") a"
+
+# ---------------------------------------------------------------- routes
+def score_sql(lat: str, lon: str, hour: str) -> str:
+    """Fixture scorer columns (prediction, confidence, severity, severity_confidence) from z."""
+    z = f"CAST(FLOOR(ABS({lat}) * 10000) + FLOOR(ABS({lon}) * 10000) + {hour} AS BIGINT)"
+    return (
+        f"({CRIMES})[{z} % 10 + 1] AS prediction, (10 + {z} % 60) / 100.0::DOUBLE AS confidence, "
+        f"CASE WHEN {z} % 3 = 0 THEN 'SEGURO' ELSE 'PELIGROSO' END AS severity, (50 + {z} % 50) / 100.0::DOUBLE AS severity_confidence"
+    )
+
+
+_BOX = "{a} BETWEEN 33.7::DOUBLE AND 34.35::DOUBLE AND {o} BETWEEN -118.7::DOUBLE AND -118.0::DOUBLE"
+register_cte("ctx", """ctx AS (
+  SELECT trip_id, CAST(year(travel_date) AS INTEGER) AS year, CAST(month(travel_date) AS INTEGER) AS month,
+    CAST(isodow(travel_date) - 1 AS INTEGER) AS day_of_week, travel_hour AS hour, age, sex FROM trips
+)""", ["trips"])
+register_cte("gbox", f"""gbox AS (
+  SELECT trip_id, grid,
+    GREATEST(33.7::DOUBLE, LEAST(lat1, lat2) - ABS(lat2 - lat1) * 0.2::DOUBLE) AS min_lat,
+    LEAST(34.35::DOUBLE, GREATEST(lat1, lat2) + ABS(lat2 - lat1) * 0.2::DOUBLE) AS max_lat,
+    GREATEST(-118.7::DOUBLE, LEAST(lon1, lon2) - ABS(lon2 - lon1) * 0.2::DOUBLE) AS min_lon,
+    LEAST(-118.0::DOUBLE, GREATEST(lon1, lon2) + ABS(lon2 - lon1) * 0.2::DOUBLE) AS max_lon
+  FROM (SELECT *, CASE WHEN d > 0.15::DOUBLE THEN 10 WHEN d > 0.08::DOUBLE THEN 8 ELSE 6 END AS grid
+        FROM (SELECT *, SQRT((lat2 - lat1) * (lat2 - lat1) + (lon2 - lon1) * (lon2 - lon1)) AS d FROM trips) a) b
+  WHERE {_BOX.format(a='lat1', o='lon1')} AND {_BOX.format(a='lat2', o='lon2')}
+)""", ["trips"])
+register_cte("grid", """grid AS (
+  SELECT trip_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+    min_lat + i * ((max_lat - min_lat) / grid) AS lat, min_lon + j * ((max_lon - min_lon) / grid) AS lon
+  FROM (SELECT *, unnest(generate_series(0, grid - 1)) AS j FROM (SELECT *, unnest(generate_series(0, grid - 1)) AS i FROM gbox) x) y
+)""", ["gbox"])
+register_cte("zones", f"""zones AS (
+  SELECT trip_id, i, j, lat, lon, severity_confidence AS severity_conf, LEFT({translate_sql('prediction')}, 40) AS crime_type
+  FROM (SELECT g.*, {score_sql('g.lat', 'g.lon', 'c.hour')} FROM grid g JOIN ctx c USING (trip_id)) s
+  WHERE severity = 'PELIGROSO' AND severity_confidence > 0.55::DOUBLE
+)""", ["grid", "ctx"])
+_OPTS = ", ".join(
+    f"({si * len(vocab.DETOUR_DEVIATIONS) + di}, {side}, {dev}::DOUBLE)"
+    for si, side in enumerate(vocab.DETOUR_SIDES) for di, dev in enumerate(vocab.DETOUR_DEVIATIONS)
+)
+register_cte("cands", f"""cands AS (
+  SELECT trip_id, o.cand_idx, mid_lat + perp_dx * (d * o.dev) * o.side AS wp_lat, mid_lon + perp_dy * (d * o.dev) * o.side AS wp_lon
+  FROM (SELECT trip_id, d, (lat1 + lat2) / 2 AS mid_lat, (lon1 + lon2) / 2 AS mid_lon, -((lon2 - lon1) / d) AS perp_dx, (lat2 - lat1) / d AS perp_dy
+        FROM (SELECT *, SQRT((lat2 - lat1) * (lat2 - lat1) + (lon2 - lon1) * (lon2 - lon1)) AS d FROM trips) a WHERE d > 0) t,
+       (VALUES {_OPTS}) o(cand_idx, side, dev)
+)""", ["trips"])
+register_cte("threats", """threats AS (
+  SELECT c.trip_id, c.cand_idx, c.wp_lat, c.wp_lon,
+    COALESCE(list_reduce(list(((z.severity_conf - 0.65::DOUBLE) / 0.35::DOUBLE * 10)
+        / POW(GREATEST(SQRT((c.wp_lat - z.lat) * (c.wp_lat - z.lat) + (c.wp_lon - z.lon) * (c.wp_lon - z.lon)), 0.0001::DOUBLE), 1.5::DOUBLE)
+      ORDER BY z.i, z.j) FILTER (WHERE z.trip_id IS NOT NULL), lambda a, b: a + b, 0.0::DOUBLE), 0.0::DOUBLE) AS threat,
+    COUNT(z.trip_id) AS n_zones
+  FROM cands c LEFT JOIN zones z ON c.trip_id = z.trip_id GROUP BY c.trip_id, c.cand_idx, c.wp_lat, c.wp_lon
+)""", ["cands", "zones"])
+register_cte("best_wp", """best_wp AS (
+  SELECT * FROM (
+    SELECT t.*, CAST(ROW_NUMBER() OVER (PARTITION BY t.trip_id ORDER BY threat, cand_idx) AS INTEGER) AS rank
+    FROM threats t JOIN (SELECT trip_id, COUNT(*) AS nd FROM routes WHERE kind = 'direct' GROUP BY trip_id) d ON t.trip_id = d.trip_id
+    WHERE t.n_zones > 0 AND d.nd < 6) r
+  WHERE rank <= 4
+)""", ["threats", "routes"])
+register_cte("cu", """cu AS (
+  SELECT trip_id, route_seq, kind, distance, duration, CAST(ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY o1, o2) - 1 AS INTEGER) AS ord FROM (
+    SELECT trip_id, route_seq, kind, distance, duration, 0 AS o1, route_seq AS o2 FROM routes WHERE kind = 'direct'
+    UNION ALL
+    SELECT r.trip_id, r.route_seq, r.kind, r.distance, r.duration, 1, b.rank FROM routes r JOIN best_wp b ON r.trip_id = b.trip_id AND r.cand_idx = b.cand_idx
+    WHERE r.kind = 'waypoint') u
+)""", ["routes", "best_wp"])
+register_cte("accepted", """accepted AS (
+  SELECT a.trip_id, a.route_id, a.route_seq, r.kind, r.distance, r.duration FROM (
+    SELECT trip_id, CAST(unnest(range(len(kept))) AS INTEGER) AS route_id, unnest(list_transform(kept, lambda x: x.seq)) AS route_seq FROM (
+      SELECT trip_id, list_reduce(list({'seq': route_seq, 'k': kind, 'd': COALESCE(distance, 0.0::DOUBLE)} ORDER BY ord),
+        lambda acc, r: CASE WHEN r.k = 'direct' OR (len(acc) < 6 AND NOT COALESCE(list_bool_or(list_transform(acc, lambda a: abs(r.d - a.d) < 100)), false))
+                            THEN list_append(acc, {'seq': r.seq, 'd': r.d}) ELSE acc END,
+        []::STRUCT(seq INTEGER, d DOUBLE)[]) AS kept
+      FROM cu GROUP BY trip_id) dd) a
+  JOIN routes r ON a.trip_id = r.trip_id AND a.route_seq = r.route_seq
+)""", ["cu"])
+register_cte("samples", """samples AS (
+  SELECT trip_id, route_seq, CAST(CASE WHEN ns > 15 THEN r // (ns // 15) ELSE r END AS INTEGER) AS sample_idx, lat, lon
+  FROM (SELECT *, idx // 20 AS r, (n_points + 19) // 20 AS ns FROM route_points WHERE idx % 20 = 0) s
+  WHERE ns <= 15 OR (r % (ns // 15) = 0 AND r // (ns // 15) < 15)
+)""", ["route_points"])
+register_cte("risks", f"""risks AS (
+  SELECT trip_id, route_id, route_seq, sample_idx, lat, lon, CAST(TRUNC(confidence * 100) AS INTEGER) AS count,
+    CASE WHEN severity_confidence > 0.75::DOUBLE THEN 2 WHEN severity_confidence > 0.6::DOUBLE THEN 1 ELSE 0 END AS intensity,
+    severity_confidence AS severity_conf,
+    '[RIESGO] ' || label || ' (' || CAST(CAST(ROUND_EVEN(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '%)' AS description,
+    LEFT(label, 40) AS crime_type
+  FROM (SELECT x.*, {translate_sql('x.prediction')} AS label FROM (
+      SELECT s.*, a.route_id, {score_sql('s.lat', 's.lon', 'c.hour')}
+      FROM samples s JOIN accepted a ON s.trip_id = a.trip_id AND s.route_seq = a.route_seq JOIN ctx c ON s.trip_id = c.trip_id) x) y
+  WHERE severity = 'PELIGROSO' AND severity_confidence > 0.55::DOUBLE AND confidence > 0.2::DOUBLE
+)""", ["samples", "accepted", "ctx"])
+register_cte("ranked", """ranked AS (
+  SELECT a.*, COALESCE(k.n, 0) AS n_risks,
+    CAST(ROW_NUMBER() OVER (PARTITION BY a.trip_id ORDER BY COALESCE(k.n, 0), COALESCE(a.duration, 'inf'::DOUBLE), a.route_id) AS INTEGER) AS rank
+  FROM accepted a LEFT JOIN (SELECT trip_id, route_id, COUNT(*) AS n FROM risks GROUP BY trip_id, route_id) k
+    ON a.trip_id = k.trip_id AND a.route_id = k.route_id
+)""", ["accepted", "risks"])
+register_cte("best", """best AS (
+  SELECT b.trip_id, b.route_id AS best_route_id, b.n_risks AS best_n_risks, n.n_routes
+  FROM ranked b JOIN (SELECT trip_id, COUNT(*) AS n_routes FROM ranked GROUP BY trip_id) n ON b.trip_id = n.trip_id WHERE b.rank = 1
+)""", ["ranked"])
+
+SQL["request_calendar"] = with_("ctx") + "SELECT trip_id, year, month, day_of_week FROM ctx"
+SQL["scan_routes"] = with_("route_points") + """
+SELECT r.trip_id, r.route_seq, r.kind, r.cand_idx, r.distance, r.duration, CAST(p.n AS INTEGER) AS n_points,
+  p.first_lon, p.first_lat, p.last_lon, p.last_lat
+FROM routes r JOIN (SELECT trip_id, route_seq, COUNT(*) AS n, arg_min(lon, idx) AS first_lon, arg_min(lat, idx) AS first_lat,
+  arg_max(lon, idx) AS last_lon, arg_max(lat, idx) AS last_lat FROM route_points GROUP BY trip_id, route_seq) p
+  ON r.trip_id = p.trip_id AND r.route_seq = p.route_seq"""
+SQL["trip_grid"] = with_("grid") + "SELECT * FROM grid"
+SQL["danger_zones"] = with_("zones") + "SELECT * FROM zones"
+SQL["threat_score"] = with_("threats") + (
+    "SELECT trip_id, cand_idx, ROUND(wp_lat, 9) AS wp_lat, ROUND(wp_lon, 9) AS wp_lon, ROUND(threat, 4) AS threat FROM threats"
+)
+SQL["detour_waypoints"] = with_("best_wp") + (
+    "SELECT trip_id, cand_idx, rank, ROUND(wp_lat, 9) AS wp_lat, ROUND(wp_lon, 9) AS wp_lon, ROUND(threat, 4) AS threat FROM best_wp"
+)
+SQL["route_union"] = with_("cu") + "SELECT trip_id, ord, route_seq, kind FROM cu"
+SQL["dedup_routes"] = with_("accepted") + "SELECT * FROM accepted"
+SQL["path_sample"] = with_("samples") + "SELECT * FROM samples"
+SQL["route_risk_scored"] = with_("risks") + "SELECT * FROM risks"
+SQL["best_route"] = with_("best") + "SELECT * FROM best"
+SQL["route_danger_level"] = with_("ranked") + """
+SELECT trip_id, route_id, n_risks, ROUND(lvl, 6) AS danger_level,
+  CASE WHEN rank = 1 THEN 'best' WHEN lvl < 0.33 THEN 'low' WHEN lvl < 0.66 THEN 'medium' ELSE 'high' END AS danger_class
+FROM (SELECT *, (n_risks - MIN(n_risks) OVER w) / CASE WHEN MAX(n_risks) OVER w > MIN(n_risks) OVER w THEN MAX(n_risks) OVER w - MIN(n_risks) OVER w ELSE 1 END AS lvl
+      FROM ranked WINDOW w AS (PARTITION BY trip_id)) x"""
+_RATING = " ".join(f"WHEN best_n_risks <= {n} THEN {_q(t)}" for n, t in vocab.SAFETY_RATINGS)
+SQL["safety_rating"] = with_("best") + (
+    f"SELECT trip_id, best_route_id, best_n_risks, CASE {_RATING} ELSE {_q(vocab.SAFETY_WORST)} END AS rating FROM best"
+)
+_DUR = ("CASE WHEN {m} >= 60 THEN CAST({m} // 60 AS VARCHAR) || 'h ' || CAST({m} % 60 AS VARCHAR) || 'min' "
+        "ELSE CAST({m} AS VARCHAR) || ' min' END")
+SQL["route_facts"] = with_("accepted") + (
+    "SELECT trip_id, route_id, ROUND(COALESCE(distance, 0.0) / 1000, 6) AS distance_km, duration_min, "
+    + _DUR.format(m="duration_min") + " AS time_text, COUNT(*) OVER (PARTITION BY trip_id) AS n_routes "
+    "FROM (SELECT *, CAST(FLOOR(COALESCE(duration, 0.0) / 60) AS INTEGER) AS duration_min FROM accepted) a"
+)
+SQL["route_danger_percent"] = with_("ranked") + (
+    "SELECT trip_id, route_id, n_risks, ROUND(CASE WHEN MAX(n_risks) OVER (PARTITION BY trip_id) > 0 "
+    "THEN n_risks / MAX(n_risks) OVER (PARTITION BY trip_id) * 100 ELSE 0.0 END, 6) AS danger_pct FROM ranked"
+)
+SQL["routes_by_risk"] = with_("ranked") + "SELECT trip_id, route_id, n_risks, rank FROM ranked"
+SQL["duration_text"] = with_("routes") + (
+    "SELECT trip_id, route_seq, minutes, " + _DUR.format(m="minutes") + " AS duration_text "
+    "FROM (SELECT trip_id, route_seq, CAST(FLOOR(COALESCE(duration, 0.0) / 60) AS INTEGER) AS minutes FROM routes) r"
+)
