@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from urbanlens.functions import calendar, coords, text
 from urbanlens.operators import clean as C
 from urbanlens.operators import dashboard as D
+from urbanlens.operators import features as FE
+from urbanlens.operators import history as H
+from urbanlens.operators import models as M
 from urbanlens.operators import explore as E
 from urbanlens.operators import geo as G
 from urbanlens.operators import questions as Q
 from urbanlens.operators import routes as R
 from urbanlens.session import fresh_dir
 from urbanlens.sources import fixtures as X
+from urbanlens.sources import history as HS
 from urbanlens.sources import incidents as I
+from urbanlens.sources import places as P
 from urbanlens.sources import routes as RS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,3 +494,187 @@ def q_duration_text(spark, sf):
     r = X.routes(spark, sf)
     m = F.floor(F.coalesce(F.col("duration"), F.lit(0.0)) / 60).cast("int")
     return r.select("trip_id", "route_seq", m.alias("minutes"), text.duration_text(m).alias("duration_text"))
+
+
+# ---------------------------------------------------------------- ML M1-M11, S5, A12, P17, P18
+def training(spark, sf):
+    return FE.training_frame(clean(spark, sf))
+
+
+def split_frame(spark, sf):
+    return FE.validation_split(FE.stratified_split(training(spark, sf)))
+
+
+_MODELS: dict = {}
+
+
+def fitted(spark, sf):
+    """Classifiers fitted once per (application, scale dir) and reused by the scoring queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = M.fit_models(split_frame(spark, sf).filter(F.col("split") == "train"))
+    return _MODELS[key]
+
+
+def point_requests(spark, sf):
+    p = X.points(spark, sf)
+    return p.select("point_id", "lat", "lon", F.col("date_year").alias("year"), F.col("date_month").alias("month"),
+                    "day_of_week", F.col("hour_of_day").alias("hour"), F.col("victim_age").alias("age"),
+                    F.col("victim_sex").alias("sex"))
+
+
+@query("complete_cases")
+def q_complete_cases(spark, sf):
+    """Rows of the cleaned table with every feature and the target present."""
+    c = clean(spark, sf)
+    feats = FE.select_features(c)
+    return C.complete_cases(c, feats + [FE.TARGET]).select("dr_no")
+
+
+@query("training_frame")
+def q_training_frame(spark, sf):
+    """M1 (with P18 feature order, P11 sex code, J1 top-10 filter, P12 severity)."""
+    return training(spark, sf)
+
+
+@query("severity_balance")
+def q_severity_balance(spark, sf):
+    return E.severity_balance(training(spark, sf))
+
+
+@query("label_index")
+def q_label_index(spark, sf):
+    return FE.label_index(training(spark, sf)).select("dr_no", "type_label", "severity_label")
+
+
+@query("scaled_features")
+def q_scaled_features(spark, sf):
+    z = FE.scaled_features(training(spark, sf))
+    return z.select("dr_no", *[F.round(c, 6).alias(c) for c in z.columns if c != "dr_no"])
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    return FE.stratified_split(training(spark, sf)).select("dr_no", "split")
+
+
+@query("validation_split")
+def q_validation_split(spark, sf):
+    return split_frame(spark, sf).select("dr_no", "role")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    return FE.class_weights(FE.stratified_split(training(spark, sf)))
+
+
+@query("top_k_classes")
+def q_top_k_classes(spark, sf):
+    """M11 on per-point probability vectors: the three most likely classes (probability desc, index asc)."""
+    pr = X.class_probabilities(spark, sf)
+    tk = M.top_k(F.col("probability"), X.class_labels())
+    e = pr.select("point_id", F.posexplode(tk["top_3"]).alias("pos", "t"))
+    return e.select("point_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.crim").alias("crim"),
+                    F.col("t.probabilitat").alias("probabilitat"))
+
+
+@query("fit_type_model")
+def q_fit_type_model(spark, sf):
+    """M7: fitted type classifier summary (one row)."""
+    m = fitted(spark, sf)
+    return spark.createDataFrame([("type", len(m.type_labels), len(m.feature_cols))], "target string, n_classes int, n_features int")
+
+
+@query("fit_severity_model")
+def q_fit_severity_model(spark, sf):
+    """M8: fitted severity classifier summary (one row)."""
+    m = fitted(spark, sf)
+    return spark.createDataFrame([("severity", len(m.severity_labels), len(m.feature_cols))],
+                                 "target string, n_classes int, n_features int")
+
+
+@query("model_accuracy")
+def q_model_accuracy(spark, sf):
+    """M9: accuracy of both classifiers on the held-out test rows."""
+    return M.accuracy(fitted(spark, sf), split_frame(spark, sf).filter(F.col("split") == "test"))
+
+
+@query("score_points")
+def q_score_points(spark, sf):
+    """Every point request scored by both classifiers in one distributed pass."""
+    s = M.score(fitted(spark, sf), point_requests(spark, sf))
+    return s.select("point_id", "prediction", "confidence", "severity", "severity_confidence", F.size("top_3").alias("n_top"))
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Classifiers saved, loaded back and used for scoring."""
+    path = fresh_dir(spark, "models")
+    M.save_models(fitted(spark, sf), path)
+    loaded = M.load_models(spark, path)
+    return M.score(loaded, point_requests(spark, sf)).select("point_id", "prediction", "severity")
+
+
+@query("route_risk_model")
+def q_route_risk_model(spark, sf):
+    """R2-R9 with the trained classifiers as scorer: best route per trip."""
+    return route_job(spark, sf, M.model_scorer(fitted(spark, sf)))["best"]
+
+
+# ---------------------------------------------------------------- history S6, L4, L5, P21, P22; places S8, P19
+def logged(spark, sf):
+    path = fresh_dir(spark, "prediction-log")
+    log = X.prediction_log(spark, sf)
+    HS.append_log(log.filter(F.col("log_id") % 2 == 0), path)
+    HS.append_log(log.filter(F.col("log_id") % 2 == 1), path)
+    return HS.read_log(spark, path)
+
+
+@query("prediction_log")
+def q_prediction_log(spark, sf):
+    """Entries appended in two batches and read back with the log schema."""
+    g = logged(spark, sf)
+    return g.select("log_id", "timestamp", "user_name", "area", F.col("input.lat").alias("in_lat"),
+                    F.col("input.hour").alias("in_hour"), F.col("result.prediction").alias("prediction"),
+                    F.col("result.confidence").alias("confidence"), F.col("result.severity").alias("severity"),
+                    F.col("result.severity_confidence").alias("severity_confidence"), F.size("result.top_3").alias("n_top"))
+
+
+@query("user_history")
+def q_user_history(spark, sf):
+    return H.user_history(logged(spark, sf), "user_3")
+
+
+@query("log_top3")
+def q_log_top3(spark, sf):
+    return H.log_top3(logged(spark, sf))
+
+
+@query("cut_text")
+def q_cut_text(spark, sf):
+    """Answer text cut to 50 characters (+ '...'), predicted label cut to 40."""
+    a = Q.answer_questions(X.questions(spark, sf), clean(spark, sf))
+    return a.select("question_id", text.cut_text(F.col("answer"), 50).alias("answer_cut"),
+                    text.cut_text(F.col("answer"), 40, ellipsis=False).alias("answer_40"))
+
+
+@query("latest_routes")
+def q_latest_routes(spark, sf):
+    """The ten newest route analyses of each user, with their recommended route and zone count."""
+    job = route_job(spark, sf)
+    zc = job["zones"].groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_zones"))
+    t = X.trips(spark, sf).select("trip_id", "user_name", "requested_at")
+    a = t.join(job["best"], "trip_id").join(zc, "trip_id", "left").withColumn("n_zones", F.coalesce("n_zones", F.lit(0)).cast("bigint"))
+    return H.latest_routes(a).select("user_name", "trip_id", "best_route_id", "n_zones", F.col("pos").cast("int").alias("pos"))
+
+
+@query("place_lookup")
+def q_place_lookup(spark, sf):
+    return P.place_lookup(X.address_requests(spark, sf), X.gazetteer(spark, sf))
+
+
+@query("address_key")
+def q_address_key(spark, sf):
+    r = X.address_requests(spark, sf)
+    return r.select("request_id", text.address_key(F.col("address")).alias("address_key"),
+                    text.search_text(F.col("address")).alias("search_text"))

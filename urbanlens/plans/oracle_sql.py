@@ -591,3 +591,109 @@ SQL["duration_text"] = with_("routes") + (
     "SELECT trip_id, route_seq, minutes, " + _DUR.format(m="minutes") + " AS duration_text "
     "FROM (SELECT trip_id, route_seq, CAST(FLOOR(COALESCE(duration, 0.0) / 60) AS INTEGER) AS minutes FROM routes) r"
 )
+
+# ---------------------------------------------------------------- ML data jobs
+_FEATS = ["year", "lat", "lon", "time_occ", "vict_age", "vict_sex", "month_num", "premis_cd", "weapon_used_cd", "day_of_week"]
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in _FEATS + ["crm_cd_desc"])
+register_cte("tf", f"""tf AS (
+  SELECT dr_no, year, lat, lon, time_occ, vict_age,
+    CAST(CASE WHEN vict_sex = 'F' THEN 0 WHEN vict_sex = 'M' THEN 1 ELSE 2 END AS INTEGER) AS vict_sex,
+    month_num, premis_cd, weapon_used_cd, day_of_week, crm_cd_desc, {severity_sql('crm_cd_desc')} AS severity
+  FROM clean WHERE {_COMPLETE} AND crm_cd_desc IN (
+    SELECT crm_cd_desc FROM ({top_sql('clean', 'crm_cd_desc', 10, where=_COMPLETE)}) t)
+)""", ["clean"])
+
+
+def _bucket_sql(key: str, salt: str = "") -> str:
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '{salt}'), 1, 8))::BIGINT % 100)"
+
+
+register_cte("splits", f"""splits AS (
+  SELECT *, CASE WHEN {_bucket_sql('dr_no')} < 20 THEN 'test' ELSE 'train' END AS split,
+    CASE WHEN {_bucket_sql('dr_no')} < 20 THEN 'test' WHEN {_bucket_sql('dr_no', ':val')} < 20 THEN 'validation' ELSE 'fit' END AS role
+  FROM tf
+)""", ["tf"])
+
+SQL["complete_cases"] = with_("clean") + f"SELECT dr_no FROM clean WHERE {_COMPLETE}"
+SQL["training_frame"] = with_("tf") + "SELECT * FROM tf"
+SQL["severity_balance"] = with_("tf") + """
+SELECT s.severity, COALESCE(c.n, 0) AS n_incidents,
+  ROUND(CASE WHEN t.total > 0 THEN COALESCE(c.n, 0) / CAST(t.total AS DOUBLE) * 100 ELSE 0.0 END, 6) AS pct
+FROM (VALUES ('PELIGROSO'), ('SEGURO')) s(severity)
+  LEFT JOIN (SELECT severity, COUNT(*) AS n FROM tf GROUP BY severity) c ON s.severity = c.severity, (SELECT COUNT(*) AS total FROM tf) t"""
+SQL["label_index"] = with_("tf") + (
+    "SELECT dr_no, CAST(DENSE_RANK() OVER (ORDER BY crm_cd_desc) - 1 AS DOUBLE) AS type_label, "
+    "CAST(DENSE_RANK() OVER (ORDER BY severity) - 1 AS DOUBLE) AS severity_label FROM tf"
+)
+_ST = ", ".join(f"AVG({c}) AS m_{c}, CASE WHEN STDDEV_POP({c}) = 0 OR STDDEV_POP({c}) IS NULL THEN 1.0 ELSE STDDEV_POP({c}) END AS s_{c}" for c in _FEATS)
+SQL["scaled_features"] = with_("tf") + (
+    "SELECT dr_no, " + ", ".join(f"ROUND((CAST({c} AS DOUBLE) - m_{c}) / s_{c}, 6) AS z_{c}" for c in _FEATS)
+    + f" FROM tf, (SELECT {_ST} FROM tf) st"
+)
+SQL["stratified_split"] = with_("splits") + "SELECT dr_no, split FROM splits"
+SQL["validation_split"] = with_("splits") + "SELECT dr_no, role FROM splits"
+SQL["class_weights"] = with_("splits") + """
+SELECT crm_cd_desc, n_c, ROUND(SUM(n_c) OVER () / (COUNT(*) OVER () * n_c), 6) AS weight
+FROM (SELECT crm_cd_desc, COUNT(*) AS n_c FROM splits WHERE split = 'train' GROUP BY crm_cd_desc) c"""
+
+_LABELS10 = _list(FIXTURE_CRIMES[:10])
+register_cte("cls", """cls AS (
+  SELECT point_id, cls, w / SUM(w) OVER (PARTITION BY point_id) AS p FROM (
+    SELECT o_orderkey AS point_id, c AS cls, CAST(1 + (o_orderkey * (c + 3)) % 7 AS DOUBLE) AS w
+    FROM orders, (SELECT range AS c FROM range(0, 10)) r) x
+)""", [])
+SQL["top_k_classes"] = with_("cls") + f"""
+SELECT point_id, CAST(rn AS INTEGER) AS rank, ({_LABELS10})[cls + 1] AS crim, p AS probabilitat FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY p DESC, cls) AS rn FROM cls) t WHERE rn <= 3"""
+
+# ---------------------------------------------------------------- history, places
+register_cte("logt", f"""logt AS (
+  SELECT p.point_id AS log_id,
+    strftime(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(p.point_id % 28 AS INTEGER)) + to_seconds(CAST((p.point_id * 37) % 86400 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS timestamp,
+    'user_' || CAST(p.point_id % 10 AS VARCHAR) AS user_name, p.area, p.lat AS in_lat, p.hour_of_day AS in_hour,
+    ({_LABELS10})[t1.cls + 1] AS prediction, t1.p AS confidence, s.severity, s.severity_confidence
+  FROM points p
+  JOIN (SELECT point_id, cls, p FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY p DESC, cls) AS rn FROM cls) z WHERE rn = 1) t1
+    ON p.point_id = t1.point_id
+  JOIN (SELECT point_id, {score_sql('lat', 'lon', 'hour_of_day')} FROM points) s ON p.point_id = s.point_id
+)""", ["points", "cls"])
+SQL["prediction_log"] = with_("logt") + (
+    "SELECT log_id, timestamp, user_name, area, in_lat, in_hour, prediction, confidence, severity, severity_confidence, 3 AS n_top FROM logt"
+)
+SQL["user_history"] = with_("logt") + f"SELECT log_id, timestamp, area, {translate_sql('prediction')} AS prediction_es FROM logt WHERE user_name = 'user_3'"
+SQL["log_top3"] = with_("cls", "points") + f"""
+SELECT point_id AS log_id, CAST(rn AS INTEGER) AS rank, {translate_sql(f'({_LABELS10})[cls + 1]')} AS crim_es,
+  printf('%.1f', p * 100) || '%' AS pct_text
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY p DESC, cls) AS rn FROM cls) t
+WHERE rn <= 3 AND point_id IN (SELECT point_id FROM points)"""
+SQL["cut_text"] = with_("qf", "win", "cmp", "trend") + (
+    "SELECT question_id, CASE WHEN length(answer) > 50 THEN LEFT(answer, 50) || '...' ELSE answer END AS answer_cut, "
+    "LEFT(answer, 40) AS answer_40 FROM (" + _ANSWER + ") a"
+)
+SQL["latest_routes"] = with_("best", "zones") + """
+SELECT user_name, trip_id, best_route_id, n_zones, CAST(pos AS INTEGER) AS pos FROM (
+  SELECT t.user_name, t.trip_id, b.best_route_id, COALESCE(z.n, 0) AS n_zones,
+    ROW_NUMBER() OVER (PARTITION BY t.user_name ORDER BY t.requested_at DESC, t.trip_id DESC) AS pos
+  FROM trips t JOIN best b ON t.trip_id = b.trip_id LEFT JOIN (SELECT trip_id, COUNT(*) AS n FROM zones GROUP BY trip_id) z ON t.trip_id = z.trip_id) x
+WHERE pos <= 10"""
+register_cte("addr", """addr AS (
+  SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 2 = 0 THEN '  ' || upper(s_name) || ' '
+    WHEN s_suppkey % 5 = 1 THEN s_name || ', Los Angeles' ELSE s_name END AS address FROM supplier
+  UNION ALL SELECT -1 - CAST(n_nationkey AS BIGINT), 'Plaza ' || n_name FROM nation
+)""", [])
+register_cte("gaz", f"""gaz AS (
+  SELECT lower(trim(s_name)) AS address_key, CASE WHEN s_suppkey % 9 = 0 THEN 36.0::DOUBLE ELSE {_nat_lat('CAST(s_nationkey AS BIGINT)')} END AS lat,
+    {_nat_lon('CAST(s_nationkey AS BIGINT)')} AS lon FROM supplier
+)""", [])
+_KEY = "regexp_replace(lower(address), '^\\s+|\\s+$', '', 'g')"
+_SEARCH = "CASE WHEN contains(address, 'Los Angeles') THEN address ELSE address || ', Los Angeles, California, USA' END"
+SQL["address_key"] = with_("addr") + f"SELECT request_id, {_KEY} AS address_key, {_SEARCH} AS search_text FROM addr"
+SQL["place_lookup"] = with_("addr", "gaz") + f"""
+SELECT request_id, address_key, search_text, COALESCE(inside, false) AS found,
+  CASE WHEN inside THEN g_lat END AS lat, CASE WHEN inside THEN g_lon END AS lon,
+  CASE WHEN g_lat IS NULL THEN 'Dirección no encontrada' WHEN NOT inside THEN 'Ubicación fuera del área metropolitana de Los Ángeles' END AS error
+FROM (SELECT r.request_id, r.address_key, r.search_text, g.g_lat, g.g_lon,
+        g.g_lat IS NOT NULL AND {_BOX.format(a='g.g_lat', o='g.g_lon')} AS inside
+      FROM (SELECT request_id, {_KEY} AS address_key, {_SEARCH} AS search_text FROM addr) r
+      LEFT JOIN (SELECT address_key, MIN({{'lat': lat, 'lon': lon}}).lat AS g_lat, MIN({{'lat': lat, 'lon': lon}}).lon AS g_lon FROM gaz GROUP BY address_key) g
+      ON r.address_key = g.address_key) x"""

@@ -264,15 +264,26 @@ def fixture_scorer(df: DataFrame) -> DataFrame:
     return fixture_scores(df, "lat", "lon", "hour")
 
 
-LOG_RESULT_TYPE = T.StructType(
-    [
-        T.StructField("prediction", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField(
-            "top_3",
-            T.ArrayType(T.StructType([T.StructField("crim", T.StringType()), T.StructField("probabilitat", T.DoubleType())])),
-        ),
-        T.StructField("severity", T.StringType()),
-        T.StructField("severity_confidence", T.DoubleType()),
-    ]
-)
+def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged predictions, one per point: type result from the class probability vectors, severity
+    from the fixture scorer, dates spread over four weeks, ten users."""
+    from urbanlens.operators.models import top_k
+
+    p = points(spark, sf_dir)
+    probs = class_probabilities(spark, sf_dir)
+    sc = fixture_scores(p.withColumnRenamed("hour_of_day", "hour"), "lat", "lon", "hour")
+    tk = top_k(F.col("probability"), class_labels())
+    k = F.col("point_id")
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        (k % 28).cast("int"), F.lit(0), F.lit(0), ((k * 37) % 86400).cast("int")
+    )
+    j = sc.join(probs, "point_id")
+    return j.select(
+        k.alias("log_id"),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.concat(F.lit("user_"), (k % 10).cast("string")).alias("user_name"),
+        "area",
+        F.struct("area", "lat", "lon", "date_year", "date_month", "day_of_week", "hour", "victim_age", "victim_sex").alias("input"),
+        F.struct(tk["prediction"].alias("prediction"), tk["confidence"].alias("confidence"), tk["top_3"].alias("top_3"),
+                 "severity", "severity_confidence").alias("result"),
+    )
