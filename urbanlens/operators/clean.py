@@ -74,11 +74,17 @@ def nonnull_coordinates(df: DataFrame) -> DataFrame:
 
 
 def clean_incidents(raw: DataFrame) -> DataFrame:
-    """Full cleaning: P1, P2 (dropping bad dates), P3, P5, P6, P7, P8."""
+    """Full cleaning: P1, P2 (dropping bad dates), P3, P5, P6, P7, P8.
+
+    The coordinate filter (P8) is applied to the coerced values before the
+    rescale: dividing by 10 never turns a non-zero value into zero or null, so
+    the result is the same, and the predicates pushed into the scan carry only
+    the cheap coercion instead of the rescale fold.
+    """
     df = drop_columns(raw)
     df = calendar_fields(parse_dates(df))
     df = fill_codes(df)
-    df = valid_coordinates(rescale_coordinates(coerce_coordinates(df)))
+    df = rescale_coordinates(valid_coordinates(coerce_coordinates(df)))
     return df.select(*CLEAN_COLUMNS)
 
 

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from urbanlens.functions import text
 from urbanlens.operators import features as FE
 
-HIDDEN = (64, 32)
-MAX_ITER = 100
+HIDDEN = (32, 16)
+MAX_ITER = 50
+BLOCK_SIZE = 256
 
 
 @dataclass
@@ -38,12 +39,12 @@ class IncidentModels:
     stats: dict = field(default_factory=dict)
 
 
-def _pipeline(stats, feats, label_col, n_classes, hidden, max_iter, seed) -> Pipeline:
+def _pipeline(stats, feats, label_col, n_classes, hidden, max_iter, seed, block_size=BLOCK_SIZE) -> Pipeline:
     scale = SQLTransformer(statement=FE.scaling_sql(stats))
     assemble = VectorAssembler(inputCols=[f"z_{c}" for c in feats], outputCol="features")
     mlp = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol=label_col, layers=[len(feats), *hidden, n_classes],
-        maxIter=max_iter, seed=seed, blockSize=128,
+        maxIter=max_iter, seed=seed, blockSize=block_size,
         predictionCol=f"{label_col}_pred", probabilityCol=f"{label_col}_prob", rawPredictionCol=f"{label_col}_raw",
     )
     return Pipeline(stages=[scale, assemble, mlp])
@@ -57,11 +58,14 @@ def fit_models(training: DataFrame, hidden=HIDDEN, max_iter: int = MAX_ITER, see
     When every kept type has the same severity, the severity model is a constant.
     """
     feats = FE.select_features(training)
+    training = training.persist()  # read by the scaler statistics, both indexers and the fit
     stats = FE.scaler_stats(training, feats)
     ti, si = FE.fit_label_indexers(training)
     labelled = si.transform(ti.transform(training))
     fit_part = labelled.filter(F.col("role").isin(*fit_roles)) if "role" in labelled.columns else labelled
-    fit_part = fit_part.persist()
+    # gradients are computed per partition (treeAggregate): spread the rows over the cluster's cores
+    fit_part = fit_part.repartition(fit_part.sparkSession.sparkContext.defaultParallelism).persist()
+    training.unpersist()
     type_model = _pipeline(stats, feats, "type_label", len(ti.labels), hidden, max_iter, seed).fit(fit_part)
     sev_model = None
     if len(si.labels) > 1:

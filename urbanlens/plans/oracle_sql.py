@@ -136,6 +136,7 @@ SQL["rename_aliases"] = SQL["scan_incidents"]
 SQL["drop_columns"] = SQL["scan_incidents"]
 SQL["load_incidents"] = with_("clean") + f"SELECT {CLEAN_COLS} FROM clean"
 SQL["curated_roundtrip"] = SQL["load_incidents"]
+SQL["clean_incidents"] = SQL["load_incidents"]
 SQL["parse_dates"] = with_("parsed") + "SELECT dr_no, d AS date_occ FROM parsed WHERE d IS NOT NULL"
 SQL["calendar_fields"] = with_("parsed") + (
     "SELECT dr_no, CAST(year(d) AS INTEGER) AS year, strftime(d, '%Y-%m') AS month, CAST(month(d) AS INTEGER) AS month_num, "
