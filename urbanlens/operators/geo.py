@@ -11,13 +11,15 @@ shuffle, and a hot cell carries counts rather than raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.functions import text, vocab
 
 BOX_HALF = vocab.HIST_BOX
-CELL = 2 * BOX_HALF
+# Cell edge = half the box width: a box overlaps at most 3 x 3 cells and fetches
+# about 2.25x its own area (4x with cells as wide as the box).
+CELL = BOX_HALF
 INLINE_CENTROIDS_MAX = 5000
 
 
@@ -104,13 +106,13 @@ def nearest_area(points: DataFrame, centroids: DataFrame, lat: str = "lat", lon:
 
 
 # ---------------------------------------------------------------- J3 box join
-def _cell(c) -> F.Column:
-    return F.floor(c / F.lit(CELL))
+def _cell(c, cell: float = CELL) -> F.Column:
+    return F.floor(c / F.lit(cell))
 
 
-def incident_cells(incidents: DataFrame, with_type: bool = False) -> DataFrame:
+def incident_cells(incidents: DataFrame, with_type: bool = False, cell: float = CELL) -> DataFrame:
     """Incidents pre-aggregated per (cell, exact coordinates[, type]) -> count."""
-    keys = [_cell(F.col("lat")).alias("cy"), _cell(F.col("lon")).alias("cx"), "lat", "lon"]
+    keys = [_cell(F.col("lat"), cell).alias("cy"), _cell(F.col("lon"), cell).alias("cx"), "lat", "lon"]
     if with_type:
         keys.append("crm_cd_desc")
     return (
@@ -121,23 +123,25 @@ def incident_cells(incidents: DataFrame, with_type: bool = False) -> DataFrame:
     )
 
 
-def point_cells(points: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon", half: float = BOX_HALF) -> DataFrame:
-    """Each query point repeated once per cell its [lat +- half] x [lon +- half] box overlaps (at most 4)."""
+def point_cells(points: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon", half: float = BOX_HALF,
+                cell: float = CELL) -> DataFrame:
+    """Each query point repeated once per cell its [lat +- half] x [lon +- half] box overlaps."""
     lo_la, hi_la = F.col(lat) - F.lit(half), F.col(lat) + F.lit(half)
     lo_lo, hi_lo = F.col(lon) - F.lit(half), F.col(lon) + F.lit(half)
     return (
         points.select(*key, F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"),
                       lo_la.alias("lo_la"), hi_la.alias("hi_la"), lo_lo.alias("lo_lo"), hi_lo.alias("hi_lo"))
-        .withColumn("cy", F.explode(F.sequence(_cell(F.col("lo_la")), _cell(F.col("hi_la")))))
-        .withColumn("cx", F.explode(F.sequence(_cell(F.col("lo_lo")), _cell(F.col("hi_lo")))))
+        .withColumn("cy", F.explode(F.sequence(_cell(F.col("lo_la"), cell), _cell(F.col("hi_la"), cell))))
+        .withColumn("cx", F.explode(F.sequence(_cell(F.col("lo_lo"), cell), _cell(F.col("hi_lo"), cell))))
     )
 
 
 def box_matches(points: DataFrame, incidents: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon",
-                with_type: bool = False, how: str = "inner") -> DataFrame:
+                with_type: bool = False, how: str = "inner", cell: float | None = None) -> DataFrame:
     """(point key, incident group, count) for incidents inside the inclusive box of each point."""
-    pc = point_cells(points, key, lat, lon)
-    ic = incident_cells(incidents, with_type)
+    cell = cell or CELL
+    pc = point_cells(points, key, lat, lon, cell=cell)
+    ic = incident_cells(incidents, with_type, cell)
     cond = [pc.cy == ic.cy, pc.cx == ic.cx, ic.i_lat.between(pc.lo_la, pc.hi_la), ic.i_lon.between(pc.lo_lo, pc.hi_lo)]
     cols = [pc[k] for k in key] + [pc.p_lat, pc.p_lon, ic.cnt] + ([ic.crm_cd_desc] if with_type else [])
     return pc.join(ic, cond, how).select(*cols)
@@ -154,15 +158,11 @@ def mode_near_point(points: DataFrame, incidents: DataFrame, key: list[str] | st
     key = [key] if isinstance(key, str) else key
     m = box_matches(points, incidents, key, with_type=True)
     per_type = m.groupBy(*key, "crm_cd_desc").agg(F.sum("cnt").alias("cnt"))
-    totals = per_type.groupBy(*key).agg(F.sum("cnt").cast("bigint").alias("n_incidents"))
-    w = Window.partitionBy(*key).orderBy(F.col("cnt").desc(), F.col("crm_cd_desc").asc())
-    top = (
-        per_type.filter(F.col("crm_cd_desc").isNotNull())
-        .withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") == 1)
-        .select(*key, F.col("crm_cd_desc").alias("top_crime"))
+    # most frequent first, then alphabetical: the minimum of (-count, type); null types never win
+    order = F.when(F.col("crm_cd_desc").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("crm_cd_desc").alias("c")))
+    return per_type.groupBy(*key).agg(
+        F.sum("cnt").cast("bigint").alias("n_incidents"), F.min_by("crm_cd_desc", order).alias("top_crime")
     )
-    return totals.join(top, key, "left")
 
 
 # ---------------------------------------------------------------- J4 recent years

@@ -40,8 +40,38 @@ def query(name: str):
     return deco
 
 
+_INPUTS: dict = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A stand-in input table written once per application and scale directory to the shared
+    folder, then read back like any stored input (so jobs never re-derive their inputs)."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _INPUTS:
+        path = fresh_dir(spark, f"input-{name}")
+        build(spark, sf).write.mode("overwrite").parquet(path)
+        _INPUTS[key] = path
+    return spark.read.parquet(_INPUTS[key])
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return X.incidents_raw(spark, sf)
+    return stored(spark, sf, "incidents_raw", X.incidents_raw)
+
+
+def trips(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "trips", X.trips)
+
+
+def routes(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "routes", X.routes)
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "points", X.points)
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "questions", X.questions)
 
 
 _CURATED: dict = {}
@@ -312,7 +342,7 @@ def q_context_heat_points(spark, sf):
 
 @query("in_city_box")
 def q_in_city_box(spark, sf):
-    p = X.points(spark, sf)
+    p = points(spark, sf)
     return p.select("point_id", coords.in_city_box(F.col("lat"), F.col("lon")).alias("in_box"))
 
 
@@ -320,17 +350,17 @@ def q_in_city_box(spark, sf):
 @query("nearest_area")
 def q_nearest_area(spark, sf):
     cents = D.area_centroids(clean(spark, sf))
-    return G.nearest_area(X.points(spark, sf), cents).select("point_id", "nearest_area")
+    return G.nearest_area(points(spark, sf), cents).select("point_id", "nearest_area")
 
 
 @query("incidents_near_point")
 def q_incidents_near_point(spark, sf):
-    return G.incidents_near_point(X.points(spark, sf), clean(spark, sf))
+    return G.incidents_near_point(points(spark, sf), clean(spark, sf))
 
 
 @query("mode_near_point")
 def q_mode_near_point(spark, sf):
-    return G.mode_near_point(X.points(spark, sf), clean(spark, sf))
+    return G.mode_near_point(points(spark, sf), clean(spark, sf))
 
 
 @query("recent_years")
@@ -340,17 +370,17 @@ def q_recent_years(spark, sf):
 
 @query("route_risk_historical")
 def q_route_risk_historical(spark, sf):
-    return G.route_risk_historical(X.routes(spark, sf), clean(spark, sf))
+    return G.route_risk_historical(routes(spark, sf), clean(spark, sf))
 
 
 # ---------------------------------------------------------------- questions A18-A20, J6, Q1-Q3, P14
 def qfeat(spark, sf):
-    return Q.question_features(X.questions(spark, sf))
+    return Q.question_features(questions(spark, sf))
 
 
 @query("question_crime")
 def q_question_crime(spark, sf):
-    return X.questions(spark, sf).select("question_id", text.question_crime(F.col("text")).alias("crime"))
+    return questions(spark, sf).select("question_id", text.question_crime(F.col("text")).alias("crime"))
 
 
 @query("question_hours")
@@ -391,23 +421,23 @@ def q_yearly_trend(spark, sf):
 
 @query("question_intent")
 def q_question_intent(spark, sf):
-    return Q.answer_questions(X.questions(spark, sf), clean(spark, sf)).select("question_id", "intent")
+    return Q.answer_questions(questions(spark, sf), clean(spark, sf)).select("question_id", "intent")
 
 
 @query("answer_questions")
 def q_answer_questions(spark, sf):
-    return Q.answer_questions(X.questions(spark, sf), clean(spark, sf))
+    return Q.answer_questions(questions(spark, sf), clean(spark, sf))
 
 
 # ---------------------------------------------------------------- routes R1-R13, U1, J5, P20, P23, S7, L6
 def route_job(spark, sf, scorer=None):
-    return R.analyze_routes(X.trips(spark, sf), X.routes(spark, sf), scorer or X.fixture_scorer)
+    return R.analyze_routes(trips(spark, sf), routes(spark, sf), scorer or X.fixture_scorer)
 
 
 @query("request_calendar")
 def q_request_calendar(spark, sf):
     """Travel date -> year, month, weekday (Monday = 0)."""
-    t = X.trips(spark, sf)
+    t = trips(spark, sf)
     return t.select("trip_id", F.year("travel_date").alias("year"), F.month("travel_date").alias("month"),
                     calendar.weekday_monday0(F.col("travel_date")).alias("day_of_week"))
 
@@ -416,7 +446,7 @@ def q_request_calendar(spark, sf):
 def q_scan_routes(spark, sf):
     """Candidate routes written as JSON lines and read back with an explicit schema."""
     path = fresh_dir(spark, "routes-json")
-    RS.write_routes(X.routes(spark, sf), path)
+    RS.write_routes(routes(spark, sf), path)
     r = RS.read_routes(spark, path)
     return r.select("trip_id", "route_seq", "kind", "cand_idx", "distance", "duration",
                     F.size("path").alias("n_points"),
@@ -426,7 +456,7 @@ def q_scan_routes(spark, sf):
 
 @query("trip_grid")
 def q_trip_grid(spark, sf):
-    return R.trip_grid(X.trips(spark, sf))
+    return R.trip_grid(trips(spark, sf))
 
 
 @query("danger_zones")
@@ -437,7 +467,7 @@ def q_danger_zones(spark, sf):
 @query("threat_score")
 def q_threat_score(spark, sf):
     """J5 + R3: threat of every detour candidate of every trip against the trip's zones (0 without zones)."""
-    trips = X.trips(spark, sf)
+    trips = trips(spark, sf)
     zones = route_job(spark, sf)["zones"]
     cands = R.detour_candidates(trips)
     t = R.threat_score(cands, zones, "wp_lat", "wp_lon")
@@ -455,7 +485,7 @@ def q_detour_waypoints(spark, sf):
 @query("route_union")
 def q_route_union(spark, sf):
     j = route_job(spark, sf)
-    return R.route_union(X.routes(spark, sf), j["waypoints"]).select("trip_id", "ord", "route_seq", "kind")
+    return R.route_union(routes(spark, sf), j["waypoints"]).select("trip_id", "ord", "route_seq", "kind")
 
 
 @query("dedup_routes")
@@ -465,7 +495,7 @@ def q_dedup_routes(spark, sf):
 
 @query("path_sample")
 def q_path_sample(spark, sf):
-    return R.path_samples(X.routes(spark, sf))
+    return R.path_samples(routes(spark, sf))
 
 
 @query("route_risk_scored")
@@ -507,7 +537,7 @@ def q_routes_by_risk(spark, sf):
 @query("duration_text")
 def q_duration_text(spark, sf):
     """P20 over every candidate route's duration in whole minutes (missing -> 0)."""
-    r = X.routes(spark, sf)
+    r = routes(spark, sf)
     m = F.floor(F.coalesce(F.col("duration"), F.lit(0.0)) / 60).cast("int")
     return r.select("trip_id", "route_seq", m.alias("minutes"), text.duration_text(m).alias("duration_text"))
 
@@ -533,7 +563,7 @@ def fitted(spark, sf):
 
 
 def point_requests(spark, sf):
-    p = X.points(spark, sf)
+    p = points(spark, sf)
     return p.select("point_id", "lat", "lon", F.col("date_year").alias("year"), F.col("date_month").alias("month"),
                     "day_of_week", F.col("hour_of_day").alias("hour"), F.col("victim_age").alias("age"),
                     F.col("victim_sex").alias("sex"))
@@ -669,7 +699,7 @@ def q_log_top3(spark, sf):
 @query("cut_text")
 def q_cut_text(spark, sf):
     """Answer text cut to 50 characters (+ '...'), predicted label cut to 40."""
-    a = Q.answer_questions(X.questions(spark, sf), clean(spark, sf))
+    a = Q.answer_questions(questions(spark, sf), clean(spark, sf))
     return a.select("question_id", text.cut_text(F.col("answer"), 50).alias("answer_cut"),
                     text.cut_text(F.col("answer"), 40, ellipsis=False).alias("answer_40"))
 
@@ -679,7 +709,7 @@ def q_latest_routes(spark, sf):
     """The ten newest route analyses of each user, with their recommended route and zone count."""
     job = route_job(spark, sf)
     zc = job["zones"].groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_zones"))
-    t = X.trips(spark, sf).select("trip_id", "user_name", "requested_at")
+    t = trips(spark, sf).select("trip_id", "user_name", "requested_at")
     a = t.join(job["best"], "trip_id").join(zc, "trip_id", "left").withColumn("n_zones", F.coalesce("n_zones", F.lit(0)).cast("bigint"))
     return H.latest_routes(a).select("user_name", "trip_id", "best_route_id", "n_zones", F.col("pos").cast("int").alias("pos"))
 
