@@ -316,11 +316,26 @@ def route_danger_percent(counted: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- whole job
-def analyze_routes(trips: DataFrame, routes: DataFrame, scorer: Scorer) -> dict[str, DataFrame]:
-    """Safe-route job for a table of trips: zones, detours, accepted routes, risk points and ranking."""
-    zones = danger_zones(trips, scorer)
+def _cut(df: DataFrame, materialize: bool) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder: later steps read the small result
+    instead of re-deriving it, and a lost executor does not send them back to the inputs."""
+    if not materialize:
+        return df
+    from urbanlens.session import shared_dir
+
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def analyze_routes(trips: DataFrame, routes: DataFrame, scorer: Scorer, materialize: bool = True) -> dict[str, DataFrame]:
+    """Safe-route job for a table of trips: zones, detours, accepted routes, risk points and ranking.
+
+    Zones (at most 100 per trip) and accepted routes (at most 10 per trip) are
+    each used by several later steps; they are checkpointed once.
+    """
+    zones = _cut(danger_zones(trips, scorer), materialize)
     best_wp = detour_waypoints(trips, routes, zones)
-    accepted = dedup_routes(route_union(routes, best_wp))
+    accepted = _cut(dedup_routes(route_union(routes, best_wp)), materialize)
     samples = path_samples(routes)
     risks = route_risk_scored(accepted, samples, trips, scorer)
     ranked = rank_routes(route_risk_counts(accepted, risks))

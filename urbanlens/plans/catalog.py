@@ -467,9 +467,9 @@ def q_danger_zones(spark, sf):
 @query("threat_score")
 def q_threat_score(spark, sf):
     """J5 + R3: threat of every detour candidate of every trip against the trip's zones (0 without zones)."""
-    trips = trips(spark, sf)
+    tr = trips(spark, sf)
     zones = route_job(spark, sf)["zones"]
-    cands = R.detour_candidates(trips)
+    cands = R.detour_candidates(tr)
     t = R.threat_score(cands, zones, "wp_lat", "wp_lon")
     return t.select("trip_id", "cand_idx", F.round("wp_lat", 9).alias("wp_lat"), F.round("wp_lon", 9).alias("wp_lon"),
                     F.round("threat", 4).alias("threat"))
