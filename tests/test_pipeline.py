@@ -8,7 +8,8 @@ from urbanlens.operators import models as M
 from urbanlens.plans import catalog as CT
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODEL_QUERIES = {"fit_type_model", "fit_severity_model", "model_accuracy", "score_points", "model_roundtrip", "route_risk_model"}
+MODEL_QUERIES = {"fit_type_model", "fit_severity_model", "model_accuracy", "score_points", "model_roundtrip", "route_risk_model",
+                 "stream_predictions_model"}
 
 
 def test_entry_runs(spark):

@@ -27,6 +27,7 @@ from urbanlens.sources import history as HS
 from urbanlens.sources import incidents as I
 from urbanlens.sources import places as P
 from urbanlens.sources import routes as RS
+from urbanlens.streaming import predictions as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -724,3 +725,42 @@ def q_address_key(spark, sf):
     r = X.address_requests(spark, sf)
     return r.select("request_id", text.address_key(F.col("address")).alias("address_key"),
                     text.search_text(F.col("address")).alias("search_text"))
+
+
+# ---------------------------------------------------------------- P18, streaming
+@query("select_features")
+def q_select_features(spark, sf):
+    """The model's feature columns, in the saved order, from the curated table."""
+    c = clean(spark, sf)
+    return c.select("dr_no", *FE.select_features(c))
+
+
+def _request_files(spark, sf):
+    """Point requests written as several parquet files into a fresh drop folder."""
+    p = points(spark, sf)
+    req = p.select(F.col("point_id").alias("request_id"),
+                   F.concat(F.lit("user_"), (F.col("point_id") % 10).cast("string")).alias("user_name"),
+                   "area", "lat", "lon", F.col("date_year").cast("int").alias("year"), F.col("date_month").alias("month"),
+                   "day_of_week", F.col("hour_of_day").alias("hour"), F.col("victim_age").alias("age"),
+                   F.col("victim_sex").alias("sex"))
+    src = fresh_dir(spark, "request-drop")
+    req.repartition(4).write.parquet(src)
+    return src
+
+
+@query("stream_predictions")
+def q_stream_predictions(spark, sf):
+    """Streamed requests (one file per micro-batch) scored and appended to a log table, read back."""
+    src = _request_files(spark, sf)
+    log = fresh_dir(spark, "stream-log")
+    ST.run_to_log(ST.scored_stream(ST.request_stream(spark, src, 1), X.fixture_scorer), log)
+    return spark.read.parquet(log).drop("scored_at")
+
+
+@query("stream_predictions_model")
+def q_stream_predictions_model(spark, sf):
+    """The same stream scored by the trained classifiers."""
+    src = _request_files(spark, sf)
+    log = fresh_dir(spark, "stream-log")
+    ST.run_to_log(ST.scored_stream(ST.request_stream(spark, src, 1), M.model_scorer(fitted(spark, sf))), log)
+    return spark.read.parquet(log).drop("scored_at")

@@ -698,3 +698,10 @@ FROM (SELECT r.request_id, r.address_key, r.search_text, g.g_lat, g.g_lon,
       FROM (SELECT request_id, {_KEY} AS address_key, {_SEARCH} AS search_text FROM addr) r
       LEFT JOIN (SELECT address_key, MIN({{'lat': lat, 'lon': lon}}).lat AS g_lat, MIN({{'lat': lat, 'lon': lon}}).lon AS g_lon FROM gaz GROUP BY address_key) g
       ON r.address_key = g.address_key) x"""
+
+# ---------------------------------------------------------------- P18, streaming
+SQL["select_features"] = with_("clean") + "SELECT dr_no, " + ", ".join(_FEATS) + " FROM clean"
+SQL["stream_predictions"] = with_("points") + f"""
+SELECT point_id AS request_id, 'user_' || CAST(point_id % 10 AS VARCHAR) AS user_name, area, lat, lon, hour_of_day AS hour,
+  {score_sql('lat', 'lon', 'hour_of_day')}
+FROM points"""
