@@ -153,16 +153,23 @@ def incidents_near_point(points: DataFrame, incidents: DataFrame, key: str = "po
     return m.groupBy(key).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_incidents"))
 
 
-def mode_near_point(points: DataFrame, incidents: DataFrame, key: list[str] | str = "point_id") -> DataFrame:
-    """Per point with nearby incidents: count and most frequent non-null type (ties -> alphabetically first)."""
+def mode_near_point(points: DataFrame, incidents: DataFrame, key: list[str] | str = "point_id",
+                    carry_coords: bool = False) -> DataFrame:
+    """Per point with nearby incidents: count and most frequent non-null type (ties -> alphabetically first).
+
+    With ``carry_coords`` the point's own lat/lon travel through the aggregation
+    (they depend on the key), so callers need no join back to the points.
+    """
     key = [key] if isinstance(key, str) else key
     m = box_matches(points, incidents, key, with_type=True)
-    per_type = m.groupBy(*key, "crm_cd_desc").agg(F.sum("cnt").alias("cnt"))
+    keys = key + (["p_lat", "p_lon"] if carry_coords else [])
+    per_type = m.groupBy(*keys, "crm_cd_desc").agg(F.sum("cnt").alias("cnt"))
     # most frequent first, then alphabetical: the minimum of (-count, type); null types never win
     order = F.when(F.col("crm_cd_desc").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("crm_cd_desc").alias("c")))
-    return per_type.groupBy(*key).agg(
+    out = per_type.groupBy(*keys).agg(
         F.sum("cnt").cast("bigint").alias("n_incidents"), F.min_by("crm_cd_desc", order).alias("top_crime")
     )
+    return out.withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"}) if carry_coords else out
 
 
 # ---------------------------------------------------------------- J4 recent years
@@ -185,8 +192,7 @@ def route_risk_historical(routes: DataFrame, incidents: DataFrame, every: int =
     pts = routes.select("trip_id", "route_seq", F.posexplode("path").alias("idx", "pt")).filter(F.col("idx") % every == 0)
     pts = pts.select("trip_id", "route_seq", "idx", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
     key = ["trip_id", "route_seq", "idx"]
-    near = mode_near_point(pts, recent_years(incidents), key)
-    out = pts.join(near, key).filter(F.col("n_incidents") > min_count)
+    out = mode_near_point(pts, recent_years(incidents), key, carry_coords=True).filter(F.col("n_incidents") > min_count)
     label = text.translate_crime(F.col("top_crime"))
     return out.select(
         *key, "lat", "lon",
