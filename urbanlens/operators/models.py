@@ -50,6 +50,44 @@ def _pipeline(stats, feats, label_col, n_classes, hidden, max_iter, seed, block_
     return Pipeline(stages=[scale, assemble, mlp])
 
 
+class _Prepared:
+    """Training rows with label indexes and scaler statistics, persisted while models are fitted."""
+
+    def __init__(self, training: DataFrame, fit_roles: tuple[str, ...]):
+        self.feats = FE.select_features(training)
+        training = training.persist()  # read by the scaler statistics, both indexers and the fit
+        self.stats = FE.scaler_stats(training, self.feats)
+        self.ti, self.si = FE.fit_label_indexers(training)
+        labelled = self.si.transform(self.ti.transform(training))
+        part = labelled.filter(F.col("role").isin(*fit_roles)) if "role" in labelled.columns else labelled
+        # gradients are computed per partition (treeAggregate): spread the rows over the cluster's cores
+        self.fit_part = part.repartition(part.sparkSession.sparkContext.defaultParallelism).persist()
+        training.unpersist()
+
+    def release(self) -> None:
+        self.fit_part.unpersist()
+
+
+def prepare(training: DataFrame, fit_roles: tuple[str, ...] = ("fit", "validation")) -> _Prepared:
+    return _Prepared(training, fit_roles)
+
+
+def fit_type(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42) -> PipelineModel:
+    """M7: type classifier (softmax over the kept types)."""
+    return _pipeline(prep.stats, prep.feats, "type_label", len(prep.ti.labels), hidden, max_iter, seed).fit(prep.fit_part)
+
+
+def fit_severity(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42) -> PipelineModel | None:
+    """M8: severity classifier; None (a constant prediction) when only one severity occurs."""
+    if len(prep.si.labels) < 2:
+        return None
+    return _pipeline(prep.stats, prep.feats, "severity_label", len(prep.si.labels), hidden, max_iter, seed).fit(prep.fit_part)
+
+
+def assemble(prep: _Prepared, type_model: PipelineModel, severity_model: PipelineModel | None) -> IncidentModels:
+    return IncidentModels(type_model, list(prep.ti.labels), severity_model, list(prep.si.labels), prep.feats, prep.stats)
+
+
 def fit_models(training: DataFrame, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
                fit_roles: tuple[str, ...] = ("fit", "validation")) -> IncidentModels:
     """M7 + M8: fit both classifiers on the training part of :func:`features.validation_split` output.
@@ -57,21 +95,11 @@ def fit_models(training: DataFrame, hidden=HIDDEN, max_iter: int = MAX_ITER, see
     The scaler is fitted on the whole frame before the split, as in training.
     When every kept type has the same severity, the severity model is a constant.
     """
-    feats = FE.select_features(training)
-    training = training.persist()  # read by the scaler statistics, both indexers and the fit
-    stats = FE.scaler_stats(training, feats)
-    ti, si = FE.fit_label_indexers(training)
-    labelled = si.transform(ti.transform(training))
-    fit_part = labelled.filter(F.col("role").isin(*fit_roles)) if "role" in labelled.columns else labelled
-    # gradients are computed per partition (treeAggregate): spread the rows over the cluster's cores
-    fit_part = fit_part.repartition(fit_part.sparkSession.sparkContext.defaultParallelism).persist()
-    training.unpersist()
-    type_model = _pipeline(stats, feats, "type_label", len(ti.labels), hidden, max_iter, seed).fit(fit_part)
-    sev_model = None
-    if len(si.labels) > 1:
-        sev_model = _pipeline(stats, feats, "severity_label", len(si.labels), hidden, max_iter, seed).fit(fit_part)
-    fit_part.unpersist()
-    return IncidentModels(type_model, list(ti.labels), sev_model, list(si.labels), feats, stats)
+    prep = prepare(training, fit_roles)
+    try:
+        return assemble(prep, fit_type(prep, hidden, max_iter, seed), fit_severity(prep, hidden, max_iter, seed))
+    finally:
+        prep.release()
 
 
 def _labels_lit(labels: list[str]) -> F.Column:

@@ -263,13 +263,14 @@ def rank_routes(counted: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
-def best_route(ranked: DataFrame) -> DataFrame:
-    """The recommended route of each trip, with the number of routes analysed."""
-    n = ranked.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_routes"))
-    best = ranked.filter(F.col("rank") == 1).select(
-        "trip_id", F.col("route_id").alias("best_route_id"), F.col("n_risks").alias("best_n_risks")
+def best_route(counted: DataFrame) -> DataFrame:
+    """The recommended route of each trip (fewest risk points, then shortest duration with
+    missing = infinite, then route id) and the number of routes analysed - one aggregation."""
+    key = F.struct(
+        F.col("n_risks").alias("n"), F.coalesce(F.col("duration"), F.lit(float("inf"))).alias("d"), F.col("route_id").alias("r")
     )
-    return best.join(n, "trip_id")
+    agg = counted.groupBy("trip_id").agg(F.min(key).alias("b"), F.count(F.lit(1)).alias("n_routes"))
+    return agg.select("trip_id", F.col("b.r").alias("best_route_id"), F.col("b.n").alias("best_n_risks"), "n_routes")
 
 
 def route_danger_level(ranked: DataFrame) -> DataFrame:
@@ -338,12 +339,12 @@ def analyze_routes(trips: DataFrame, routes: DataFrame, scorer: Scorer, material
     accepted = _cut(dedup_routes(route_union(routes, best_wp)), materialize)
     samples = path_samples(routes)
     risks = route_risk_scored(accepted, samples, trips, scorer)
-    ranked = rank_routes(route_risk_counts(accepted, risks))
+    counted = route_risk_counts(accepted, risks)
     return {
         "zones": zones,
         "waypoints": best_wp,
         "accepted": accepted,
         "risks": risks,
-        "ranked": ranked,
-        "best": best_route(ranked),
+        "ranked": rank_routes(counted),
+        "best": best_route(counted),
     }

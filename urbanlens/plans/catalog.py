@@ -555,14 +555,33 @@ def split_frame(spark, sf):
 _MODELS: dict = {}
 
 
-def fitted(spark, sf):
-    """Classifiers fitted once per (application, scale dir) and reused by the scoring queries."""
+def _model_state(spark, sf) -> dict:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        _MODELS[key] = M.fit_models(split_frame(spark, sf).filter(F.col("split") == "train"))
+        _MODELS[key] = {"prep": M.prepare(split_frame(spark, sf).filter(F.col("split") == "train"))}
     return _MODELS[key]
 
 
+def fitted_type(spark, sf):
+    st = _model_state(spark, sf)
+    if "type" not in st:
+        st["type"] = M.fit_type(st["prep"])
+    return st["type"]
+
+
+def fitted_severity(spark, sf):
+    st = _model_state(spark, sf)
+    if "severity" not in st:
+        st["severity"] = M.fit_severity(st["prep"])
+    return st["severity"]
+
+
+def fitted(spark, sf):
+    """Both classifiers, each fitted once per (application, scale dir) and reused by the scoring queries."""
+    st = _model_state(spark, sf)
+    return M.assemble(st["prep"], fitted_type(spark, sf), fitted_severity(spark, sf))
+
+
 def point_requests(spark, sf):
     p = points(spark, sf)
     return p.select("point_id", "lat", "lon", F.col("date_year").alias("year"), F.col("date_month").alias("month"),
@@ -628,15 +647,17 @@ def q_top_k_classes(spark, sf):
 @query("fit_type_model")
 def q_fit_type_model(spark, sf):
     """M7: fitted type classifier summary (one row)."""
-    m = fitted(spark, sf)
-    return spark.createDataFrame([("type", len(m.type_labels), len(m.feature_cols))], "target string, n_classes int, n_features int")
+    fitted_type(spark, sf)
+    prep = _model_state(spark, sf)["prep"]
+    return spark.createDataFrame([("type", len(prep.ti.labels), len(prep.feats))], "target string, n_classes int, n_features int")
 
 
 @query("fit_severity_model")
 def q_fit_severity_model(spark, sf):
     """M8: fitted severity classifier summary (one row)."""
-    m = fitted(spark, sf)
-    return spark.createDataFrame([("severity", len(m.severity_labels), len(m.feature_cols))],
+    fitted_severity(spark, sf)
+    prep = _model_state(spark, sf)["prep"]
+    return spark.createDataFrame([("severity", len(prep.si.labels), len(prep.feats))],
                                  "target string, n_classes int, n_features int")
 
 
