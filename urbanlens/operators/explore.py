@@ -79,36 +79,29 @@ def hour_counts(clean: DataFrame) -> DataFrame:
     )
 
 
-def _age_stats(clean: DataFrame) -> DataFrame:
-    """One row: range and per-age counts of positive ages (distinct ages are a small, bounded domain)."""
-    by_age = clean.filter(F.col("vict_age") > 0).groupBy("vict_age").agg(F.count(F.lit(1)).alias("cnt"))
-    stats = by_age.agg(
-        F.min("vict_age").cast("double").alias("amin"),
-        F.max("vict_age").cast("double").alias("amax"),
-        F.sum("cnt").alias("n"),
-        F.sort_array(F.collect_list(F.struct(F.col("vict_age").cast("double").alias("a"), F.col("cnt").alias("c")))).alias(
-            "ages"
-        ),
-    ).filter(F.col("n").isNotNull())
-    same = F.col("amin") == F.col("amax")
-    return stats.select(
-        "n",
-        "ages",
-        F.when(same, F.col("amin") - 0.5).otherwise(F.col("amin")).alias("lo"),
-        F.when(same, F.col("amax") + 0.5).otherwise(F.col("amax")).alias("hi"),
-        same.alias("flat"),
-    )
-
-
-def _bin_of(a, lo, hi, bins: int = AGE_BINS):
+def _age_scalars(clean: DataFrame):
+    """Count, range, mean and sample std of positive ages - five numbers, one aggregation."""
+    r = clean.filter(F.col("vict_age") > 0).agg(
+        F.count(F.lit(1)).alias("n"), F.min("vict_age").alias("amin"), F.max("vict_age").alias("amax"),
+        F.avg("vict_age").alias("mean"), F.stddev_samp("vict_age").alias("std"),
+    ).first()
+    if not r["n"]:
+        return None
+    amin, amax = float(r["amin"]), float(r["amax"])
+    flat = amin == amax
+    lo, hi = (amin - 0.5, amax + 0.5) if flat else (amin, amax)
+    return {"n": int(r["n"]), "lo": lo, "hi": hi, "flat": flat, "mean": r["mean"], "std": r["std"]}
+
+
+def _bin_of(a, lo: float, hi: float, bins: int = AGE_BINS):
     """Equal-width bin index with the edge corrections of the usual histogram algorithm."""
-    step = (hi - lo) / F.lit(float(bins))
-    norm = F.lit(float(bins)) / (hi - lo)
+    step = F.lit((hi - lo) / bins)
+    norm = F.lit(bins / (hi - lo))
 
     def edge(i):
-        return F.when(i >= bins, hi).otherwise(i * step + lo)
+        return F.when(i >= bins, F.lit(hi)).otherwise(i * step + F.lit(lo))
 
-    b0 = F.least(F.floor((a - lo) * norm), F.lit(bins - 1)).cast("int")
+    b0 = F.least(F.floor((a - F.lit(lo)) * norm), F.lit(bins - 1)).cast("int")
     return (
         F.when(a < edge(b0), b0 - 1)
         .when((a >= edge(b0 + 1)) & (b0 != bins - 1), b0 + 1)
@@ -116,21 +109,33 @@ def _bin_of(a, lo, hi, bins: int = AGE_BINS):
     )
 
 
+_HIST_SCHEMA = "bin int, bin_start double, bin_end double, n_incidents bigint"
+_KDE_SCHEMA = "grid_idx int, x double, density_count double"
+
+
 def age_histogram(clean: DataFrame, bins: int = AGE_BINS) -> DataFrame:
-    """40 equal-width bins over [min, max] of positive victim ages, empty bins included."""
-    st = _age_stats(clean)
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return st.select("lo", "hi", "ages", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
-        F.col("bin").cast("int").alias("bin"),
-        F.round(F.col("bin") * step + F.col("lo"), 6).alias("bin_start"),
-        F.round(F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise((F.col("bin") + 1) * step + F.col("lo")), 6).alias(
-            "bin_end"
-        ),
-        F.aggregate(
-            F.filter("ages", lambda x: _bin_of(x["a"], F.col("lo"), F.col("hi"), bins) == F.col("bin")),
-            F.lit(0).cast("bigint"),
-            lambda acc, x: acc + x["c"],
-        ).alias("n_incidents"),
+    """40 equal-width bins over [min, max] of positive victim ages, empty bins included.
+
+    Only the range is collected; counting per bin is a distributed aggregation.
+    """
+    spark = clean.sparkSession
+    st = _age_scalars(clean)
+    if st is None:
+        return spark.createDataFrame([], _HIST_SCHEMA)
+    lo, hi = st["lo"], st["hi"]
+    step = (hi - lo) / bins
+    counts = (
+        clean.filter(F.col("vict_age") > 0)
+        .select(_bin_of(F.col("vict_age").cast("double"), lo, hi, bins).alias("bin"))
+        .groupBy("bin").agg(F.count(F.lit(1)).alias("n_incidents"))
+    )
+    edges = spark.range(bins).select(
+        F.col("id").cast("int").alias("bin"),
+        F.round(F.col("id") * F.lit(step) + F.lit(lo), 6).alias("bin_start"),
+        F.round(F.when(F.col("id") == bins - 1, F.lit(hi)).otherwise((F.col("id") + 1) * F.lit(step) + F.lit(lo)), 6).alias("bin_end"),
+    )
+    return edges.join(counts, "bin", "left").select(
+        "bin", "bin_start", "bin_end", F.coalesce("n_incidents", F.lit(0)).cast("bigint").alias("n_incidents")
     )
 
 
@@ -139,32 +144,23 @@ def age_density(clean: DataFrame, grid: int = KDE_GRID, bins: int = AGE_BINS) ->
 
     Bandwidth = Scott factor n^(-1/5) x sample standard deviation; the curve is
     scaled to counts (n x bin width) like a density line over a count histogram.
-    Evaluated from the per-age counts, so the cost is (distinct ages x grid).
+    Ages are first counted per distinct value; each (age, grid point) pair adds
+    its weighted kernel, summed per grid point in a distributed aggregation.
     No curve when all ages are equal.
     """
-    st = _age_stats(clean).filter(~F.col("flat"))
-    n = F.col("n").cast("double")
-    mean = F.aggregate("ages", F.lit(0.0), lambda acc, x: acc + x["a"] * x["c"]) / n
-    st = st.withColumn("mean", mean)
-    var = F.aggregate("ages", F.lit(0.0), lambda acc, x: acc + x["c"] * (x["a"] - F.col("mean")) * (x["a"] - F.col("mean"))) / (
-        n - 1
-    )
-    st = st.withColumn("h", F.sqrt(var) * F.pow(n, F.lit(-0.2))).filter(F.col("h") > 0)
-    gx = F.col("lo") + F.col("g") * ((F.col("hi") - F.col("lo")) / F.lit(float(grid - 1)))
-    pts = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")).withColumn(
-        "gx", F.when(F.col("g") == grid - 1, F.col("hi")).otherwise(gx)
-    )
-    kern = F.aggregate(
-        "ages",
-        F.lit(0.0),
-        lambda acc, a: acc + a["c"] * F.exp(F.lit(-0.5) * F.pow((F.col("gx") - a["a"]) / F.col("h"), F.lit(2.0))),
-    )
-    binwidth = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    dens = kern / (n * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    return pts.select(
-        F.col("g").cast("int").alias("grid_idx"),
-        F.round("gx", 6).alias("x"),
-        F.round(dens * n * binwidth, 4).alias("density_count"),
+    spark = clean.sparkSession
+    st = _age_scalars(clean)
+    if st is None or st["flat"] or not st["std"]:
+        return spark.createDataFrame([], _KDE_SCHEMA)
+    n, lo, hi = st["n"], st["lo"], st["hi"]
+    h = st["std"] * n ** -0.2
+    xs = F.array(*[F.lit(hi if g == grid - 1 else lo + g * ((hi - lo) / (grid - 1))) for g in range(grid)])
+    by_age = clean.filter(F.col("vict_age") > 0).groupBy("vict_age").agg(F.count(F.lit(1)).alias("c"))
+    pairs = by_age.select(F.col("vict_age").cast("double").alias("a"), "c", F.posexplode(xs).alias("g", "x"))
+    kern = F.col("c") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("a")) / F.lit(h), F.lit(2.0)))
+    scale = F.lit(1.0 / (n * h * math.sqrt(2 * math.pi)) * n * ((hi - lo) / bins))
+    return pairs.groupBy("g", "x").agg(F.sum(kern).alias("k")).select(
+        F.col("g").cast("int").alias("grid_idx"), F.round("x", 6).alias("x"), F.round(F.col("k") * scale, 4).alias("density_count")
     )
 
 
