@@ -42,12 +42,12 @@ def yearly_trend(incidents: DataFrame) -> DataFrame:
 
     Types with a single observed year have no trend and are left out.
     """
-    by_type = incidents.filter(F.col("year").isNotNull() & F.col("crm_cd_desc").isNotNull()).groupBy(
-        F.col("crm_cd_desc").alias("crime"), "year"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    all_years = incidents.filter(F.col("year").isNotNull()).groupBy("year").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(ALL_KEY).alias("crime"), "year", "n"
+    # one scan: counts per (type incl. null, year); the all-types series is summed from it
+    ty = incidents.filter(F.col("year").isNotNull()).groupBy(F.col("crm_cd_desc").alias("crime"), "year").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    by_type = ty.filter(F.col("crime").isNotNull())
+    all_years = ty.groupBy("year").agg(F.sum("n").alias("n")).select(F.lit(ALL_KEY).alias("crime"), "year", "n")
     yc = by_type.unionByName(all_years)
     # per crime: the two largest years, in one aggregation (no window over a possibly hot type)
     # per type the (year, count) list is bounded by the number of calendar years
