@@ -93,3 +93,20 @@ def test_models_contract(spark, sf_small, tmp_path):
     M.save_models(m, path)
     again = M.score(M.load_models(spark, path), req).select("point_id", "prediction", "severity").collect()
     assert sorted(map(tuple, again)) == sorted((r["point_id"], r["prediction"], r["severity"]) for r in rows)
+
+
+def _scans(df):
+    df.write.format("noop").mode("overwrite").save()
+    return [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln]
+
+
+def test_scan_prunes_columns(spark, sf_small):
+    scans = _scans(ENTRY.queries()["top_crimes"](spark, sf_small))
+    assert scans and all("ReadSchema: struct<crm_cd_desc:string>" in s for s in scans)
+
+
+def test_year_filter_prunes_partitions(spark, sf_small):
+    scans = _scans(ENTRY.queries()["dashboard_filter"](spark, sf_small))
+    assert any("PartitionFilters: [year" in s and "IN (1996,1999,2001)]" in s for s in scans)
+    scans = _scans(ENTRY.queries()["recent_years"](spark, sf_small))
+    assert any("PartitionFilters: [isnotnull(year" in s for s in scans)
