@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from urbanlens.functions import vocab
 
 
+def fill(template: str, **values: Column) -> Column:
+    """Text from a fixed template: literal pieces and the given columns at their {name} marks."""
+    parts = re.split(r"\{(\w+)\}", template)
+    cols = [F.lit(p) if i % 2 == 0 else values[p].cast("string") for i, p in enumerate(parts) if i % 2 or p]
+    return F.concat(*cols)
+
+
 def _quoted_alternation(words: list[str]) -> str:
     return "|".join(r"\Q" + w + r"\E" for w in words)
 
@@ -62,9 +71,8 @@ def encode_sex(sex: Column) -> Column:
 def duration_text(minutes: Column) -> Column:
     """'Hh Mmin' from 60 minutes on, else 'M min'."""
     return F.when(
-        minutes >= 60,
-        F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), F.pmod(minutes, F.lit(60)).cast("string"), F.lit("min")),
-    ).otherwise(F.concat(minutes.cast("string"), F.lit(" min")))
+        minutes >= 60, fill(vocab.DURATION_LONG, h=F.floor(minutes / 60), m=F.pmod(minutes, F.lit(60)))
+    ).otherwise(fill(vocab.DURATION_SHORT, m=minutes))
 
 
 def cut_text(text: Column, n: int = 50, ellipsis: bool = True) -> Column:

@@ -112,6 +112,17 @@ HIST_PATH_EVERY = 10
 HIST_BOX = 0.002
 HIST_MIN_COUNT = 5
 
+# FIXED VALUES: answer and label formats; {name} marks a value filled in per row.
+INTERVAL_ANSWER = "He analizado el período entre las {start}:00 y las {end}:00. Se registraron **{count} incidentes**."
+COMPARE_ANSWER = "Comparativa: **{a1}** ({c1}) vs **{a2}** ({c2}). La zona de **{winner}** tiene {diff} crímenes más."
+TREND_ANSWER = "La tendencia de '{target}' ha **{trend}** un {pct}% en el último año registrado."
+TREND_UP, TREND_DOWN = "subido", "bajado"
+RISK_DESCRIPTION = "[RIESGO] {crime} ({pct}%)"
+DURATION_LONG = "{h}h {m}min"
+DURATION_SHORT = "{m} min"
+PLACE_NOT_FOUND = "Dirección no encontrada"
+PLACE_OUTSIDE = "Ubicación fuera del área metropolitana de Los Ángeles"
+
 # FIXED VALUES: safety wording for the best route, by its risk-point count.
 SAFETY_RATINGS = [
     (0, "Ruta Limpia"),

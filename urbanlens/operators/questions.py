@@ -63,7 +63,7 @@ def yearly_trend(incidents: DataFrame) -> DataFrame:
     return t.select(
         "*",
         F.round(change, 6).alias("change_pct"),
-        F.when(change > 0, F.lit("subido")).otherwise(F.lit("bajado")).alias("trend"),
+        F.when(change > 0, F.lit(vocab.TREND_UP)).otherwise(F.lit(vocab.TREND_DOWN)).alias("trend"),
         F.format_string("%.1f", F.bround(F.abs(change), 1)).alias("change_text"),
     )
 
@@ -186,22 +186,14 @@ def answer_questions(questions: DataFrame, incidents: DataFrame) -> DataFrame:
     a1, a2 = F.col("found")[0], F.col("found")[1]
     n1, n2 = a1["n"], a2["n"]
     fmt = lambda c: F.format_number(c, 0)
-    interval_txt = F.concat(
-        F.lit("He analizado el período entre las "), s.cast("string"), F.lit(":00 y las "), e.cast("string"),
-        F.lit(":00. Se registraron **"), fmt(F.col("window_n")), F.lit(" incidentes**."),
-    )
+    interval_txt = text.fill(vocab.INTERVAL_ANSWER, start=s, end=e, count=fmt(F.col("window_n")))
     compare_ok = F.col("is_compare") & (F.size("found") >= 2)
     winner = F.when(n1 > n2, a1["area"]).otherwise(a2["area"])
-    compare_txt = F.concat(
-        F.lit("Comparativa: **"), a1["area"], F.lit("** ("), fmt(n1), F.lit(") vs **"), a2["area"], F.lit("** ("), fmt(n2),
-        F.lit("). La zona de **"), winner, F.lit("** tiene "), fmt(F.abs(n1 - n2)), F.lit(" crímenes más."),
-    )
+    compare_txt = text.fill(vocab.COMPARE_ANSWER, a1=a1["area"], c1=fmt(n1), a2=a2["area"], c2=fmt(n2), winner=winner,
+                            diff=fmt(F.abs(n1 - n2)))
     trend_ok = F.col("is_trend") & F.col("t_last_year").isNotNull()
     target = F.coalesce(F.col("crime"), F.lit(vocab.ALL_CRIMES_LABEL))
-    trend_txt = F.concat(
-        F.lit("La tendencia de '"), target, F.lit("' ha **"), F.col("t_trend"), F.lit("** un "), F.col("t_change_text"),
-        F.lit("% en el último año registrado."),
-    )
+    trend_txt = text.fill(vocab.TREND_ANSWER, target=target, trend=F.col("t_trend"), pct=F.col("t_change_text"))
     intent = (
         F.when(F.col("has_interval"), F.lit("hour_interval"))
         .when(compare_ok, F.lit("comparison"))

@@ -243,7 +243,7 @@ def route_risk_scored(accepted: DataFrame, samples: DataFrame, trips: DataFrame,
         .when(F.col("severity_confidence") > vocab.INTENSITY_MID, 1)
         .otherwise(0).alias("intensity"),
         F.col("severity_confidence").alias("severity_conf"),
-        F.concat(F.lit("[RIESGO] "), label, F.lit(" ("), pct, F.lit("%)")).alias("description"),
+        text.fill(vocab.RISK_DESCRIPTION, crime=label, pct=pct).alias("description"),
         text.cut_text(label, 40, ellipsis=False).alias("crime_type"),
     )
 

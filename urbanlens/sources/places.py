@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.functions import coords, text
+from urbanlens.functions import coords, text, vocab
 
-NOT_FOUND = "Dirección no encontrada"
-OUTSIDE = "Ubicación fuera del área metropolitana de Los Ángeles"
+NOT_FOUND = vocab.PLACE_NOT_FOUND
+OUTSIDE = vocab.PLACE_OUTSIDE
 
 
 def place_lookup(requests: DataFrame, gazetteer: DataFrame) -> DataFrame:
