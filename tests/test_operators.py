@@ -92,6 +92,12 @@ def test_box_join_equals_brute_force(spark):
             assert modes[pid] == min(x for x in set(near) if near.count(x) == best)
 
 
+def test_point_without_coordinates_counts_zero(spark):
+    idf = spark.createDataFrame([(1, 34.0, -118.3, "a")], "dr_no long, lat double, lon double, crm_cd_desc string")
+    pdf = spark.createDataFrame([(1, 34.0, -118.3), (2, None, None)], "point_id long, lat double, lon double")
+    assert {r[0]: r[1] for r in G.incidents_near_point(pdf, idf).collect()} == {1: 1, 2: 0}
+
+
 def test_nearest_area_paths_agree(spark):
     rng = random.Random(11)
     cents = spark.createDataFrame([(f"A{i:02d}", 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for i in range(30)],

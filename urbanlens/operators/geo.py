@@ -131,8 +131,9 @@ def point_cells(points: DataFrame, key: list[str], lat: str = "lat", lon: str =
     return (
         points.select(*key, F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"),
                       lo_la.alias("lo_la"), hi_la.alias("hi_la"), lo_lo.alias("lo_lo"), hi_lo.alias("hi_lo"))
-        .withColumn("cy", F.explode(F.sequence(_cell(F.col("lo_la"), cell), _cell(F.col("hi_la"), cell))))
-        .withColumn("cx", F.explode(F.sequence(_cell(F.col("lo_lo"), cell), _cell(F.col("hi_lo"), cell))))
+        # explode_outer keeps points without coordinates (they match nothing and count 0)
+        .withColumn("cy", F.explode_outer(F.sequence(_cell(F.col("lo_la"), cell), _cell(F.col("hi_la"), cell))))
+        .withColumn("cx", F.explode_outer(F.sequence(_cell(F.col("lo_lo"), cell), _cell(F.col("hi_lo"), cell))))
     )
 
 
