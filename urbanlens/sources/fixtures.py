@@ -14,7 +14,6 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # FIXED VALUES: incident type list used to label fixture rows (index 0-14).
 FIXTURE_CRIMES = [
