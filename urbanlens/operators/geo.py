@@ -190,8 +190,12 @@ def recent_years(df: DataFrame, span: int = 1) -> DataFrame:
 def route_risk_historical(routes: DataFrame, incidents: DataFrame, every: int = vocab.HIST_PATH_EVERY,
                           min_count: int = vocab.HIST_MIN_COUNT) -> DataFrame:
     """Every 10th path point with more than 5 recent incidents in its box, with the most frequent type."""
-    pts = routes.select("trip_id", "route_seq", F.posexplode("path").alias("idx", "pt")).filter(F.col("idx") % every == 0)
-    pts = pts.select("trip_id", "route_seq", "idx", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
+    # positions 0, every, 2*every, ... read directly (no explode of the whole path)
+    n = F.floor((F.size("path") + (every - 1)) / every).cast("int")
+    picked = F.transform(F.sequence(F.lit(0), n - 1),
+                         lambda k: F.struct((k * every).alias("idx"), F.element_at("path", k * every + 1).alias("pt")))
+    pts = routes.select("trip_id", "route_seq", F.explode(F.when(n > 0, picked)).alias("e")).select(
+        "trip_id", "route_seq", F.col("e.idx").alias("idx"), F.col("e.pt.lat").alias("lat"), F.col("e.pt.lon").alias("lon"))
     key = ["trip_id", "route_seq", "idx"]
     out = mode_near_point(pts, recent_years(incidents), key, carry_coords=True).filter(F.col("n_incidents") > min_count)
     label = text.translate_crime(F.col("top_crime"))

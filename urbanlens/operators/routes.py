@@ -124,93 +124,114 @@ def threat_score(points: DataFrame, zones: DataFrame, lat: str = "lat", lon: str
 
 
 # ---------------------------------------------------------------- R4
+def _candidate_array(lat1, lon1, lat2, lon2) -> F.Column:
+    """The ten detour candidates of a trip as an array of (cand_idx, wp_lat, wp_lon)."""
+    dist = F.sqrt(_sq(lat2 - lat1) + _sq(lon2 - lon1))
+    mid_lat, mid_lon = (lat1 + lat2) / 2, (lon1 + lon2) / 2
+    perp_dx, perp_dy = -((lon2 - lon1) / dist), (lat2 - lat1) / dist
+    out = []
+    for si, side in enumerate(vocab.DETOUR_SIDES):
+        for di, dev in enumerate(vocab.DETOUR_DEVIATIONS):
+            offset = dist * F.lit(dev)
+            out.append(F.struct(
+                F.lit(si * len(vocab.DETOUR_DEVIATIONS) + di).alias("cand_idx"),
+                (mid_lat + perp_dx * offset * F.lit(side)).alias("wp_lat"),
+                (mid_lon + perp_dy * offset * F.lit(side)).alias("wp_lon"),
+            ))
+    return F.when(dist > 0, F.array(*out))
+
+
 def detour_candidates(trips: DataFrame) -> DataFrame:
     """Ten candidate waypoints per trip: both sides of the midpoint, 10 % .. 30 % of the trip length
-    along the perpendicular. ``cand_idx`` = side index * 5 + deviation index."""
-    lat1, lon1, lat2, lon2 = (F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))
-    dist = F.sqrt(_sq(lat2 - lat1) + _sq(lon2 - lon1))
-    opts = F.array(*[
-        F.struct(F.lit(si * len(vocab.DETOUR_DEVIATIONS) + di).alias("cand_idx"), F.lit(side).alias("side"),
-                 F.lit(dev).alias("dev"))
-        for si, side in enumerate(vocab.DETOUR_SIDES) for di, dev in enumerate(vocab.DETOUR_DEVIATIONS)
-    ])
-    base = trips.select(
-        "trip_id", dist.alias("dist"),
-        ((lat1 + lat2) / 2).alias("mid_lat"), ((lon1 + lon2) / 2).alias("mid_lon"),
-        (-((lon2 - lon1) / dist)).alias("perp_dx"), ((lat2 - lat1) / dist).alias("perp_dy"),
-    ).filter(F.col("dist") > 0)
-    c = base.select("*", F.explode(opts).alias("o"))
-    offset = F.col("dist") * F.col("o.dev")
-    return c.select(
-        "trip_id",
-        F.col("o.cand_idx").alias("cand_idx"),
-        (F.col("mid_lat") + F.col("perp_dx") * offset * F.col("o.side")).alias("wp_lat"),
-        (F.col("mid_lon") + F.col("perp_dy") * offset * F.col("o.side")).alias("wp_lon"),
-    )
+    along the perpendicular. ``cand_idx`` = side index * 5 + deviation index. None for zero-length trips."""
+    arr = _candidate_array(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")))
+    return trips.select("trip_id", F.explode(arr).alias("c")).select("trip_id", "c.cand_idx", "c.wp_lat", "c.wp_lon")
 
 
 def detour_waypoints(trips: DataFrame, routes: DataFrame, zones: DataFrame, keep: int = vocab.DETOUR_KEEP) -> DataFrame:
     """The ``keep`` least threatening candidates (ties keep candidate order), only for trips with
-    zones, fewer than 6 direct routes and a non-zero length."""
+    zones, fewer than 6 direct routes and a non-zero length.
+
+    Candidates are scored and ranked inside each trip's row (array sort), so
+    ranking needs no window and no shuffle beyond the per-trip zone lists.
+    """
     n_direct = routes.filter(F.col("kind") == "direct").groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_direct"))
     eligible = trips.join(zone_lists(zones), "trip_id").join(n_direct, "trip_id", "left").filter(
         F.coalesce(F.col("n_direct"), F.lit(0)) < vocab.MAX_ROUTES
     )
-    cands = detour_candidates(eligible.select("trip_id", "lat1", "lon1", "lat2", "lon2")).join(
-        eligible.select("trip_id", "zones"), "trip_id"
+    cands = _candidate_array(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")))
+    scored = F.transform(cands, lambda c: F.struct(
+        threat_expr(c["wp_lat"], c["wp_lon"], F.col("zones")).alias("threat"),
+        c["cand_idx"].alias("cand_idx"), c["wp_lat"].alias("wp_lat"), c["wp_lon"].alias("wp_lon"),
+    ))
+    best = F.slice(F.array_sort(scored), 1, keep)
+    return eligible.select("trip_id", F.posexplode(best).alias("pos", "w")).select(
+        "trip_id", F.col("w.cand_idx").alias("cand_idx"), F.col("w.wp_lat").alias("wp_lat"), F.col("w.wp_lon").alias("wp_lon"),
+        F.col("w.threat").alias("threat"), (F.col("pos") + 1).cast("int").alias("rank"),
     )
-    scored = cands.withColumn("threat", threat_expr(F.col("wp_lat"), F.col("wp_lon"), F.col("zones"))).drop("zones")
-    w = Window.partitionBy("trip_id").orderBy(F.col("threat").asc(), F.col("cand_idx").asc())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
 
 # ---------------------------------------------------------------- U1 / R5
-def route_union(routes: DataFrame, best: DataFrame) -> DataFrame:
-    """Direct routes in router order, then the routes of the chosen detours in threat order.
-
-    ``ord`` is the position in that list.
-    """
+def route_candidates(routes: DataFrame, best: DataFrame) -> DataFrame:
+    """Direct routes and the routes of the chosen detours, with order keys (o1, o2):
+    direct routes in router order first, then detours in threat order."""
     direct = routes.filter(F.col("kind") == "direct").select(
-        "trip_id", "route_seq", "kind", "distance", "duration", F.col("route_seq").alias("o2"), F.lit(0).alias("o1")
+        "trip_id", "route_seq", "kind", "distance", "duration", F.lit(0).alias("o1"), F.col("route_seq").alias("o2")
     )
     det = routes.filter(F.col("kind") == "waypoint").join(best.select("trip_id", "cand_idx", "rank"), ["trip_id", "cand_idx"]).select(
-        "trip_id", "route_seq", "kind", "distance", "duration", F.col("rank").alias("o2"), F.lit(1).alias("o1")
+        "trip_id", "route_seq", "kind", "distance", "duration", F.lit(1).alias("o1"), F.col("rank").alias("o2")
     )
-    u = direct.unionByName(det)
+    return direct.unionByName(det)
+
+
+def route_union(routes: DataFrame, best: DataFrame) -> DataFrame:
+    """The candidate list with ``ord``, the position in it."""
     w = Window.partitionBy("trip_id").orderBy("o1", "o2")
-    return u.withColumn("ord", (F.row_number().over(w) - 1).cast("int")).drop("o1", "o2")
+    return route_candidates(routes, best).withColumn("ord", (F.row_number().over(w) - 1).cast("int")).drop("o1", "o2")
 
 
-def dedup_routes(candidates: DataFrame) -> DataFrame:
+def dedup_routes(candidates: DataFrame, order_cols: tuple[str, ...] = ("ord",)) -> DataFrame:
     """Walk each trip's candidate list in order; direct routes are always taken, a detour is
     taken only while fewer than 6 routes are accepted and no accepted route is within 100 m of its
-    distance. ``route_id`` is the position among accepted routes."""
-    per_trip = candidates.groupBy("trip_id").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "route_seq", "kind", F.coalesce("distance", F.lit(0.0)).alias("dist")))).alias("c")
+    distance (a missing distance counts as 0). ``route_id`` is the position among accepted routes.
+
+    One aggregation per trip (at most router alternatives + 4 rows); the route
+    fields travel through the fold, so no join back is needed.
+    """
+    item = F.struct(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)],
+        "route_seq", "kind", F.coalesce("distance", F.lit(0.0)).alias("dist"), "distance", "duration",
     )
-    empty = F.array().cast("array<struct<route_seq:int,dist:double>>")
+    per_trip = candidates.groupBy("trip_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    acc_type = "array<struct<route_seq:int,kind:string,dist:double,distance:double,duration:double>>"
+    empty = F.array().cast(acc_type)
 
     def step(acc, r):
         dup = F.exists(acc, lambda a: F.abs(r["dist"] - a["dist"]) < F.lit(vocab.DUPLICATE_METERS))
         take = (r["kind"] == "direct") | ((F.size(acc) < vocab.MAX_ROUTES) & ~dup)
-        item = F.array(F.struct(r["route_seq"].alias("route_seq"), r["dist"].alias("dist")))
-        return F.when(take, F.concat(acc, item)).otherwise(acc)
+        row = F.struct(r["route_seq"].alias("route_seq"), r["kind"].alias("kind"), r["dist"].alias("dist"),
+                       r["distance"].alias("distance"), r["duration"].alias("duration"))
+        return F.when(take, F.concat(acc, F.array(row))).otherwise(acc)
 
     kept = per_trip.select("trip_id", F.aggregate("c", empty, step).alias("kept"))
-    ids = kept.select("trip_id", F.posexplode("kept").alias("route_id", "r")).select(
-        "trip_id", F.col("route_id").cast("int").alias("route_id"), F.col("r.route_seq").alias("route_seq")
+    return kept.select("trip_id", F.posexplode("kept").alias("route_id", "r")).select(
+        "trip_id", F.col("route_id").cast("int").alias("route_id"), F.col("r.route_seq").alias("route_seq"),
+        F.col("r.kind").alias("kind"), F.col("r.distance").alias("distance"), F.col("r.duration").alias("duration"),
     )
-    return ids.join(candidates.select("trip_id", "route_seq", "kind", "distance", "duration"), ["trip_id", "route_seq"])
 
 
 # ---------------------------------------------------------------- R7
 def sample_path(path: F.Column, every: int = vocab.PATH_EVERY, cap: int = vocab.PATH_MAX_POINTS) -> F.Column:
-    """Every 20th point; if more than 15 remain, every (n // 15)-th of those, first 15."""
-    s = F.filter(path, lambda p, i: i % every == 0)
-    n = F.size(s)
-    step = F.greatest(F.floor(n / cap), F.lit(1)).cast("int")
-    thinned = F.slice(F.filter(s, lambda p, i: i % step == 0), 1, cap)
-    return F.when(n > cap, thinned).otherwise(s)
+    """Every 20th point; if more than 15 remain, every (n // 15)-th of those, first 15.
+
+    The kept positions are computed arithmetically (at most 15 of them) and read
+    with ``element_at``, so the cost does not grow with the path length.
+    """
+    m = F.floor((F.size(path) + (every - 1)) / every).cast("int")  # points at every 20th position
+    step = F.when(m > cap, F.floor(m / cap)).otherwise(F.lit(1)).cast("int")
+    count = F.when(m > cap, F.least(F.lit(cap), F.floor((m + step - 1) / step).cast("int"))).otherwise(m)
+    picked = F.transform(F.sequence(F.lit(0), count - 1), lambda t: F.element_at(path, t * step * every + 1))
+    return F.when(count > 0, picked).otherwise(F.slice(path, 1, 0))
 
 
 def path_samples(routes: DataFrame) -> DataFrame:
@@ -336,7 +357,7 @@ def analyze_routes(trips: DataFrame, routes: DataFrame, scorer: Scorer, material
     """
     zones = _cut(danger_zones(trips, scorer), materialize)
     best_wp = detour_waypoints(trips, routes, zones)
-    accepted = _cut(dedup_routes(route_union(routes, best_wp)), materialize)
+    accepted = _cut(dedup_routes(route_candidates(routes, best_wp), ("o1", "o2")), materialize)
     samples = path_samples(routes)
     risks = route_risk_scored(accepted, samples, trips, scorer)
     counted = route_risk_counts(accepted, risks)
