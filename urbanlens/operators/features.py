@@ -42,6 +42,22 @@ def fit_label_indexers(training: DataFrame) -> tuple[StringIndexerModel, StringI
     return t, s
 
 
+def stats_and_indexers(training: DataFrame, feats: list[str] | None = None):
+    """Scaler statistics (M3) and both label indexers (M2) from ONE aggregation over the training rows.
+
+    The label sets are bounded by the kept classes (at most ``N_TOP_CLASSES`` types, two severities).
+    """
+    feats = feats or select_features(training)
+    row = training.agg(
+        *[F.avg(c).alias(f"m_{c}") for c in feats], *[F.stddev_pop(c).alias(f"s_{c}") for c in feats],
+        F.collect_set(TARGET).alias("types"), F.collect_set("severity").alias("sevs"),
+    ).first()
+    stats = {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"]) if row[f"s_{c}"] else 1.0) for c in feats}
+    t = StringIndexerModel.from_labels(sorted(row["types"]), inputCol=TARGET, outputCol="type_label")
+    s = StringIndexerModel.from_labels(sorted(row["sevs"]), inputCol="severity", outputCol="severity_label")
+    return stats, t, s
+
+
 def label_index(training: DataFrame) -> DataFrame:
     t, s = fit_label_indexers(training)
     return s.transform(t.transform(training))

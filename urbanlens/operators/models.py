@@ -55,13 +55,13 @@ class _Prepared:
 
     def __init__(self, training: DataFrame, fit_roles: tuple[str, ...]):
         self.feats = FE.select_features(training)
-        training = training.persist()  # read by the scaler statistics, both indexers and the fit
-        self.stats = FE.scaler_stats(training, self.feats)
-        self.ti, self.si = FE.fit_label_indexers(training)
+        training = training.persist()  # read by the statistics pass and by the fit rows below
+        self.stats, self.ti, self.si = FE.stats_and_indexers(training, self.feats)
         labelled = self.si.transform(self.ti.transform(training))
         part = labelled.filter(F.col("role").isin(*fit_roles)) if "role" in labelled.columns else labelled
         # gradients are computed per partition (treeAggregate): spread the rows over the cluster's cores
         self.fit_part = part.repartition(part.sparkSession.sparkContext.defaultParallelism).persist()
+        self.fit_part.count()  # materialize from the cached training rows before releasing them
         training.unpersist()
 
     def release(self) -> None:
