@@ -88,6 +88,17 @@ def clean_incidents(raw: DataFrame) -> DataFrame:
     return df.select(*CLEAN_COLUMNS)
 
 
+def light_incidents(raw: DataFrame, drop_missing_coords: bool = False) -> DataFrame:
+    """Fallback preprocessing used when no curated table exists: dates parsed (unparseable dates
+    become null, rows are kept), calendar fields, coordinates coerced but not rescaled; with
+    ``drop_missing_coords`` rows without coordinates are dropped (map views)."""
+    df = calendar_fields(parse_dates(drop_columns(raw), drop_invalid=False))
+    df = coerce_coordinates(df)
+    if drop_missing_coords:
+        df = nonnull_coordinates(df)
+    return df.select(*CLEAN_COLUMNS)
+
+
 def clean_audit(raw: DataFrame) -> DataFrame:
     """Loaded rows, rows with a valid date, rows surviving the full cleaning - in one pass."""
     d = calendar.parse_date(F.col("date_occ"))

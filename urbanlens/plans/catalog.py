@@ -119,6 +119,18 @@ def q_load_incidents(spark, sf):
     return I.load_incidents(spark, curated_path=fresh_dir(spark, "absent"), raw=raw(spark, sf))
 
 
+@query("load_incidents_light")
+def q_load_incidents_light(spark, sf):
+    """S2 fallback without a curated table: light preprocessing of the raw rows (bad dates kept as null)."""
+    return I.load_incidents(spark, curated_path=fresh_dir(spark, "absent"), raw=raw(spark, sf), level="light")
+
+
+@query("answer_questions_light")
+def q_answer_questions_light(spark, sf):
+    """Q1-Q3 answered from the light fallback table, as the question service does without a curated table."""
+    return Q.answer_questions(questions(spark, sf), I.load_incidents(spark, raw=raw(spark, sf), level="light"))
+
+
 @query("clean_incidents")
 def q_clean_incidents(spark, sf):
     """Full cleaning job (P1-P8) from the raw rows."""

@@ -705,3 +705,29 @@ SQL["stream_predictions"] = with_("points") + f"""
 SELECT point_id AS request_id, 'user_' || CAST(point_id % 10 AS VARCHAR) AS user_name, area, lat, lon, hour_of_day AS hour,
   {score_sql('lat', 'lon', 'hour_of_day')}
 FROM points"""
+
+# ---------------------------------------------------------------- light fallback level
+register_cte("light", """light AS (
+  SELECT dr_no, d AS date_occ, time_occ, area_name, crm_cd_desc, vict_age, vict_sex, premis_cd, weapon_used_cd, weapon_desc,
+    lat_num AS lat, lon_num AS lon, CAST(year(d) AS INTEGER) AS year, strftime(d, '%Y-%m') AS month,
+    CAST(month(d) AS INTEGER) AS month_num, CAST(isodow(d) - 1 AS INTEGER) AS day_of_week
+  FROM parsed
+)""", ["parsed"])
+SQL["load_incidents_light"] = with_("light") + f"SELECT {CLEAN_COLS} FROM light"
+
+
+def _on_light(sql: str) -> str:
+    """The same statement with the light table standing in for the cleaned one."""
+    return sql.replace(" FROM clean", " FROM light").replace(" JOIN clean ", " JOIN light ")
+
+
+register_cte("hours_l", _on_light(CTE["hours"]).replace("hours AS", "hours_l AS"), ["light"])
+register_cte("acount_l", _on_light(CTE["acount"]).replace("acount AS", "acount_l AS"), ["light"])
+register_cte("trend_l", _on_light(CTE["trend"]).replace("trend AS", "trend_l AS"), ["light"])
+register_cte("win_l", CTE["win"].replace("win AS", "win_l AS").replace("JOIN hours h", "JOIN hours_l h"), ["qf", "hours_l"])
+register_cte("qareas_l", CTE["qareas"].replace("qareas AS", "qareas_l AS").replace("JOIN acount a", "JOIN acount_l a"), ["qf", "acount_l"])
+register_cte("cmp_l", CTE["cmp"].replace("cmp AS", "cmp_l AS").replace("FROM qareas a JOIN qareas b", "FROM qareas_l a JOIN qareas_l b"), ["qareas_l"])
+SQL["answer_questions_light"] = with_("qf", "win_l", "cmp_l", "trend_l") + (
+    _ANSWER.replace("LEFT JOIN win w", "LEFT JOIN win_l w").replace("LEFT JOIN cmp c", "LEFT JOIN cmp_l c")
+    .replace("LEFT JOIN trend t", "LEFT JOIN trend_l t")
+)

@@ -118,9 +118,10 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load_incidents(spark: SparkSession, curated_path: str | None = None, raw_path: str | None = None,
-                   raw: DataFrame | None = None) -> DataFrame:
-    """Prefer the curated table; otherwise scan and clean the raw rows."""
-    from urbanlens.operators.clean import clean_incidents
+                   raw: DataFrame | None = None, level: str = "clean") -> DataFrame:
+    """Prefer the curated table; otherwise scan the raw rows and clean them (``level='clean'``)
+    or apply only the light fallback preprocessing (``level='light'``)."""
+    from urbanlens.operators.clean import clean_incidents, light_incidents
 
     if curated_path:
         cur = read_curated(spark, curated_path)
@@ -130,4 +131,4 @@ def load_incidents(spark: SparkSession, curated_path: str | None = None, raw_pat
             return cur.select(*CLEAN_COLUMNS)
     if raw is None:
         raw = read_incident_csv(spark, raw_path) if raw_path else empty_raw(spark)
-    return clean_incidents(raw)
+    return light_incidents(raw) if level == "light" else clean_incidents(raw)
