@@ -1,10 +1,11 @@
 """Batch question answering: hour windows (A18), two-area comparison (A19), last-year trend (A20),
 areas named in a question (J6), intent (Q1), hour extraction (Q2) and the answer text (Q3).
 
-Statistics come from small pre-aggregated tables computed once over the whole
-incident table: 24 hour counts, one count per area, (type, year) counts. The
-first two are inlined into the question projection as literal arrays (sizes
-checked), the trend table is joined on the detected type.
+Statistics come from ONE aggregation pass over the whole incident table
+(:func:`question_stats`): 24 hour counts, one count per area, (type, year)
+counts. The small result is checkpointed; the first two parts are inlined into
+the question projection as literal arrays (sizes checked), the trend table is
+joined on the detected type.
 """
 
 from __future__ import annotations
@@ -20,6 +21,14 @@ QGRAM = 4
 ALL_KEY = "*"
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (cuts lineage; survives executor loss)."""
+    from urbanlens.session import shared_dir
+
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def api_frame(incidents: DataFrame) -> DataFrame:
     """Light preprocessing of the question service: modular hour."""
     return incidents.withColumn("hour_occ", calendar.hour_modular(F.col("time_occ")))
@@ -37,15 +46,38 @@ def area_counts(incidents: DataFrame) -> DataFrame:
     return incidents.filter(F.col("area_name").isNotNull()).groupBy("area_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def question_stats(incidents: DataFrame) -> DataFrame:
+    """All statistics the questions need, from ONE scan: counts per modular hour (kind 'h'),
+    per area (kind 'a') and per (type, year) (kind 't'). Each row contributes one key of each
+    kind to a single partial/final aggregation; the result is small (24 + areas + types x years)."""
+    x = incidents.select(
+        calendar.hour_modular(F.col("time_occ")).cast("string").alias("h"), "area_name", "crm_cd_desc", "year"
+    )
+    keys = F.array(
+        F.struct(F.lit("h").alias("kind"), F.col("h").alias("k"), F.lit(None).cast("int").alias("y")),
+        F.struct(F.lit("a").alias("kind"), F.col("area_name").alias("k"), F.lit(None).cast("int").alias("y")),
+        F.struct(F.lit("t").alias("kind"), F.col("crm_cd_desc").alias("k"), F.col("year").alias("y")),
+    )
+    g = x.select(F.explode(keys).alias("g")).select("g.*")
+    keep = (
+        ((F.col("kind") == "h") & F.col("k").isNotNull())
+        | ((F.col("kind") == "a") & F.col("k").isNotNull())
+        | ((F.col("kind") == "t") & F.col("y").isNotNull())
+    )
+    return g.filter(keep).groupBy("kind", "k", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 def yearly_trend(incidents: DataFrame) -> DataFrame:
     """Per incident type (and '*' for all types): last two observed years, counts, % change, direction.
 
     Types with a single observed year have no trend and are left out.
     """
-    # one scan: counts per (type incl. null, year); the all-types series is summed from it
-    ty = incidents.filter(F.col("year").isNotNull()).groupBy(F.col("crm_cd_desc").alias("crime"), "year").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return trend_from_stats(question_stats(incidents))
+
+
+def trend_from_stats(stats: DataFrame) -> DataFrame:
+    """A20 from the (type, year) counts of :func:`question_stats`; the all-types series is summed from them."""
+    ty = stats.filter(F.col("kind") == "t").select(F.col("k").alias("crime"), F.col("y").alias("year"), "n")
     by_type = ty.filter(F.col("crime").isNotNull())
     all_years = ty.groupBy("year").agg(F.sum("n").alias("n")).select(F.lit(ALL_KEY).alias("crime"), "year", "n")
     yc = by_type.unionByName(all_years)
@@ -86,9 +118,12 @@ def question_features(questions: DataFrame) -> DataFrame:
     )
 
 
-def _hour_array(incidents: DataFrame) -> F.Column:
+def _hour_array(incidents: DataFrame | None = None, stats: DataFrame | None = None) -> F.Column:
     """The 24 hour counts as a literal array (index = hour)."""
-    counts = dict(tuple(r) for r in hour_histogram(incidents).collect())
+    if stats is not None:
+        counts = {int(r["k"]): r["n"] for r in stats.filter(F.col("kind") == "h").select("k", "n").collect()}
+    else:
+        counts = dict(tuple(r) for r in hour_histogram(incidents).collect())
     return F.array(*[F.lit(int(counts.get(h, 0))).cast("bigint") for h in range(24)])
 
 
@@ -134,9 +169,13 @@ def _areas_found_qgram(qf: DataFrame, counts: DataFrame) -> DataFrame:
     return qf.join(found, "question_id", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
 
 
-def areas_found(qf: DataFrame, incidents: DataFrame, inline_max: int = AREAS_INLINE_MAX) -> DataFrame:
+def areas_found(qf: DataFrame, incidents: DataFrame | None = None, inline_max: int = AREAS_INLINE_MAX,
+                stats: DataFrame | None = None) -> DataFrame:
     """Per question, the sorted areas whose lower-case name occurs in the lower-case text, with counts."""
-    counts = area_counts(incidents)
+    if stats is not None:
+        counts = stats.filter(F.col("kind") == "a").select(F.col("k").alias("area_name"), "n")
+    else:
+        counts = area_counts(incidents)
     rows = [tuple(r) for r in counts.limit(inline_max + 1).collect()]
     if len(rows) <= inline_max:
         return _areas_found_inline(qf, rows)
@@ -171,7 +210,8 @@ def _trend_join(qf: DataFrame, trend: DataFrame) -> DataFrame:
 def answer_questions(questions: DataFrame, incidents: DataFrame) -> DataFrame:
     """Q1 + Q3: resolved intent and answer text for every question."""
     qf = question_features(questions)
-    hours = _hour_array(incidents)
+    stats = _checkpoint(question_stats(incidents))  # one scan of the incidents, small result
+    hours = _hour_array(stats=stats)
     s, e = F.col("start_h"), F.col("end_h")
     inside = lambda h: F.when(s <= e, (h >= s) & (h <= e)).otherwise((h >= s) | (h <= e))
     qf = qf.withColumn(
@@ -181,8 +221,8 @@ def answer_questions(questions: DataFrame, incidents: DataFrame) -> DataFrame:
             lambda acc, h: acc + F.when(inside(h), F.element_at(hours, h + 1)).otherwise(F.lit(0).cast("bigint")),
         )),
     )
-    qf = areas_found(qf, incidents)
-    qf = _trend_join(qf, yearly_trend(incidents))
+    qf = areas_found(qf, stats=stats)
+    qf = _trend_join(qf, trend_from_stats(stats))
     a1, a2 = F.col("found")[0], F.col("found")[1]
     n1, n2 = a1["n"], a2["n"]
     fmt = lambda c: F.format_number(c, 0)
