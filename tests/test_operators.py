@@ -178,3 +178,21 @@ def test_questions_literal(spark):
     assert a[2][0] == "comparison" and "**Central** (3) vs **Hollywood** (1)" in a[2][1]
     assert a[3][1].startswith("He analizado el período entre las 22:00 y las 12:00")
     assert a[4][0] == "generic" and a[5][0] == "generic"
+
+
+def test_trend_rules(spark):
+    rows = [_row(i, date=d, desc=c) for i, (d, c) in enumerate([
+        ("2019-05-01", "ROBBERY"), ("2019-06-01", "ROBBERY"), ("2020-01-01", "ROBBERY"), ("2020-02-01", "ROBBERY"),
+        ("2020-03-01", "HOMICIDE"), ("2021-03-01", "THEFT"), ("2020-03-01", "THEFT"), ("2020-04-01", "THEFT"),
+    ])]
+    inc = C.clean_incidents(_raw(spark, rows))
+    t = {r["crime"]: r for r in Q.yearly_trend(inc).collect()}
+    assert t["ROBBERY"]["trend"] == "bajado" and t["ROBBERY"]["change_pct"] == 0.0  # equal counts -> 'bajado'
+    assert "HOMICIDE" not in t  # a single observed year has no trend
+    assert t["THEFT"]["change_pct"] == -50.0 and t["*"]["last_year"] == 2021
+    qs = spark.createDataFrame([(1, "tendencia de robos"), (2, "evolución de homicidios"), (3, "cambio de hurtos")],
+                               "question_id long, text string")
+    a = {r[0]: (r[1], r[2]) for r in Q.answer_questions(qs, inc).collect()}
+    assert a[1] == ("trend", "La tendencia de 'ROBBERY' ha **bajado** un 0.0% en el último año registrado.")
+    assert a[2][0] == "generic"
+    assert a[3][1] == "La tendencia de 'THEFT' ha **bajado** un 50.0% en el último año registrado."
