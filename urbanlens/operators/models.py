@@ -13,7 +13,7 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -25,7 +25,9 @@ from urbanlens.functions import text
 from urbanlens.operators import features as FE
 
 HIDDEN = (32, 16)
-MAX_ITER = 50
+MAX_ITER = 50          # at most 50 L-BFGS iterations
+CHUNK = 10             # validation loss checked every 10 iterations
+PATIENCE = 2           # stop after 2 checks without improvement, keep the best weights
 BLOCK_SIZE = 256
 
 
@@ -39,49 +41,103 @@ class IncidentModels:
     stats: dict = field(default_factory=dict)
 
 
-def _pipeline(stats, feats, label_col, n_classes, hidden, max_iter, seed, block_size=BLOCK_SIZE) -> Pipeline:
-    scale = SQLTransformer(statement=FE.scaling_sql(stats))
-    assemble = VectorAssembler(inputCols=[f"z_{c}" for c in feats], outputCol="features")
-    mlp = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol=label_col, layers=[len(feats), *hidden, n_classes],
+def _front(stats, feats) -> list:
+    """Scaling (constants inlined, persisted with the model) and vector assembly stages."""
+    return [SQLTransformer(statement=FE.scaling_sql(stats)),
+            VectorAssembler(inputCols=[f"z_{c}" for c in feats], outputCol="features")]
+
+
+def _mlp(label_col, n_in, n_classes, hidden, max_iter, seed, block_size=BLOCK_SIZE, weights=None):
+    m = MultilayerPerceptronClassifier(
+        featuresCol="features", labelCol=label_col, layers=[n_in, *hidden, n_classes],
         maxIter=max_iter, seed=seed, blockSize=block_size,
         predictionCol=f"{label_col}_pred", probabilityCol=f"{label_col}_prob", rawPredictionCol=f"{label_col}_raw",
     )
-    return Pipeline(stages=[scale, assemble, mlp])
+    if weights is not None:
+        m.setInitialWeights(weights)
+    return m
 
 
 class _Prepared:
-    """Training rows with label indexes and scaler statistics, persisted while models are fitted."""
+    """Assembled training vectors with label indexes, split into the rows that are fitted and the
+    validation rows that only steer early stopping (as a held-out validation share does)."""
 
-    def __init__(self, training: DataFrame, fit_roles: tuple[str, ...]):
+    def __init__(self, training: DataFrame, fit_roles: tuple[str, ...], validation_role: str | None):
         self.feats = FE.select_features(training)
-        training = training.persist()  # read by the statistics pass and by the fit rows below
+        training = training.persist()  # read by the statistics pass and by both parts below
         self.stats, self.ti, self.si = FE.stats_and_indexers(training, self.feats)
-        labelled = self.si.transform(self.ti.transform(training))
-        part = labelled.filter(F.col("role").isin(*fit_roles)) if "role" in labelled.columns else labelled
+        self.front = _front(self.stats, self.feats)
+        vec = self.si.transform(self.ti.transform(training))
+        for stage in self.front:
+            vec = stage.transform(vec)
+        vec = vec.select("features", "type_label", "severity_label", *(["role"] if "role" in vec.columns else []))
+        has_role = "role" in vec.columns
+        n = training.sparkSession.sparkContext.defaultParallelism
+        fit = vec.filter(F.col("role").isin(*fit_roles)) if has_role else vec
         # gradients are computed per partition (treeAggregate): spread the rows over the cluster's cores
-        self.fit_part = part.repartition(part.sparkSession.sparkContext.defaultParallelism).persist()
+        self.fit_part = fit.repartition(n).persist()
+        self.val_part = None
+        if has_role and validation_role:
+            self.val_part = vec.filter(F.col("role") == validation_role).repartition(n).persist()
+            self.val_part.count()
         self.fit_part.count()  # materialize from the cached training rows before releasing them
         training.unpersist()
 
     def release(self) -> None:
         self.fit_part.unpersist()
-
-
-def prepare(training: DataFrame, fit_roles: tuple[str, ...] = ("fit", "validation")) -> _Prepared:
-    return _Prepared(training, fit_roles)
-
-
-def fit_type(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42) -> PipelineModel:
-    """M7: type classifier (softmax over the kept types)."""
-    return _pipeline(prep.stats, prep.feats, "type_label", len(prep.ti.labels), hidden, max_iter, seed).fit(prep.fit_part)
-
-
-def fit_severity(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42) -> PipelineModel | None:
+        if self.val_part is not None:
+            self.val_part.unpersist()
+
+
+def prepare(training: DataFrame, fit_roles: tuple[str, ...] = ("fit",), validation_role: str | None = "validation") -> _Prepared:
+    return _Prepared(training, fit_roles, validation_role)
+
+
+def _val_loss(model, val: DataFrame, label_col: str) -> float:
+    """Mean cross-entropy of the validation rows (one distributed aggregation)."""
+    p = vector_to_array(F.col(f"{label_col}_prob"))
+    pt = F.element_at(p, F.col(label_col).cast("int") + 1)
+    r = model.transform(val).agg(F.avg(-F.log(F.greatest(pt, F.lit(1e-15))))).first()[0]
+    return float("inf") if r is None else float(r)
+
+
+def _fit_early_stopping(prep: _Prepared, label_col: str, n_classes: int, hidden, max_iter: int, seed: int,
+                        chunk: int, patience: int) -> PipelineModel:
+    """L-BFGS in chunks of ``chunk`` iterations, each warm-started from the previous weights; after
+    every chunk the validation loss is measured and training stops after ``patience`` chunks
+    without improvement, keeping the best weights. Without validation rows: one plain fit."""
+    n_in = len(prep.feats)
+    if prep.val_part is None or chunk >= max_iter:
+        best = _mlp(label_col, n_in, n_classes, hidden, max_iter, seed).fit(prep.fit_part)
+        return PipelineModel(stages=[*prep.front, best])
+    best, best_loss, bad, weights, done = None, float("inf"), 0, None, 0
+    while done < max_iter:
+        step = min(chunk, max_iter - done)
+        model = _mlp(label_col, n_in, n_classes, hidden, step, seed, weights=weights).fit(prep.fit_part)
+        done += step
+        weights = model.weights
+        loss = _val_loss(model, prep.val_part, label_col)
+        if loss < best_loss:
+            best, best_loss, bad = model, loss, 0
+        else:
+            bad += 1
+            if bad >= patience:
+                break
+    return PipelineModel(stages=[*prep.front, best])
+
+
+def fit_type(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
+             chunk: int = CHUNK, patience: int = PATIENCE) -> PipelineModel:
+    """M7: type classifier (softmax over the kept types), early-stopped on the validation rows."""
+    return _fit_early_stopping(prep, "type_label", len(prep.ti.labels), hidden, max_iter, seed, chunk, patience)
+
+
+def fit_severity(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
+                 chunk: int = CHUNK, patience: int = PATIENCE) -> PipelineModel | None:
     """M8: severity classifier; None (a constant prediction) when only one severity occurs."""
     if len(prep.si.labels) < 2:
         return None
-    return _pipeline(prep.stats, prep.feats, "severity_label", len(prep.si.labels), hidden, max_iter, seed).fit(prep.fit_part)
+    return _fit_early_stopping(prep, "severity_label", len(prep.si.labels), hidden, max_iter, seed, chunk, patience)
 
 
 def assemble(prep: _Prepared, type_model: PipelineModel, severity_model: PipelineModel | None) -> IncidentModels:
@@ -89,13 +145,14 @@ def assemble(prep: _Prepared, type_model: PipelineModel, severity_model: Pipelin
 
 
 def fit_models(training: DataFrame, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
-               fit_roles: tuple[str, ...] = ("fit", "validation")) -> IncidentModels:
-    """M7 + M8: fit both classifiers on the training part of :func:`features.validation_split` output.
+               fit_roles: tuple[str, ...] = ("fit",), validation_role: str | None = "validation") -> IncidentModels:
+    """M7 + M8: fit both classifiers on the 'fit' rows of :func:`features.validation_split` output,
+    early-stopped on its 'validation' rows.
 
     The scaler is fitted on the whole frame before the split, as in training.
     When every kept type has the same severity, the severity model is a constant.
     """
-    prep = prepare(training, fit_roles)
+    prep = prepare(training, fit_roles, validation_role)
     try:
         return assemble(prep, fit_type(prep, hidden, max_iter, seed), fit_severity(prep, hidden, max_iter, seed))
     finally:
