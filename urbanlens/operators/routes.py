@@ -200,7 +200,9 @@ def dedup_routes(candidates: DataFrame, order_cols: tuple[str, ...] = ("ord",))
     """
     item = F.struct(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)],
-        "route_seq", "kind", F.coalesce("distance", F.lit(0.0)).alias("dist"), "distance", "duration",
+        F.col("route_seq").cast("int").alias("route_seq"), F.col("kind").cast("string").alias("kind"),
+        F.coalesce(F.col("distance").cast("double"), F.lit(0.0)).alias("dist"),
+        F.col("distance").cast("double").alias("distance"), F.col("duration").cast("double").alias("duration"),
     )
     per_trip = candidates.groupBy("trip_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
     acc_type = "array<struct<route_seq:int,kind:string,dist:double,distance:double,duration:double>>"
