@@ -102,11 +102,12 @@ def test_nearest_area_paths_agree(spark):
     rng = random.Random(11)
     cents = spark.createDataFrame([(f"A{i:02d}", 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for i in range(30)],
                                   "area_name string, lat double, lon double")
-    pts = spark.createDataFrame([(j, 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for j in range(300)],
+    pts = spark.createDataFrame([(j, 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for j in range(300)]
+                                + [(900, 40.0, -100.0), (901, 34.2, -118.3)],  # one point far from every centroid
                                 "point_id long, lat double, lon double")
     a = {r[0]: r[1] for r in G.nearest_area(pts, cents).select("point_id", "nearest_area").collect()}
     b = {r[0]: r[1] for r in G.nearest_area(pts, cents, inline_max=0).select("point_id", "nearest_area").collect()}
-    assert a == b
+    assert a == b and a[900] is not None
 
 
 def _py_sample(path):

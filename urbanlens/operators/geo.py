@@ -40,44 +40,39 @@ def _nearest_inline(points: DataFrame, cents: list, lat: str, lon: str) -> DataF
     return points.withColumn("nearest_area", F.array_min(d2)["area"])
 
 
-def _nearest_binned(points: DataFrame, centroids: DataFrame, lat: str, lon: str, key: str, cell: float) -> DataFrame:
+def _nearest_binned(points: DataFrame, centroids: DataFrame, lat: str, lon: str, key: str, cell: float,
+                    max_rounds: int = 64) -> DataFrame:
     """Exact nearest centroid for large centroid sets, without a cross join.
 
     Round r uses cells of size ``cell * 4**r``: candidates come from the 3 x 3
     block around the point's cell (equi-join on cells). A point is settled when
     its best distance is at most the cell size (nothing outside the block can be
-    closer); unsettled points go to the next, coarser round.
+    closer); unsettled points go to the next, coarser round, so even points far
+    from every centroid settle once the cells are large enough. Points without
+    coordinates get no area.
     """
     from urbanlens.session import shared_dir
 
     shared_dir(points.sparkSession)  # checkpoint() below needs the shared checkpoint folder
     cents = centroids.select(F.col("area_name").alias("area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    ext = centroids.agg(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).first()
-    span = max(abs(ext[0] or 0.0), abs(ext[1] or 0.0), cell)
-    todo = points.select(key, lat, lon)
+    todo = points.select(key, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     done = []
     size = cell
-    while True:
-        last = size > span
+    off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    for _ in range(max_rounds):
         cc = cents.select("*", F.floor(F.col("c_lat") / size).alias("cy"), F.floor(F.col("c_lon") / size).alias("cx"))
-        off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        pc = todo.select(
-            "*",
-            F.explode(off).alias("dy"),
-        ).select("*", F.explode(off).alias("dx")).select(
+        pc = todo.select("*", F.explode(off).alias("dy")).select("*", F.explode(off).alias("dx")).select(
             key, lat, lon,
             (F.floor(F.col(lat) / size) + F.col("dy")).alias("cy"),
             (F.floor(F.col(lon) / size) + F.col("dx")).alias("cx"),
         )
         cand = pc.join(cc, ["cy", "cx"]).select(
-            key, lat, lon, "area",
+            key, "area",
             (F.pow(F.col("c_lat") - F.col(lat), F.lit(2.0)) + F.pow(F.col("c_lon") - F.col(lon), F.lit(2.0))).alias("d2"),
         )
         best = cand.groupBy(key).agg(F.min(F.struct("d2", "area")).alias("b"))
-        settled = best.filter(F.lit(last) | (F.col("b.d2") <= size * size)).select(key, F.col("b.area").alias("nearest_area"))
+        settled = best.filter(F.col("b.d2") <= size * size).select(key, F.col("b.area").alias("nearest_area")).checkpoint()
         done.append(settled)
-        if last:
-            break
         todo = todo.join(settled.select(key), key, "left_anti").checkpoint()
         if todo.isEmpty():
             break
