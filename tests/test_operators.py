@@ -197,3 +197,14 @@ def test_trend_rules(spark):
     assert a[1] == ("trend", "La tendencia de 'ROBBERY' ha **bajado** un 0.0% en el último año registrado.")
     assert a[2][0] == "generic"
     assert a[3][1] == "La tendencia de 'THEFT' ha **bajado** un 50.0% en el último año registrado."
+
+
+def test_area_matching_paths_agree(spark):
+    inc = spark.createDataFrame([("", 1), ("Central", 2), ("Hollywood", 3), ("N Hollywood", 4)], "area_name string, time_occ int")
+    qs = spark.createDataFrame([(1, "compara central y n hollywood"), (2, ""), (3, "nada")], "question_id long, text string")
+    qf = Q.question_features(qs)
+    inline = {r[0]: [x["area"] for x in r[1]] for r in Q.areas_found(qf, inc).select("question_id", "found").collect()}
+    grams = {r[0]: [x["area"] for x in r[1]] for r in Q.areas_found(qf, inc, inline_max=0).select("question_id", "found").collect()}
+    areas = sorted(["", "Central", "Hollywood", "N Hollywood"])
+    want = {q: [a for a in areas if a.lower() in t.lower()] for q, t in [(1, "compara central y n hollywood"), (2, ""), (3, "nada")]}
+    assert inline == want and grams == want

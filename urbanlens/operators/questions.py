@@ -161,7 +161,9 @@ def _areas_found_qgram(qf: DataFrame, counts: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))).alias("pos"),
     ).select("question_id", "low", F.explode(F.sequence(F.lit(1), F.lit(QGRAM))).alias("q"), "pos").select(
         "question_id", "low", F.substring("low", F.col("pos"), F.col("q")).alias("g")
-    ).distinct()
+    )
+    # the empty gram: an empty area name occurs in every text
+    grams = grams.unionByName(qf.select("question_id", "low", F.lit("").alias("g"))).distinct()
     hits = grams.join(ar, "g").filter(F.contains(F.col("low"), F.col("la"))).select("question_id", "area_name", "n").distinct()
     found = hits.groupBy("question_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("area_name").alias("area"), F.col("n")))).alias("found")
