@@ -58,7 +58,8 @@ def _plan(df):
 
 
 @pytest.mark.parametrize("name", ["top_crimes", "incidents_near_point", "answer_questions", "best_route", "mode_near_point",
-                                  "nearest_area", "route_risk_historical", "heat_points"])
+                                  "nearest_area", "route_risk_historical", "heat_points", "score_points", "route_risk_model",
+                                  "training_frame", "dedup_routes"])
 def test_plans_stay_in_jvm(spark, sf_small, name):
     plan = _plan(ENTRY.queries()[name](spark, sf_small))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
