@@ -200,8 +200,8 @@ def compare_areas(found: DataFrame) -> DataFrame:
     )
 
 
-def _trend_join(qf: DataFrame, trend: DataFrame) -> DataFrame:
-    n = trend.count()
+def _trend_join(qf: DataFrame, trend: DataFrame, n: int | None = None) -> DataFrame:
+    n = trend.count() if n is None else n
     t = F.broadcast(trend) if n <= TREND_BROADCAST_MAX else trend
     key = F.coalesce(F.col("crime"), F.lit(ALL_KEY))
     q = qf.withColumn("trend_key", key)
@@ -209,22 +209,43 @@ def _trend_join(qf: DataFrame, trend: DataFrame) -> DataFrame:
     return q.join(tt, "trend_key", "left")
 
 
+class Answerer:
+    """Question answering with its statistics prepared once (one scan, checkpointed): the 24 hour
+    counts and the area counts become literal arrays, the trend table is checkpointed too.
+    Calling it on any batch of questions is then a projection plus one broadcast join."""
+
+    def __init__(self, incidents: DataFrame, areas_inline_max: int = AREAS_INLINE_MAX):
+        stats = _checkpoint(question_stats(incidents))  # one scan of the incidents, small result
+        self.stats = stats
+        self.hours = _hour_array(stats=stats)
+        self.areas_inline_max = areas_inline_max
+        self.trend = _checkpoint(trend_from_stats(stats))
+        self.n_trend = self.trend.count()
+
+    def __call__(self, questions: DataFrame) -> DataFrame:
+        qf = question_features(questions)
+        hours = self.hours
+        s, e = F.col("start_h"), F.col("end_h")
+        inside = lambda h: F.when(s <= e, (h >= s) & (h <= e)).otherwise((h >= s) | (h <= e))
+        qf = qf.withColumn(
+            "window_n",
+            F.when(F.col("has_interval"), F.aggregate(
+                F.sequence(F.lit(0), F.lit(23)), F.lit(0).cast("bigint"),
+                lambda acc, h: acc + F.when(inside(h), F.element_at(hours, h + 1)).otherwise(F.lit(0).cast("bigint")),
+            )),
+        )
+        qf = areas_found(qf, inline_max=self.areas_inline_max, stats=self.stats)
+        qf = _trend_join(qf, self.trend, self.n_trend)
+        return _answer(qf)
+
+
 def answer_questions(questions: DataFrame, incidents: DataFrame) -> DataFrame:
     """Q1 + Q3: resolved intent and answer text for every question."""
-    qf = question_features(questions)
-    stats = _checkpoint(question_stats(incidents))  # one scan of the incidents, small result
-    hours = _hour_array(stats=stats)
+    return Answerer(incidents)(questions)
+
+
+def _answer(qf: DataFrame) -> DataFrame:
     s, e = F.col("start_h"), F.col("end_h")
-    inside = lambda h: F.when(s <= e, (h >= s) & (h <= e)).otherwise((h >= s) | (h <= e))
-    qf = qf.withColumn(
-        "window_n",
-        F.when(F.col("has_interval"), F.aggregate(
-            F.sequence(F.lit(0), F.lit(23)), F.lit(0).cast("bigint"),
-            lambda acc, h: acc + F.when(inside(h), F.element_at(hours, h + 1)).otherwise(F.lit(0).cast("bigint")),
-        )),
-    )
-    qf = areas_found(qf, stats=stats)
-    qf = _trend_join(qf, trend_from_stats(stats))
     a1, a2 = F.col("found")[0], F.col("found")[1]
     n1, n2 = a1["n"], a2["n"]
     fmt = lambda c: F.format_number(c, 0)
@@ -249,4 +270,3 @@ def answer_questions(questions: DataFrame, incidents: DataFrame) -> DataFrame:
         .otherwise(F.lit(vocab.GENERIC_ANSWER))
     )
     return qf.select("question_id", intent.alias("intent"), answer.alias("answer"))
-

@@ -28,6 +28,7 @@ from urbanlens.sources import incidents as I
 from urbanlens.sources import places as P
 from urbanlens.sources import routes as RS
 from urbanlens.streaming import predictions as ST
+from urbanlens.streaming import questions as SQ
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -798,3 +799,13 @@ def q_stream_predictions_model(spark, sf):
     log = fresh_dir(spark, "stream-log")
     ST.run_to_log(ST.scored_stream(ST.request_stream(spark, src, 1), M.model_scorer(fitted(spark, sf))), log)
     return spark.read.parquet(log).drop("scored_at")
+
+
+@query("stream_answers")
+def q_stream_answers(spark, sf):
+    """Questions streamed one file per micro-batch and answered from statistics prepared once."""
+    src = fresh_dir(spark, "question-drop")
+    questions(spark, sf).repartition(4).write.parquet(src)
+    sink = fresh_dir(spark, "answers")
+    SQ.run_answers(SQ.question_stream(spark, src, 1), Q.Answerer(clean(spark, sf)), sink)
+    return spark.read.parquet(sink).select("question_id", "intent", "answer")

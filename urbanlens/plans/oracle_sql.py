@@ -731,3 +731,4 @@ SQL["answer_questions_light"] = with_("qf", "win_l", "cmp_l", "trend_l") + (
     _ANSWER.replace("LEFT JOIN win w", "LEFT JOIN win_l w").replace("LEFT JOIN cmp c", "LEFT JOIN cmp_l c")
     .replace("LEFT JOIN trend t", "LEFT JOIN trend_l t")
 )
+SQL["stream_answers"] = SQL["answer_questions"]
