@@ -89,3 +89,11 @@ def test_city_box(spark):
     rows = [(33.7, -118.7), (34.35, -118.0), (34.36, -118.2), (34.0, -117.9)]
     got = [r[0] for r in spark.createDataFrame(rows, "a double, o double").select(coords.in_city_box(F.col("a"), F.col("o"))).collect()]
     assert got == [True, True, False, False]
+
+
+def test_fixed_matches_python_formatting(spark):
+    vals = [0.15, 0.25, 0.35, 0.45, 2.675, 12.25, 1234.55, 0.05, 3.5000000000000004, 28.999999999999996, 99.95, 2400.0, -0.04]
+    rows = spark.createDataFrame([(v,) for v in vals], "x double").select(
+        "x", text.fixed(F.col("x"), 1).alias("f1"), text.fixed(F.col("x"), 0).alias("f0")).collect()
+    for r in rows:
+        assert r["f1"] == f"{r['x']:.1f}" and r["f0"] == f"{r['x']:.0f}", r["x"]

@@ -17,6 +17,12 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*cols)
 
 
+def fixed(x: Column, decimals: int) -> Column:
+    """Number as text with ``decimals`` places, rounded half-even on the exact binary value
+    (the rule of Python's fixed-point formatting); no grouping separators."""
+    return F.regexp_replace(F.format_number(x, decimals), ",", "")
+
+
 def _quoted_alternation(words: list[str]) -> str:
     return "|".join(r"\Q" + w + r"\E" for w in words)
 

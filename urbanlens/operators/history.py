@@ -32,10 +32,9 @@ def latest_routes(analyses: DataFrame, n: int = 10) -> DataFrame:
 def log_top3(log: DataFrame) -> DataFrame:
     """One row per predicted class of each entry: rank, Spanish label, percentage text (1 decimal)."""
     e = log.select("log_id", F.posexplode("result.top_3").alias("pos", "t"))
-    pct = F.bround(F.col("t.probabilitat") * 100, 1)
     return e.select(
         "log_id",
         (F.col("pos") + 1).cast("int").alias("rank"),
         text.translate_crime(F.col("t.crim")).alias("crim_es"),
-        F.concat(F.format_string("%.1f", pct), F.lit("%")).alias("pct_text"),
+        F.concat(text.fixed(F.col("t.probabilitat") * 100, 1), F.lit("%")).alias("pct_text"),
     )

@@ -96,7 +96,7 @@ def trend_from_stats(stats: DataFrame) -> DataFrame:
         "*",
         F.round(change, 6).alias("change_pct"),
         F.when(change > 0, F.lit(vocab.TREND_UP)).otherwise(F.lit(vocab.TREND_DOWN)).alias("trend"),
-        F.format_string("%.1f", F.bround(F.abs(change), 1)).alias("change_text"),
+        text.fixed(F.abs(change), 1).alias("change_text"),
     )
 
 

@@ -258,7 +258,7 @@ def route_risk_scored(accepted: DataFrame, samples: DataFrame, trips: DataFrame,
         & (F.col("confidence") > vocab.RISK_CONF_MIN)
     )
     label = text.translate_crime(F.col("prediction"))
-    pct = F.bround(F.col("confidence") * 100, 0).cast("bigint").cast("string")
+    pct = text.fixed(F.col("confidence") * 100, 0)
     return risky.select(
         "trip_id", "route_id", "route_seq", "sample_idx", "lat", "lon",
         (F.col("confidence") * 100).cast("int").alias("count"),

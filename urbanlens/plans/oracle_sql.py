@@ -529,7 +529,7 @@ register_cte("risks", f"""risks AS (
   SELECT trip_id, route_id, route_seq, sample_idx, lat, lon, CAST(TRUNC(confidence * 100) AS INTEGER) AS count,
     CASE WHEN severity_confidence > 0.75::DOUBLE THEN 2 WHEN severity_confidence > 0.6::DOUBLE THEN 1 ELSE 0 END AS intensity,
     severity_confidence AS severity_conf,
-    '[RIESGO] ' || label || ' (' || CAST(CAST(ROUND_EVEN(confidence * 100, 0) AS BIGINT) AS VARCHAR) || '%)' AS description,
+    '[RIESGO] ' || label || ' (' || printf('%.0f', confidence * 100) || '%)' AS description,
     LEFT(label, 40) AS crime_type
   FROM (SELECT x.*, {translate_sql('x.prediction')} AS label FROM (
       SELECT s.*, a.route_id, {score_sql('s.lat', 's.lon', 'c.hour')}
