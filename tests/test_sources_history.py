@@ -82,3 +82,18 @@ def test_stream_scoring_matches_batch(spark, sf_small):
     batch = X.fixture_scorer(spark.read.parquet(src)).select(*streamed.columns)
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_training_job_end_to_end(spark, sf_small):
+    from urbanlens import jobs
+    from urbanlens.operators.models import load_models
+
+    csv = fresh_dir(spark, "job-csv")
+    I.write_incident_csv(CT.raw(spark, sf_small), csv)
+    out = fresh_dir(spark, "job-out")
+    s = jobs.training_job(spark, csv, out, sample=1000)
+    assert s["audit"]["loaded_rows"] == 1000 and s["audit"]["valid_rows"] > 0
+    assert spark.read.parquet(s["outputs"]["top_crimes"]).count() > 0
+    assert set(s["models"]["accuracy"]) == {"type", "severity"}
+    loaded = load_models(spark, s["models"]["path"])
+    assert loaded.type_labels == s["models"]["type_labels"]
