@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: cleaning, exploration, dashboard, geo, questions, routes, features, models, history."""

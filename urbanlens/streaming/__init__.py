@@ -1,0 +1 @@
+"""Structured Streaming jobs: prediction requests and questions."""
