@@ -40,6 +40,9 @@ def test_curated_prefers_written_table(spark, sf_small):
     I.write_curated(clean, path)
     back = I.load_incidents(spark, curated_path=path)
     assert back.count() == clean.count() and back.columns == clean.columns
+    direct = fresh_dir(spark, "curated-direct")
+    I.write_curated(clean, direct, layout="direct")
+    assert I.load_incidents(spark, curated_path=direct).exceptAll(back).count() == 0
 
 
 def test_log_append_and_views(spark, sf_small):

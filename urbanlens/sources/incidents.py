@@ -98,14 +98,19 @@ def write_incident_csv(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def write_curated(clean: DataFrame, path: str, num_partitions: int | None = None) -> None:
+def write_curated(clean: DataFrame, path: str, num_partitions: int | None = None, layout: str = "range") -> None:
     """Persist the cleaned table partitioned by year (partition pruning for year filters).
 
-    Rows are first range-partitioned on (year, dr_no): each task then writes
-    into one (or a few adjacent) year folders instead of every task writing a
-    file into every year, and a year holding a large share of the rows is
-    split over many tasks by record key. Files come out sorted by key.
+    ``layout="range"`` (default) first range-partitions rows on (year, dr_no):
+    each task then writes into one (or a few adjacent) year folders instead of
+    every task writing a file into every year, a year holding a large share of
+    the rows is split over many tasks by record key, and files come out sorted
+    by key. This costs one shuffle of the table. ``layout="direct"`` skips the
+    shuffle and lets every task write its own rows (more, smaller files).
     """
+    if layout == "direct":
+        clean.write.mode("overwrite").partitionBy("year").parquet(path)
+        return
     n = num_partitions or int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clean.repartitionByRange(n, "year", "dr_no").write.mode("overwrite").partitionBy("year").parquet(path)
 
