@@ -208,3 +208,25 @@ def test_area_matching_paths_agree(spark):
     areas = sorted(["", "Central", "Hollywood", "N Hollywood"])
     want = {q: [a for a in areas if a.lower() in t.lower()] for q, t in [(1, "compara central y n hollywood"), (2, ""), (3, "nada")]}
     assert inline == want and grams == want
+
+
+def test_exact_split_matches_full_ranking(spark, monkeypatch):
+    from urbanlens.operators import features as FE
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["A"] * 6 + ["B", "C"]) if i % 50 else "D") for i in range(3000)]
+    df = spark.createDataFrame(rows, "dr_no long, crm_cd_desc string")
+    import hashlib
+
+    def h(k):
+        return int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16)
+
+    want = {}
+    for c in {r[1] for r in rows}:
+        keys = sorted((h(k), k) for k, cc in rows if cc == c)
+        n_test = int(len(keys) * 0.2 + 0.5)
+        want.update({k: ("test" if i < n_test else "train") for i, (_, k) in enumerate(keys)})
+    for bits in (20, 3, 1):  # few buckets: boundary buckets hold many rows
+        monkeypatch.setattr(FE, "SPLIT_BUCKET_BITS", bits)
+        got = {r[0]: r[1] for r in FE.stratified_split_exact(df).select("dr_no", "split").collect()}
+        assert got == want, bits

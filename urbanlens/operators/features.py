@@ -109,6 +109,48 @@ def stratified_split(training: DataFrame, test_pct: int = TEST_PCT) -> DataFrame
     return training.withColumn("split", F.when(_bucket(F.col("dr_no")) < test_pct, "test").otherwise("train"))
 
 
+SPLIT_BUCKET_BITS = 20
+
+
+def _hash60(key: F.Column) -> F.Column:
+    """60 uniform bits of the md5 of the key (non-negative bigint)."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+def stratified_split_exact(training: DataFrame, test_pct: int = TEST_PCT, label: str = TARGET) -> DataFrame:
+    """M4, exact variant: each class puts round(test_pct % of its rows) into the test part - the
+    rows with the smallest key hash - so class shares are exact, not just expected.
+
+    The k-th smallest hash per class is found without a window over a whole
+    class: a histogram of 2^20 hash buckets per class (one aggregation; the
+    per-class cumulative sums run over at most 2^20 rows) locates the bucket
+    holding the boundary, and only the rows of that one bucket per class are
+    ranked. Every other row is decided by comparing its bucket.
+    """
+    shift = 60 - SPLIT_BUCKET_BITS
+    df = training.withColumn("_h", _hash60(F.col("dr_no"))).withColumn("_b", F.shiftright("_h", shift))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_k", F.floor(F.col("_n") * F.lit(test_pct / 100.0) + F.lit(0.5)).cast("bigint")
+    )
+    hist = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_cum", F.sum("_c").over(w)).join(counts, label)
+    # boundary bucket: the first bucket whose cumulative count reaches k; rows needed from it
+    boundary = hist.filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k"))).select(
+        label, F.col("_b").alias("_bb"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")
+    )
+    classes = counts.join(boundary, label, "left")  # one row per class (k = 0 -> no boundary)
+    tagged = df.join(F.broadcast(classes.select(label, "_bb", "_need")), label, "left")
+    edge = tagged.filter(F.col("_b") == F.col("_bb"))
+    ranked = edge.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", "dr_no"))).select(
+        "dr_no", (F.col("_r") <= F.col("_need")).alias("_in")
+    )
+    out = tagged.join(ranked, "dr_no", "left")
+    is_test = F.when(F.col("_bb").isNull(), F.lit(False)).when(F.col("_b") < F.col("_bb"), True).when(
+        F.col("_b") > F.col("_bb"), False).otherwise(F.coalesce(F.col("_in"), F.lit(False)))
+    return out.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_b", "_bb", "_need", "_in")
+
+
 def validation_split(split: DataFrame, pct: int = VALIDATION_PCT) -> DataFrame:
     """M5: a further hash share of the training rows held out for validation."""
     role = (

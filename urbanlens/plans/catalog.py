@@ -637,6 +637,12 @@ def q_stratified_split(spark, sf):
     return FE.stratified_split(training(spark, sf)).select("dr_no", "split")
 
 
+@query("stratified_split_exact")
+def q_stratified_split_exact(spark, sf):
+    """M4 exact: per class the round(20 %) rows with the smallest key hash form the test part."""
+    return FE.stratified_split_exact(training(spark, sf)).select("dr_no", "split")
+
+
 @query("validation_split")
 def q_validation_split(spark, sf):
     return split_frame(spark, sf).select("dr_no", "role")
