@@ -575,6 +575,13 @@ def _model_state(spark, sf) -> dict:
     return _MODELS[key]
 
 
+def reset_models() -> None:
+    """Forget fitted classifiers and release their persisted training vectors."""
+    for st in _MODELS.values():
+        st["prep"].release()
+    _MODELS.clear()
+
+
 def fitted_type(spark, sf):
     st = _model_state(spark, sf)
     if "type" not in st:
