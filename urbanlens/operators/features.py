@@ -110,6 +110,7 @@ def stratified_split(training: DataFrame, test_pct: int = TEST_PCT) -> DataFrame
 
 
 SPLIT_BUCKET_BITS = 20
+CLASS_BROADCAST_MAX = 100_000
 
 
 def _hash60(key: F.Column) -> F.Column:
@@ -139,8 +140,9 @@ def stratified_split_exact(training: DataFrame, test_pct: int = TEST_PCT, label:
     boundary = hist.filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k"))).select(
         label, F.col("_b").alias("_bb"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")
     )
-    classes = counts.join(boundary, label, "left")  # one row per class (k = 0 -> no boundary)
-    tagged = df.join(F.broadcast(classes.select(label, "_bb", "_need")), label, "left")
+    classes = counts.join(boundary, label, "left").select(label, "_bb", "_need")  # one row per class
+    n_classes = counts.count()
+    tagged = df.join(F.broadcast(classes) if n_classes <= CLASS_BROADCAST_MAX else classes, label, "left")
     edge = tagged.filter(F.col("_b") == F.col("_bb"))
     ranked = edge.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", "dr_no"))).select(
         "dr_no", (F.col("_r") <= F.col("_need")).alias("_in")
