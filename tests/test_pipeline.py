@@ -111,3 +111,16 @@ def test_year_filter_prunes_partitions(spark, sf_small):
     assert any("PartitionFilters: [year" in s and "IN (1996,1999,2001)]" in s for s in scans)
     scans = _scans(ENTRY.queries()["recent_years"](spark, sf_small))
     assert any("PartitionFilters: [isnotnull(year" in s for s in scans)
+
+
+def test_model_fit_is_deterministic(spark, sf_small):
+    from pyspark.sql import functions as F
+
+    tr = CT.split_frame(spark, sf_small).filter(F.col("split") == "train")
+    a = M.prepare(tr)
+    b = M.prepare(tr)
+    wa = M.fit_type(a, max_iter=10).stages[-1].weights
+    wb = M.fit_type(b, max_iter=10).stages[-1].weights
+    a.release()
+    b.release()
+    assert list(wa) == list(wb)
