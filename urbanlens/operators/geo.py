@@ -2,8 +2,9 @@
 mode of nearby types (A22) and historical route risk (R6).
 
 The box join is rewritten as an equi-join on grid cells: each incident falls in
-exactly one cell, each query point is expanded to the (at most 2 x 2) cells its
-box overlaps, and the exact inclusive ``between`` test runs after the equi-join.
+exactly one cell, each query point is expanded to the cells its box overlaps
+(at most 3 x 3 with cells half as wide as the box), and the exact inclusive
+``between`` test runs after the equi-join.
 Incidents are first pre-aggregated per (cell, coordinates[, type]) so repeated
 coordinates - common in block-level incident data - collapse before the
 shuffle, and a hot cell carries counts rather than raw rows.
