@@ -144,29 +144,62 @@ def box_matches(points: DataFrame, incidents: DataFrame, key: list[str], lat: st
     return pc.join(ic, cond, how).select(*cols)
 
 
-def incidents_near_point(points: DataFrame, incidents: DataFrame, key: str = "point_id") -> DataFrame:
-    """Number of incidents with lat and lon within +-0.002 (inclusive) of each point (0 if none)."""
-    m = box_matches(points, incidents, [key], how="left")
-    return m.groupBy(key).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_incidents"))
+def _distinct_coords(points: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Distinct query coordinates (the heavy matching runs once per coordinate, not per point)."""
+    return points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct()
 
 
-def mode_near_point(points: DataFrame, incidents: DataFrame, key: list[str] | str = "point_id",
-                    carry_coords: bool = False) -> DataFrame:
-    """Per point with nearby incidents: count and most frequent non-null type (ties -> alphabetically first).
+def _back_to_points(points: DataFrame, per_coord: DataFrame, key: list[str], lat: str, lon: str, how: str) -> DataFrame:
+    """Attach per-coordinate results to every point with those coordinates (equi-join on lat, lon)."""
+    p = points.select(*key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    return p.join(per_coord, ["_lat", "_lon"], how)
+
+
+def incidents_near_point(points: DataFrame, incidents: DataFrame, key: str = "point_id", lat: str = "lat",
+                         lon: str = "lon", distinct_points: bool = True) -> DataFrame:
+    """Number of incidents with lat and lon within +-0.002 (inclusive) of each point (0 if none).
 
-    With ``carry_coords`` the point's own lat/lon travel through the aggregation
-    (they depend on the key), so callers need no join back to the points.
+    With ``distinct_points`` the box join runs once per distinct coordinate and
+    the counts are joined back, so repeated query points cost one match.
     """
-    key = [key] if isinstance(key, str) else key
-    m = box_matches(points, incidents, key, with_type=True)
-    keys = key + (["p_lat", "p_lon"] if carry_coords else [])
+    if not distinct_points:
+        m = box_matches(points, incidents, [key], lat, lon, how="left")
+        return m.groupBy(key).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_incidents"))
+    m = box_matches(_distinct_coords(points, lat, lon), incidents, ["_lat", "_lon"], "_lat", "_lon")
+    per = m.groupBy("_lat", "_lon").agg(F.sum("cnt").alias("n"))
+    out = _back_to_points(points, per, [key], lat, lon, "left")
+    return out.select(key, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_incidents"))
+
+
+def _mode_per(m: DataFrame, keys: list[str]) -> DataFrame:
     per_type = m.groupBy(*keys, "crm_cd_desc").agg(F.sum("cnt").alias("cnt"))
     # most frequent first, then alphabetical: the minimum of (-count, type); null types never win
     order = F.when(F.col("crm_cd_desc").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("crm_cd_desc").alias("c")))
-    out = per_type.groupBy(*keys).agg(
+    return per_type.groupBy(*keys).agg(
         F.sum("cnt").cast("bigint").alias("n_incidents"), F.min_by("crm_cd_desc", order).alias("top_crime")
     )
-    return out.withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"}) if carry_coords else out
+
+
+def mode_near_point(points: DataFrame, incidents: DataFrame, key: list[str] | str = "point_id",
+                    carry_coords: bool = False, lat: str = "lat", lon: str = "lon",
+                    distinct_points: bool = True) -> DataFrame:
+    """Per point with nearby incidents: count and most frequent non-null type (ties -> alphabetically first).
+
+    With ``carry_coords`` the point's lat/lon are returned too. With
+    ``distinct_points`` the matching and the per-type aggregation run once per
+    distinct coordinate and are joined back to the points.
+    """
+    key = [key] if isinstance(key, str) else key
+    if not distinct_points:
+        m = box_matches(points, incidents, key, lat, lon, with_type=True)
+        keys = key + (["p_lat", "p_lon"] if carry_coords else [])
+        out = _mode_per(m, keys)
+        return out.withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"}) if carry_coords else out
+    m = box_matches(_distinct_coords(points, lat, lon), incidents, ["_lat", "_lon"], "_lat", "_lon", with_type=True)
+    per = _mode_per(m, ["_lat", "_lon"])
+    out = _back_to_points(points, per, key, lat, lon, "inner")
+    cols = key + ([F.col("_lat").alias("lat"), F.col("_lon").alias("lon")] if carry_coords else [])
+    return out.select(*cols, "n_incidents", "top_crime")
 
 
 # ---------------------------------------------------------------- J4 recent years
