@@ -28,6 +28,14 @@ def test_csv_scan_missing_and_extra_columns(spark):
     assert rows[7]["area_name"] == "Central" and rows[7]["time_occ"] is None and rows[8]["lat"] == "n/a"
 
 
+def test_header_with_byte_order_mark(spark):
+    path = fresh_dir(spark, "csv-bom")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part.csv"), "w", encoding="utf-8-sig") as f:
+        f.write("DR_NO,DATE OCC,LAT,LON\n9,2020-01-08,34.05,-118.24\n")
+    assert I.read_incident_csv(spark, path).first()["dr_no"] == 9
+
+
 def test_alias_names(spark):
     df = spark.createDataFrame([(1, "34.1", "-118.2", "Central", "2020-01-01")], "DR_NO long, lat string, lon string, area_name string, date_occ string")
     out = I.conform_raw(df)

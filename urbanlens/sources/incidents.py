@@ -46,7 +46,7 @@ CSV_HEADERS = {
 
 def canonical_name(header: str) -> str:
     """'AREA NAME' / 'area_name' / 'Area Name' -> 'area_name'."""
-    return re.sub(r"[\s\-]+", "_", header.strip()).lower()
+    return re.sub(r"[\s\-]+", "_", header.lstrip("\ufeff").strip()).lower()
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:
