@@ -108,3 +108,17 @@ def test_training_job_end_to_end(spark, sf_small):
     assert set(s["models"]["accuracy"]) == {"type", "severity"}
     loaded = load_models(spark, s["models"]["path"])
     assert loaded.type_labels == s["models"]["type_labels"]
+
+
+def test_training_job_cli(spark, sf_small, capsys):
+    import json
+
+    from urbanlens import jobs
+
+    csv = fresh_dir(spark, "cli-csv")
+    I.write_incident_csv(CT.raw(spark, sf_small), csv)
+    out = fresh_dir(spark, "cli-out")
+    jobs.main(["--input", csv, "--out", out, "--no-explore"])
+    summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert summary["audit"]["loaded_rows"] == CT.raw(spark, sf_small).count()
+    assert list(summary["outputs"]) == ["curated"] and summary["models"]["path"].endswith("models")
