@@ -309,6 +309,13 @@ def q_dashboard_metrics_all(spark, sf):
     return D.dashboard_metrics(clean(spark, sf))
 
 
+@query("dashboard_metrics_light")
+def q_dashboard_metrics_light(spark, sf):
+    """A13 on the dashboard's fallback table without a curated file: light preprocessing, rows
+    without coordinates dropped (zeros and unscaled values stay)."""
+    return D.dashboard_metrics(C.light_incidents(raw(spark, sf), drop_missing_coords=True))
+
+
 @query("distinct_areas")
 def q_distinct_areas(spark, sf):
     return D.distinct_values(clean(spark, sf), "area_name")

@@ -736,3 +736,4 @@ SQL["stratified_split_exact"] = with_("tf") + """
 SELECT dr_no, CASE WHEN rn <= FLOOR(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM (
   SELECT dr_no, ROW_NUMBER() OVER (PARTITION BY crm_cd_desc ORDER BY h, dr_no) AS rn, COUNT(*) OVER (PARTITION BY crm_cd_desc) AS n
   FROM (SELECT dr_no, crm_cd_desc, ('0x' || substr(md5(CAST(dr_no AS VARCHAR)), 1, 15))::BIGINT AS h FROM tf) x) y"""
+SQL["dashboard_metrics_light"] = with_("light") + _METRICS + "(SELECT * FROM light WHERE lat IS NOT NULL AND lon IS NOT NULL) v"
