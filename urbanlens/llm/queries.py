@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from urbanlens.llm.common import fresh_dir, table
 
@@ -25,6 +26,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbanlens.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urbanlens.llm.line_dedup import line_digests
 
@@ -40,6 +47,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, digests=True)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbanlens.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urbanlens.llm.near_dedup import near_duplicates
 
@@ -70,7 +83,7 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op4_line_dedup, op5_token_files, op7_near_dedup, op8_source_mixing, op9_fingerprints, op10_word_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_toxicity, op4_line_dedup, op5_token_files, op6_neighbours, op7_near_dedup, op8_source_mixing, op9_fingerprints, op10_word_bpe)}
 
 _PARTS = r"""
 parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
