@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from urbanlens.session import fresh_dir
 
@@ -30,6 +31,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def about(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows, those of the smallest hashes of ``key``: a filter, so nothing is gathered to choose them."""
+    cut = 1 << 30
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(F.lit(5), key), F.lit(cut)) < int(cut * most / n))
+
+
 def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterable[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of one text column (one row at least)."""
     start = size = 0

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-* Centroids come from balanced hierarchical clustering of at most ``SAMPLE`` vectors (those of the smallest id hashes):
+* Centroids come from balanced hierarchical clustering of about ``SAMPLE`` vectors at most (those of the smallest id hashes):
   a set is split by k-means until its parts are small, so dense regions get more lists. Every vector is indexed.
 * A vector goes to its nearest centroid's list, and near a boundary to those of up to ``COPIES`` centroids: such as are
   within a ratio of the nearest distance, and nearer to the vector than to a centroid chosen before.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import written
+from urbanlens.llm.common import about, written
 
 SAMPLE, LISTS, LIST_SIZE, BLOCK = 20_000, 4096, 256, 2048
 COPIES, COPY_RATIO, BEAM, LINKS, FAR_LINKS, SEARCHED = 4, 1.12, 96, 24, 4, 1024
@@ -153,7 +153,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float = 1.35
     n = clean.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    sample = clean.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    sample = about(clean.select("vec_id", "embedding"), "vec_id", SAMPLE, n).orderBy("vec_id").select("embedding").toArrow()
+    if not sample.num_rows:  # all ids alike, say
+        sample = clean.select("embedding").limit(SAMPLE).toArrow()
     x = _unit(_matrix(sample.column("embedding").combine_chunks()))
     graph = Graph(balanced_centroids(x, max(1, min(LISTS, math.ceil(n / LIST_SIZE), len(x) // 4))))
 

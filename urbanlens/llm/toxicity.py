@@ -1,6 +1,6 @@
 """Toxicity by a learned lexicon, fuzzy matching and context windows.
 
-* Learning: of at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts (the smallest id hashes of each class; the bound
+* Learning: of about ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts at most (the smallest id hashes of each class; the bound
   concerns this fit alone) words and word beginnings are counted by class. Terms that toxic texts hold far oftener are
   candidates; chosen are, one by one, those that most add to the toxic texts that hold two of them. Chosen terms make a trie.
 * Matching: a Levenshtein automaton runs over the trie: its states are sets of (trie node, edits so far), made
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import Remembered, row_slices
+from urbanlens.llm.common import Remembered, about, row_slices
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 7500
 BEGINNINGS, FUZZY_LENGTH, MOST_STATES = (4, 5, 6), 6, 50_000
@@ -220,8 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] |
     total = {r._toxic: r.n for r in usable.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(0) or not total.get(1):
         return None
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = usable.filter("_toxic = 1").orderBy(*by_hash).limit(TRAIN_TOXIC).unionByName(usable.filter("_toxic = 0").orderBy(*by_hash).limit(TRAIN_CLEAN))
+    sample = about(usable.filter("_toxic = 1"), "doc_id", TRAIN_TOXIC, total[1]).unionByName(about(usable.filter("_toxic = 0"), "doc_id", TRAIN_CLEAN, total[0]))
     train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_toxic").cast("int").alias("_toxic")).checkpoint()
     seen = Counter({r._toxic: r.n for r in train.groupBy("_toxic").agg(F.count("*").alias("n")).collect()})
     if not seen[0] or not seen[1]:
