@@ -182,10 +182,11 @@ def line_digests(docs: DataFrame, least: int = 10) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without repeated lines (a null text stays null)."""
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if b is None else kept_lines(t, b)[2] for t, b in zip(batch.column("text").to_pylist(), batch.column("_keep_bitmap").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(docs.columns)], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
     return with_bitmaps(docs, least, keep_first).mapInArrow(cut, docs.schema)
