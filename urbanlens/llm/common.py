@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,24 +53,28 @@ def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterable[
 class Remembered:
     """What a function of a batch of strings gave, by string, in two generations of bounded size.
 
-    ``need`` makes the values of all given strings present; ``get`` looks one up until the next ``need``.
     A full generation becomes the old one; strings seen again move over, so frequent ones stay.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000):
         self.compute, self.limit = compute, limit
         self.new: dict = {}
         self.old: dict = {}
 
     def need(self, strings: Iterable[str]) -> Callable[[str], object]:
+        """Makes the values of all the strings present; looks one up until the next call."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         missing = set(strings).difference(self.new)
         if self.old:
-            seen = [s for s in missing if s in self.old]
-            self.new.update((s, self.old[s]) for s in seen)
-            missing.difference_update(seen)
-        if missing:
-            order = sorted(missing)
-            self.new.update(zip(order, self.compute(order), strict=True))
+            self.new.update((s, self.old[s]) for s in missing if s in self.old)
+            missing.difference_update(self.new)
+        order = [*missing]
+        self.new.update(zip(order, self.compute(order), strict=True))
         return self.new.__getitem__
+
+    def of_groups(self, groups: list[list[str]]) -> Iterator[list]:
+        """The values of several lists of strings, list by list."""
+        get = self.need(chain.from_iterable(groups))
+        for g in groups:
+            yield [*map(get, g)]

@@ -74,12 +74,26 @@ def coder(path: str, kind: str, value: Callable[[list[int]], object]) -> Remembe
         tokenizer = load_tokenizer(path)
 
         model, characters = tokenizer.model, byte_characters()
+        blank, feed = characters[32], [x.id for x in model.tokenize(characters[10])]
 
         def compute(strings: list[str]) -> list:
             """A piece that is one word for the pre-tokenizer goes to the library's model at once, others through the whole tokenizer."""
-            words = [bool(_WORD.fullmatch(s)) for s in strings]
-            rest = iter([e.ids for b in byte_batches([s for s, w in zip(strings, words, strict=True) if not w]) for e in tokenizer.encode_batch_fast(b, add_special_tokens=False)])
-            return [value([x.id for x in model.tokenize(s.encode().decode("latin-1").translate(characters))] if w else next(rest)) for s, w in zip(strings, words, strict=True)]
+            whole, tokenize = _WORD.fullmatch, model.tokenize
+            found: list = [None] * len(strings)
+            rest = []
+            for i, s in enumerate(strings):
+                # a line feed before a word, or before the blank before it, is a word by itself
+                first, word = (feed, s[1:]) if s[0] == "\n" else ([], s)
+                if whole(word):
+                    # of ASCII letters and a blank, only the blank has another character
+                    written = word.replace(" ", blank) if word.isascii() else word.encode().decode("latin-1").translate(characters)
+                    found[i] = value(first + [x.id for x in tokenize(written)])
+                else:
+                    rest.append(i)
+            coded = (e.ids for b in byte_batches([strings[i] for i in rest]) for e in tokenizer.encode_batch_fast(b, add_special_tokens=False))
+            for i, ids in zip(rest, coded, strict=True):
+                found[i] = value(ids)
+            return found
 
         _CODERS[path, kind] = Remembered(compute)
     return _CODERS[path, kind]

@@ -12,7 +12,6 @@ own; an empty table gives no rows; columns other than the id and the text are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +32,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, slice_
         for batch in batches:
             for rows in row_slices(batch, "text", slice_bytes):
                 split = [[p for part in segments(t) for p in pieces(part)] if t else [] for t in rows.column("text").to_pylist()]
-                get = lengths.need(chain.from_iterable(split))
-                n = [sum(map(get, found)) for found in split]
+                n = [*map(sum, lengths.of_groups(split))]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -10,8 +10,8 @@ Format: a folder of three Parquet tables, written by Spark and so readable where
 * ``starts``: by part, the ids of all parts before it.
 
 Tasks encode and compress where the rows are; only the compressed frames are dealt out by doc_id ranges (from
-approximate quantiles of the ids) and sorted there. The dictionary is trained on the starts of ``SAMPLE_DOCS``
-documents, those of the smallest id hashes: a bound on what shapes compression, never on what is written.
+approximate quantiles of the ids) and sorted there. The dictionary is trained on the starts of the first
+``SAMPLE_DOCS`` rows that Spark hands out: a bound on what shapes compression, never on what is written.
 
 Results by case: a null or empty text is the end id alone; null ids come first, repeated ids follow one another and
 each row keeps its own ids; a table too small to train on gets an empty dictionary; an empty table gives empty files
@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +35,25 @@ from urbanlens.llm.common import row_slices, shuffle_partitions
 from urbanlens.llm.pieces import coder, load_tokenizer, pieces, segments
 
 BLOCK_BYTES, SLICE_BYTES = 1 << 20, 1 << 20
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, LEVEL = 1 << 16, 1000, 8192, 3
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, LEVEL = 1 << 16, 1000, 8192, 1
 _BLOCKS = "part int, block int, before long, first_doc long, last_doc long, dict_hash string, id_bytes int, doc_ids array<long>, lengths array<int>, offsets array<int>, payload binary"
 
 
 def _ids(texts: list[str | None], known, end_id: int) -> Iterator[bytes]:
     """Of each text the ids and the end id, as little-endian 32-bit integers."""
     split = [[p for part in segments(t) for p in pieces(part)] if t else [] for t in texts]
-    get, end = known.need(chain.from_iterable(split)), end_id.to_bytes(4, "little")
-    for found in split:
-        yield b"".join([*map(get, found), end])
+    end = end_id.to_bytes(4, "little")
+    for found in known.of_groups(split):
+        found.append(end)
+        yield b"".join(found)
 
 
 def _coder(path: str):
-    return coder(path, "ids", lambda ids: np.array(ids, "<u4").tobytes())
+    return coder(path, "ids", lambda ids: array("I", ids).tobytes())
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_bytes: int) -> bytes:
-    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect()
     known = _coder(tokenizer_path)
     arrays = [np.frombuffer(x, "<u4").astype(f"<u{id_bytes}").tobytes() for x in _ids([r.text for r in sample], known, 0)]
     try:

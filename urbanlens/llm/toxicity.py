@@ -22,7 +22,6 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -153,10 +152,9 @@ NO_MATCH = [0.0] * 5
 
 def _matches(texts: list[str | None], known: Remembered) -> Iterator[list[float]]:
     lowered = [t.lower() if t else "" for t in texts]
-    split = [set(_WORD.findall(t)) for t in lowered]
-    get = known.need(chain.from_iterable(split))
-    for text, words in zip(lowered, split, strict=True):
-        matched = {w: m for w in words if (m := get(w))}
+    split = [[*set(_WORD.findall(t))] for t in lowered]
+    for text, words, found in zip(lowered, split, known.of_groups(split), strict=True):
+        matched = {w: m for w, m in zip(words, found, strict=True) if m}
         yield features(text, matched) if matched else NO_MATCH
 
 
@@ -168,7 +166,7 @@ def _matcher(terms: list[str]) -> Remembered:
     if key not in _KNOWN:
         _KNOWN.clear()
         trie = FuzzyTrie(terms)
-        _KNOWN[key] = Remembered(lambda words: [*map(trie.match, words)])
+        _KNOWN[key] = Remembered(lambda words: [trie.match(w) or () for w in words])
     return _KNOWN[key]
 
 

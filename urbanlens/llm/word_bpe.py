@@ -23,7 +23,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import SPACE, Remembered, row_slices
+from urbanlens.llm.common import SPACE, Remembered, row_slices, written
 from urbanlens.llm.pieces import byte_characters
 
 LEXICON_WORDS = 50_000
-SLICE_BYTES, COUNTED_WORDS = 1 << 20, 500_000
+SLICE_BYTES, COUNTED_WORDS, WORD_CHARS = 1 << 20, 500_000, 64
 #: Symbols up to which a word is merged by plain search; above every rank.
 SHORT, NONE = 40, 1 << 60
 #: Fixed value, the vocabulary's own pattern for words; white space is spelled out as its library reads it.
@@ -211,7 +211,7 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, special: Iterable[str], most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` commonest words over all texts (ties by word). Tasks sum before they hand on."""
+    """The commonest words over all texts, ``most`` at most: those above a count. Tasks sum before they hand on."""
     special = list(special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +229,16 @@ def frequent_words(docs: DataFrame, special: Iterable[str], most: int = LEXICON_
                     counts = Counter()
         yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.length("word") <= WORD_CHARS))
+    # which counts are in: by classes of counts, an eighth of a doubling each, as many rows as there are classes
+    counted = written(counted.withColumn("size", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    total, least = 0, 0
+    for r in counted.groupBy("size").agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect():
+        total += r.words
+        if total > most:
+            least = r.size + 1
+            break
+    return sorted(r.word for r in counted.filter(F.col("size") >= least).select("word").collect())
 
 
 def build_lexicon(words: Iterable[str], tokenizer_path: str) -> bytes:
@@ -259,10 +267,9 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
         split = [self.words(t) if t else [] for t in texts]
-        get = self.known.need(chain.from_iterable(split))
-        for words in split:
-            if words:
-                ids, decoded = zip(*map(get, words), strict=True)
+        for found in self.known.of_groups(split):
+            if found:
+                ids, decoded = zip(*found, strict=True)
                 yield b"".join(ids), " ".join(filter(None, decoded))
             else:
                 yield b"", ""
