@@ -13,6 +13,11 @@ DATE_FORMATS = [
     "MM/dd/yyyy HH:mm:ss",
     "MM/dd/yyyy HH:mm",
     "MM/dd/yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]",
+    "yyyy-MM-dd HH:mm:ss.SSSSSSSSS",
+    "yyyy/MM/dd[ HH:mm:ss]",
+    "M/d/yyyy[ H:mm[:ss]]",
+    "M/d/yyyy h:mm:ss a",
 ]
 
 

@@ -213,8 +213,3 @@ def severity_balance(training: DataFrame) -> DataFrame:
     pct = F.when(F.col("total") > 0, F.col("r.n") / F.col("total") * 100).otherwise(F.lit(0.0))
     return long.select(F.col("r.severity").alias("severity"), F.col("r.n").alias("n_incidents"), F.round(pct, 6).alias("pct"))
 
-
-def translated_types(df: DataFrame) -> DataFrame:
-    """Helper used by dashboard options: add the Spanish label."""
-    return df.withColumn("label", text.translate_crime(F.col("crm_cd_desc")))
-

@@ -110,7 +110,6 @@ def stratified_split(training: DataFrame, test_pct: int = TEST_PCT) -> DataFrame
 
 
 SPLIT_BUCKET_BITS = 20
-CLASS_BROADCAST_MAX = 100_000
 
 
 def _hash60(key: F.Column) -> F.Column:
@@ -141,16 +140,14 @@ def stratified_split_exact(training: DataFrame, test_pct: int = TEST_PCT, label:
         label, F.col("_b").alias("_bb"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")
     )
     classes = counts.join(boundary, label, "left").select(label, "_bb", "_need")  # one row per class
-    n_classes = counts.count()
-    tagged = df.join(F.broadcast(classes) if n_classes <= CLASS_BROADCAST_MAX else classes, label, "left")
-    edge = tagged.filter(F.col("_b") == F.col("_bb"))
-    ranked = edge.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", "dr_no"))).select(
-        "dr_no", (F.col("_r") <= F.col("_need")).alias("_in")
-    )
-    out = tagged.join(ranked, "dr_no", "left")
-    is_test = F.when(F.col("_bb").isNull(), F.lit(False)).when(F.col("_b") < F.col("_bb"), True).when(
-        F.col("_b") > F.col("_bb"), False).otherwise(F.coalesce(F.col("_in"), F.lit(False)))
-    return out.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_b", "_bb", "_need", "_in")
+    tagged = df.join(classes, label, "left")
+    at_edge = F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))
+    # edge rows are ranked with all their columns, so nothing is joined back and repeated keys stay as they are
+    ranked = F.row_number().over(Window.partitionBy(label).orderBy("_h", "dr_no")) <= F.col("_need")
+    edge = tagged.filter(at_edge).withColumn("_in", ranked)
+    rest = tagged.filter(~at_edge).withColumn("_in", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
+    out = edge.unionByName(rest)
+    return out.withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).drop("_h", "_b", "_bb", "_need", "_in")
 
 
 def validation_split(split: DataFrame, pct: int = VALIDATION_PCT) -> DataFrame:

@@ -173,12 +173,14 @@ def detour_waypoints(trips: DataFrame, routes: DataFrame, zones: DataFrame, keep
 
 # ---------------------------------------------------------------- U1 / R5
 def route_candidates(routes: DataFrame, best: DataFrame) -> DataFrame:
-    """Direct routes and the routes of the chosen detours, with order keys (o1, o2):
+    """Direct routes and the first route of each chosen detour, with order keys (o1, o2):
     direct routes in router order first, then detours in threat order."""
     direct = routes.filter(F.col("kind") == "direct").select(
         "trip_id", "route_seq", "kind", "distance", "duration", F.lit(0).alias("o1"), F.col("route_seq").alias("o2")
     )
-    det = routes.filter(F.col("kind") == "waypoint").join(best.select("trip_id", "cand_idx", "rank"), ["trip_id", "cand_idx"]).select(
+    first = F.row_number().over(Window.partitionBy("trip_id", "cand_idx").orderBy("route_seq"))
+    detours = routes.filter(F.col("kind") == "waypoint").withColumn("_first", first).filter("_first = 1").drop("_first")
+    det = detours.join(best.select("trip_id", "cand_idx", "rank"), ["trip_id", "cand_idx"]).select(
         "trip_id", "route_seq", "kind", "distance", "duration", F.lit(1).alias("o1"), F.col("rank").alias("o2")
     )
     return direct.unionByName(det)

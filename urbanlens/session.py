@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,18 +29,14 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A folder under the cluster's ``spark.checkpoint.dir``.
+    """A folder under the cluster's ``spark.checkpoint.dir`` (or the folder given to ``setCheckpointDir``).
 
-    The setting is read from the session; only when it is unset (local tests)
-    is a fresh folder created and registered as the checkpoint dir.
+    Without either there is no folder that all executors share, and that is an error: the library never
+    falls back to a machine-local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="urbanlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        raise RuntimeError("no shared folder: set spark.checkpoint.dir to one that the driver and all executors can reach")
     path = os.path.join(base, "urbanlens", *parts)
     return path
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -49,5 +50,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Read the whole log with its explicit schema (empty when the folder does not exist)."""
     try:
         return spark.read.schema(LOG_SCHEMA).json(path)
-    except Exception:  # noqa: BLE001 - a missing log is an empty log
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a missing log is an empty log
+            raise
         return spark.createDataFrame([], LOG_SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -50,9 +50,25 @@ def canonical_name(header: str) -> str:
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:
-    """Rename header variants (CSV headers or snake_case aliases) to canonical names."""
-    mapping = {c: canonical_name(c) for c in df.columns if canonical_name(c) != c}
-    return df.withColumnsRenamed(mapping) if mapping else df
+    """Rename header variants (CSV headers or snake_case aliases) to canonical names.
+
+    Where several headers mean one column, the published CSV header wins, else the first.
+    """
+    variants: dict[str, list[str]] = {}
+    for c in df.columns:
+        variants.setdefault(canonical_name(c), []).append(c)
+    chosen = {name: CSV_HEADERS[name] if CSV_HEADERS.get(name) in found else found[0] for name, found in variants.items()}
+    doubled = [c for name, found in variants.items() for c in found if c != chosen[name]]
+    mapping = {c: name for name, c in chosen.items() if c != name}
+    return df.drop(*doubled).withColumnsRenamed(mapping) if mapping or doubled else df
+
+
+def _number(src: Column, kind: T.DataType) -> Column:
+    """``try_cast``; for whole-number columns also text such as '34.0', never a value with a fraction."""
+    if kind not in (T.IntegerType(), T.LongType()):
+        return src.try_cast(kind)
+    exact = src.cast("string").try_cast("decimal(38,10)")
+    return F.coalesce(src.try_cast(kind), F.when(exact == F.floor(exact), exact.try_cast(kind)))
 
 
 def conform_raw(df: DataFrame) -> DataFrame:
@@ -63,7 +79,7 @@ def conform_raw(df: DataFrame) -> DataFrame:
         if f.name in df.columns:
             src = F.col(f.name)
             if f.dataType != T.StringType():
-                src = src.try_cast(f.dataType)
+                src = _number(src, f.dataType)
             else:
                 src = src.cast("string")
             cols.append(src.alias(f.name))
@@ -76,15 +92,24 @@ def empty_raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW_SCHEMA)
 
 
-def read_incident_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV scan without schema inference; missing or unreadable path -> empty typed table.
+def is_missing_path(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def read_incident_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV scan without schema inference; a missing path -> empty typed table, other errors are raised.
+
+    Quotes inside quoted fields are doubled. ``multi_line`` also reads quoted line breaks, at the price that
+    a file can't be split among tasks.
 
     Every column is read as text and converted by :func:`conform_raw`, so
     extra columns in the file are pruned from the scan by Catalyst.
     """
     try:
-        df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    except AnalysisException:
+        df = spark.read.options(header=True, inferSchema=False, mode="PERMISSIVE", escape='"', multiLine=multi_line).csv(path)
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return empty_raw(spark)
     if not df.columns:
         return empty_raw(spark)
@@ -95,7 +120,7 @@ def write_incident_csv(df: DataFrame, path: str) -> None:
     """Write raw rows with the published CSV header names."""
     df.select(*[F.col(c).alias(CSV_HEADERS[c]) for c in RAW_SCHEMA.fieldNames()]).write.mode("overwrite").option(
         "header", True
-    ).csv(path)
+    ).option("escape", '"').csv(path)
 
 
 def write_curated(clean: DataFrame, path: str, num_partitions: int | None = None, layout: str = "range") -> None:
@@ -118,7 +143,9 @@ def write_curated(clean: DataFrame, path: str, num_partitions: int | None = None
 def read_curated(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return None
 
 
