@@ -61,20 +61,25 @@ class Remembered:
         self.new: dict = {}
         self.old: dict = {}
 
-    def need(self, strings: Iterable[str]) -> Callable[[str], object]:
-        """Makes the values of all the strings present; looks one up until the next call."""
+    def of_groups(self, groups: list[list[str]]) -> Iterator[list]:
+        """The values of several lists of strings, list by list. Each string that occurs in them is looked up once in
+        the generations; a small table of their own serves all its occurrences."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        missing = set(strings).difference(self.new)
-        if self.old:
-            self.new.update((s, self.old[s]) for s in missing if s in self.old)
-            missing.difference_update(self.new)
-        order = [*missing]
-        self.new.update(zip(order, self.compute(order), strict=True))
-        return self.new.__getitem__
-
-    def of_groups(self, groups: list[list[str]]) -> Iterator[list]:
-        """The values of several lists of strings, list by list."""
-        get = self.need(chain.from_iterable(groups))
+        new, old = self.new, self.old
+        here = dict.fromkeys(chain.from_iterable(groups))
+        missing = []
+        for s in here:
+            value = new.get(s)
+            if value is None:
+                value = old.get(s)
+                if value is None:
+                    missing.append(s)
+                    continue
+                new[s] = value
+            here[s] = value
+        computed = dict(zip(missing, self.compute(missing), strict=True))
+        new.update(computed)
+        here.update(computed)
         for g in groups:
-            yield [*map(get, g)]
+            yield [*map(here.__getitem__, g)]
