@@ -96,6 +96,30 @@ def test_neighbours(spark):
     assert [r.rank for r in few] == [1, 2]
 
 
+def nearest_of(vectors, queries, **how):
+    from urbanlens.llm.neighbours import nearest
+
+    got = defaultdict(list)
+    for r in nearest(vectors, queries, **how).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return got
+
+
+def test_neighbours_where_lists_outnumber_the_beam(spark, monkeypatch):
+    """The ratio decides what is read: one that spans all lists finds what brute force does."""
+    from urbanlens.llm import neighbours as N
+
+    monkeypatch.setattr(N, "LIST_SIZE", 16)
+    x = np.random.default_rng(5).normal(size=(6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest_of(table, F.col("vec_id") % 60 == 0, ratio=9.0)
+    for q in range(0, 6000, 60):
+        s = x @ x[q]
+        s[q] = -9
+        assert [v for v, _ in got[q]] == np.argsort(-s)[:5].tolist()
+
+
 def test_mixing(spark, odd_docs, no_docs):
     from urbanlens.llm.mixing import copies, mix
 

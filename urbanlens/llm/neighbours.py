@@ -6,7 +6,8 @@
   within a ratio of the nearest distance, and nearer to the vector than to a centroid chosen before.
 * Centroids (``LISTS`` at most, a bound on what tasks hold) are searched by best-first beams in a neighbour graph that
   is kept in memory. A query reads the lists whose centroids are within a ratio of its nearest one's distance, and
-  more while those hold too few vectors.
+  more while those hold too few vectors. A query whose beam ends before that is held against every centroid, so no
+  number of lists bounds what it reads.
 * Lists are stored in blocks of about ``BLOCK`` vectors, and a list's queries in blocks of about as many, so a list of
   many equal vectors is spread over tasks. A task scores its block pair; each query's best are merged afterwards.
 
@@ -130,6 +131,12 @@ class Graph:
             ids[active], close[active], done[active] = (np.take_along_axis(a, order, 1) for a in (all_ids, all_close, all_done))
         return ids, np.where(ids >= 0, np.sqrt(np.maximum(2 - 2 * close, 0)), np.inf)
 
+    def all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with every centroid, without a search."""
+        close = q @ self.centres.T
+        ids = np.argsort(-close, axis=1, kind="stable")
+        return ids, np.sqrt(np.maximum(2 - 2 * np.take_along_axis(close, ids, 1), 0))
+
 
 def lists_of(graph: Graph, x: np.ndarray) -> list[list[int]]:
     """The lists of each unit vector: its nearest centroid's, and others' near a boundary."""
@@ -172,21 +179,35 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float = 1.35
     sizes = np.array([size.get(c, 0) for c in range(len(graph.centres))])
     enough = (k + 1) * COPIES  # postings that hold k vectors besides the query's own, whatever is posted twice
 
+    beam = BEAM
+
+    def to_read(ids: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Which of the found lists, nearest first, a query reads."""
+        held = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
+        before = np.hstack([np.zeros((len(ids), 1)), held[:, :-1]])
+        read = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-9) | (before < enough))
+        # where the graph's search found fewer than the beam holds, those may be not all
+        read[:, -1] |= ids[:, -1] < 0
+        return read
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SEARCHED):
                 part = batch.slice(at, SEARCHED)
-                ids, far = graph.search(_unit(_matrix(part.column("embedding"))))
-                held = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
-                read = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-9) | (np.hstack([np.zeros((len(ids), 1)), held[:, :-1]]) < enough))
-                row, place = np.nonzero(read)
-                short = held[:, -1] < enough  # what the beam found is too little: all lists
-                more = [(i, c) for i in np.flatnonzero(short) for c in range(len(sizes))]
-                keep = ~short[row]
-                row, lists = np.r_[row[keep], [i for i, _ in more]].astype(int), np.r_[ids[row, place][keep], [c for _, c in more]].astype(int)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column("vec_id").take(pa.array(row)), part.column("embedding").take(pa.array(row))], names=["list", "query_id", "query"])
-
-    asked = written(clean.filter("asks").select("vec_id", "embedding").mapInArrow(ask, "list int, query_id long, query array<double>"), "posting-queries")
+                x = _unit(_matrix(part.column("embedding")))
+                ids, far = graph.search(x, beam)
+                read = to_read(ids, far)
+                lists = [i[r] for i, r in zip(ids, read, strict=True)]
+                cut = np.flatnonzero(read[:, -1])  # the beam ends before the ratio does, or holds too little
+                if len(cut):
+                    ids, far = graph.all(x[cut])
+                    for i, row, r in zip(cut, ids, to_read(ids, far), strict=True):
+                        lists[i] = row[r]
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), part.column("vec_id"), part.column("embedding")], names=["lists", "query_id", "query"])
+
+    # a query's lists lie in one row, so its vector is written once however many it reads
+    wanted = written(clean.filter("asks").select("vec_id", "embedding").mapInArrow(ask, "lists array<int>, query_id long, query array<double>"), "posting-queries")
+    asked = wanted.select(F.explode("lists").alias("list"), "query_id", "query")
     load = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = F.array(*[F.lit(max(1, math.ceil(int(s) / BLOCK))) for s in sizes])
     turns = F.array(*[F.lit(max(1, math.ceil(load.get(c, 0) / BLOCK))) for c in range(len(sizes))])
