@@ -120,6 +120,18 @@ def test_neighbours_where_lists_outnumber_the_beam(spark, monkeypatch):
         assert [v for v, _ in got[q]] == np.argsort(-s)[:5].tolist()
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows that are repeated, and rows of one id that score equally, take no places from other vectors."""
+    x = np.random.default_rng(2).normal(size=(200, 8))
+    rows = [(i, e.tolist()) for i, e in enumerate(x)]
+    schema = "vec_id long, embedding array<double>"
+    want = nearest_of(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0)
+    assert [len(f) for f in want.values()] == [5] * 10
+    assert nearest_of(spark.createDataFrame(rows * 6, schema), F.col("vec_id") % 20 == 0) == want
+    twice = [(i, [v * 2.0**n for v in e]) for i, e in rows for n in range(7)]  # cosines stay the same
+    assert nearest_of(spark.createDataFrame(twice, schema), F.col("vec_id") % 20 == 0, ratio=99.0) == want
+
+
 def test_mixing(spark, odd_docs, no_docs):
     from urbanlens.llm.mixing import copies, mix
 

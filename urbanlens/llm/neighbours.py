@@ -13,8 +13,8 @@
 
 Scores are cosines in double precision on the original vectors. Results by case: vectors that are null, zero or hold a
 null or a non-finite component take no part, neither do rows without an id; equal scores go to the smaller id; a query
-never finds its own row; with fewer candidates than asked for all are found; repeated ids count as one vector each
-time; an empty table gives no rows; vectors of different lengths are an error; other columns are ignored.
+never finds its own row; with fewer candidates than asked for all are found; rows that repeat both id and vector count
+once, and rows of one id with other vectors are vectors of their own (found once where they score equally); an empty table gives no rows; vectors of different lengths are an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,7 +155,9 @@ def lists_of(graph: Graph, x: np.ndarray) -> list[list[int]]:
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float = 1.35) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each row of ``vectors`` (vec_id, embedding) that fits ``queries``."""
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks")).filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", queries.alias("asks")).filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    # a row that is repeated would take places from other vectors, and lists would fill with it
+    clean = written(clean.groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks")), "vectors").withColumn("embedding", F.col("embedding").cast("array<double>"))
     schema = "query_id long, rank int, vec_id long, score double"
     n = clean.count()
     if not n:
@@ -213,7 +215,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float = 1.35
     turns = F.array(*[F.lit(max(1, math.ceil(load.get(c, 0) / BLOCK))) for c in range(len(sizes))])
     many = lambda a: F.get(a, F.col("list"))
     every = lambda a: F.explode(F.sequence(F.lit(0), many(a) - 1))
-    left = posted.withColumn("part", F.pmod(F.xxhash64("vec_id"), many(parts)).cast("int")).withColumn("turn", every(turns))
+    left = posted.withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), many(parts)).cast("int")).withColumn("turn", every(turns))
     right = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), many(turns)).cast("int")).withColumn("part", every(parts))
 
     def score(key, p: pa.Table, q: pa.Table) -> pa.Table:
@@ -224,17 +226,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float = 1.35
             norms, own = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
             order = np.argsort(ids, kind="stable")
             ids, x, norms = ids[order], x[order], norms[order]
+            most = int(np.unique(ids, return_counts=True)[1].max())  # an id's vectors may score equally and are one place then
             for at in range(0, len(who), 512):
                 close = (y[at : at + 512] / own[at : at + 512, None]) @ (x / norms[:, None]).T
                 close[who[at : at + 512, None] == ids[None, :]] = -np.inf
-                top = min(k, close.shape[1])
+                top = min(k * most, close.shape[1])
                 least = np.partition(close, -top, axis=1)[:, -top]
                 for i, row in enumerate(close):
                     near = np.flatnonzero((row >= least[i] - 1e-9) & np.isfinite(row))
                     # scored one by one, so that equal vectors score equally wherever they lie
                     exact = (x[near] * y[at + i]).sum(axis=1) / (norms[near] * own[at + i])
-                    best = np.argsort(-exact, kind="stable")[:k]
-                    out += [(int(who[at + i]), int(ids[near[b]]), float(exact[b])) for b in best]
+                    best = np.argsort(-exact, kind="stable")
+                    if most > 1:
+                        _, first = np.unique(np.rec.fromarrays([exact[best], ids[near[best]]]), return_index=True)
+                        best = best[np.sort(first)]
+                    out += [(int(who[at + i]), int(ids[near[b]]), float(exact[b])) for b in best[:k]]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
