@@ -96,6 +96,22 @@ def test_neighbours(spark):
     assert [r.rank for r in few] == [1, 2]
 
 
+def test_url_filters_of_many_keys(spark, monkeypatch):
+    """More false positives of the first filter than a literal may hold."""
+    from urbanlens.llm import url_filters as U
+    from urbanlens.llm.queries import URL_RULES
+
+    monkeypatch.setattr(U, "MAX_RULES", len(URL_RULES))
+    monkeypatch.setattr(U, "HASHES", 1)
+    urls = URLS + [f"http://x{i}.example.org/{'es' if i % 3 else 'en'}/{i}" for i in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed, keys = rules.select(F.concat("host", "path").alias("key")), pages.select(F.col("url").alias("key"))
+    assert U.build_cascade(listed, keys) is None
+    want = {(i, *(p := parts_of(u)), *rule_of(*p, URL_RULES)) for i, u in enumerate(urls)}
+    assert set(map(tuple, U.url_filter(pages, rules).collect())) == want
+
+
 def nearest_of(vectors, queries, **how):
     from urbanlens.llm.neighbours import nearest
 

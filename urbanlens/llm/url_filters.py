@@ -7,8 +7,9 @@ rules, the second those other keys of the corpus that the first lets pass, the t
 pass, and so on until none is left. A key's answer is the parity of the first filter that stops it. As the cascade is
 built over the complete key universe, membership is exact and urls are judged without a join.
 
-The filters are literals in the plan and only used up to ``MAX_RULES`` rules, a bound on their size; longer lists are
-judged by joining the candidate keys with the rules, with the same result.
+The filters are literals in the plan and only used up to ``MAX_RULES`` rules, a bound on their size; longer lists, and
+corpora of so many keys that a filter would hold more than twice as many of them, are judged by joining the candidate
+keys with the rules, with the same result.
 
 Results by case: a null url or one without ``://`` has an empty host and path and fits no rule; a url that no rule
 fits gets the default verdict (it is in no list); rules given twice count once, and of one key both allowed and
@@ -79,8 +80,9 @@ def _filter_of(keys: DataFrame, level: int, n: int) -> tuple[int, list[int]]:
     return bits, words
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, list[int]]]:
-    """The filters, level by level, of the distinct ``listed.key`` over all of ``universe.key``."""
+def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, list[int]]] | None:
+    """The filters, level by level, of the distinct ``listed.key`` over all of ``universe.key``; None if one would hold
+    too many keys for a literal."""
     levels: list[tuple[int, list[int]]] = []
     members = listed.select("key").distinct()
     n = members.count()
@@ -100,7 +102,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, lis
         if not n:
             return levels
         if n > 2 * MAX_RULES:
-            raise ValueError(f"level {len(levels)} of the cascade would hold {n} keys; the first filter is too small for this corpus")
+            return None
         levels.append(_filter_of(rest, len(levels), n))
         side = not side
 
@@ -124,10 +126,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         return _by_join(judged, rules, shapes, default)
     judged = judged.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.expr("array()"))
     universe = judged.select(F.explode("_keys.key").alias("key")) if shapes else judged.select(F.lit("").alias("key")).limit(0)
-    blocked = build_cascade(rules.filter("verdict = 'block'"), universe)
-    allowed = build_cascade(rules.filter("verdict = 'allow'"), universe)
     if not shapes:
         return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    blocked = build_cascade(rules.filter("verdict = 'block'"), universe)
+    allowed = build_cascade(rules.filter("verdict = 'allow'"), universe) if blocked is not None else None
+    if blocked is None or allowed is None:
+        return _by_join(judged, rules, shapes, default)
     # candidate keys of one url by length; the last that is listed decides
     listed = F.filter("_keys", lambda k: in_cascade(k["key"], blocked) | in_cascade(k["key"], allowed))
     judged = judged.withColumn("rule", F.try_element_at(F.transform(listed, lambda k: k["key"]), F.lit(-1)))
