@@ -28,8 +28,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten of them or more hold. A document may be left with an empty text."""
-    cut = drop_repeated_lines(docs, least=10)
+    """All documents, without the lines that ten of them or more hold. A document of such lines alone keeps its text, so
+    that of a document copied ten times or more near_dedup keeps one."""
+    cut = drop_repeated_lines(docs, least=10, spare_whole=True)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

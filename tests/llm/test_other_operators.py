@@ -274,6 +274,22 @@ def test_pipeline_against_its_operators_by_brute_force(spark):
     assert Counter((r.doc_id, bytes(r.ids)) for r in coded) == Counter((r.doc_id, np.array(t.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()) for r in out.collect())
 
 
+def test_pipeline_keeps_one_of_a_large_copy_group(spark):
+    import corpus_pipeline as C
+    from urbanlens.llm.common import written
+
+    copied = "first line of the copied text\nsecond line of the same text\n"
+    rows = [(i, copied) for i in range(25)] + [(100 + i, f"own words {i * i} of text {i}\nCommon line\n") for i in range(12)]
+    rows += [(7, copied), (200, "common line"), (201, " \n"), (202, None)]
+    docs = spark.createDataFrame([(i, t, len(t) if t else 0) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = written(C.line_dedup(spark, docs, SMALL), "t")
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert all(r.n_chars == len(r.text or "") for r in out.collect())
+    assert texts[0] == texts[24] == copied and texts[103] == "own words 9 of text 3\n" and texts[200] == "common line"
+    kept = Counter(r.doc_id for r in C.near_dedup(spark, out, SMALL).collect())
+    assert kept == Counter([0, *range(100, 112), 200, 201, 202])
+
+
 def test_tokenizer_files_stay_outside():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for d, _, names in os.walk(here) if ".git" not in d for f in names if f.endswith((".tiktoken", ".model")) or "bpe_" in f and f.endswith(".json")]

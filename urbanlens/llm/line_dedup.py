@@ -180,13 +180,16 @@ def line_digests(docs: DataFrame, least: int = 10) -> DataFrame:
     return with_bitmaps(docs.select("doc_id", "text"), least).mapInArrow(digest, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns, their texts without repeated lines (a null text stays null)."""
+def drop_repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False, spare_whole: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, their texts without repeated lines (a null text stays null); with ``spare_whole`` a
+    text that would be left without a word stays as it is."""
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if b is None else kept_lines(t, b)[2] for t, b in zip(batch.column("text").to_pylist(), batch.column("_keep_bitmap").to_pylist(), strict=True)]
+            if spare_whole:
+                texts = [t if x is not None and not x.strip(BLANK.decode()) else x for x, t in zip(texts, batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
     return with_bitmaps(docs, least, keep_first).mapInArrow(cut, docs.schema)
