@@ -1,8 +1,8 @@
 """Token counts of whole texts by a public byte-level BPE tokenizer.
 
 Arrow functions return lengths only. A task takes its rows in slices of about equal bytes, cuts every text at
-safe boundaries (see :mod:`urbanlens.llm.pieces`), encodes the pieces that it hasn't met yet in batches of about
-equal bytes, and sums the lengths. No shuffle: a row's count needs no other row.
+safe boundaries (see :mod:`urbanlens.llm.pieces`), encodes the pieces that it hasn't met yet (plain words singly
+by the model, others in batches of about equal bytes), and sums the lengths. No shuffle: a row's count needs no other row.
 
 Results by case: a null or empty text has 0 bytes and 0 tokens; very long texts are cut into segments, so memory
 doesn't grow with them, unless they hold no white space at all; repeated rows and null ids each give a row of their
