@@ -83,13 +83,65 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_toxicity, op4_line_dedup, op5_token_files, op6_neighbours, op7_near_dedup, op8_source_mixing, op9_fingerprints, op10_word_bpe)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbanlens.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbanlens.llm.centroids import clusters_of
+
+    return clusters_of(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_toxicity, op4_line_dedup, op5_token_files, op6_neighbours, op7_near_dedup, op8_source_mixing, op9_fingerprints, op10_word_bpe, op11_filter_audit, op12_centroid_clusters)}
 
 _PARTS = r"""
 parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)"""
 
+def _clusters_sql(rounds: int = 3) -> str:
+    """Rounds of assignment and exact floored means over unnested components; ids name rows."""
+    steps = [r"""
+whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c FROM whole QUALIFY cluster < 16)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (SELECT vec_id, any_value(v) AS v, min({{'distance': d, 'cluster': cluster}}) AS near FROM
+  (SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM whole CROSS JOIN c{n}) GROUP BY vec_id)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} AS (SELECT cluster, i, CAST(floor_of AS BIGINT) AS x FROM (SELECT near.cluster AS cluster, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_of
+  FROM a{n}, range(1, 65) AS r(i) GROUP BY 1, 2)),
+c{n + 1} AS (SELECT c{n}.cluster, coalesce(m.c, c{n}.c) AS c FROM c{n} LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS c FROM s{n} GROUP BY cluster) m ON c{n}.cluster = m.cluster)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, CAST(near.cluster AS INTEGER) AS cluster, near.distance AS distance,
+  CAST(sum(near.distance) OVER (PARTITION BY near.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(near.distance) OVER () AS BIGINT) AS inertia,
+  sha256(list_aggregate(list_transform(c, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON near.cluster = c{rounds}.cluster"""
+
+
 SQL = {
+    "op12_centroid_clusters": _clusters_sql(),
+    "op11_filter_audit": r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (SELECT doc_id, part,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+   doc_id > min(doc_id) OVER (PARTITION BY t)] AS f FROM words),
+docs AS (SELECT part, f, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM failing LEFT JOIN labels USING (doc_id) GROUP BY doc_id, part, f),
+orders(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || c FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS l(c) WHERE NOT contains(filter_order, c)),
+steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, ascii(substr(filter_order, s, 1)) - 64 AS own, list_transform(range(1, s), lambda i: ascii(substr(filter_order, i, 1)) - 64) AS earlier
+  FROM orders, range(1, 6) AS r(s) WHERE length(filter_order) = 5),
+groups AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM docs GROUP BY part, f),
+judged AS (SELECT part, filter_order, step, own, n, good, bad, f[own] AS fails, len(list_filter(f, lambda x: x)) = 1 AS alone, len(list_filter(earlier, lambda i: f[i])) > 0 AS gone FROM groups, steps),
+found AS (SELECT part, filter_order, step, own,
+  CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails AND alone), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM found""",
     "op1_url_filters": rf"""
 WITH rules(rule_host, rule_path, verdict) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),{_PARTS},
 fits AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
