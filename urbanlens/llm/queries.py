@@ -95,7 +95,13 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters_of(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_toxicity, op4_line_dedup, op5_token_files, op6_neighbours, op7_near_dedup, op8_source_mixing, op9_fingerprints, op10_word_bpe, op11_filter_audit, op12_centroid_clusters)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urbanlens.llm.set_join import joined_documents
+
+    return joined_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_toxicity, op4_line_dedup, op5_token_files, op6_neighbours, op7_near_dedup, op8_source_mixing, op9_fingerprints, op10_word_bpe, op11_filter_audit, op12_centroid_clusters, op13_ngram_join)}
 
 _PARTS = r"""
 parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
