@@ -1,10 +1,13 @@
 """Similarity join of documents as sets of word shingles, by set-relation skipping.
 
-1. Texts of equal sets are one class. Shingles have one global order, rarest first: by the counts of ``BUCKETS`` hash
-   buckets over all documents, then by hash. (Any order gives the same links; this one keeps common passages back.)
-2. A class posts the first shingles of its order, with their positions, to the index: n - ceil(t n) + 1 of n, and
-   ``n // EXTRA`` more. Linked classes share at least 1 + min(extras) posted shingles, so a class that shares fewer with
-   anyone leaves the index, and texts that merely share a phrase never meet.
+1. A class of equal sets that has a link shares with other texts at least ceil(t n) of its n shingles. Shingle hashes, cut
+   to a few bits more than the corpus needs to tell them apart, are sorted in slices and counted by ranges, packed; each
+   document learns how many of its shingles nobody else has, and leaves if those are too many. (Cut hashes that meet by
+   chance keep a document; they never lose one.)
+2. The classes left are indexed. Shingles have one global order, rarest first by exact counts over those classes. A class
+   posts the first n - ceil(t n) + 1 of its shingles, with their positions, and ``n // EXTRA`` more; those that no other
+   class has needn't be written. Linked classes share at least 1 + min(extras) postings, so texts that merely share a
+   phrase never meet.
 3. Each class is held against the hub of its largest list (the list's smallest document) on full sets: one pair a class.
    A class linked with its hub is described by what it lacks of the hub's set and what it has besides.
 4. Index-level skipping: list entries lie in blocks of at most ``CHUNK`` classes, of one hub or else of one largest list.
@@ -32,102 +35,164 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.llm.blocks import CHUNK, block_names, block_pairs, met, overlaps, without
-from urbanlens.llm.common import row_slices, written
+from urbanlens.llm.common import row_slices, shuffle_partitions, written
 from urbanlens.llm.components import Joined, components
 from urbanlens.llm.near_dedup import shingles
 
-#: Hash buckets that are counted (their order, 2 MB, is all that reaches the driver), and in how many parts.
-BUCKETS, PARTS = 1 << 20, 64
+#: Shingles that are sorted at once, shingles of a range (a bound on its task's memory), and spare bits of cut hashes.
+SLICE, RANGE, SPARE = 1 << 22, 1 << 22, 5
 EXTRA, SLICE_BYTES = 20, 1 << 20
 _U = np.uint64
-_SHIFT = _U(64 - BUCKETS.bit_length() + 1)
 
 
-def needed(n: int, percent: int) -> int:
+def needed(n: Column | int, percent: int) -> Column:
     """Shingles that a set of n shares with any linked set, at least."""
-    return -(-percent * n // 100)
+    return F.ceil(n * F.lit(percent) / 100)
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2: hash of the whole set) of each row; and, with a ``part``, counts of hash buckets."""
+def key_of(shingle_set: np.ndarray) -> np.ndarray:
+    """128 bits that name a set, as two numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(shingle_set.tobytes()), "<i8")
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "n_shingles", "k1", "k2", "part", "counts"]
-        for batch in batches:
-            for rows in row_slices(batch, "text", SLICE_BYTES):
-                sets = [shingles(t, words) for t in rows.column("text").to_pylist()]
-                keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
-                found = np.concatenate(sets) if sets else np.empty(0, _U)
-                counts += np.bincount((found >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-                none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *none], names=names)
-        if counts.any():
-            none = [pa.nulls(PARTS, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in np.split(counts, PARTS)], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, k1 long, k2 long, part int, counts binary")
+def _small(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, and in front how many that are."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
 
 
-def bucket_ranks(sketched: DataFrame) -> np.ndarray:
-    """The place of each bucket in the order, least counts first, on a scale of 2^16."""
+def _large(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_py(), "<i8")
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
-    # a task's counts go to the part's task row by row; PARTS rows come back
-    found = sketched.filter("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(add_up, "part int, counts binary").collect()
-    total = np.zeros(BUCKETS, np.int64)
-    for r in found:
-        total[r.part * (BUCKETS // PARTS) : (r.part + 1) * (BUCKETS // PARTS)] += np.frombuffer(r.counts, "<i8")
-    _, place = np.unique(total, return_inverse=True)
-    return (place.astype(np.float64) * (65_535 / max(1, place.max(initial=0)))).astype(np.uint16)
+_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, slice long, idx long"
+
 
+def _sliced(docs: DataFrame, words: int, bits: int, ranges: int) -> DataFrame:
+    """Each row's sketch; and of slices of documents the sorted cut hashes, each with its one holder (or the number of
+    documents: several), by ranges."""
+    names = ["doc_id", "n_shingles", "k1", "k2", "slice", "idx", "range", "cut", "holders"]
 
-def postings(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, doc_id, k, n, pos): the shingles that each row's set posts to the index."""
+    def cut_up(sets: list[np.ndarray], name: int) -> pa.RecordBatch:
+        values = (np.concatenate(sets) if sets else np.empty(0, _U)) >> _U(64 - bits)
+        holders = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(values, kind="stable")
+        values, holders = values[order], holders[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, int)
+        holders = np.where(np.diff(np.append(first, len(values))) == 1, holders[first], len(sets))
+        values = values[first]
+        of = (((values << _U(64 - bits)) >> _U(40)) * _U(ranges)) >> _U(24)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, int)
+        rows = list(zip(starts, [*starts[1:], len(of)], strict=False))
+        gaps = [_small(np.diff(values[x:y])) for x, y in rows]
+        none = pa.nulls(len(rows), pa.int64())
+        heads = values[starts].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [none, pa.array([len(sets)] * len(rows), pa.int64()), pa.array(heads), none, pa.array([name] * len(rows), pa.int64()), none, pa.array(of[starts].astype(np.int64)), pa.array(gaps, pa.binary()), pa.array([_small(holders[x:y]) for x, y in rows], pa.binary())], names=names)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, name = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for rows in row_slices(batch, "text", SLICE_BYTES):
-                ids, tokens, keys, sizes = [], [], [], []
-                for i, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    s = shingles(text, words)
-                    n = len(s)
-                    if i is not None and n:
-                        ids.append(i)
-                        keys.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0])
-                        sizes.append(n)
-                        tokens.append(s[np.argsort(ranks[s >> _SHIFT], kind="stable")[: n - needed(n, percent) + 1 + n // EXTRA]])
-                if ids:
-                    many = [len(t) for t in tokens]
-                    pos = np.concatenate([np.arange(m) for m in many])
-                    columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int64), many), pos]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "doc_id", "k", "n", "pos"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(post, "token long, doc_id long, k long, n long, pos long")
-
-
-def index(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, k, rep, n, pos): one posting a class and shared token, of classes that share as many as a link needs."""
-    shared = posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    of_class = classes.select(F.col("k1").alias("k"), F.col("rep").alias("doc_id"))
-    rows = posted.join(shared, "token").join(of_class, ["k", "doc_id"], "left_semi").select("token", "k", F.col("doc_id").alias("rep"), "n", "pos").distinct()
-    lists = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    rows = rows.join(lists, "token")
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA)  # with the smallest set that may be linked
-    enough = rows.groupBy("k", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("k")
-    return rows.join(enough, "k")
+                sets = [shingles(t, words) for t in rows.column("text").to_pylist()]
+                keys = np.array([key_of(s) for s in sets]).reshape(-1, 2)
+                at = np.arange(len(held), len(held) + len(sets))
+                # sketches pass through the ranges' tasks too, evenly
+                none = pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([name] * len(sets), pa.int64()), pa.array(at), pa.array((keys[:, 0] & 0xFFFFFF) * ranges >> 24), none, none], names=names)
+                held += sets
+                size += sum(map(len, sets))
+                if size >= SLICE:
+                    yield cut_up(held, name)
+                    held, size, name = [], 0, name + 1
+        if held:
+            yield cut_up(held, name)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, f"{_SKETCH}, range long, cut binary, holders binary")
+
+
+def sketches(docs: DataFrame, words: int, bits: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, k1, k2, slice, idx) of each row; and (slice, idx, alone): by document the shingles whose cut
+    hash no other document has."""
+
+    columns = ["doc_id", "n_shingles", "k1", "k2", "slice", "idx"]
+
+    def counted(group: list[dict]) -> pa.RecordBatch:
+        values = np.concatenate([np.cumsum(np.concatenate([[r["k1"]], _large(r["cut"])])) for r in group])
+        holders = [_large(r["holders"]) for r in group]
+        own = np.concatenate([np.where(h < r["n_shingles"], h, -1) for h, r in zip(holders, group, strict=True)])
+        of = np.repeat(np.arange(len(group)), [len(h) for h in holders])
+        order = np.argsort(values, kind="stable")
+        same = np.append(values[order][1:] == values[order][:-1], False)
+        alone = order[~(same | np.append(False, same[:-1]))]
+        alone = alone[own[alone] >= 0]
+        own, of = own[alone], of[alone]
+        by = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[by], np.arange(len(group) + 1))
+        names = [r["slice"] for r in group]
+        found = [_small(np.bincount(own[by[ends[i] : ends[i + 1]]], minlength=r["n_shingles"])) for i, r in enumerate(group)]
+        none = pa.nulls(len(names), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(names, pa.int64()), none, pa.array(found, pa.binary())], names=[*columns, "alone"])
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for batch in batches:
+            packed = pc.is_valid(batch.column("cut"))
+            plain = batch.filter(pc.invert(packed)).select(columns)
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays([*plain.columns, pa.nulls(plain.num_rows, pa.binary())], names=[*columns, "alone"])
+            for r in batch.filter(packed).to_pylist():
+                if r["range"] != at and group:
+                    yield counted(group)
+                    group = []
+                at = r["range"]
+                group.append(r)
+        if group:
+            yield counted(group)
+
+    dealt = _sliced(docs, words, bits, ranges).repartition("range").sortWithinPartitions("range")
+    both = written(dealt.mapInArrow(by_range, f"{_SKETCH}, alone binary"), "join-sketches")
+
+    def sums(key: tuple, group: pa.Table) -> pa.Table:
+        # a slice has as many counts a range as documents
+        total = sum(_large(x.as_py()) for x in group["alone"])
+        at = np.flatnonzero(total)
+        return pa.table([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at), pa.array(total[at])], names=["slice", "idx", "alone"])
+
+    alone = both.filter("alone is not null").select("slice", "alone").groupBy("slice").applyInArrow(sums, "slice long, idx long, alone long")
+    return both.filter("alone is null").drop("alone"), alone
+
+
+def index(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, k, rep, n, pos): the postings of each class that another class shares, of classes (k, rep, n, shingles)
+    that share as many as a link needs."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+            many = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64)), *(batch.column(c).take(many) for c in ("k", "rep", "n"))], names=["token", "k", "rep", "n"])
+
+    rows = sets.select("k", "rep", "n", "shingles").mapInArrow(tokens, "token long, k long, rep long, n long")
+    counts = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = rows.join(counts, "token").groupBy("k", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("found"))
+    # what nobody shares comes first in the order and takes places
+    places = F.size("found") - needed(F.col("n"), percent) + 1 + F.floor(F.col("n") / EXTRA)
+    shared = shared.filter(F.size("found") >= needed(F.col("n"), percent))
+    posted = shared.select("k", "rep", "n", F.size("found").alias("s"), F.posexplode(F.slice("found", F.lit(1), places.cast("int"))).alias("i", "t"))
+    posted = written(posted.select("t.token", "k", "rep", "n", (F.col("n") - F.col("s") + F.col("i")).alias("pos")), "join-postings")
+    lists = posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    posted = posted.join(lists, "token")
+    least = 1 + F.floor(needed(F.col("n"), percent) / EXTRA)  # with the smallest set that may be linked
+    enough = posted.groupBy("k", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("k")
+    return posted.join(enough, "k")
 
 
 def homes(rows: DataFrame) -> DataFrame:
@@ -240,31 +305,34 @@ def links_of(found: DataFrame, rows: DataFrame, whole: DataFrame, percent: int,
 def joined_documents(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): documents whose sets of ``words``-word
     shingles share at least ``percent`` of their union are linked."""
-    sketched = written(sketches(docs, words), "join-sketches")
-    ranks = bucket_ranks(sketched)
-    sketched = sketched.filter("part is null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shingle_bound = max(1, size // 4)  # about as many shingles, or fewer
+    ranges = min(1 << 23, max(shuffle_partitions(docs.sparkSession), -(-shingle_bound // RANGE)))
+    sketched, alone = sketches(docs, words, min(64, max(24, shingle_bound.bit_length() + SPARE)), ranges)
     taking_part = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(taking_part.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "join-classes")
-    posted = written(postings(docs, ranks, words, percent), "join-postings")
-    rows = written(index(posted, classes, percent), "join-index")
-    placed = written(homes(rows), "join-homes")
+    classes = written(taking_part.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("slice", "doc_id").alias("slice"), F.min_by("idx", "doc_id").alias("idx")), "join-classes")
+    spare = F.col("n") - needed(F.col("n"), percent)
+    likely = classes.join(alone, ["slice", "idx"], "left").filter(F.coalesce("alone", F.lit(0)) <= spare)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text", SLICE_BYTES):
                 made = [shingles(t, words) for t in part.column("text").to_pylist()]
-                k = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0]) for s in made]
-                own = np.array(k, np.int64) == np.asarray(part.column("k"))  # an id may have other texts too
-                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k", "rep", "n", "home", "hub", "hub_n")), pa.array([s.tobytes() for s in made], pa.binary())], names=["k", "rep", "n", "home", "hub", "hub_n", "shingles"])
+                own = np.array([key_of(s)[0] for s in made], np.int64) == np.asarray(part.column("k"))  # an id may have other texts too
+                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k", "rep", "n")), pa.array([s.tobytes() for s in made], pa.binary())], names=["k", "rep", "n", "shingles"])
                 yield part.filter(pa.array(own))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep").select("k", "rep", "n", "home", "hub", "hub_n", "text")
-    whole = written(texts.mapInArrow(sets, "k long, rep long, n long, home long, hub long, hub_n long, shingles binary"), "join-sets").dropDuplicates(["k"])
-    found = written(members(whole, percent), "join-members")
+    wanted = likely.select(F.col("k1").alias("k"), "rep", "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("k", "rep", "n", "text")
+    whole = written(texts.mapInArrow(sets, "k long, rep long, n long, shingles binary"), "join-sets").dropDuplicates(["k"])
+    rows = written(index(whole, percent), "join-index")
+    placed = written(homes(rows), "join-homes")
+    met_sets = whole.join(placed.select("k", "home", "hub", "hub_n"), "k")
+    found = written(members(met_sets, percent), "join-members")
     hub_links = found.filter("label != k").select("rep", F.col("label").alias("hub")).join(placed.select(F.col("k").alias("hub"), F.col("rep").alias("hub_rep")), "hub").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
     links = hub_links.unionByName(links_of(found, rows, whole, percent, chunk))
     joined = components(links)
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     linked = taking_part.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
-    alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    others = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(others)
