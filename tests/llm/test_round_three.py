@@ -229,8 +229,7 @@ def test_ngram_join_of_a_large_group(spark):
 
 
 def test_overlaps_and_derived_answers():
-    from urbanlens.llm.blocks import overlaps, without
-    from urbanlens.llm.set_join import answers
+    from urbanlens.llm.blocks import answers, overlaps, without
 
     rng = np.random.default_rng(6)
     hub = np.unique(rng.integers(0, 400, 120).astype(np.uint64))
@@ -249,6 +248,39 @@ def test_overlaps_and_derived_answers():
         assert (answers(others, n, hub, plus, minus, m, np.ones_like(linked), percent) == linked).all()
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """2,000 near copies, most of them unlike each other: their components are those of all pairs."""
+    from urbanlens.llm.near_dedup import near_duplicates, shingles
+
+    rows = near_copies(2000, 60) + [(5000, " ".join(f"w{i}" for i in range(50, 110)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    sets = {i: shingles(t, 3) for i, t in rows}
+    words, of = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+    table = np.zeros((len(rows), len(words)), np.float32)
+    table[np.repeat(np.arange(len(rows)), [len(s) for s in sets.values()]), of] = 1
+    both, n = table @ table.T, table.sum(axis=1)
+    linked = 100 * both >= 85 * (n[:, None] + n[None, :] - both)
+    names = np.arange(len(rows))
+    while True:
+        least = np.where(linked, names[None, :], len(rows)).min(axis=1)
+        if (least == names).all():
+            break
+        names = least
+    ids = np.array([i for i, _ in rows])
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(int(i), int(m), int(ids[c]), bool(i == ids[c])) for i, m, c in zip(ids, n, names, strict=True)}
+
+
+def test_collisions_are_counted_whole_where_they_matter():
+    from urbanlens.llm.near_dedup import COORDINATES, collide
+
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(0, k, (m, COORDINATES)) for m, k in ((30, 3), (41, 2)))
+    b[:9] = a[:9]
+    b[4, ::3] = -1
+    for matches in (1, 20, 26, 42, 64):
+        assert (collide(a, b, matches) == ((a[:, None] == b[None]).sum(axis=2) >= matches)).all()
+
+
 def test_block_pairs_are_dealt_by_both_names(spark):
     from urbanlens.llm.blocks import met
 

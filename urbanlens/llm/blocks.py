@@ -1,8 +1,13 @@
-"""Blocks of similar classes, which two operators on sets hold against each other instead of single pairs."""
+"""Links between classes of texts from an index of postings, by blocks of classes instead of single pairs.
+
+Two operators on sets share this: one posts shingles, the other signature coordinates. Both give ``rows`` (token, k, rep,
+n, pos, rest): the lists of the index, where k names a class, rep its document and n its set's size; pos and rest are the
+places before and after the token in the class's order of tokens. And both give the classes' sets (k, rep, n, shingles).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanlens.llm.common import written
+from urbanlens.llm.components import Joined
+
 #: Most classes, and about the most shingles, of a block.
 CHUNK, WEIGHT = 64, 1 << 18
 #: Matching pairs that are counted at once.
@@ -48,6 +56,124 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(a), len(b))
 
 
+def homes(rows: DataFrame) -> DataFrame:
+    """(k, rep, n, home, hub, hub_n): of each class its largest list and that list's smallest document."""
+    lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "k", "n")).alias("hub"))
+    best = F.max(F.struct("c", "token", "hub")).alias("best")
+    return rows.join(lists, "token").groupBy("k", "rep", "n").agg(best).select("k", "rep", "n", F.col("best.token").alias("home"), F.col("best.hub.k").alias("hub"), F.col("best.hub.n").alias("hub_n"))
+
+
+def fits(n: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes may be linked."""
+    return (F.least(n, other) * 100) >= (F.greatest(n, other) * percent)
+
+
+def members(sets: DataFrame, percent: int) -> DataFrame:
+    """Of classes (k, rep, n, home, hub, hub_n, shingles) that may be linked with their hubs (k, rep, n, home, label, plus,
+    minus): label names the hub that a class is linked with (else itself), plus and minus are the differences from its
+    set (else the whole set, and nothing)."""
+
+    def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, plus, minus = [], [], []
+            for k, hub, x, h in zip(*(batch.column(c).to_pylist() for c in ("k", "hub", "shingles", "hub_shingles")), strict=True):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                lacks, has = without(h, x), without(x, h)
+                both = len(h) - len(lacks)
+                linked = 100 * both >= percent * (len(x) + len(h) - both)
+                label.append(hub if linked else k)
+                plus.append((has if linked else x).tobytes())
+                minus.append(lacks.tobytes() if linked else b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "rep", "n", "home")), pa.array(label, pa.int64()), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=["k", "rep", "n", "home", "label", "plus", "minus"])
+
+    tried = (F.col("hub") != F.col("k")) & fits(F.col("n"), F.col("hub_n"), percent)
+    hubs = sets.select(F.col("k").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    pairs = sets.filter(tried).join(hubs, "hub").select("k", "rep", "n", "home", "hub", "shingles", "hub_shingles")
+    own = sets.filter(~tried).select("k", "rep", "n", "home", F.col("k").alias("label"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"))
+    return pairs.mapInArrow(relate, "k long, rep long, n long, home long, label long, plus binary, minus binary").unionByName(own)
+
+
+def hub_links(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (a, b) between documents: of :func:`members` with their hubs, which :func:`homes` names."""
+    hubs = placed.select(F.col("k").alias("hub"), F.col("rep").alias("b"))
+    return found.filter("label != k").select(F.col("rep").alias("a"), F.col("label").alias("hub")).join(hubs, "hub").select("a", "b")
+
+
+def _rebuilt(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray | None, list[np.ndarray], list[np.ndarray]]:
+    """The members, their hub's set (None: of no one hub) and their differences from it."""
+    plus = [np.frombuffer(x, np.uint64) for x in rows["plus"]]
+    minus = [np.frombuffer(x, np.uint64) for x in rows["minus"]]
+    lead = rows["leads"].to_numpy()
+    if not lead.any():
+        return rows, None, plus, minus
+    at, of = int(lead.argmax()), np.flatnonzero(~lead)
+    return rows.iloc[of], plus[at], [plus[i] for i in of], [minus[i] for i in of]
+
+
+def _whole(hub: np.ndarray | None, plus: list[np.ndarray], minus: list[np.ndarray]) -> list[np.ndarray]:
+    return plus if hub is None else [np.sort(np.concatenate([without(hub, m), p])) for p, m in zip(plus, minus, strict=True)]
+
+
+def answers(sets: list[np.ndarray], sizes: np.ndarray, hub: np.ndarray, plus: list[np.ndarray], minus: list[np.ndarray], others: np.ndarray, open_: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``sets`` are linked with which members of a hub, of the pairs that are ``open_``. The members' overlaps
+    follow from the hub's."""
+    with_hub = overlaps(sets, [hub])
+    more, less = (np.array([len(x) for x in d]) for d in (plus, minus))
+    least = percent * (sizes[:, None] + others[None, :])
+    sure = open_ & ((100 + percent) * (with_hub - less[None, :]) >= least)
+    unsure = open_ & ~sure & ((100 + percent) * (with_hub + more[None, :]) >= least)
+    x, y = np.flatnonzero(unsure.any(axis=1)), np.flatnonzero(unsure.any(axis=0))
+    if len(x):
+        own = [sets[i] for i in x]
+        exact = with_hub[x] + overlaps(own, [plus[j] for j in y]) - overlaps(own, [minus[j] for j in y])
+        sure[np.ix_(x, y)] |= unsure[np.ix_(x, y)] & ((100 + percent) * exact >= least[np.ix_(x, y)])
+    return sure
+
+
+def links_apart(found: DataFrame, rows: DataFrame, whole: DataFrame, percent: int, chunk: int, room: Callable, least: Callable, likely: Callable | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Links (a, b) between documents of classes that no hub joins: of :func:`members` ``found``, index ``rows`` and
+    ``whole`` sets. ``room`` and ``least`` bound blocks that share lists, as in :func:`block_pairs`; ``likely`` rules
+    pairs of two blocks' rows out by the columns ``more``."""
+    blocked = written(block_names(found, chunk), "blocks")
+    names = ["block", "k", "rep", "n", "label", "plus", "minus", *more]
+    placed = rows.select("token", "k", "pos", "rest").join(blocked.select("k", "n", "label", "block"), "k")
+    reach = lambda x, y: F.least(x["n1"], y["n1"]) * 100 >= F.greatest(x["n0"], y["n0"]) * percent
+    pairs = block_pairs(placed, lambda x, y: reach(x, y) & room(x, y), least)
+    # a hub's own set goes with each of its blocks
+    hubs = blocked.filter("of_hub").select("block", F.col("label").alias("hub")).distinct()
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]
+    of_hub = whole.select(F.col("k").alias("hub"), "k", "rep", "n", F.col("k").alias("label"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"), *none, F.lit(True).alias("leads"))
+    shipped = blocked.select(*names, F.lit(False).alias("leads")).unionByName(hubs.join(of_hub, "hub").select(*names, "leads"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> list[tuple[int, int]]:
+        a, hub, plus, minus = _rebuilt(a)
+        b, hub2, plus2, minus2 = (a, hub, plus, minus) if b is None else _rebuilt(b)
+        if hub2 is None and hub is not None:
+            a, hub, plus, minus, b, hub2, plus2, minus2 = b, hub2, plus2, minus2, a, hub, plus, minus
+        n, n2 = a["n"].to_numpy(), b["n"].to_numpy()
+        label, label2 = a["label"].to_numpy(), b["label"].to_numpy()
+        open_ = (label[:, None] != label2[None, :]) & (100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :]))
+        if likely is not None and open_.any():
+            open_ &= likely(a, b)
+        x, y = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if not len(x):
+            return []
+        a, b, n, n2, label, label2, open_ = a.iloc[x], b.iloc[y], n[x], n2[y], label[x], label2[y], open_[np.ix_(x, y)]
+        plus, minus, plus2, minus2 = ([d[i] for i in at] for d, at in ((plus, x), (minus, x), (plus2, y), (minus2, y)))
+        whole = _whole(hub, plus, minus)
+        if hub2 is None:
+            linked = open_ & ((100 + percent) * overlaps(whole, plus2) >= percent * (n[:, None] + n2[None, :]))
+        else:
+            linked = answers(whole, n, hub2, plus2, minus2, n2, open_, percent)
+        joined, out, rep, rep2 = Joined(), [], a["rep"].to_numpy(), b["rep"].to_numpy()
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            if joined.join(int(label[i]), int(label2[j])):
+                out.append((int(rep[i]), int(rep2[j])))
+        return out
+
+    return met(pairs, shipped, compare)
+
+
 def block_names(found: DataFrame, chunk: int) -> DataFrame:
     """``found`` (k, n, home, label and more) with ``block``, and ``of_hub``: whether the block is one of a hub's classes.
 
@@ -62,7 +188,7 @@ def block_names(found: DataFrame, chunk: int) -> DataFrame:
 
 
 def block_pairs(placed: DataFrame, possible: Callable[[Callable, Callable], Column], least: Callable[[Column, Column], Column]) -> DataFrame:
-    """(i, j): the pairs of blocks that lists of ``placed`` (token, k, pos, n, label, block) bring together in as many
+    """(i, j): the pairs of blocks that lists of ``placed`` (token, k, pos, rest, n, label, block) bring together in as many
     lists as ``least`` says of their smallest sizes, where ``possible`` holds for their ranges. Blocks of one label only
     don't meet."""
     entries = placed.groupBy("token", "block").agg(
@@ -70,7 +196,7 @@ def block_pairs(placed: DataFrame, possible: Callable[[Callable, Callable], Colu
         F.min("n").alias("n0"),
         F.max("n").alias("n1"),
         F.max("pos").alias("pos1"),
-        F.max(F.col("n") - F.col("pos") - 1).alias("rest1"),
+        F.max("rest").alias("rest1"),
         F.min("label").alias("label0"),
         F.max("label").alias("label1"),
     )

@@ -3,23 +3,25 @@
 1. Each text's set of word shingles gets a signature of ``COORDINATES`` minima. Texts of equal sets become one class.
 2. Classes are posted under each coordinate-value pair (a token). A pair of classes is a candidate if at least
    ``least_matches`` tokens agree, a bound over four standard deviations below what similar texts expect. Prefix
-   rule: under one global order of tokens, rarest first, candidates share one of the first ``COORDINATES`` -
-   ``least_matches`` + 1 of each. Tokens of one class only come first and match nothing, so classes with too few
-   shared tokens are skipped, and common tokens (of passages that many documents share) are posted only by classes
-   that hold hardly any others.
-3. Classes that a posting list joins, each through the list's smallest, form candidate groups. Within a group the
-   collisions of whole signatures are counted and pairs above the bound are confirmed on the full sets, unless links
-   found before join them already. Only links leave a task, fewer than the classes it holds.
-   Groups above ``CHUNK`` classes are split: first every chunk by itself, with the group's smallest class in each; then
-   those classes that aren't linked with that one are held against every other chunk. No pair is left out by this.
-4. Connected components of the links, over classes; documents take their class's.
+   rule: under one global order of tokens, rarest first, candidates share 1 + ``EXTRA`` of the first ``COORDINATES`` -
+   ``least_matches`` + 1 + ``EXTRA`` of each. Tokens of one class only come first and match nothing, so classes with too
+   few shared tokens are skipped, and common tokens (of passages that many documents share) are posted only by
+   classes that hold hardly any others.
+3. Collisions in the posted lists are counted by pairs of blocks of classes, so a list of many classes is neither one
+   task's work nor expanded into pairs. Before that each class is held against the smallest document of its largest
+   list; those of one such hub lie in blocks of their own, and blocks that the hub joins don't meet.
+4. Of two blocks with enough lists in common the remaining coordinates are merged in parts, skipping classes that can't
+   reach the threshold any more. Pairs at or above it are confirmed on the full sets. Only links that join something
+   leave a task, fewer than the classes it holds.
+5. Connected components of the links, over classes; documents take their class's.
 
 A true pair is missed only if its signatures agree in fewer places than the bound: at a similarity right on the
 threshold 3.0 times in 10^5 at 85 percent and 1.4 times at 80, less above it.
 
 Results by case: a text without words (null, empty, white space) has no shingles and is linked with nothing, its own
-component; fewer words than a shingle has make one shingle; rows of one id count as one document; a row without an id is
-linked with nothing, has no component and is kept; an empty table gives no rows; other columns are ignored.
+component; fewer words than a shingle has make one shingle; rows of one id are judged each by its own text, and share
+the id in components; a row without an id is linked with nothing, has no component and is kept; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members
 from urbanlens.llm.common import row_slices, written
 from urbanlens.llm.components import components
 
-COORDINATES, CHUNK, SLICE_BYTES = 64, 256, 1 << 20
+#: Signature length, postings beyond the prefix rule, and bytes of texts that a task shingles at once.
+COORDINATES, EXTRA, SLICE_BYTES = 64, 4, 1 << 20
 _U = np.uint64
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=_U) * _U(2) + _U(1)
@@ -101,93 +105,62 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<long>")
 
 
-def candidate_groups(classes: DataFrame, matches: int) -> DataFrame:
-    """(node, component): the classes (rep, tokens) that posting lists of prefixes join."""
-    posted = classes.select("rep", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = posted.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("found")).filter(F.size("found") >= matches)
-    prefixes = ranked.select("rep", F.explode(F.slice("found", F.lit(1), F.size("found") - (matches - 1))).alias("t")).select("rep", "t.token").checkpoint()
-    hubs = prefixes.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    return components(prefixes.join(hubs, "token").filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-
-
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _confirm(ids: list[int], sets: list[np.ndarray], groups: list[int], sides: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join what isn't joined yet: between members of ``sides`` 0 and all, where groups (verified before) differ."""
-    names = {g: g for g in groups}
-
-    def root(x: int) -> int:
-        while names[x] != x:
-            names[x] = x = names[names[x]]
-        return x
-
-    signatures = np.array([signature(s) for s in sets])
-    links = []
-    for i in np.flatnonzero(sides == 0):
-        others = np.flatnonzero((signatures == signatures[i]).sum(axis=1) >= matches)
-        for j in others:
-            if j > i or sides[j]:
-                x, y = root(groups[i]), root(groups[j])
-                if x != y and _linked(sets[i], sets[j], percent):
-                    names[max(x, y)] = min(x, y)
-                    links.append((ids[i], ids[j]))
-    return links
-
-
-def _links(rows: DataFrame, keys: list[str], matches: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of ``rows`` (rep, grp, side, shingles and the keys)."""
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "rep"])
-        sets = [np.frombuffer(x, _U) for x in pdf["shingles"]]
-        return pd.DataFrame(_confirm(pdf["rep"].tolist(), sets, pdf["grp"].tolist(), pdf["side"].to_numpy(), matches, percent), columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy(*keys).applyInPandas(confirm, "a long, b long")
+def index(classes: DataFrame, matches: int) -> DataFrame:
+    """(token, k, rep, n, pos, rest): the posted tokens of each class (k, rep, n, tokens) that another class shares, of
+    classes that share as many as candidates do."""
+    posted = classes.select("k", "rep", "n", F.explode("tokens").alias("token"))
+    shared = posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    ranked = posted.join(shared, "token").groupBy("k", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("found")).filter(F.size("found") >= matches)
+    # what nobody shares comes first in the order and takes places
+    first = F.slice("found", F.lit(1), F.size("found") - (matches - 1) + EXTRA)
+    rows = written(ranked.select("k", "rep", "n", F.size("found").alias("s"), F.posexplode(first).alias("i", "t")).select("t.token", "k", "rep", "n", (COORDINATES - F.col("s") + F.col("i")).alias("pos")), "near-postings")
+    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "token")
+    enough = rows.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > EXTRA).select("k")
+    return rows.join(enough, "k").withColumn("rest", COORDINATES - 1 - F.col("pos"))
+
+
+def collide(a: np.ndarray, b: np.ndarray, matches: int, part: int = 16) -> np.ndarray:
+    """Whether signatures (rows) of ``a`` and ``b`` agree in ``matches`` coordinates. Coordinates are merged ``part`` at a
+    time; rows that can't get there with anyone are skipped from then on."""
+    out = np.zeros((len(a), len(b)), bool)
+    x, y = np.arange(len(a)), np.arange(len(b))
+    found = np.zeros(out.shape, np.int16)
+    for at in range(0, COORDINATES, part):
+        found = found + (a[x, None, at : at + part] == b[None, y, at : at + part]).sum(axis=2, dtype=np.int16)
+        alive = found + (COORDINATES - min(at + part, COORDINATES)) >= matches
+        rows, columns = alive.any(axis=1), alive.any(axis=0)
+        x, y, found = x[rows], y[columns], found[np.ix_(rows, columns)]
+    out[np.ix_(x, y)] = found >= matches
+    return out
 
 
 def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Confirmed links (a, b) between classes: enough of them to join all that are linked."""
+    """Confirmed links (a, b) between documents of classes: enough of them to join all that are linked."""
     matches = least_matches(percent)
-    groups = candidate_groups(classes, matches)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    members = groups.join(sizes, "component").withColumnsRenamed({"node": "rep"})
+    rows = written(index(classes, matches), "near-index")
+    placed = written(homes(rows), "near-homes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in row_slices(batch, "text", SLICE_BYTES):
-                made = [shingles(t, words).tobytes() for t in rows.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("rep", "component", "chunks")), pa.array(made, pa.binary())], names=["rep", "component", "chunks", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select("rep", "component", "chunks", "text")
-    full = written(texts.mapInArrow(sets, "rep long, component long, chunks int, shingles binary").filter(F.length("shingles") > 0), "near-sets")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    # the group's smallest class goes to every chunk
-    at = F.explode(F.when(F.col("rep") == F.col("component"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))
-    first = _links(full.select("rep", "component", at.alias("chunk"), F.col("rep").alias("grp"), F.lit(0).alias("side"), "shingles"), ["component", "chunk"], matches, percent).checkpoint()
-    large = full.filter("chunks > 1")
-    if not large.limit(1).count():
-        return first
-    # of larger groups: the classes not linked with the smallest one, against all chunks
-    found = components(first).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    grouped = large.join(found, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-    core = F.col("grp") == F.col("component")  # the smallest class is the smallest of its verified component
-    apart = grouped.filter(~core)
-    counts = apart.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("sides"))
-    side = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("sides")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = apart.join(counts, "component").withColumn("x", side).withColumn("y", every("chunks")).withColumn("side", F.lit(0))
-    right = grouped.join(counts, "component").withColumn("x", every("sides")).withColumn("y", own).withColumn("side", F.lit(1))
-    names = ["rep", "component", "x", "y", "grp", "side", "shingles"]
-    second = _links(left.select(names).unionByName(right.select(names)), ["component", "x", "y"], matches, percent)
-    return first.unionByName(second).checkpoint()
+            for part in row_slices(batch, "text", SLICE_BYTES):
+                made = [shingles(t, words) for t in part.column("text").to_pylist()]
+                own = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in made], np.int64) == np.asarray(part.column("k"))  # an id may have other texts too
+                signed = [tokens(signature(s)).tobytes() if len(s) else b"" for s in made]
+                columns = [*(part.column(c) for c in names), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(signed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "shingles", "signed"]).filter(pa.array(own))
+
+    names = ["k", "rep", "n", "home", "hub", "hub_n"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep").select(*names, "text")
+    whole = written(texts.mapInArrow(sets, "k long, rep long, n long, home long, hub long, hub_n long, shingles binary, signed binary"), "near-sets").dropDuplicates(["k"])
+    found = written(members(whole, percent).join(whole.select("k", "signed"), "k"), "near-members")
+
+    def likely(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(r["signed"]), np.int64).reshape(-1, COORDINATES) for r in (a, b))
+        return collide(x, y, matches)
+
+    room = lambda x, y: F.least(x["pos1"], y["pos1"]) + 1 + F.least(x["rest1"], y["rest1"]) >= matches
+    apart = links_apart(found, rows, whole, percent, chunk, room, lambda x, y: F.lit(1 + EXTRA), likely, ("signed",))
+    return hub_links(found, placed).unionByName(apart)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -195,9 +168,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: i
     ``words``-word shingles share at least ``percent`` of their union are linked."""
     sketched = written(sketches(docs, words), "near-sketches")
     taking_part = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = taking_part.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    classes = taking_part.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     classes = written(classes, "near-classes")
-    found = components(links_of(docs, classes, words, percent, chunk))
+    found = components(links_of(docs, classes.withColumnRenamed("k1", "k"), words, percent, chunk))
     named = classes.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     linked = taking_part.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -33,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -41,9 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.blocks import CHUNK, block_names, block_pairs, met, overlaps, without
+from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members
 from urbanlens.llm.common import row_slices, shuffle_partitions, written
-from urbanlens.llm.components import Joined, components
+from urbanlens.llm.components import components
 from urbanlens.llm.near_dedup import shingles
 
 #: Shingles that are sorted at once, shingles of a range (a bound on its task's memory), and spare bits of cut hashes.
@@ -171,7 +170,7 @@ def sketches(docs: DataFrame, words: int, bits: int, ranges: int) -> tuple[DataF
 
 
 def index(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, k, rep, n, pos): the postings of each class that another class shares, of classes (k, rep, n, shingles)
+    """(token, k, rep, n, pos, rest): the postings of each class that another class shares, of classes (k, rep, n, shingles)
     that share as many as a link needs."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,114 +191,7 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
     posted = posted.join(lists, "token")
     least = 1 + F.floor(needed(F.col("n"), percent) / EXTRA)  # with the smallest set that may be linked
     enough = posted.groupBy("k", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("k")
-    return posted.join(enough, "k")
-
-
-def homes(rows: DataFrame) -> DataFrame:
-    """(k, rep, n, home, hub, hub_n): of each class its largest list and that list's smallest document."""
-    lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "k", "n")).alias("hub"))
-    best = F.max(F.struct("c", "token", "hub")).alias("best")
-    return rows.join(lists, "token").groupBy("k", "rep", "n").agg(best).select("k", "rep", "n", F.col("best.token").alias("home"), F.col("best.hub.k").alias("hub"), F.col("best.hub.n").alias("hub_n"))
-
-
-def fits(n: Column, other: Column, percent: int) -> Column:
-    """Whether sets of these sizes may be linked."""
-    return (F.least(n, other) * 100) >= (F.greatest(n, other) * percent)
-
-
-def members(sets: DataFrame, percent: int) -> DataFrame:
-    """(k, rep, n, home, label, plus, minus): label names the hub that a class is linked with (else itself), plus and
-    minus are the differences from its set (else the whole set, and nothing)."""
-
-    def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, plus, minus = [], [], []
-            for k, hub, x, h in zip(*(batch.column(c).to_pylist() for c in ("k", "hub", "shingles", "hub_shingles")), strict=True):
-                x, h = np.frombuffer(x, _U), np.frombuffer(h, _U)
-                lacks, has = without(h, x), without(x, h)
-                both = len(h) - len(lacks)
-                linked = 100 * both >= percent * (len(x) + len(h) - both)
-                label.append(hub if linked else k)
-                plus.append((has if linked else x).tobytes())
-                minus.append(lacks.tobytes() if linked else b"")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "rep", "n", "home")), pa.array(label, pa.int64()), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=["k", "rep", "n", "home", "label", "plus", "minus"])
-
-    tried = (F.col("hub") != F.col("k")) & fits(F.col("n"), F.col("hub_n"), percent)
-    hubs = sets.select(F.col("k").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    pairs = sets.filter(tried).join(hubs, "hub").select("k", "rep", "n", "home", "hub", "shingles", "hub_shingles")
-    own = sets.filter(~tried).select("k", "rep", "n", "home", F.col("k").alias("label"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"))
-    return pairs.mapInArrow(relate, "k long, rep long, n long, home long, label long, plus binary, minus binary").unionByName(own)
-
-
-def _rebuilt(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray | None, list[np.ndarray], list[np.ndarray]]:
-    """The members, their hub's set (None: of no one hub) and their differences from it."""
-    plus = [np.frombuffer(x, _U) for x in rows["plus"]]
-    minus = [np.frombuffer(x, _U) for x in rows["minus"]]
-    lead = rows["leads"].to_numpy()
-    if not lead.any():
-        return rows, None, plus, minus
-    at, of = int(lead.argmax()), np.flatnonzero(~lead)
-    return rows.iloc[of], plus[at], [plus[i] for i in of], [minus[i] for i in of]
-
-
-def _whole(hub: np.ndarray | None, plus: list[np.ndarray], minus: list[np.ndarray]) -> list[np.ndarray]:
-    return plus if hub is None else [np.sort(np.concatenate([without(hub, m), p])) for p, m in zip(plus, minus, strict=True)]
-
-
-def answers(sets: list[np.ndarray], sizes: np.ndarray, hub: np.ndarray, plus: list[np.ndarray], minus: list[np.ndarray], others: np.ndarray, open_: np.ndarray, percent: int) -> np.ndarray:
-    """Which of ``sets`` are linked with which members of a hub, of the pairs that are ``open_``. The members' overlaps
-    follow from the hub's."""
-    with_hub = overlaps(sets, [hub])
-    more, less = (np.array([len(x) for x in d]) for d in (plus, minus))
-    least = percent * (sizes[:, None] + others[None, :])
-    sure = open_ & ((100 + percent) * (with_hub - less[None, :]) >= least)
-    unsure = open_ & ~sure & ((100 + percent) * (with_hub + more[None, :]) >= least)
-    x, y = np.flatnonzero(unsure.any(axis=1)), np.flatnonzero(unsure.any(axis=0))
-    if len(x):
-        own = [sets[i] for i in x]
-        exact = with_hub[x] + overlaps(own, [plus[j] for j in y]) - overlaps(own, [minus[j] for j in y])
-        sure[np.ix_(x, y)] |= unsure[np.ix_(x, y)] & ((100 + percent) * exact >= least[np.ix_(x, y)])
-    return sure
-
-
-def links_of(found: DataFrame, rows: DataFrame, whole: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between documents of classes that no hub joins: of members ``found``, index ``rows`` and ``whole`` sets."""
-    blocked = written(block_names(found, chunk), "join-blocks")
-    names = ["block", "k", "rep", "n", "label", "of_hub", "plus", "minus"]
-    placed = rows.select("token", "k", "pos").join(blocked.select("k", "n", "label", "block", "of_hub"), "k")
-    reach = lambda x, y: (F.least(x["n1"], y["n1"]) * 100 >= F.greatest(x["n0"], y["n0"]) * percent)
-    # tokens at these places leave room for as many in common as the smallest sets here need
-    room = lambda x, y: (100 + percent) * (F.least(x["pos1"], y["pos1"]) + 1 + F.least(x["rest1"], y["rest1"])) >= percent * (x["n0"] + y["n0"])
-    pairs = block_pairs(placed, lambda x, y: reach(x, y) & room(x, y), lambda x, y: 1 + F.floor(F.least(x, y) / EXTRA))
-    # a hub's own set goes with each of its blocks
-    hubs = blocked.filter("of_hub").select("block", F.col("label").alias("hub")).distinct()
-    of_hub = whole.select(F.col("k").alias("hub"), "k", "rep", "n", F.col("k").alias("label"), F.lit(True).alias("of_hub"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"), F.lit(True).alias("leads"))
-    leading = hubs.join(of_hub, "hub").select(*names, "leads")
-    shipped = blocked.select(*names, F.lit(False).alias("leads")).unionByName(leading)
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> list[tuple[int, int]]:
-        same = b is None
-        a, hub, plus, minus = _rebuilt(a)
-        b, hub2, plus2, minus2 = (a, hub, plus, minus) if same else _rebuilt(b)
-        if hub2 is None and hub is not None:
-            a, hub, plus, minus, b, hub2, plus2, minus2 = b, hub2, plus2, minus2, a, hub, plus, minus
-        n, n2 = a["n"].to_numpy(), b["n"].to_numpy()
-        label, label2 = a["label"].to_numpy(), b["label"].to_numpy()
-        open_ = (label[:, None] != label2[None, :]) & (100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :]))
-        if not open_.any():
-            return []
-        whole = _whole(hub, plus, minus)
-        if hub2 is None:
-            linked = open_ & ((100 + percent) * overlaps(whole, plus2) >= percent * (n[:, None] + n2[None, :]))
-        else:
-            linked = answers(whole, n, hub2, plus2, minus2, n2, open_, percent)
-        joined, out, rep, rep2 = Joined(), [], a["rep"].to_numpy(), b["rep"].to_numpy()
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            if joined.join(int(label[i]), int(label2[j])):
-                out.append((int(rep[i]), int(rep2[j])))
-        return out
-
-    return met(pairs, shipped, compare)
+    return posted.join(enough, "k").withColumn("rest", F.col("n") - F.col("pos") - 1)
 
 
 def joined_documents(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -329,8 +221,10 @@ def joined_documents(docs: DataFrame, words: int = 5, percent: int = 80, chunk:
     placed = written(homes(rows), "join-homes")
     met_sets = whole.join(placed.select("k", "home", "hub", "hub_n"), "k")
     found = written(members(met_sets, percent), "join-members")
-    hub_links = found.filter("label != k").select("rep", F.col("label").alias("hub")).join(placed.select(F.col("k").alias("hub"), F.col("rep").alias("hub_rep")), "hub").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
-    links = hub_links.unionByName(links_of(found, rows, whole, percent, chunk))
+    # tokens at these places leave room for as many in common as the smallest sets here need
+    room = lambda x, y: (100 + percent) * (F.least(x["pos1"], y["pos1"]) + 1 + F.least(x["rest1"], y["rest1"])) >= percent * (x["n0"] + y["n0"])
+    least = lambda x, y: 1 + F.floor(F.least(x, y) / EXTRA)
+    links = hub_links(found, placed).unionByName(links_apart(found, rows, whole, percent, chunk, room, least))
     joined = components(links)
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     linked = taking_part.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
