@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from urbanlens.operators import clean as C
 from urbanlens.operators import history as H
 from urbanlens.plans import catalog as CT
 from urbanlens.session import fresh_dir
@@ -48,18 +49,20 @@ def test_curated_prefers_written_table(spark, sf_small):
     I.write_curated(clean, path)
     back = I.load_incidents(spark, curated_path=path)
     assert back.count() == clean.count() and back.columns == clean.columns
-    direct = fresh_dir(spark, "curated-direct")
-    I.write_curated(clean, direct, layout="direct")
-    assert I.load_incidents(spark, curated_path=direct).exceptAll(back).count() == 0
+    again = fresh_dir(spark, "curated-audited")
+    counts = I.curate(CT.raw(spark, sf_small), again)
+    assert counts == C.clean_audit(CT.raw(spark, sf_small)).first().asDict()
+    assert counts["valid_rows"] == clean.count()
+    assert I.load_incidents(spark, curated_path=again).exceptAll(back).count() == 0
 
 
 def test_log_append_and_views(spark, sf_small):
     path = fresh_dir(spark, "log-test")
     assert HS.read_log(spark, path).count() == 0
-    log = X.prediction_log(spark, sf_small)
-    HS.append_log(log.limit(10), path)
-    HS.append_log(log.limit(10), path)
-    assert HS.read_log(spark, path).count() == 20
+    log = HS.entries(X.fixture_scorer(X.logged_requests(spark, sf_small)), F.col("asked_at"))
+    for batch in ("a", "b", "b"):  # a batch that is written again replaces itself
+        HS.append_log(log.filter(F.col("log_id") < 40), path, batch)
+    assert HS.read_log(spark, path).count() == 2 * log.filter(F.col("log_id") < 40).count()
     g = CT.logged(spark, sf_small)
     hist = H.user_history(g, "user_3").collect()
     keys = [(r["timestamp"], r["log_id"]) for r in hist]
@@ -88,9 +91,11 @@ def test_place_lookup_outcomes(spark):
 def test_stream_scoring_matches_batch(spark, sf_small):
     src = CT._request_files(spark, sf_small)
     log = fresh_dir(spark, "stream-log-test")
-    ST.run_to_log(ST.scored_stream(ST.request_stream(spark, src, 1), X.fixture_scorer), log)
-    streamed = spark.read.parquet(log).drop("scored_at")
-    batch = X.fixture_scorer(spark.read.parquet(src)).select(*streamed.columns)
+    ST.run_to_log(ST.request_stream(spark, src, 1), X.fixture_scorer, log)
+    same = ["log_id", "user_name", "area", "input", "result"]
+    streamed = HS.read_log(spark, log).select(same)
+    batch = HS.entries(X.fixture_scorer(spark.read.parquet(src))).select(same)
+    assert HS.read_log(spark, log).select("batch").distinct().count() == 4
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 

@@ -18,6 +18,17 @@ DATE_FORMATS = [
     "yyyy/MM/dd[ HH:mm:ss]",
     "M/d/yyyy[ H:mm[:ss]]",
     "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy h:mm a",
+    "yyyy-MM-dd['T'][ ]HH:mm[XXX]",
+    "yyyyMMdd['T'HHmmss]",
+    "yyyy-M-d[ H:mm[:ss]]",
+    "yyyy/M/d[ H:mm[:ss]]",
+    "MMM d, yyyy[ h:mm[:ss] a][ H:mm[:ss]]",
+    "MMMM d, yyyy[ h:mm[:ss] a][ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]",
+    "d MMMM yyyy[ H:mm[:ss]]",
+    "d-MMM-yyyy[ H:mm[:ss]]",
+    "M-d-yyyy[ H:mm[:ss]]",
 ]
 
 

@@ -80,6 +80,7 @@ COMPARE_PATTERN = (
 )
 HOUR_INTERVAL_PATTERN = r"(entre\s+las?\s+(\d{1,2})\s+y\s+las?\s+(\d{1,2}))"
 
+# FIXED VALUES: wording for all types, and the answer to other questions.
 ALL_CRIMES_LABEL = "todos los crímenes"
 GENERIC_ANSWER = (
     "Soy el cerebro de la API. Pregúntame sobre 'tendencias', 'comparaciones entre zonas' o 'intervalos horarios'."

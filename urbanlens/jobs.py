@@ -5,7 +5,7 @@
 Steps: header CSV scan (S1) -> optional seeded sample of N rows (L1) -> cleaning
 (P1-P8) written as the year-partitioned curated table (S4) -> the data behind
 every exploration chart (A1-A12) written as parquet tables -> training frame,
-split and class weights (M1-M6) -> both classifiers (M7, M8), their test
+split and class weights (M1-M6) -> the two-headed classifier (M7, M8), its test
 accuracy (M9) and the saved model artifacts (S5). Every step is a Spark job
 over the whole input; the driver only receives the small summary.
 """
@@ -19,7 +19,6 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from urbanlens.operators import clean as C
 from urbanlens.operators import dashboard as D
 from urbanlens.operators import explore as E
 from urbanlens.operators import features as FE
@@ -47,9 +46,8 @@ def training_job(spark: SparkSession, csv_path: str, out_dir: str, sample: int |
     raw = I.read_incident_csv(spark, csv_path)
     if sample:
         raw = D.sample_n(raw, sample, "42")
-    audit = C.clean_audit(raw).first().asDict()
     curated = os.path.join(out_dir, "curated")
-    I.write_curated(C.clean_incidents(raw), curated)
+    audit = I.curate(raw, curated)
     clean = I.load_incidents(spark, curated_path=curated)
     written = {"curated": curated}
     if explore:
@@ -67,9 +65,9 @@ def training_job(spark: SparkSession, csv_path: str, out_dir: str, sample: int |
     bal = os.path.join(out_dir, "explore", "severity_balance")
     E.severity_balance(split).write.mode("overwrite").parquet(bal)
     FE.class_weights(split).write.mode("overwrite").parquet(os.path.join(out_dir, "class_weights"))
-    models = M.fit_models(split.filter(F.col("split") == "train"))
+    models = M.fit_models(split)
     acc = {r["target"]: r["accuracy"] for r in M.accuracy(models, split.filter(F.col("split") == "test")).collect()}
-    M.save_models(models, os.path.join(out_dir, "models"))
+    M.save_models(models, os.path.join(out_dir, "models"), spark)
     split.unpersist()
     summary["models"] = {"path": os.path.join(out_dir, "models"), "accuracy": acc,
                          "type_labels": models.type_labels, "severity_labels": models.severity_labels}

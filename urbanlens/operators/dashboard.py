@@ -94,15 +94,28 @@ def area_point(df: DataFrame, requests: DataFrame, area_col: str = "area") -> Da
     )
 
 
+SAMPLE_BUCKET_BITS = 20
+
+
 def sample_n(df: DataFrame, n: int, seed: str = "42", key: str = "dr_no") -> DataFrame:
-    """L1: min(n, rows) rows without replacement, chosen by a seeded hash order.
+    """L1: min(n, rows) rows without replacement: those of the smallest seeded key hashes, ties by key.
 
-    ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: every task keeps
-    only its best ``n`` rows, so no global sort and at most n rows per task
-    reach the final merge.
+    A histogram of 2^20 buckets of the hash finds the bucket at which the sample is full; rows of earlier buckets are
+    taken by a filter, and only that bucket's rows are ranked for what is still due. So no task holds the sample,
+    however large it is. A null key hashes as such and comes first.
     """
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-    return df.orderBy(h, F.col(key)).limit(n)
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)))
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.conv(F.substring(digest, 1, SAMPLE_BUCKET_BITS // 4), 16, 10).cast("int"))
+    keyed = df.withColumn("_bucket", bucket)
+    # one row a bucket, whatever the number of rows
+    upto = F.sum("c").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    full = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto).filter(F.col("upto") >= n).agg(F.min(F.struct("_bucket", "c", "upto")).alias("at")).first()["at"]
+    if full is None:  # fewer rows than asked for
+        return df
+    due = n - (full["upto"] - full["c"])
+    whole = keyed.filter(F.col("_bucket") < full["_bucket"]).drop("_bucket")
+    edge = keyed.filter(F.col("_bucket") == full["_bucket"]).drop("_bucket")
+    return whole.unionByName(edge if due == full["c"] else edge.orderBy(digest, F.col(key)).limit(due))
 
 
 def heat_points(df: DataFrame, n: int = 2000, seed: str = "42") -> DataFrame:

@@ -52,14 +52,30 @@ def year_month_counts(clean: DataFrame) -> DataFrame:
     return clean.groupBy("year", "month").agg(F.count("dr_no").alias("n_incidents"))
 
 
+#: Columns that the month matrix may have: a century of months.
+MOST_MONTHS = 1200
+
+
+def observed_months(clean: DataFrame, most: int = MOST_MONTHS) -> list[str]:
+    """The months that occur, in order. The range of the dates is checked first, so that no more than ``most`` months can
+    come back: a wider range (junk years, say) is an error that names it."""
+    month = F.year("date_occ") * 12 + F.month("date_occ") - 1
+    r = clean.agg(F.min(month).alias("a"), F.max(month).alias("b"), F.min("date_occ").alias("first"), F.max("date_occ").alias("last")).first()
+    if r["a"] is None:
+        return []
+    if r["b"] - r["a"] >= most:
+        raise ValueError(f"dates from {r['first']} to {r['last']} span more than {most} months; filter them first")
+    return [x[0] for x in clean.select("month").filter(F.col("month").isNotNull()).distinct().orderBy("month").collect()]
+
+
 def year_month_pivot(clean: DataFrame, months: list[str] | None = None) -> DataFrame:
     """A3: year x 'yyyy-MM' matrix of record counts, missing cells 0.
 
-    The month list is passed explicitly (one small distinct job when not
+    The month list is passed explicitly (:func:`observed_months` when not
     given), which fixes the schema and avoids Spark's own value-discovery job.
     """
     if months is None:
-        months = [r[0] for r in clean.select("month").distinct().orderBy("month").collect() if r[0] is not None]
+        months = observed_months(clean)
     wide = clean.filter(F.col("year").isNotNull()).groupBy("year").pivot("month", months).agg(F.count("dr_no"))
     return wide.fillna(0, subset=months) if months else wide
 

@@ -113,41 +113,50 @@ SPLIT_BUCKET_BITS = 20
 
 
 def _hash60(key: F.Column) -> F.Column:
-    """60 uniform bits of the md5 of the key (non-negative bigint)."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint")
+    """60 uniform bits of the md5 of the key (non-negative bigint); rows without a key come after all others."""
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint"), F.lit(1 << 60))
 
 
 def stratified_split_exact(training: DataFrame, test_pct: int = TEST_PCT, label: str = TARGET) -> DataFrame:
     """M4, exact variant: each class puts round(test_pct % of its rows) into the test part - the
     rows with the smallest key hash - so class shares are exact, not just expected.
 
-    The k-th smallest hash per class is found without a window over a whole
-    class: a histogram of 2^20 hash buckets per class (one aggregation; the
-    per-class cumulative sums run over at most 2^20 rows) locates the bucket
-    holding the boundary, and only the rows of that one bucket per class are
-    ranked. Every other row is decided by comparing its bucket.
+    The k-th smallest hash per class is found without a window over a whole class: a histogram of 2^20 hash buckets per
+    class (one aggregation; the per-class cumulative sums run over one row a bucket) locates the bucket holding the
+    boundary. Within it a second histogram, by exact (hash, key), finds the key at the boundary; keys before it are in
+    the test part, and of the rows that share that key as many as are still due. Every other row is decided by comparison.
+
+    Rows without a key come last in their class and are told apart like rows of one repeated key: by their position among
+    them, which is arbitrary but doesn't change how many are taken. A null class is a class.
     """
     shift = 60 - SPLIT_BUCKET_BITS
-    df = training.withColumn("_h", _hash60(F.col("dr_no"))).withColumn("_b", F.shiftright("_h", shift))
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+    df = training.withColumn("_h", _hash60(F.col("dr_no"))).withColumn("_b", F.shiftright("_h", shift)).withColumn("_class", F.struct(F.col(label)))
+    counts = df.groupBy("_class").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_k", F.floor(F.col("_n") * F.lit(test_pct / 100.0) + F.lit(0.5)).cast("bigint")
     )
-    hist = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w)).join(counts, label)
-    # boundary bucket: the first bucket whose cumulative count reaches k; rows needed from it
-    boundary = hist.filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k"))).select(
-        label, F.col("_b").alias("_bb"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")
-    )
-    classes = counts.join(boundary, label, "left").select(label, "_bb", "_need")  # one row per class
-    tagged = df.join(classes, label, "left")
-    at_edge = F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))
-    # edge rows are ranked with all their columns, so nothing is joined back and repeated keys stay as they are
-    ranked = F.row_number().over(Window.partitionBy(label).orderBy("_h", "dr_no")) <= F.col("_need")
-    edge = tagged.filter(at_edge).withColumn("_in", ranked)
-    rest = tagged.filter(~at_edge).withColumn("_in", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    out = edge.unionByName(rest)
-    return out.withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).drop("_h", "_b", "_bb", "_need", "_in")
+
+    def boundary(rows: DataFrame, due: DataFrame, by: list[str]) -> DataFrame:
+        """Of each class the first value of ``by`` at which as many rows as are ``due`` have come, and how many it owes."""
+        hist = rows.groupBy("_class", *by).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy("_class").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = hist.withColumn("_cum", F.sum("_c").over(w)).join(due, "_class")
+        at = hist.filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k")))
+        return at.select("_class", *[F.col(c).alias(f"{c}_at") for c in by], (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_k"), "_c")
+
+    first = boundary(df, counts.select("_class", "_k"), ["_b"]).drop("_c")
+    edge = df.join(first.select("_class", F.col("_b_at").alias("_b")), ["_class", "_b"], "left_semi")
+    second = boundary(edge, first.select("_class", "_k"), ["_h", "dr_no"]).withColumnsRenamed({"_k": "_owed", "_c": "_of"})
+    classes = counts.select("_class").join(first.select("_class", "_b_at"), "_class", "left").join(second, "_class", "left")  # one row a class
+    tagged = df.join(classes, "_class", "left")
+    before = (F.col("_b") < F.col("_b_at")) | ((F.col("_b") == F.col("_b_at")) & ((F.col("_h") < F.col("_h_at")) | ((F.col("_h") == F.col("_h_at")) & (F.col("dr_no") < F.col("dr_no_at")))))
+    at = (F.col("_h") == F.col("_h_at")) & F.col("dr_no").eqNullSafe(F.col("dr_no_at"))
+    # rows of the key at the boundary: all of them where all are owed, else ranked among themselves
+    shared = F.coalesce(at & (F.col("_owed") < F.col("_of")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_h"))
+    tied = tagged.filter(shared).withColumn("_in", rank <= F.col("_owed"))
+    rest = tagged.filter(~shared).withColumn("_in", F.coalesce(before, F.lit(False)) | F.coalesce(at, F.lit(False)))
+    out = tied.unionByName(rest)
+    return out.withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).drop("_h", "_b", "_class", "_b_at", "_h_at", "dr_no_at", "_owed", "_of", "_in")
 
 
 def validation_split(split: DataFrame, pct: int = VALIDATION_PCT) -> DataFrame:

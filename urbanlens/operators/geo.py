@@ -1,26 +1,29 @@
 """Geo operators: nearest area (J2), box join point <-> incidents (J3), recent-years filter (J4),
 mode of nearby types (A22) and historical route risk (R6).
 
-The box join is rewritten as an equi-join on grid cells: each incident falls in
-exactly one cell, each query point is expanded to the cells its box overlaps
-(at most 3 x 3 with cells half as wide as the box), and the exact inclusive
-``between`` test runs after the equi-join.
-Incidents are first pre-aggregated per (cell, coordinates[, type]) so repeated
-coordinates - common in block-level incident data - collapse before the
-shuffle, and a hot cell carries counts rather than raw rows.
+The box join is an equi-join on nested grid cells, over incidents added up per
+exact coordinate. Cells that lie inside a point's box answer with their summed
+counts (or histograms of types); the exact inclusive ``between`` test runs only
+for coordinates in cells on the box's border, and a border cell that holds many
+of them is first split into smaller cells. So a hot cell costs a point its
+border's share, not all the cell's coordinates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.functions import text, vocab
 
 BOX_HALF = vocab.HIST_BOX
-# Cell edge = half the box width: a box overlaps at most 3 x 3 cells and fetches
-# about 2.25x its own area (4x with cells as wide as the box).
-CELL = BOX_HALF
+# Cell edges of the levels: a box overlaps at most 3 x 3 cells of the first, half as wide as the box; border cells of more
+# than LIGHT coordinates are split into 4 x 4 of the next. On the last level 1/32 of the box's width is left to test.
+EDGES = (BOX_HALF, BOX_HALF / 4, BOX_HALF / 16)
+LIGHT = 32
 
 
 # ---------------------------------------------------------------- J2 nearest area
@@ -81,46 +84,87 @@ def nearest_area(points: DataFrame, centroids: DataFrame, lat: str = "lat", lon:
 
 
 # ---------------------------------------------------------------- J3 box join
-def _cell(c, cell: float = CELL) -> F.Column:
-    return F.floor(c / F.lit(cell))
+def _finite(*c: Column) -> Column:
+    return reduce(and_, [F.coalesce(F.abs(x) < float("inf"), F.lit(False)) for x in c])  # false for null, NaN and infinities
+
+
+def coordinate_counts(incidents: DataFrame, with_type: bool = False) -> DataFrame:
+    """(i_lat, i_lon, cnt[, hist]): incidents added up per exact coordinate; ``hist`` holds (type, count) pairs."""
+    at = incidents.filter(_finite(F.col("lat"), F.col("lon"))).withColumnsRenamed({"lat": "i_lat", "lon": "i_lon"})
+    if not with_type:
+        return at.groupBy("i_lat", "i_lon").agg(F.count(F.lit(1)).alias("cnt"))
+    per_type = at.groupBy("i_lat", "i_lon", "crm_cd_desc").agg(F.count(F.lit(1)).alias("cnt"))
+    return per_type.groupBy("i_lat", "i_lon").agg(F.sum("cnt").alias("cnt"), _hist())
 
 
-def incident_cells(incidents: DataFrame, with_type: bool = False, cell: float = CELL) -> DataFrame:
-    """Incidents pre-aggregated per (cell, exact coordinates[, type]) -> count."""
-    keys = [_cell(F.col("lat"), cell).alias("cy"), _cell(F.col("lon"), cell).alias("cx"), "lat", "lon"]
+def _hist() -> Column:
+    # as many pairs as there are types, whatever the number of incidents
+    return F.collect_list(F.struct(F.col("crm_cd_desc").alias("type"), F.col("cnt").alias("n"))).alias("hist")
+
+
+def cell_index(coords: DataFrame, with_type: bool = False, edges: tuple[float, ...] = EDGES) -> tuple[DataFrame, DataFrame]:
+    """Coordinates under their cell of every level, and the cells: (level, cy, cx, coords, cnt[, hist])."""
+    levels = F.explode(F.array(*[F.struct(F.lit(r).alias("level"), _cell(F.col("i_lat"), e).alias("cy"), _cell(F.col("i_lon"), e).alias("cx")) for r, e in enumerate(edges)]))
+    placed = coords.select("*", levels.alias("c")).select("c.*", *coords.columns)
+    key = ["level", "cy", "cx"]
+    cells = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("coords"), F.sum("cnt").alias("cnt"))
     if with_type:
-        keys.append("crm_cd_desc")
-    return (
-        incidents.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumnsRenamed({"lat": "i_lat", "lon": "i_lon"})
-    )
+        typed = placed.select(*key, F.explode("hist").alias("h")).groupBy(*key, F.col("h.type").alias("crm_cd_desc")).agg(F.sum("h.n").alias("cnt"))
+        cells = cells.join(typed.groupBy(*key).agg(_hist()), key)
+    return placed, cells
 
 
-def point_cells(points: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon", half: float = BOX_HALF,
-                cell: float = CELL) -> DataFrame:
-    """Each query point repeated once per cell its [lat +- half] x [lon +- half] box overlaps."""
-    lo_la, hi_la = F.col(lat) - F.lit(half), F.col(lat) + F.lit(half)
-    lo_lo, hi_lo = F.col(lon) - F.lit(half), F.col(lon) + F.lit(half)
-    return (
-        points.select(*key, F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"),
-                      lo_la.alias("lo_la"), hi_la.alias("hi_la"), lo_lo.alias("lo_lo"), hi_lo.alias("hi_lo"))
-        # explode_outer keeps points without coordinates (they match nothing and count 0)
-        .withColumn("cy", F.explode_outer(F.sequence(_cell(F.col("lo_la"), cell), _cell(F.col("hi_la"), cell))))
-        .withColumn("cx", F.explode_outer(F.sequence(_cell(F.col("lo_lo"), cell), _cell(F.col("hi_lo"), cell))))
-    )
+def _cell(c: Column, edge: float) -> Column:
+    return F.floor(c / F.lit(edge))
+
+
+def _parts(points: DataFrame, cells: DataFrame, key: list[str], lat: str, lon: str, half: float,
+           edges: tuple[float, ...], light: int, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What each point's box is made of: whole cells with their sums, and (level, cell) pairs to test exactly.
+
+    Cells strictly between those of the box's edges lie inside it (floors are monotone), so their sums count whole. Of
+    the cells on its border, those of at most ``light`` coordinates are tested; a fuller one gives way to its 4 x 4
+    cells of the next level, down to the last. (Edges differ by powers of two, so nested floors agree exactly.)
+    """
+    p_lat, p_lon = F.col(lat), F.col(lon)
+    boxes = points.filter(_finite(p_lat, p_lon)).select(
+        *key, p_lat.alias("p_lat"), p_lon.alias("p_lon"), (p_lat - half).alias("lo_la"), (p_lat + half).alias("hi_la"),
+        (p_lon - half).alias("lo_lo"), (p_lon + half).alias("hi_lo"))
+    box = [*key, "p_lat", "p_lon", "lo_la", "hi_la", "lo_lo", "hi_lo"]
+    axes = {"cy": ("lo_la", "hi_la"), "cx": ("lo_lo", "hi_lo")}
+    whole, tested = [], []
+    probes = boxes
+    for c, (lo, hi) in axes.items():
+        probes = probes.withColumn(c, F.explode(F.sequence(_cell(F.col(lo), edges[0]), _cell(F.col(hi), edges[0]))))
+    for r, edge in enumerate(edges):
+        level = cells.filter(F.col("level") == r).drop("level")
+        # dealt by the box once; all three uses below read that exchange again
+        met = probes.join(level, ["cy", "cx"]).repartition("p_lat", "p_lon")
+        inside = reduce(and_, [(F.col(c) > _cell(F.col(lo), edge)) & (F.col(c) < _cell(F.col(hi), edge)) for c, (lo, hi) in axes.items()])
+        last = r == len(edges) - 1
+        full = F.lit(False) if last else F.col("coords") > light
+        whole.append(met.filter(inside).select(*key, "p_lat", "p_lon", *values))
+        tested.append(met.filter(~inside & ~full).select(*box, F.lit(r).alias("level"), "cy", "cx"))
+        if not last:
+            n = round(edge / edges[r + 1])
+            probes = met.filter(~inside & full).select(*box, "cy", "cx")
+            for c, (lo, hi) in axes.items():
+                first = F.greatest(F.col(c) * n, _cell(F.col(lo), edges[r + 1]))
+                probes = probes.withColumn(c, F.explode(F.sequence(first, F.least(F.col(c) * n + (n - 1), _cell(F.col(hi), edges[r + 1])))))
+    return reduce(DataFrame.unionByName, whole), reduce(DataFrame.unionByName, tested)
 
 
 def box_matches(points: DataFrame, incidents: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon",
-                with_type: bool = False, how: str = "inner", cell: float | None = None) -> DataFrame:
-    """(point key, incident group, count) for incidents inside the inclusive box of each point."""
-    cell = cell or CELL
-    pc = point_cells(points, key, lat, lon, cell=cell)
-    ic = incident_cells(incidents, with_type, cell)
-    cond = [pc.cy == ic.cy, pc.cx == ic.cx, ic.i_lat.between(pc.lo_la, pc.hi_la), ic.i_lon.between(pc.lo_lo, pc.hi_lo)]
-    cols = [pc[k] for k in key] + [pc.p_lat, pc.p_lon, ic.cnt] + ([ic.crm_cd_desc] if with_type else [])
-    return pc.join(ic, cond, how).select(*cols)
+                with_type: bool = False, half: float = BOX_HALF, edges: tuple[float, ...] = EDGES,
+                light: int = LIGHT) -> DataFrame:
+    """(point key, p_lat, p_lon, cnt[, hist]): sums of incidents that together are those in each point's inclusive box,
+    of whole cells inside it and of single coordinates in cells on its border."""
+    values = ["cnt", "hist"] if with_type else ["cnt"]
+    placed, cells = cell_index(coordinate_counts(incidents, with_type), with_type, edges)
+    whole, tested = _parts(points, cells, key, lat, lon, half, edges, light, values)
+    exact = tested.join(placed, ["level", "cy", "cx"]).filter(
+        F.col("i_lat").between(F.col("lo_la"), F.col("hi_la")) & F.col("i_lon").between(F.col("lo_lo"), F.col("hi_lo")))
+    return whole.unionByName(exact.select(*key, "p_lat", "p_lon", *values))
 
 
 def _distinct_coords(points: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -135,15 +179,12 @@ def _back_to_points(points: DataFrame, per_coord: DataFrame, key: list[str], lat
 
 
 def incidents_near_point(points: DataFrame, incidents: DataFrame, key: str = "point_id", lat: str = "lat",
-                         lon: str = "lon", distinct_points: bool = True) -> DataFrame:
+                         lon: str = "lon") -> DataFrame:
     """Number of incidents with lat and lon within +-0.002 (inclusive) of each point (0 if none).
 
-    With ``distinct_points`` the box join runs once per distinct coordinate and
-    the counts are joined back, so repeated query points cost one match.
+    The box join runs once per distinct coordinate and the counts are joined back, so repeated query points cost one
+    match. A point with a null, NaN or infinite coordinate has 0; such incidents are in no box.
     """
-    if not distinct_points:
-        m = box_matches(points, incidents, [key], lat, lon, how="left")
-        return m.groupBy(key).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_incidents"))
     m = box_matches(_distinct_coords(points, lat, lon), incidents, ["_lat", "_lon"], "_lat", "_lon")
     per = m.groupBy("_lat", "_lon").agg(F.sum("cnt").alias("n"))
     out = _back_to_points(points, per, [key], lat, lon, "left")
@@ -151,7 +192,8 @@ def incidents_near_point(points: DataFrame, incidents: DataFrame, key: str = "po
 
 
 def _mode_per(m: DataFrame, keys: list[str]) -> DataFrame:
-    per_type = m.groupBy(*keys, "crm_cd_desc").agg(F.sum("cnt").alias("cnt"))
+    """Histograms added up per point and type; then the total and the most frequent type."""
+    per_type = m.select(*keys, F.explode("hist").alias("h")).groupBy(*keys, F.col("h.type").alias("crm_cd_desc")).agg(F.sum("h.n").alias("cnt"))
     # most frequent first, then alphabetical: the minimum of (-count, type); null types never win
     order = F.when(F.col("crm_cd_desc").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("crm_cd_desc").alias("c")))
     return per_type.groupBy(*keys).agg(
@@ -160,20 +202,14 @@ def _mode_per(m: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mode_near_point(points: DataFrame, incidents: DataFrame, key: list[str] | str = "point_id",
-                    carry_coords: bool = False, lat: str = "lat", lon: str = "lon",
-                    distinct_points: bool = True) -> DataFrame:
+                    carry_coords: bool = False, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Per point with nearby incidents: count and most frequent non-null type (ties -> alphabetically first).
 
-    With ``carry_coords`` the point's lat/lon are returned too. With
-    ``distinct_points`` the matching and the per-type aggregation run once per
-    distinct coordinate and are joined back to the points.
+    Cells inside a box hand on their histograms of types (as many pairs as there are types), not coordinates, and
+    histograms add up per point. With ``carry_coords`` the point's lat/lon are returned too. Matching runs once per
+    distinct coordinate.
     """
     key = [key] if isinstance(key, str) else key
-    if not distinct_points:
-        m = box_matches(points, incidents, key, lat, lon, with_type=True)
-        keys = key + (["p_lat", "p_lon"] if carry_coords else [])
-        out = _mode_per(m, keys)
-        return out.withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"}) if carry_coords else out
     m = box_matches(_distinct_coords(points, lat, lon), incidents, ["_lat", "_lon"], "_lat", "_lon", with_type=True)
     per = _mode_per(m, ["_lat", "_lon"])
     out = _back_to_points(points, per, key, lat, lon, "inner")

@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanlens.functions import text
+from urbanlens.sources.history import user_part
 
 
 def user_history(log: DataFrame, user: str) -> DataFrame:
-    """L4: one user's log entries, newest first (ties: larger log id first)."""
+    """L4: one user's log entries, newest first (ties: larger log id first).
+
+    Of a log read by :func:`urbanlens.sources.history.read_log` only the folders of the user's part are scanned.
+    """
+    if "user_part" in log.columns:
+        log = log.filter(F.col("user_part") == user_part(F.lit(user)))
     return (
         log.filter(F.col("user_name") == user)
         .select("log_id", "timestamp", "area", text.translate_crime(F.col("result.prediction")).alias("prediction_es"))

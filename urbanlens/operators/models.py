@@ -1,169 +1,227 @@
-"""Classifiers for incident type and severity (M7, M8), evaluation (M9), batch scoring (M10),
-top-k decoding (M11) and model persistence (S5).
-
-Two ``MultilayerPerceptronClassifier`` models (distributed L-BFGS, gradients
-by treeAggregate) replace the single two-headed network. Each is a
-``PipelineModel``: a SQLTransformer holding the scaler constants, a
-VectorAssembler and the perceptron, so scaling is saved with the model.
+"""Classifier of incident type and severity (M7, M8), evaluation (M9), batch scoring (M10), top-k decoding (M11) and
+model persistence (S5).
+
+One network with a shared trunk and two heads is fitted on a joint loss. Features are scaled by the statistics of the
+whole training frame. The rows that are fitted (``FIT_ROWS`` at most) and those that steer early stopping
+(``VALIDATION_ROWS`` at most) are chosen by a hash of the record key and written as blocks of numbers; every evaluation
+of the loss is a Spark job that sums losses and gradients by block. Everything else covers all rows: statistics, class
+counts, evaluation and scoring.
 """
 
 from __future__ import annotations
 
 import json
-import os
-from dataclasses import dataclass, field
-
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanlens.functions import text
 from urbanlens.operators import features as FE
+from urbanlens.operators.network import SEVERITY_WEIGHT, TYPE_WEIGHT, Network
+from urbanlens.session import written
 
-HIDDEN = (32, 16)
-MAX_ITER = 50          # at most 50 L-BFGS iterations
-CHUNK = 10             # validation loss checked every 10 iterations
-PATIENCE = 2           # stop after 2 checks without improvement, keep the best weights
-BLOCK_SIZE = 256
+TRUNK, TYPE_BRANCH, SEVERITY_BRANCH = (64, 32), 16, 8
+MAX_ITER, PATIENCE = 50, 10
+FIT_ROWS, VALIDATION_ROWS, BLOCK = 400_000, 100_000, 8192
 
 
 @dataclass
 class IncidentModels:
-    type_model: PipelineModel
+    """What scoring needs, and what the whole frame's rows say about it."""
+
+    weights: np.ndarray
+    layers: dict
     type_labels: list[str]
-    severity_model: PipelineModel | None
     severity_labels: list[str]
     feature_cols: list[str]
-    stats: dict = field(default_factory=dict)
+    stats: dict[str, tuple[float, float]]  # mean and standard deviation of each feature
+    type_counts: dict[str, int]
+    severity_counts: dict[str, int]
 
+    def network(self) -> Network:
+        return Network(len(self.feature_cols), tuple(self.layers["trunk"]), self.layers["type"], self.layers["severity"], len(self.type_labels), len(self.severity_labels))
 
-def _front(stats, feats) -> list:
-    """Scaling (constants inlined, persisted with the model) and vector assembly stages."""
-    return [SQLTransformer(statement=FE.scaling_sql(stats)),
-            VectorAssembler(inputCols=[f"z_{c}" for c in feats], outputCol="features")]
 
+# ---------------------------------------------------------------- M2, M3: labels and scaler of the whole frame
+def frame_statistics(training: DataFrame, feats: list[str]) -> dict:
+    """Scaler statistics, label sets and class counts of all rows, from one aggregation by (type, severity).
 
-def _mlp(label_col, n_in, n_classes, hidden, max_iter, seed, block_size=BLOCK_SIZE, weights=None):
-    m = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol=label_col, layers=[n_in, *hidden, n_classes],
-        maxIter=max_iter, seed=seed, blockSize=block_size,
-        predictionCol=f"{label_col}_pred", probabilityCol=f"{label_col}_prob", rawPredictionCol=f"{label_col}_raw",
-    )
-    if weights is not None:
-        m.setInitialWeights(weights)
-    return m
-
-
-class _Prepared:
-    """Assembled training vectors with label indexes, split into the rows that are fitted and the
-    validation rows that only steer early stopping (as a held-out validation share does)."""
-
-    def __init__(self, training: DataFrame, fit_roles: tuple[str, ...], validation_role: str | None):
-        self.feats = FE.select_features(training)
-        training = training.persist()  # read by the statistics pass and by both parts below
-        self.stats, self.ti, self.si = FE.stats_and_indexers(training, self.feats)
-        self.front = _front(self.stats, self.feats)
-        vec = self.si.transform(self.ti.transform(training))
-        for stage in self.front:
-            vec = stage.transform(vec)
-        vec = vec.select("features", "type_label", "severity_label", *(["role"] if "role" in vec.columns else []))
-        has_role = "role" in vec.columns
-        n = training.sparkSession.sparkContext.defaultParallelism
-        fit = vec.filter(F.col("role").isin(*fit_roles)) if has_role else vec
-        # gradients are computed per partition (treeAggregate): spread the rows over the cluster's cores
-        self.fit_part = fit.repartition(n).persist()
-        self.val_part = None
-        if has_role and validation_role:
-            self.val_part = vec.filter(F.col("role") == validation_role).repartition(n).persist()
-            self.val_part.count()
-        self.fit_part.count()  # materialize from the cached training rows before releasing them
-        training.unpersist()
-
-    def release(self) -> None:
-        self.fit_part.unpersist()
-        if self.val_part is not None:
-            self.val_part.unpersist()
-
-
-def prepare(training: DataFrame, fit_roles: tuple[str, ...] = ("fit",), validation_role: str | None = "validation") -> _Prepared:
-    return _Prepared(training, fit_roles, validation_role)
-
-
-def _val_loss(model, val: DataFrame, label_col: str) -> float:
-    """Mean cross-entropy of the validation rows (one distributed aggregation)."""
-    p = vector_to_array(F.col(f"{label_col}_prob"))
-    pt = F.element_at(p, F.col(label_col).cast("int") + 1)
-    r = model.transform(val).agg(F.avg(-F.log(F.greatest(pt, F.lit(1e-15))))).first()[0]
-    return float("inf") if r is None else float(r)
-
-
-def _fit_early_stopping(prep: _Prepared, label_col: str, n_classes: int, hidden, max_iter: int, seed: int,
-                        chunk: int, patience: int) -> PipelineModel:
-    """L-BFGS in chunks of ``chunk`` iterations, each warm-started from the previous weights; after
-    every chunk the validation loss is measured and training stops after ``patience`` chunks
-    without improvement, keeping the best weights. Without validation rows: one plain fit."""
-    n_in = len(prep.feats)
-    if prep.val_part is None or chunk >= max_iter:
-        best = _mlp(label_col, n_in, n_classes, hidden, max_iter, seed).fit(prep.fit_part)
-        return PipelineModel(stages=[*prep.front, best])
-    best, best_loss, bad, weights, done = None, float("inf"), 0, None, 0
-    while done < max_iter:
-        step = min(chunk, max_iter - done)
-        model = _mlp(label_col, n_in, n_classes, hidden, step, seed, weights=weights).fit(prep.fit_part)
-        done += step
-        weights = model.weights
-        loss = _val_loss(model, prep.val_part, label_col)
-        if loss < best_loss:
-            best, best_loss, bad = model, loss, 0
+    Groups are bounded by the kept classes; their means and variances combine exactly to the frame's.
+    """
+    rows = training.groupBy(FE.TARGET, "severity").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in feats],
+        *[F.var_pop(F.col(c).cast("double")).alias(f"v_{c}") for c in feats],
+    ).collect()
+    if not rows:
+        raise ValueError("the training frame has no rows")
+    n = np.array([r["n"] for r in rows], float)
+    stats = {}
+    for c in feats:
+        m, v = (np.array([r[f"{k}_{c}"] for r in rows], float) for k in "mv")
+        mean = float((n * m).sum() / n.sum())
+        std = float(np.sqrt((n * (v + (m - mean) ** 2)).sum() / n.sum()))
+        stats[c] = (mean, std if std > 0 else 1.0)
+    counts: dict[str, dict[str, int]] = {FE.TARGET: {}, "severity": {}}
+    for r in rows:
+        for k, found in counts.items():
+            found[r[k]] = found.get(r[k], 0) + r["n"]
+    return {"stats": stats, "types": dict(sorted(counts[FE.TARGET].items())), "severities": dict(sorted(counts["severity"].items()))}
+
+
+def _scaled(feats: list[str], stats: dict[str, tuple[float, float]]) -> list[Column]:
+    return [(F.col(c).cast("double") - F.lit(stats[c][0])) / F.lit(stats[c][1]) for c in feats]
+
+
+def _share(key: str, most: int, n: int) -> Column:
+    """About ``most`` of ``n`` rows by a hash of the key: a filter, so nothing is gathered to choose them."""
+    cut = 1 << 30
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64(F.lit(9), key), F.lit(cut)) < int(cut * most / n)
+
+
+def _blocks(training: DataFrame, feats: list[str], found: dict, seed: int) -> DataFrame:
+    """(validates, n, x, types, severities): the chosen rows as blocks of numbers, in an order that only the keys decide."""
+    index = lambda labels, c: F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)).cast("int") - 1
+    role = F.col("role") if "role" in training.columns else F.lit("fit")
+    rows = training.filter(((role == "fit") | (role == "validation")))
+    sizes = {r["r"]: r["n"] for r in rows.groupBy(role.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_fit, n_val = sizes.get("fit", 0), sizes.get("validation", 0)
+    rows = rows.filter(F.when(role == "fit", _share("dr_no", FIT_ROWS, n_fit)).otherwise(_share("dr_no", VALIDATION_ROWS, n_val)))
+    parts = -(-min(n_fit + n_val, FIT_ROWS + VALIDATION_ROWS) // BLOCK) or 1
+    numbers = rows.select("dr_no", (role == "validation").alias("validates"), F.array(*_scaled(feats, found["stats"])).alias("x"),
+                          index(found["types"], FE.TARGET).alias("t"), index(found["severities"], "severity").alias("s"))
+    numbers = numbers.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "dr_no", "x"), F.lit(parts)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by part; a part is a block of about BLOCK rows and never leaves it far behind
+        for batch in batches:
+            part, val = np.asarray(batch.column("part")), np.asarray(batch.column("validates").cast(pa.int8()))
+            x = np.asarray(batch.column("x").flatten()).reshape(len(part), -1)
+            t, s = (np.asarray(batch.column(c)).astype("<i4") for c in "ts")
+            keys = sorted(set(zip(val.tolist(), part.tolist(), strict=True)))
+            at = [np.flatnonzero((val == v) & (part == p)) for v, p in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([bool(v) for v, _ in keys]), pa.array([len(a) for a in at], pa.int64()), *(pa.array([z[a].tobytes() for a in at], pa.binary()) for z in (x, t, s))], names=["validates", "n", "x", "types", "severities"])
+
+    order = ["part", "validates", "t", "s", "x"]
+    dealt = numbers.repartition(parts, "part").sortWithinPartitions(*order)
+    return dealt.mapInArrow(pack, "validates boolean, n long, x binary, types binary, severities binary")
+
+
+# ---------------------------------------------------------------- M7, M8: the fit
+class Objective:
+    """Losses and gradient of all blocks, each evaluation one Spark job: a row of partial sums comes back for each block
+    of fitted rows, a number of rows that ``FIT_ROWS`` bounds."""
+
+    def __init__(self, blocks: DataFrame, network: Network):
+        self.blocks, self.network = blocks, network
+
+    def __call__(self, vector: np.ndarray) -> tuple[float, np.ndarray, float | None]:
+        """Mean joint loss of the fitted rows, its gradient, and the mean type loss of the validation rows."""
+        network = self.network
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    x = np.frombuffer(r["x"], "<f8").reshape(r["n"], -1)
+                    labels = [np.frombuffer(r[c], "<i4") for c in ("types", "severities")]
+                    if r["validates"]:
+                        out.append((True, r["n"], *network.losses(vector, x, labels), b""))
+                    else:
+                        losses, slope = network.gradient(vector, x, labels)
+                        out.append((False, r["n"], *losses, slope.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["validates", "n", "type_loss", "severity_loss", "slope"])
+
+        loss, n, val, n_val, slope = 0.0, 0, 0.0, 0, np.zeros(network.size())
+        parts = self.blocks.mapInArrow(sums, "validates boolean, n long, type_loss double, severity_loss double, slope binary").collect()
+        for r in sorted(parts, key=lambda r: (r.validates, r.n, r.type_loss, r.severity_loss)):  # sums in one order, whatever came first
+            if r.validates:
+                val, n_val = val + r.type_loss, n_val + r.n
+            else:
+                loss, n = loss + TYPE_WEIGHT * r.type_loss + SEVERITY_WEIGHT * r.severity_loss, n + r.n
+                slope += np.frombuffer(r.slope, "<f8")
+        return loss / max(n, 1), slope / max(n, 1), val / n_val if n_val else None
+
+
+def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray, float | None]], x: np.ndarray, max_iter: int, patience: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS with halving steps; the vector of the least watched loss.
+
+    Watched is what ``f`` returns third (the validation loss), or the loss itself where that is None. Stops after
+    ``patience`` steps without improvement, or when no step improves the loss. Values that aren't numbers are never taken.
+    """
+    worth = lambda v: v if v is not None and np.isfinite(v) else np.inf
+    value, slope, watched = f(x)
+    watch = lambda v, w: worth(w) if w is not None else worth(v)
+    best, best_watched, bad, past = x, watch(value, watched), 0, []
+    for _ in range(max_iter):
+        # the two loops of the method over the last steps
+        d, kept = slope.copy(), []
+        for s, y, r in reversed(past):
+            a = r * (s @ d)
+            d -= a * y
+            kept.append(a)
+        if past:
+            s, y, _ = past[-1]
+            d *= (s @ y) / (y @ y)
+        else:
+            d /= max(1.0, np.linalg.norm(d))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            d += (a - r * (y @ d)) * s
+        step, fall = 1.0, slope @ d
+        while step > 1e-6:
+            moved = x - step * d
+            new, new_slope, new_watched = f(moved)
+            if worth(new) <= value - 1e-4 * step * fall and np.isfinite(new_slope).all():
+                break
+            step /= 2
+        else:
+            break
+        s, y = moved - x, new_slope - slope
+        if s @ y > 1e-12:
+            past = [*past[-memory + 1 :], (s, y, 1 / (s @ y))]
+        x, value, slope = moved, new, new_slope
+        now = watch(new, new_watched)
+        if now < best_watched - 1e-6:
+            best, best_watched, bad = x, now, 0
         else:
             bad += 1
             if bad >= patience:
                 break
-    return PipelineModel(stages=[*prep.front, best])
+    return best
 
 
-def fit_type(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
-             chunk: int = CHUNK, patience: int = PATIENCE) -> PipelineModel:
-    """M7: type classifier (softmax over the kept types), early-stopped on the validation rows."""
-    return _fit_early_stopping(prep, "type_label", len(prep.ti.labels), hidden, max_iter, seed, chunk, patience)
+def fit_models(training: DataFrame, max_iter: int = MAX_ITER, patience: int = PATIENCE, seed: int = 42) -> IncidentModels:
+    """M7 + M8: both heads fitted together on the rows of role 'fit' of :func:`features.validation_split` output (all rows
+    without roles), early-stopped on the type loss of those of role 'validation'; test rows only enter the scaler, the
+    labels and the class counts, which are the whole frame's.
 
-
-def fit_severity(prep: _Prepared, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
-                 chunk: int = CHUNK, patience: int = PATIENCE) -> PipelineModel | None:
-    """M8: severity classifier; None (a constant prediction) when only one severity occurs."""
-    if len(prep.si.labels) < 2:
-        return None
-    return _fit_early_stopping(prep, "severity_label", len(prep.si.labels), hidden, max_iter, seed, chunk, patience)
-
-
-def assemble(prep: _Prepared, type_model: PipelineModel, severity_model: PipelineModel | None) -> IncidentModels:
-    return IncidentModels(type_model, list(prep.ti.labels), severity_model, list(prep.si.labels), prep.feats, prep.stats)
-
-
-def fit_models(training: DataFrame, hidden=HIDDEN, max_iter: int = MAX_ITER, seed: int = 42,
-               fit_roles: tuple[str, ...] = ("fit",), validation_role: str | None = "validation") -> IncidentModels:
-    """M7 + M8: fit both classifiers on the 'fit' rows of :func:`features.validation_split` output,
-    early-stopped on its 'validation' rows.
-
-    The scaler is fitted on the whole frame before the split, as in training.
-    When every kept type has the same severity, the severity model is a constant.
+    Without validation rows the least training loss counts. A head of one class predicts it with probability 1.
     """
-    prep = prepare(training, fit_roles, validation_role)
+    feats = FE.select_features(training)
+    found = frame_statistics(training, feats)
+    layers = {"trunk": list(TRUNK), "type": TYPE_BRANCH, "severity": SEVERITY_BRANCH}
+    models = IncidentModels(np.empty(0), layers, list(found["types"]), list(found["severities"]), feats, found["stats"], found["types"], found["severities"])
+    network = models.network()
+    blocks = written(_blocks(training, feats, found, seed), "training-blocks").persist()  # read once an evaluation
     try:
-        return assemble(prep, fit_type(prep, hidden, max_iter, seed), fit_severity(prep, hidden, max_iter, seed))
+        models.weights = minimize(Objective(blocks, network), network.first(seed), max_iter, patience)
     finally:
-        prep.release()
+        blocks.unpersist()
+    return models
 
 
-def _labels_lit(labels: list[str]) -> F.Column:
+# ---------------------------------------------------------------- M10, M11: scoring
+def _labels_lit(labels: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in labels])
 
 
-def top_k(prob: F.Column, labels: list[str], k: int = 3) -> dict[str, F.Column]:
+def top_k(prob: Column, labels: list[str], k: int = 3) -> dict[str, Column]:
     """Arg-max label and confidence, and the ``k`` most likely (label, probability) pairs.
 
     One order everywhere: probability descending, class index ascending.
@@ -188,80 +246,127 @@ def request_features(df: DataFrame) -> DataFrame:
         "year": F.col("year"),
         "time_occ": (F.col("hour") * 100).cast("int"),
         "vict_age": F.col("age"),
-        "vict_sex": text.encode_sex(F.col("sex")),
+        "vict_sex": F.when(F.col("sex").isNotNull(), text.encode_sex(F.col("sex"))),
         "month_num": F.col("month"),
         "premis_cd": F.lit(0.0),
         "weapon_used_cd": F.lit(0.0),
     })
 
 
+def probabilities(models: IncidentModels, features: DataFrame) -> DataFrame:
+    """``features`` (double columns in the model's order) with ``type_prob`` and ``severity_prob``: one inference stage."""
+    network, weights, names = models.network(), models.weights, features.columns
+    stats = np.array([models.stats[c] for c in models.feature_cols])
+
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([np.asarray(c, "f8") for c in batch.columns]).reshape(batch.num_rows, -1)
+            found = network.predict(weights, (x - stats[:, 0]) / stats[:, 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(p), pa.list_(pa.float64())) for p in found)], names=[*names, "type_prob", "severity_prob"])
+
+    return features.mapInArrow(infer, ", ".join(f"{c} double" for c in names) + ", type_prob array<double>, severity_prob array<double>")
+
+
 def score(models: IncidentModels, requests: DataFrame) -> DataFrame:
     """M10 + M11: add prediction, confidence, top_3, severity, severity_confidence.
 
-    ``requests`` carries lat, lon, year, month, day_of_week, hour, age, sex.
+    ``requests`` carries lat, lon, year, month, day_of_week, hour, age, sex. Each distinct set of features is scored once,
+    in one stage whose result is written and joined back, so later filters never run the network again. A request with a
+    null or non-finite field gets nulls; the others aren't affected.
     """
-    base_cols = requests.columns
-    x = request_features(requests)
-    t = models.type_model.transform(x)
-    tk = top_k(vector_to_array(F.col("type_label_prob")), models.type_labels)
-    out = t.select(*base_cols, *[v.alias(k) for k, v in tk.items()])
-    if models.severity_model is not None:
-        s = models.severity_model.transform(request_features(out.select(*base_cols, *tk.keys())))
-        sk = top_k(vector_to_array(F.col("severity_label_prob")), models.severity_labels, 1)
-        return s.select(*base_cols, *tk.keys(), sk["prediction"].alias("severity"), sk["confidence"].alias("severity_confidence"))
-    only = models.severity_labels[0] if models.severity_labels else None
-    return out.select("*", F.lit(only).alias("severity"), F.lit(1.0).alias("severity_confidence"))
+    base = requests.columns
+    names = [f"_f{i}" for i in range(len(models.feature_cols))]
+    held = requests.select("*", *[F.col(c).alias(f"_b{i}") for i, c in enumerate(base)])
+    asked = request_features(held).select(*[F.col(c).cast("double").alias(n) for c, n in zip(models.feature_cols, names, strict=True)], *[f"_b{i}" for i in range(len(base))])
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.coalesce(F.abs(n) < float("inf"), F.lit(False))
+    scored = written(probabilities(models, asked.filter(whole).select(*names).distinct()), "scores")
+    back = [F.col(f"_b{i}").alias(c) for i, c in enumerate(base)]
+    likely, severe = top_k(F.col("type_prob"), models.type_labels), top_k(F.col("severity_prob"), models.severity_labels, 1)
+    added = {**likely, "severity": severe["prediction"], "severity_confidence": severe["confidence"]}
+    done = asked.filter(whole).join(scored, names).select(*back, *[v.alias(c) for c, v in added.items()])
+    rest = asked.filter(~whole).select(*back, *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in added])
+    return done.unionByName(rest)
 
 
 def model_scorer(models: IncidentModels):
-    """Scorer protocol of :mod:`urbanlens.operators.routes` backed by the classifiers."""
+    """Scorer protocol of :mod:`urbanlens.operators.routes` backed by the classifier."""
     def scorer(df: DataFrame) -> DataFrame:
         return score(models, df).drop("top_3")
 
     return scorer
 
 
+# ---------------------------------------------------------------- M9: evaluation
+def confusion(models: IncidentModels, test: DataFrame) -> DataFrame:
+    """(target, actual, predicted, n): both heads' confusion matrices over the test rows, from one scan and aggregation."""
+    feats = models.feature_cols
+    names = [f"_f{i}" for i in range(len(feats))]
+    x = test.select(*[F.col(c).cast("double").alias(n) for c, n in zip(feats, names, strict=True)], F.col(FE.TARGET).alias("_type"), F.col("severity").alias("_severity"))
+    network, weights, types, severities = models.network(), models.weights, models.type_labels, models.severity_labels
+    stats = np.array([models.stats[c] for c in feats])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.column_stack([np.asarray(batch.column(n), "f8") for n in names]).reshape(batch.num_rows, -1)
+            found = network.predict(weights, (rows - stats[:, 0]) / stats[:, 1])
+            # ties go to the smaller index, as in top_k
+            said = [pa.array([labels[i] for i in p.argmax(axis=1)], pa.string()) for p, labels in zip(found, (types, severities), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_type"), said[0], batch.column("_severity"), said[1]], names=["type", "type_said", "severity", "severity_said"])
+
+    counted = x.mapInArrow(judge, "type string, type_said string, severity string, severity_said string").groupBy("type", "type_said", "severity", "severity_said").agg(F.count(F.lit(1)).alias("n"))
+    heads = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("actual"), F.col(f"{t}_said").alias("predicted")) for t in ("type", "severity")])
+    return counted.select(F.explode(heads).alias("h"), "n").groupBy("h.target", "h.actual", "h.predicted").agg(F.sum("n").alias("n"))
+
+
 def accuracy(models: IncidentModels, test: DataFrame) -> DataFrame:
-    """M9: accuracy of both classifiers on the test rows (two rows: target, accuracy, n_test)."""
-    spark = test.sparkSession
-    ti_labels = {v: i for i, v in enumerate(models.type_labels)}
-    si_labels = {v: i for i, v in enumerate(models.severity_labels)}
-    lab_t = F.create_map(*[x for k, v in ti_labels.items() for x in (F.lit(k), F.lit(float(v)))])
-    lab_s = F.create_map(*[x for k, v in si_labels.items() for x in (F.lit(k), F.lit(float(v)))])
-    t = test.withColumn("type_label", F.try_element_at(lab_t, F.col(FE.TARGET))).withColumn(
-        "severity_label", F.try_element_at(lab_s, F.col("severity"))
-    ).persist()
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    tp = models.type_model.transform(t)
-    acc_t = ev.setLabelCol("type_label").setPredictionCol("type_label_pred").evaluate(tp)
-    if models.severity_model is not None:
-        sp = models.severity_model.transform(t)
-        acc_s = ev.setLabelCol("severity_label").setPredictionCol("severity_label_pred").evaluate(sp)
-    else:
-        acc_s = 1.0
-    n = t.count()
-    t.unpersist()
-    return spark.createDataFrame(
-        [("type", float(acc_t), n), ("severity", float(acc_s), n)], "target string, accuracy double, n_test long"
-    )
+    """M9: accuracy of both heads on the test rows (target, accuracy, n_test); no rows without test rows."""
+    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    return confusion(models, test).groupBy("target").agg((right / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_test"))
 
 
 # ---------------------------------------------------------------- S5 persistence
-def save_models(models: IncidentModels, path: str) -> None:
-    models.type_model.write().overwrite().save(os.path.join(path, "type_model"))
-    if models.severity_model is not None:
-        models.severity_model.write().overwrite().save(os.path.join(path, "severity_model"))
-    meta = {"type_labels": models.type_labels, "severity_labels": models.severity_labels,
-            "feature_cols": models.feature_cols, "stats": models.stats}
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(path, "meta")
-    )
+def _meta(models: IncidentModels) -> dict:
+    return {c: getattr(models, c) for c in ("layers", "type_labels", "severity_labels", "feature_cols", "stats", "type_counts", "severity_counts")}
+
+
+def _digest(meta: dict, weights: np.ndarray) -> str:
+    return sha256(json.dumps(meta, sort_keys=True).encode() + weights.astype("<f8").tobytes()).hexdigest()
 
 
-def load_models(spark: SparkSession, path: str) -> IncidentModels:
-    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    tm = PipelineModel.load(os.path.join(path, "type_model"))
-    sm = PipelineModel.load(os.path.join(path, "severity_model")) if len(meta["severity_labels"]) > 1 else None
-    return IncidentModels(tm, meta["type_labels"], sm, meta["severity_labels"], meta["feature_cols"],
-                          {k: tuple(v) for k, v in meta["stats"].items()})
+def save_models(models: IncidentModels, path: str, spark: SparkSession | None = None) -> str:
+    """Write a new version, named by the hash of its contents, and then point to it; returns the version.
+
+    Versions are never rewritten, and the pointer is an appended row, so a save that fails anywhere leaves the former
+    version in use.
+    """
+    spark = spark or SparkSession.active()
+    meta = _meta(models)
+    version = _digest(meta, models.weights)
+    stamp = time.time_ns()
+    folder = f"{version[:16]}-{stamp}"
+    spark.createDataFrame([(i, float(w)) for i, w in enumerate(models.weights)], "i long, weight double").coalesce(1).write.parquet(f"{path}/versions/{folder}/weights")
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/versions/{folder}/manifest")
+    spark.createDataFrame([(stamp, folder, version)], "stamp long, folder string, digest string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    return folder
+
+
+def load_models(spark: SparkSession, path: str, version: str | None = None) -> IncidentModels:
+    """The version last pointed to, or the one named; its contents must have the hash that it was saved with."""
+    try:
+        rows = spark.read.parquet(f"{path}/current").collect()  # a row a save
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no saved model in {path}") from e
+    found = [r for r in rows if version in (None, r.folder)]
+    if not found:
+        raise FileNotFoundError(f"no version {version} in {path}")
+    at = max(found, key=lambda r: r.stamp)
+    meta = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/versions/{at.folder}/manifest").collect()))
+    weights = np.array([r.weight for r in spark.read.parquet(f"{path}/versions/{at.folder}/weights").orderBy("i").collect()])
+    if _digest(meta, weights) != at.digest:
+        raise ValueError(f"model version {at.folder} in {path} isn't what was saved")
+    meta["stats"] = {c: tuple(v) for c, v in meta["stats"].items()}
+    return IncidentModels(weights=weights, **meta)

@@ -3,23 +3,18 @@ areas named in a question (J6), intent (Q1), hour extraction (Q2) and the answer
 
 Statistics come from ONE aggregation pass over the whole incident table
 (:func:`question_stats`): 24 hour counts, one count per area, (type, year)
-counts. The small result is checkpointed; the first two parts are inlined into
-the question projection as literal arrays (sizes checked), the trend table is
-joined on the detected type.
+counts. The small result is checkpointed; the hours are inlined into the
+question projection as a literal array, areas are found through an index of
+their names, the trend table is joined on the detected type.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.functions import calendar, text, vocab
 
-AREAS_INLINE_MAX = 5000
-TREND_BROADCAST_MAX = 100_000
-QGRAM = 4
-ALL_KEY = "*"
-
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (cuts lineage; survives executor loss)."""
@@ -68,7 +63,7 @@ def question_stats(incidents: DataFrame) -> DataFrame:
 
 
 def yearly_trend(incidents: DataFrame) -> DataFrame:
-    """Per incident type (and '*' for all types): last two observed years, counts, % change, direction.
+    """Per incident type (and null for all types): last two observed years, counts, % change, direction.
 
     Types with a single observed year have no trend and are left out.
     """
@@ -79,7 +74,7 @@ def trend_from_stats(stats: DataFrame) -> DataFrame:
     """A20 from the (type, year) counts of :func:`question_stats`; the all-types series is summed from them."""
     ty = stats.filter(F.col("kind") == "t").select(F.col("k").alias("crime"), F.col("y").alias("year"), "n")
     by_type = ty.filter(F.col("crime").isNotNull())
-    all_years = ty.groupBy("year").agg(F.sum("n").alias("n")).select(F.lit(ALL_KEY).alias("crime"), "year", "n")
+    all_years = ty.groupBy("year").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("crime"), "year", "n")
     yc = by_type.unionByName(all_years)
     # per crime: the two largest years, in one aggregation (no window over a possibly hot type)
     # per type the (year, count) list is bounded by the number of calendar years
@@ -139,49 +134,35 @@ def hour_window_count(qf: DataFrame, incidents: DataFrame) -> DataFrame:
     return qf.filter(F.col("has_interval")).select("question_id", "start_h", "end_h", total.alias("n_incidents"))
 
 
-def _areas_found_inline(qf: DataFrame, rows: list) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(a.lower()).alias("la"), F.lit(int(n)).cast("bigint").alias("n"))
-                    for a, n in sorted(rows, key=lambda r: r[0])])
-    return qf.withColumn("found", F.transform(F.filter(arr, lambda a: F.contains(F.col("low"), a["la"])),
-                                              lambda a: F.struct(a["area"].alias("area"), a["n"].alias("n"))))
-
+def areas_found(qf: DataFrame, incidents: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Per question, the sorted areas whose lower-case name occurs in the lower-case text, with counts.
 
-def _areas_found_qgram(qf: DataFrame, counts: DataFrame) -> DataFrame:
-    """Exact substring matching for large area lists via an equi-join on q-grams.
-
-    Any text containing an area name contains the name's first q-gram
-    (q = min(4, length)), so texts are expanded to all their q-grams of length
-    1..4 and joined to areas on that key; ``contains`` then verifies.
+    One path for any number of areas: names are indexed by length and hash. A text's windows of the lengths that names
+    have (as many lengths as the longest name has characters, at most) are hashed, and ids and hashes alone meet in an
+    equi-join, in proportion to the texts' length. A hit is confirmed on the text before it counts.
     """
-    ar = counts.select("area_name", F.lower("area_name").alias("la"), "n").withColumn(
-        "g", F.substring("la", 1, QGRAM)
-    )
-    grams = qf.select("question_id", "low").select(
-        "question_id", "low",
-        F.explode(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))).alias("pos"),
-    ).select("question_id", "low", F.explode(F.sequence(F.lit(1), F.lit(QGRAM))).alias("q"), "pos").select(
-        "question_id", "low", F.substring("low", F.col("pos"), F.col("q")).alias("g")
-    )
-    # the empty gram: an empty area name occurs in every text
-    grams = grams.unionByName(qf.select("question_id", "low", F.lit("").alias("g"))).distinct()
-    hits = grams.join(ar, "g").filter(F.contains(F.col("low"), F.col("la"))).select("question_id", "area_name", "n").distinct()
-    found = hits.groupBy("question_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("area_name").alias("area"), F.col("n")))).alias("found")
-    )
-    return qf.join(found, "question_id", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
-
-
-def areas_found(qf: DataFrame, incidents: DataFrame | None = None, inline_max: int = AREAS_INLINE_MAX,
-                stats: DataFrame | None = None) -> DataFrame:
-    """Per question, the sorted areas whose lower-case name occurs in the lower-case text, with counts."""
     if stats is not None:
         counts = stats.filter(F.col("kind") == "a").select(F.col("k").alias("area_name"), "n")
     else:
         counts = area_counts(incidents)
-    rows = [tuple(r) for r in counts.limit(inline_max + 1).collect()]
-    if len(rows) <= inline_max:
-        return _areas_found_inline(qf, rows)
-    return _areas_found_qgram(qf, counts)
+    names = counts.select("area_name", "n", F.lower("area_name").alias("la"))
+    names = names.select("*", F.length("la").alias("size"), F.xxhash64("la").alias("h"))
+    sizes = sorted(r["size"] for r in names.select("size").distinct().collect())
+    one = F.struct(F.col("area_name").alias("area"), F.col("n"))
+    if not sizes:
+        return qf.withColumn("found", F.array().cast(f"array<struct<area:string,n:{names.schema['n'].dataType.simpleString()}>>"))
+
+    def windows(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("low") - size + 1)
+        hashes = F.array_distinct(F.transform(starts, lambda p: F.xxhash64(F.substring(F.col("low"), p, F.lit(size)))))
+        return F.when(F.length("low") >= size, F.transform(hashes, lambda h: F.struct(F.lit(size).alias("size"), h.alias("h")))).otherwise(F.array())
+
+    asked = qf.select("question_id", "low").filter(F.col("low").isNotNull())
+    hashed = asked.select("question_id", F.explode(F.flatten(F.array(*[windows(s) for s in sizes]))).alias("w")).select("question_id", "w.*")
+    # ids that several rows have are told apart by their text when a hit is confirmed
+    hits = hashed.join(names, ["size", "h"]).select("question_id", "la", one.alias("one")).distinct()
+    found = asked.distinct().join(hits, "question_id").filter(F.contains("low", "la")).groupBy("question_id", "low").agg(F.sort_array(F.collect_list("one")).alias("found"))
+    return qf.join(found, ["question_id", "low"], "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
 
 
 def compare_areas(found: DataFrame) -> DataFrame:
@@ -200,27 +181,22 @@ def compare_areas(found: DataFrame) -> DataFrame:
     )
 
 
-def _trend_join(qf: DataFrame, trend: DataFrame, n: int | None = None) -> DataFrame:
-    n = trend.count() if n is None else n
-    t = F.broadcast(trend) if n <= TREND_BROADCAST_MAX else trend
-    key = F.coalesce(F.col("crime"), F.lit(ALL_KEY))
-    q = qf.withColumn("trend_key", key)
-    tt = t.select(F.col("crime").alias("trend_key"), *[F.col(c).alias("t_" + c) for c in trend.columns if c != "crime"])
-    return q.join(tt, "trend_key", "left")
+def _trend_join(qf: DataFrame, trend: DataFrame) -> DataFrame:
+    """Each question with the trend of its type, or of all types (a null key, which no type has)."""
+    tt = trend.select(*[F.col(c).alias("t_" + c) for c in trend.columns])
+    return qf.join(tt, F.col("crime").eqNullSafe(F.col("t_crime")), "left")
 
 
 class Answerer:
     """Question answering with its statistics prepared once (one scan, checkpointed): the 24 hour
-    counts and the area counts become literal arrays, the trend table is checkpointed too.
-    Calling it on any batch of questions is then a projection plus one broadcast join."""
+    counts become a literal array, area counts and the trend table stay tables.
+    Calling it on any batch of questions is then a projection and equi-joins with those."""
 
-    def __init__(self, incidents: DataFrame, areas_inline_max: int = AREAS_INLINE_MAX):
+    def __init__(self, incidents: DataFrame):
         stats = _checkpoint(question_stats(incidents))  # one scan of the incidents, small result
         self.stats = stats
         self.hours = _hour_array(stats=stats)
-        self.areas_inline_max = areas_inline_max
         self.trend = _checkpoint(trend_from_stats(stats))
-        self.n_trend = self.trend.count()
 
     def __call__(self, questions: DataFrame) -> DataFrame:
         qf = question_features(questions)
@@ -234,8 +210,8 @@ class Answerer:
                 lambda acc, h: acc + F.when(inside(h), F.element_at(hours, h + 1)).otherwise(F.lit(0).cast("bigint")),
             )),
         )
-        qf = areas_found(qf, inline_max=self.areas_inline_max, stats=self.stats)
-        qf = _trend_join(qf, self.trend, self.n_trend)
+        qf = areas_found(qf, stats=self.stats)
+        qf = _trend_join(qf, self.trend)
         return _answer(qf)
 
 

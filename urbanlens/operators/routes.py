@@ -247,12 +247,17 @@ def path_samples(routes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R8
-def route_risk_scored(accepted: DataFrame, samples: DataFrame, trips: DataFrame, scorer: Scorer) -> DataFrame:
+def route_risk_scored(accepted: DataFrame, routes: DataFrame, trips: DataFrame, scorer: Scorer) -> DataFrame:
     """Risk points of accepted routes: sampled points predicted PELIGROSO with severity
-    confidence > 0.55 and type confidence > 0.20, with intensity, score and description."""
-    pts = samples.join(accepted.select("trip_id", "route_seq", "route_id"), ["trip_id", "route_seq"]).join(
-        _trip_context(trips), "trip_id"
-    )
+    confidence > 0.55 and type confidence > 0.20, with intensity, score and description.
+
+    Paths are cut to their samples where they are read (at most 15 points a route), joined as arrays to the few accepted
+    routes, and only those become rows.
+    """
+    sampled = routes.select("trip_id", "route_seq", sample_path(F.col("path")).alias("points"))
+    kept = accepted.select("trip_id", "route_seq", "route_id").join(sampled, ["trip_id", "route_seq"])
+    pts = kept.join(_trip_context(trips), "trip_id").select("*", F.posexplode("points").alias("sample_idx", "pt")).select(
+        "*", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon")).drop("points", "pt")
     sc = scorer(pts)
     risky = sc.filter(
         (F.col("severity") == vocab.SEVERITY_DANGEROUS)
@@ -362,8 +367,7 @@ def analyze_routes(trips: DataFrame, routes: DataFrame, scorer: Scorer, material
     zones = _cut(danger_zones(trips, scorer), materialize)
     best_wp = detour_waypoints(trips, routes, zones)
     accepted = _cut(dedup_routes(route_candidates(routes, best_wp), ("o1", "o2")), materialize)
-    samples = path_samples(routes)
-    risks = route_risk_scored(accepted, samples, trips, scorer)
+    risks = route_risk_scored(accepted, routes, trips, scorer)
     counted = route_risk_counts(accepted, risks)
     return {
         "zones": zones,

@@ -421,14 +421,6 @@ def q_question_areas(spark, sf):
         "question_id", F.col("pos").cast("int").alias("pos"), F.col("a.area").alias("area_name"))
 
 
-@query("question_areas_qgram")
-def q_question_areas_qgram(spark, sf):
-    """J6 through the q-gram equi-join path (the one taken for area lists beyond the inline limit)."""
-    f = Q.areas_found(qfeat(spark, sf), clean(spark, sf), inline_max=0)
-    return f.select("question_id", F.posexplode("found").alias("pos", "a")).select(
-        "question_id", F.col("pos").cast("int").alias("pos"), F.col("a.area").alias("area_name"))
-
-
 @query("compare_areas")
 def q_compare_areas(spark, sf):
     f = Q.areas_found(qfeat(spark, sf).filter("is_compare"), clean(spark, sf))
@@ -575,45 +567,25 @@ def split_frame(spark, sf):
 _MODELS: dict = {}
 
 
-def _model_state(spark, sf) -> dict:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        _MODELS[key] = {"prep": M.prepare(split_frame(spark, sf).filter(F.col("split") == "train"))}
-    return _MODELS[key]
-
-
 def reset_models() -> None:
-    """Forget fitted classifiers and release their persisted training vectors."""
-    for st in _MODELS.values():
-        st["prep"].release()
+    """Forget fitted classifiers."""
     _MODELS.clear()
 
 
-def fitted_type(spark, sf):
-    st = _model_state(spark, sf)
-    if "type" not in st:
-        st["type"] = M.fit_type(st["prep"])
-    return st["type"]
-
-
-def fitted_severity(spark, sf):
-    st = _model_state(spark, sf)
-    if "severity" not in st:
-        st["severity"] = M.fit_severity(st["prep"])
-    return st["severity"]
-
-
-def fitted(spark, sf):
-    """Both classifiers, each fitted once per (application, scale dir) and reused by the scoring queries."""
-    st = _model_state(spark, sf)
-    return M.assemble(st["prep"], fitted_type(spark, sf), fitted_severity(spark, sf))
+def fitted(spark, sf) -> M.IncidentModels:
+    """The two-headed classifier, fitted once per (application, scale dir) and reused by the scoring queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = M.fit_models(split_frame(spark, sf))
+    return _MODELS[key]
 
 
 def point_requests(spark, sf):
+    """One request a point; every 97th lacks the age."""
     p = points(spark, sf)
     return p.select("point_id", "lat", "lon", F.col("date_year").alias("year"), F.col("date_month").alias("month"),
-                    "day_of_week", F.col("hour_of_day").alias("hour"), F.col("victim_age").alias("age"),
-                    F.col("victim_sex").alias("sex"))
+                    "day_of_week", F.col("hour_of_day").alias("hour"),
+                    F.when(F.col("point_id") % 97 != 0, F.col("victim_age")).alias("age"), F.col("victim_sex").alias("sex"))
 
 
 @query("complete_cases")
@@ -653,8 +625,10 @@ def q_stratified_split(spark, sf):
 
 @query("stratified_split_exact")
 def q_stratified_split_exact(spark, sf):
-    """M4 exact: per class the round(20 %) rows with the smallest key hash form the test part."""
-    return FE.stratified_split_exact(training(spark, sf)).select("dr_no", "split")
+    """M4 exact: per class the round(20 %) rows with the smallest key hash form the test part. Every seventh row has no key."""
+    t = training(spark, sf)
+    t = t.withColumn("dr_no", F.when(F.col("dr_no") % 7 != 0, F.col("dr_no")))
+    return FE.stratified_split_exact(t).select("dr_no", FE.TARGET, "split")
 
 
 @query("validation_split")
@@ -677,58 +651,93 @@ def q_top_k_classes(spark, sf):
                     F.col("t.probabilitat").alias("probabilitat"))
 
 
+def model_facts(spark, m: M.IncidentModels, counts: dict[str, int], index: dict[str, int]) -> DataFrame:
+    """What the fitted classifier holds of the whole frame: classes with index and rows, features with mean and deviation."""
+    rows = [("class", c, index[c], n, None, None) for c, n in counts.items()]
+    rows += [("feature", c, i, None, round(m.stats[c][0], 6), round(m.stats[c][1], 6)) for i, c in enumerate(m.feature_cols)]
+    return spark.createDataFrame(rows, "kind string, name string, pos int, n long, mean double, std double")
+
+
 @query("fit_type_model")
 def q_fit_type_model(spark, sf):
-    """M7: fitted type classifier summary (one row)."""
-    fitted_type(spark, sf)
-    prep = _model_state(spark, sf)["prep"]
-    return spark.createDataFrame([("type", len(prep.ti.labels), len(prep.feats))], "target string, n_classes int, n_features int")
+    """M7: the fitted classifier's types with their rows, and its scaler, both of the whole training frame."""
+    m = fitted(spark, sf)
+    return model_facts(spark, m, m.type_counts, {c: i for i, c in enumerate(m.type_labels)})
 
 
 @query("fit_severity_model")
 def q_fit_severity_model(spark, sf):
-    """M8: fitted severity classifier summary (one row)."""
-    fitted_severity(spark, sf)
-    prep = _model_state(spark, sf)["prep"]
-    return spark.createDataFrame([("severity", len(prep.si.labels), len(prep.feats))],
-                                 "target string, n_classes int, n_features int")
+    """M8: the same of the severity head."""
+    m = fitted(spark, sf)
+    return model_facts(spark, m, m.severity_counts, {c: i for i, c in enumerate(m.severity_labels)})
 
 
 @query("model_accuracy")
 def q_model_accuracy(spark, sf):
-    """M9: accuracy of both classifiers on the held-out test rows."""
-    return M.accuracy(fitted(spark, sf), split_frame(spark, sf).filter(F.col("split") == "test"))
+    """M9: accuracy of both heads on the held-out test rows, from the confusion matrix; whether each row's own decoding
+    (M11) gives the same."""
+    m = fitted(spark, sf)
+    test = split_frame(spark, sf).filter(F.col("split") == "test")
+    x = test.select(*[F.col(c).cast("double").alias(c) for c in m.feature_cols], FE.TARGET, F.col("severity").alias("actual"))
+    scored = M.probabilities(m, x.select(*m.feature_cols).distinct())
+    said = {"type": M.top_k(F.col("type_prob"), m.type_labels)["prediction"], "severity": M.top_k(F.col("severity_prob"), m.severity_labels)["prediction"]}
+    rows = x.join(scored, m.feature_cols).select((said["type"] == F.col(FE.TARGET)).alias("type"), (said["severity"] == F.col("actual")).alias("severity"))
+    right = rows.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in said]).select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("rows_accuracy")) for t in said])).alias("r")).select("r.*")
+    a = M.accuracy(m, test).join(right, "target")
+    return a.select("target", "n_test", (F.abs(F.col("accuracy") - F.col("rows_accuracy")) < 1e-12).alias("matches_rows"), F.col("accuracy").between(0, 1).alias("is_share"))
+
+
+def _judged(scored: DataFrame, m: M.IncidentModels, key: str) -> DataFrame:
+    """Whether a request was scored; whether its classes are known; whether its three best are in order and their
+    probabilities fit."""
+    top, types, levels = F.col("top_3"), F.array(*[F.lit(x) for x in m.type_labels]), F.array(*[F.lit(x) for x in m.severity_labels])
+    p = F.transform(top, lambda t: t["probabilitat"])
+    known = F.array_contains(types, F.col("prediction")) & F.array_contains(levels, F.col("severity"))
+    ordered = (F.reverse(F.array_sort(p)) == p) & (p[0] == F.col("confidence")) & (top[0]["crim"] == F.col("prediction")) & (F.aggregate(p, F.lit(0.0), lambda a, b: a + b) <= 1 + 1e-9)
+    return scored.select(key, F.col("prediction").isNotNull().alias("scored"), known.alias("known"), ordered.alias("ordered"))
 
 
 @query("score_points")
 def q_score_points(spark, sf):
-    """Every point request scored by both classifiers in one distributed pass."""
-    s = M.score(fitted(spark, sf), point_requests(spark, sf))
-    return s.select("point_id", "prediction", "confidence", "severity", "severity_confidence", F.size("top_3").alias("n_top"))
+    """Every point request scored by both heads in one inference stage; those with a missing field come back null."""
+    m = fitted(spark, sf)
+    return _judged(M.score(m, point_requests(spark, sf)), m, "point_id")
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
-    """Classifiers saved, loaded back and used for scoring."""
+    """The classifier saved, loaded back, and both scoring every request: whether they agree."""
     path = fresh_dir(spark, "models")
-    M.save_models(fitted(spark, sf), path)
-    loaded = M.load_models(spark, path)
-    return M.score(loaded, point_requests(spark, sf)).select("point_id", "prediction", "severity")
+    M.save_models(fitted(spark, sf), path, spark)
+    r = point_requests(spark, sf)
+    results = ["prediction", "confidence", "top_3", "severity", "severity_confidence"]
+    a = M.score(fitted(spark, sf), r).select("point_id", F.struct(*results).alias("a"))
+    b = M.score(M.load_models(spark, path), r).select("point_id", F.struct(*results).alias("b"))
+    return a.join(b, "point_id").select("point_id", *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(f"same_{c}") for c in results])
 
 
 @query("route_risk_model")
 def q_route_risk_model(spark, sf):
-    """R2-R9 with the trained classifiers as scorer: best route per trip."""
-    return route_job(spark, sf, M.model_scorer(fitted(spark, sf)))["best"]
+    """R2-R9 with the trained classifier as scorer: per trip whether the recommended route is one of those analysed, has
+    the fewest risk points of them, and none of the direct routes is missing."""
+    job = route_job(spark, sf, M.model_scorer(fitted(spark, sf)))
+    direct = routes(spark, sf).filter("kind = 'direct'").groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_direct"))
+    least = job["ranked"].groupBy("trip_id").agg(F.min("n_risks").alias("least"), F.count(F.lit(1)).alias("n"))
+    b = job["best"].join(least, "trip_id").join(direct, "trip_id")
+    return b.select("trip_id", F.col("best_route_id").between(0, F.col("n") - 1).alias("is_route"), (F.col("best_n_risks") == F.col("least")).alias("is_least"),
+                    ((F.col("n_routes") == F.col("n")) & (F.col("n") >= F.col("n_direct"))).alias("is_whole"))
 
 
 # ---------------------------------------------------------------- history S6, L4, L5, P21, P22; places S8, P19
 def logged(spark, sf):
+    """All requests with a type result from their probabilities (M11) and a severity from the fixture scorer, logged in two
+    batches (first half of the month, then the rest)."""
     path = fresh_dir(spark, "prediction-log")
-    log = X.prediction_log(spark, sf)
-    # the whole log, appended in two time-ordered batches (first half of the month, then the rest)
-    HS.append_log(log.filter(F.col("timestamp") < "2024-01-15"), path)
-    HS.append_log(log.filter(F.col("timestamp") >= "2024-01-15"), path)
+    req = X.logged_requests(spark, sf)
+    sc = X.fixture_scorer(req).withColumns(M.top_k(F.col("probability"), X.class_labels()))
+    log = HS.entries(sc, F.col("asked_at"))
+    HS.append_log(log.filter(F.col("timestamp") < "2024-01-15"), path, "first")
+    HS.append_log(log.filter(F.col("timestamp") >= "2024-01-15"), path, "rest")
     return HS.read_log(spark, path)
 
 
@@ -803,22 +812,28 @@ def _request_files(spark, sf):
     return src
 
 
+def _streamed(spark, sf, scorer) -> DataFrame:
+    log = fresh_dir(spark, "stream-log")
+    ST.run_to_log(ST.request_stream(spark, _request_files(spark, sf), 1), scorer, log)
+    return HS.read_log(spark, log)
+
+
 @query("stream_predictions")
 def q_stream_predictions(spark, sf):
-    """Streamed requests (one file per micro-batch) scored and appended to a log table, read back."""
-    src = _request_files(spark, sf)
-    log = fresh_dir(spark, "stream-log")
-    ST.run_to_log(ST.scored_stream(ST.request_stream(spark, src, 1), X.fixture_scorer), log)
-    return spark.read.parquet(log).drop("scored_at")
+    """Streamed requests (one file per micro-batch) scored and added to the prediction log, read back."""
+    r = F.col("result")
+    return _streamed(spark, sf, X.fixture_scorer).select(
+        F.col("log_id").alias("request_id"), "user_name", "area", F.col("input.lat").alias("lat"), F.col("input.lon").alias("lon"), F.col("input.hour").alias("hour"),
+        r["prediction"].alias("prediction"), r["confidence"].alias("confidence"), r["severity"].alias("severity"), r["severity_confidence"].alias("severity_confidence"))
 
 
 @query("stream_predictions_model")
 def q_stream_predictions_model(spark, sf):
-    """The same stream scored by the trained classifiers."""
-    src = _request_files(spark, sf)
-    log = fresh_dir(spark, "stream-log")
-    ST.run_to_log(ST.scored_stream(ST.request_stream(spark, src, 1), M.model_scorer(fitted(spark, sf))), log)
-    return spark.read.parquet(log).drop("scored_at")
+    """The same stream scored by the trained classifier: whether its log entries are what a batch job gives."""
+    m = fitted(spark, sf)
+    streamed = _streamed(spark, sf, M.model_scorer(m)).select("log_id", F.struct("input", "result", "user_name", "area").alias("s"))
+    batch = HS.entries(M.model_scorer(m)(spark.read.parquet(_request_files(spark, sf)))).select("log_id", F.struct("input", "result", "user_name", "area").alias("b"))
+    return streamed.join(batch, "log_id", "full").select(F.col("log_id").alias("request_id"), F.col("s").eqNullSafe(F.col("b")).alias("as_batch"))
 
 
 @query("stream_answers")

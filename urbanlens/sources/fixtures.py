@@ -35,6 +35,17 @@ FIXTURE_CRIMES = [
 ]
 
 
+# Layouts of the dates of fixture rows, by the rest of their key.
+DATE_LAYOUTS = {
+    1: "yyyy-MM-dd '00:00'",
+    2: "yyyy-MM-dd'T00:00'",
+    3: "yyyyMMdd",
+    4: "M/d/yyyy '12:00 AM'",
+    5: "MMM d, yyyy",
+    6: "MM/dd/yyyy '12:00:00 AM'",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -52,6 +63,14 @@ def _coord_text(k: Column, scaled_int: Column) -> Column:
     )
 
 
+def _date_text(k: Column, day: Column) -> Column:
+    """Mostly ISO dates; every so often another layout that files hold, or junk."""
+    text = F.when(k % 97 == 0, F.lit("not-a-date"))
+    for rest, layout in DATE_LAYOUTS.items():
+        text = text.when(k % 29 == rest, F.date_format(day, layout))
+    return text.otherwise(day.cast("string"))
+
+
 def incidents_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw incident rows (orders joined to customer and nation), all text as in a CSV."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -65,10 +84,11 @@ def incidents_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon_i = F.lit(-1186500) + F.lit(200) * nk + F.lit(2) * (k % 89)
     return j.select(
         k.alias("dr_no"),
-        F.when(k % 97 == 0, F.lit("not-a-date")).otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("date_occ"),
+        _date_text(k, F.col("o_orderdate").cast("date")).alias("date_occ"),
         F.when(k % 211 == 0, F.lit(2400)).otherwise(((k * 37) % 24) * 100 + (k * 13) % 60).cast("int").alias("time_occ"),
         F.when(k % 101 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("area_name"),
         F.when(k % 307 == 0, F.lit(None).cast("string"))
+        .when(k % 401 == 0, F.lit("*"))
         .otherwise(_crime_at(F.least(k % 15, F.expr("o_orderkey div 15") % 15)))
         .alias("crm_cd_desc"),
         ((k * 7) % 103 - 3).cast("int").alias("vict_age"),
@@ -263,26 +283,19 @@ def fixture_scorer(df: DataFrame) -> DataFrame:
     return fixture_scores(df, "lat", "lon", "hour")
 
 
-def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logged predictions, one per point: type result from the class probability vectors, severity
-    from the fixture scorer, dates spread over four weeks, ten users."""
-    from urbanlens.operators.models import top_k
-
+def logged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to log, one per probability vector (each of a known customer's point), dates spread over four weeks, ten
+    users: the request's fields, its time and the type head's probabilities."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = points(spark, sf_dir)
-    probs = class_probabilities(spark, sf_dir)
-    sc = fixture_scores(p.withColumnRenamed("hour_of_day", "hour"), "lat", "lon", "hour")
-    tk = top_k(F.col("probability"), class_labels())
-    k = F.col("point_id")
-    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+    probs = class_probabilities(spark, sf_dir).withColumnRenamed("point_id", "request_id")
+    k = F.col("o_orderkey")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         (k % 28).cast("int"), F.lit(0), F.lit(0), ((k * 37) % 86400).cast("int")
     )
-    j = sc.join(probs, "point_id")
-    return j.select(
-        k.alias("log_id"),
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        F.concat(F.lit("user_"), (k % 10).cast("string")).alias("user_name"),
-        "area",
-        F.struct("area", "lat", "lon", "date_year", "date_month", "day_of_week", "hour", "victim_age", "victim_sex").alias("input"),
-        F.struct(tk["prediction"].alias("prediction"), tk["confidence"].alias("confidence"), tk["top_3"].alias("top_3"),
-                 "severity", "severity_confidence").alias("result"),
+    asked = o.join(p, o.o_custkey == p.point_id).select(
+        k.alias("request_id"), at.alias("asked_at"), F.concat(F.lit("user_"), (k % 10).cast("string")).alias("user_name"),
+        "area", "lat", "lon", F.col("date_year").alias("year"), F.col("date_month").alias("month"), "day_of_week",
+        F.col("hour_of_day").alias("hour"), F.col("victim_age").alias("age"), F.col("victim_sex").alias("sex"),
     )
+    return asked.join(probs, "request_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -27,7 +27,7 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
-# Header names of the published incident CSV for each canonical column.
+# FIXED VALUES: header names of the published incident CSV for each canonical column.
 CSV_HEADERS = {
     "dr_no": "DR_NO",
     "date_occ": "DATE OCC",
@@ -123,21 +123,24 @@ def write_incident_csv(df: DataFrame, path: str) -> None:
     ).option("escape", '"').csv(path)
 
 
-def write_curated(clean: DataFrame, path: str, num_partitions: int | None = None, layout: str = "range") -> None:
+def write_curated(clean: DataFrame, path: str) -> None:
     """Persist the cleaned table partitioned by year (partition pruning for year filters).
 
-    ``layout="range"`` (default) first range-partitions rows on (year, dr_no):
-    each task then writes into one (or a few adjacent) year folders instead of
-    every task writing a file into every year, a year holding a large share of
-    the rows is split over many tasks by record key, and files come out sorted
-    by key. This costs one shuffle of the table. ``layout="direct"`` skips the
-    shuffle and lets every task write its own rows (more, smaller files).
+    Rows are rebalanced by year: small years are put together into tasks, and a year that holds a large share of the rows
+    is split over many, by the sizes that Spark measures in that one shuffle. So files follow the data's size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), and the input is scanned once.
     """
-    if layout == "direct":
-        clean.write.mode("overwrite").partitionBy("year").parquet(path)
-        return
-    n = num_partitions or int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clean.repartitionByRange(n, "year", "dr_no").write.mode("overwrite").partitionBy("year").parquet(path)
+    clean.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def curate(raw: DataFrame, path: str) -> dict[str, int]:
+    """Clean ``raw`` into the curated table at ``path``; the row counts of A21 (loaded, dated, valid) come from the same
+    pass over the input."""
+    from urbanlens.operators.clean import audit_columns, clean_incidents
+
+    seen = Observation()
+    write_curated(clean_incidents(raw.observe(seen, *audit_columns(raw))), path)
+    return {k: int(v or 0) for k, v in seen.get.items()}
 
 
 def read_curated(spark: SparkSession, path: str) -> DataFrame | None:

@@ -3,10 +3,10 @@
 This is the request-at-a-time prediction service of the original application
 (score one request, then prepend it to the user's history) re-expressed as a
 Structured Streaming query: requests arrive as files, every micro-batch is
-scored in one distributed pass by a stateless projection, and results are
-appended to the log table. The checkpoint location (under the cluster's
-shared checkpoint folder) makes the query restartable with exactly-once
-file output; no state is kept between batches.
+scored in one distributed pass, and its entries become one batch of the log.
+The checkpoint location (under the cluster's shared checkpoint folder) makes
+the query restartable; a replayed micro-batch replaces its own entries. No
+state is kept between batches.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urbanlens.session import fresh_dir
+from urbanlens.sources.history import append_log, entries
 
 REQUEST_SCHEMA = T.StructType(
     [
@@ -44,21 +44,20 @@ def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
     return r.parquet(source_dir)
 
 
-def scored_stream(requests: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Stateless scoring of a request stream (prediction, confidence, severity, severity_confidence)."""
-    s = scorer(requests)
-    return s.select(
-        "request_id", "user_name", "area", "lat", "lon", "hour",
-        "prediction", "confidence", "severity", "severity_confidence",
-        F.current_timestamp().alias("scored_at"),
-    )
+def run_to_log(requests: DataFrame, scorer: Callable[[DataFrame], DataFrame], log_dir: str, checkpoint_dir: str | None = None,
+               available_now: bool = True):
+    """Score every micro-batch of ``requests`` and add it to the prediction log; ``available_now`` processes what is there
+    and stops.
 
+    A micro-batch is a batch of the log, named by its number, so one that is replayed after a failure replaces its own
+    entries. The entries are those that a batch job writes (:func:`urbanlens.sources.history.entries`).
+    """
+    ckpt = checkpoint_dir or fresh_dir(requests.sparkSession, "stream-ckpt")
 
-def run_to_log(scored: DataFrame, log_dir: str, checkpoint_dir: str | None = None, available_now: bool = True):
-    """Append scored requests to the log table; ``available_now`` processes what is there and stops."""
-    spark = scored.sparkSession
-    ckpt = checkpoint_dir or fresh_dir(spark, "stream-ckpt")
-    w = scored.writeStream.format("parquet").option("path", log_dir).option("checkpointLocation", ckpt).outputMode("append")
+    def add(batch: DataFrame, number: int) -> None:
+        append_log(entries(scorer(batch)), log_dir, f"stream-{number}")
+
+    w = requests.writeStream.foreachBatch(add).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     q = w.start()
     if available_now:
