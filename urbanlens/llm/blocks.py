@@ -19,7 +19,7 @@ from urbanlens.llm.common import written
 from urbanlens.llm.components import Joined
 
 #: Most classes, and about the most shingles, of a block.
-CHUNK, WEIGHT = 64, 1 << 18
+CHUNK, WEIGHT = 128, 1 << 18
 #: Matching pairs that are counted at once.
 MATCHES = 1 << 22
 
@@ -69,28 +69,31 @@ def fits(n: Column, other: Column, percent: int) -> Column:
 
 
 def members(sets: DataFrame, percent: int) -> DataFrame:
-    """Of classes (k, rep, n, home, hub, hub_n, shingles) that may be linked with their hubs (k, rep, n, home, label, plus,
-    minus): label names the hub that a class is linked with (else itself), plus and minus are the differences from its
-    set (else the whole set, and nothing)."""
+    """Of classes (k, rep, n, home, hub, hub_n, shingles) their relation to their hubs (k, rep, n, home, hub, label, by_hub,
+    plus, minus): label names the hub that a class is linked with (else itself). Where that is shorter a class is described
+    ``by_hub``: plus and minus are its differences from the hub's set; else plus is the whole set."""
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, plus, minus = [], [], []
+            label, by_hub, plus, minus = [], [], [], []
             for k, hub, x, h in zip(*(batch.column(c).to_pylist() for c in ("k", "hub", "shingles", "hub_shingles")), strict=True):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 lacks, has = without(h, x), without(x, h)
                 both = len(h) - len(lacks)
                 linked = 100 * both >= percent * (len(x) + len(h) - both)
+                near = len(has) + len(lacks) < len(x)
                 label.append(hub if linked else k)
-                plus.append((has if linked else x).tobytes())
-                minus.append(lacks.tobytes() if linked else b"")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "rep", "n", "home")), pa.array(label, pa.int64()), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=["k", "rep", "n", "home", "label", "plus", "minus"])
+                by_hub.append(near)
+                plus.append((has if near else x).tobytes())
+                minus.append(lacks.tobytes() if near else b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(label, pa.int64()), pa.array(by_hub), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=[*names, "label", "by_hub", "plus", "minus"])
 
+    names = ["k", "rep", "n", "home", "hub"]
     tried = (F.col("hub") != F.col("k")) & fits(F.col("n"), F.col("hub_n"), percent)
     hubs = sets.select(F.col("k").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    pairs = sets.filter(tried).join(hubs, "hub").select("k", "rep", "n", "home", "hub", "shingles", "hub_shingles")
-    own = sets.filter(~tried).select("k", "rep", "n", "home", F.col("k").alias("label"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"))
-    return pairs.mapInArrow(relate, "k long, rep long, n long, home long, label long, plus binary, minus binary").unionByName(own)
+    pairs = sets.filter(tried).join(hubs, "hub").select(*names, "shingles", "hub_shingles")
+    own = sets.filter(~tried).select(*names, F.col("k").alias("label"), F.lit(False).alias("by_hub"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"))
+    return pairs.mapInArrow(relate, "k long, rep long, n long, home long, hub long, label long, by_hub boolean, plus binary, minus binary").unionByName(own)
 
 
 def hub_links(found: DataFrame, placed: DataFrame) -> DataFrame:
@@ -100,14 +103,15 @@ def hub_links(found: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def _rebuilt(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray | None, list[np.ndarray], list[np.ndarray]]:
-    """The members, their hub's set (None: of no one hub) and their differences from it."""
+    """The members, their hub's set (None: the block came without one) and their differences from it."""
     plus = [np.frombuffer(x, np.uint64) for x in rows["plus"]]
     minus = [np.frombuffer(x, np.uint64) for x in rows["minus"]]
-    lead = rows["leads"].to_numpy()
+    lead, by_hub = rows["leads"].to_numpy(), rows["by_hub"].to_numpy()
     if not lead.any():
         return rows, None, plus, minus
-    at, of = int(lead.argmax()), np.flatnonzero(~lead)
-    return rows.iloc[of], plus[at], [plus[i] for i in of], [minus[i] for i in of]
+    hub, of = plus[int(lead.argmax())], np.flatnonzero(~lead)
+    more = [plus[i] if by_hub[i] else without(plus[i], hub) for i in of]
+    return rows.iloc[of], hub, more, [minus[i] if by_hub[i] else without(hub, plus[i]) for i in of]
 
 
 def _whole(hub: np.ndarray | None, plus: list[np.ndarray], minus: list[np.ndarray]) -> list[np.ndarray]:
@@ -135,14 +139,14 @@ def links_apart(found: DataFrame, rows: DataFrame, whole: DataFrame, percent: in
     ``whole`` sets. ``room`` and ``least`` bound blocks that share lists, as in :func:`block_pairs`; ``likely`` rules
     pairs of two blocks' rows out by the columns ``more``."""
     blocked = written(block_names(found, chunk), "blocks")
-    names = ["block", "k", "rep", "n", "label", "plus", "minus", *more]
+    names = ["block", "k", "rep", "n", "label", "by_hub", "plus", "minus", *more]
     placed = rows.select("token", "k", "pos", "rest").join(blocked.select("k", "n", "label", "block"), "k")
     reach = lambda x, y: F.least(x["n1"], y["n1"]) * 100 >= F.greatest(x["n0"], y["n0"]) * percent
     pairs = block_pairs(placed, lambda x, y: reach(x, y) & room(x, y), least)
-    # a hub's own set goes with each of its blocks
-    hubs = blocked.filter("of_hub").select("block", F.col("label").alias("hub")).distinct()
+    # a block has one hub; its set goes with each block that is described by it
+    hubs = blocked.filter("by_hub").select("block", "hub").distinct()
     none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]
-    of_hub = whole.select(F.col("k").alias("hub"), "k", "rep", "n", F.col("k").alias("label"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"), *none, F.lit(True).alias("leads"))
+    of_hub = whole.select(F.col("k").alias("hub"), "k", "rep", "n", F.col("k").alias("label"), F.lit(False).alias("by_hub"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"), *none, F.lit(True).alias("leads"))
     shipped = blocked.select(*names, F.lit(False).alias("leads")).unionByName(hubs.join(of_hub, "hub").select(*names, "leads"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> list[tuple[int, int]]:
@@ -175,16 +179,16 @@ def links_apart(found: DataFrame, rows: DataFrame, whole: DataFrame, percent: in
 
 
 def block_names(found: DataFrame, chunk: int) -> DataFrame:
-    """``found`` (k, n, home, label and more) with ``block``, and ``of_hub``: whether the block is one of a hub's classes.
+    """``found`` (k, n, home, label and more) with ``block``.
 
-    Classes linked with a hub lie in that hub's blocks, others in those of their largest list, by hash.
+    Classes linked with a hub lie in that hub's blocks, others in those of their largest list, by hash. Either way the
+    classes of a block have the same hub.
     """
-    of_hub = F.col("label") != F.col("k")
-    key = F.when(of_hub, F.col("label")).otherwise(F.col("home"))
-    named = found.withColumn("of_hub", of_hub).withColumn("key", key)
-    chunks = named.groupBy("of_hub", "key").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / WEIGHT)).cast("long").alias("chunks"))
-    block = F.xxhash64("of_hub", "key", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("chunks")))
-    return named.join(chunks, ["of_hub", "key"]).withColumn("block", block).drop("key", "chunks")
+    linked = F.col("label") != F.col("k")
+    named = found.withColumn("linked", linked).withColumn("key", F.when(linked, F.col("label")).otherwise(F.col("home")))
+    chunks = named.groupBy("linked", "key").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / WEIGHT)).cast("long").alias("chunks"))
+    block = F.xxhash64("linked", "key", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("chunks")))
+    return named.join(chunks, ["linked", "key"]).withColumn("block", block).drop("linked", "key", "chunks")
 
 
 def block_pairs(placed: DataFrame, possible: Callable[[Callable, Callable], Column], least: Callable[[Column, Column], Column]) -> DataFrame:

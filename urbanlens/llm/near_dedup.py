@@ -145,7 +145,8 @@ def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, chun
             for part in row_slices(batch, "text", SLICE_BYTES):
                 made = [shingles(t, words) for t in part.column("text").to_pylist()]
                 own = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in made], np.int64) == np.asarray(part.column("k"))  # an id may have other texts too
-                signed = [tokens(signature(s)).tobytes() if len(s) else b"" for s in made]
+                # 16 bits of each coordinate: chance agreements only make a pair that is confirmed, or not, on its sets
+                signed = [(signature(s) >> _U(16)).astype("<u2").tobytes() if len(s) else b"" for s in made]
                 columns = [*(part.column(c) for c in names), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(signed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "shingles", "signed"]).filter(pa.array(own))
 
@@ -155,7 +156,7 @@ def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, chun
     found = written(members(whole, percent).join(whole.select("k", "signed"), "k"), "near-members")
 
     def likely(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(r["signed"]), np.int64).reshape(-1, COORDINATES) for r in (a, b))
+        x, y = (np.frombuffer(b"".join(r["signed"]), "<u2").reshape(-1, COORDINATES) for r in (a, b))
         return collide(x, y, matches)
 
     room = lambda x, y: F.least(x["pos1"], y["pos1"]) + 1 + F.least(x["rest1"], y["rest1"]) >= matches

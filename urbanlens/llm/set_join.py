@@ -9,11 +9,11 @@
    class has needn't be written. Linked classes share at least 1 + min(extras) postings, so texts that merely share a
    phrase never meet.
 3. Each class is held against the hub of its largest list (the list's smallest document) on full sets: one pair a class.
-   A class linked with its hub is described by what it lacks of the hub's set and what it has besides.
+   A class near its hub is described by what it lacks of the hub's set and what it has besides.
 4. Index-level skipping: list entries lie in blocks of at most ``CHUNK`` classes, of one hub or else of one largest list.
    Within a list, blocks meet as wholes; a pair of blocks is skipped if the ranges of sizes and positions rule links out,
    or if a hub joins both already. Block pairs left with as many lists in common as links need are compared.
-5. Answer-level skipping: in a block of a hub's classes the overlaps of the hub's set with the other block are counted
+5. Answer-level skipping: of a block described by a hub the overlaps of the hub's set with the other block are counted
    first. They bound each member's from both sides by the size of its differences; where the bounds don't decide, the
    member's overlap follows from the hub's by counting its differences alone.
 6. Connected components of the links. A block pair hands on links that join something, fewer than its classes.
