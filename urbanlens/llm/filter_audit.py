@@ -104,9 +104,10 @@ def survivors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     those are labelled of good quality or toxic."""
     said = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c)
     marked = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(said("quality"), said("toxic"))
-    found = masks(docs)
+    # the scan's own filter, so that texts are measured once
+    found, nobody = masks(docs.filter("doc_id is not null")), masks(docs.filter("doc_id is null"))
     no = F.lit(False)
-    named = found.filter("doc_id is not null").join(marked, "doc_id", "left").withColumns({"quality": F.coalesce("quality", no), "toxic": F.coalesce("toxic", no)})
+    named = found.join(marked, "doc_id", "left").withColumns({"quality": F.coalesce("quality", no), "toxic": F.coalesce("toxic", no)})
     alike = ["digest", "mask", "part", "quality", "toxic"]
     # repeated rows of a document add up first, so that a group knows how many rows its least id has
     by_doc = named.groupBy("doc_id", *alike).agg(F.count("*").alias("n"))
@@ -114,7 +115,7 @@ def survivors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     least = F.min("first").over(Window.partitionBy("digest"))  # over a row for each part and label that holds the text
     own = F.when(F.col("first") == least, F.col("n_first")).otherwise(F.lit(0))
     split = by_text.withColumn("own", own).select("part", "quality", "toxic", F.explode(F.array(F.struct("mask", F.col("own").alias("n")), F.struct(F.col("mask").bitwiseOR(COPY).alias("mask"), (F.col("n") - F.col("own")).alias("n")))).alias("x"))
-    nameless = found.filter("doc_id is null").groupBy("part", "mask").agg(F.count("*").alias("n")).select("part", no.alias("quality"), no.alias("toxic"), "mask", "n")
+    nameless = nobody.groupBy("part", "mask").agg(F.count("*").alias("n")).select("part", no.alias("quality"), no.alias("toxic"), "mask", "n")
     counted = split.select("part", "quality", "toxic", "x.mask", "x.n").filter("n > 0").unionByName(nameless)
     words = np.array([survival_word(m) for m in range(SUBSETS)], np.uint32)
 
