@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def test_neighbours_where_lists_outnumber_the_beam(spark, monkeypatch):
     """The ratio decides what is read: one that spans all lists finds what brute force does."""
     from urbanlens.llm import neighbours as N
 
-    monkeypatch.setattr(N, "LIST_SIZE", 16)
+    monkeypatch.setattr(N, "BEAM", 8)
     x = np.random.default_rng(5).normal(size=(6000, 48))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
@@ -148,6 +149,45 @@ def test_neighbours_of_repeated_rows(spark):
     assert nearest_of(spark.createDataFrame(twice, schema), F.col("vec_id") % 20 == 0, ratio=99.0) == want
 
 
+@pytest.mark.parametrize("n", [10_000, 50_000])
+def test_neighbours_recall_and_reads(spark, n):
+    """The fitted ratio reaches the documented recall, on vectors without clusters, and reads a part of the vectors."""
+    from urbanlens.llm.neighbours import nearest
+
+    x = np.random.default_rng(9).normal(size=(n, 64)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    facts, every = {}, n // 200
+    got = nearest_of(table, F.col("vec_id") % every == 0, seen=facts.update)
+    hit, read = 0, 0
+    for q in range(0, n, every):
+        s = (x @ x[q]).astype("f8")
+        s[q] = -9
+        hit += len(set(np.argpartition(-s, 5)[:5].tolist()) & {v for v, _ in got[q]})
+        far = np.sqrt(np.maximum(2 - 2 * (facts["graph"].centres @ x[q]), 0))
+        read += facts["sizes"][far <= facts["ratio"] * far.min()].sum()
+    queries = len(range(0, n, every))
+    print(n, "recall", hit / (5 * queries), "postings", facts["postings"] / n, "share read", read / queries / facts["postings"], "ratio", facts["ratio"], "lists", facts["lists"])
+    assert hit >= 0.95 * 5 * queries and read < 0.85 * queries * facts["postings"]
+
+
+def test_lists_that_cannot_hold_a_neighbour_are_skipped(spark, monkeypatch):
+    """Tight clusters far apart: whatever the ratio asks to read, the second step hands on next to nothing, and finds all."""
+    from urbanlens.llm import neighbours as N
+
+    monkeypatch.setattr(N, "FIRST", 1)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 24))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 40, axis=0) + rng.normal(size=(1200, 24)) * 0.01
+    table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest_of(table, F.col("vec_id") % 50 == 0, ratio=99.0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 1200, 50):
+        s = u @ u[q]
+        s[q] = -9
+        assert [v for v, _ in got[q]] == np.argsort(-s)[:5].tolist()
+
+
 def test_mixing(spark, odd_docs, no_docs):
     from urbanlens.llm.mixing import copies, mix
 

@@ -1,37 +1,44 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 * Centroids come from balanced hierarchical clustering of about ``SAMPLE`` vectors at most (those of the smallest id hashes):
-  a set is split by k-means until its parts are small, so dense regions get more lists. Every vector is indexed.
+  a set is split by k-means until its parts are small, so dense regions get more lists. There are as many lists as the
+  square root of the number of vectors, ``LISTS`` at most. Every vector is indexed.
 * A vector goes to its nearest centroid's list, and near a boundary to those of up to ``COPIES`` centroids: such as are
   within a ratio of the nearest distance, and nearer to the vector than to a centroid chosen before.
-* Centroids (``LISTS`` at most, a bound on what tasks hold) are searched by best-first beams in a neighbour graph that
-  is kept in memory. A query reads the lists whose centroids are within a ratio of its nearest one's distance, and
-  more while those hold too few vectors. A query whose beam ends before that is held against every centroid, so no
-  number of lists bounds what it reads.
+* Centroids are searched by best-first beams in a neighbour graph that is kept in memory. A query reads the lists whose
+  centroids are within a ratio of its nearest one's distance, and more while those hold too few vectors. A query whose
+  beam ends before that is held against every centroid, so no number of lists bounds what it reads.
+* The ratio is fitted: about ``TRIALS`` vectors of the sample are held against all vectors, and the ratio is the one at
+  which their lists hold ``RECALL`` of their true neighbours.
+* A query reads in two steps. Its nearest lists, ``FIRST`` vectors or more, give the score that a neighbour must reach.
+  Of its other lists those are skipped whose centroid is so far, and whose radius so small, that they can't hold one (no
+  neighbour is lost by that); the rest return only vectors that reach it, so about ``k`` a query are handed on.
 * Lists are stored in blocks of about ``BLOCK`` vectors, and a list's queries in blocks of about as many, so a list of
   many equal vectors is spread over tasks. A task scores its block pair; each query's best are merged afterwards.
 
 Scores are cosines in double precision on the original vectors. Results by case: vectors that are null, zero or hold a
 null or a non-finite component take no part, neither do rows without an id; equal scores go to the smaller id; a query
 never finds its own row; with fewer candidates than asked for all are found; rows that repeat both id and vector count
-once, and rows of one id with other vectors are vectors of their own (found once where they score equally); an empty table gives no rows; vectors of different lengths are an error; other columns are ignored.
+once, and rows of one id with other vectors are vectors of their own (found once where they score equally); an empty
+table gives no rows; vectors of different lengths are an error; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanlens.llm.common import about, written
 
-SAMPLE, LISTS, LIST_SIZE, BLOCK = 20_000, 4096, 256, 2048
-COPIES, COPY_RATIO, BEAM, LINKS, FAR_LINKS, SEARCHED = 4, 1.12, 96, 24, 4, 1024
+SAMPLE, LISTS, BLOCK = 20_000, 4096, 2048
+COPIES, COPY_RATIO, BEAM, LINKS, FAR_LINKS, SEARCHED = 2, 1.03, 96, 24, 4, 1024
+#: Vectors whose true neighbours fit the ratio, the share of these to be found, and what a query's first step reads.
+TRIALS, RECALL, FIRST = 256, 0.98, 512
 
 
 def valid(vector: Column) -> Column:
@@ -153,98 +160,172 @@ def lists_of(graph: Graph, x: np.ndarray) -> list[list[int]]:
     return out
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float = 1.35) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest of each row of ``vectors`` (vec_id, embedding) that fits ``queries``."""
+def _scored(q: np.ndarray, own: np.ndarray, who: np.ndarray, x: np.ndarray, norms: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query id, vector id, cosine): of each query the ``k`` best places among ``x``, an id that scores twice alike being
+    one; with ``least`` only those that reach it."""
+    order = np.argsort(ids, kind="stable")
+    ids, x, norms = ids[order], x[order], norms[order]
+    most = int(np.unique(ids, return_counts=True)[1].max())  # an id's vectors may score equally and are one place then
+    out = []
+    for at in range(0, len(who), 512):
+        close = (q[at : at + 512] / own[at : at + 512, None]) @ (x / norms[:, None]).T
+        close[who[at : at + 512, None] == ids[None, :]] = -np.inf
+        top = min(k * most, close.shape[1])
+        floor = np.partition(close, -top, axis=1)[:, -top]
+        if least is not None:
+            floor = np.maximum(floor, least[at : at + 512])
+        for i, row in enumerate(close):
+            near = np.flatnonzero((row >= floor[i] - 1e-9) & np.isfinite(row))
+            # scored one by one, so that equal vectors score equally wherever they lie
+            exact = (x[near] * q[at + i]).sum(axis=1) / (norms[near] * own[at + i])
+            if least is not None:
+                reach = exact >= least[at + i]
+                near, exact = near[reach], exact[reach]
+            best = np.argsort(-exact, kind="stable")
+            if most > 1:
+                _, first = np.unique(np.rec.fromarrays([exact[best], ids[near[best]]]), return_index=True)
+                best = best[np.sort(first)]
+            out += [(int(who[at + i]), int(ids[near[b]]), float(exact[b])) for b in best[:k]]
+    return out
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _table(found: list[tuple[int, int, float]]) -> pa.Table:
+    columns = list(zip(*found, strict=True)) or [[], [], []]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def true_neighbours(vectors: DataFrame, q: np.ndarray, who: np.ndarray, k: int) -> dict[int, list[int]]:
+    """Of each query (``TRIALS`` of them, say) the ids of its ``k`` nearest among all ``vectors``, by brute force: every
+    batch of vectors hands on its best, and those of a query are merged."""
+    own = np.linalg.norm(q, axis=1)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            x = _matrix(batch.column("embedding"))
+            for i, v, c in _scored(q, own, who, x, np.linalg.norm(x, axis=1), np.asarray(batch.column("vec_id")), k):
+                held[i] = sorted({*held.get(i, []), (-c, v)})[:k]
+        yield from _table([(i, v, -c) for i, found in held.items() for c, v in found]).to_batches()
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = vectors.select("vec_id", "embedding").mapInArrow(best, _FOUND).distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
+    out: dict[int, list[int]] = {}
+    for r in found.collect():  # k rows a trial
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def fitted_ratio(vectors: DataFrame, graph: Graph, ids: np.ndarray, x: np.ndarray, k: int) -> float:
+    """The ratio at which the lists of the sample's trial vectors hold ``RECALL`` of their true neighbours."""
+    trials = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRIALS)).astype(int))
+    true = true_neighbours(vectors, x[trials], ids[trials], k)
+    named = sorted({v for found in true.values() for v in found})
+    if not named:
+        return 1.0
+    rows = vectors.filter(F.col("vec_id").isin(named)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow()  # k a trial at most
+    lists = dict(zip(rows["vec_id"].to_pylist(), lists_of(graph, _unit(_matrix(rows["embedding"].combine_chunks()))), strict=True))
+    ratios = []
+    for i, t in zip(ids[trials].tolist(), trials, strict=True):
+        far = np.sqrt(np.maximum(2 - 2 * (graph.centres @ x[t]), 0))
+        ratios += [far[lists[v]].min() / max(far.min(), 1e-12) for v in true.get(i, [])]
+    return float(np.quantile(ratios, RECALL, method="higher"))
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, ratio: float | None = None, seen: Callable[[dict], None] | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest of each row of ``vectors`` (vec_id, embedding) that fits
+    ``queries``. ``ratio`` overrides the fitted one; ``seen`` is called with what was fitted."""
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", queries.alias("asks")).filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     # a row that is repeated would take places from other vectors, and lists would fill with it
     clean = written(clean.groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks")), "vectors").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    schema = "query_id long, rank int, vec_id long, score double"
     n = clean.count()
     if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
-    sample = about(clean.select("vec_id", "embedding"), "vec_id", SAMPLE, n).orderBy("vec_id").select("embedding").toArrow()
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = about(clean.select("vec_id", "embedding"), "vec_id", SAMPLE, n).orderBy("vec_id").toArrow()
     if not sample.num_rows:  # all ids alike, say
-        sample = clean.select("embedding").limit(SAMPLE).toArrow()
-    x = _unit(_matrix(sample.column("embedding").combine_chunks()))
-    graph = Graph(balanced_centroids(x, max(1, min(LISTS, math.ceil(n / LIST_SIZE), len(x) // 4))))
+        sample = clean.select("vec_id", "embedding").limit(SAMPLE).toArrow()
+    x = _unit(_matrix(sample["embedding"].combine_chunks()))
+    graph = Graph(balanced_centroids(x, max(1, min(LISTS, math.isqrt(n), len(x) // 4))))
+    reach = fitted_ratio(clean, graph, np.asarray(sample["vec_id"]), x, k) if ratio is None else ratio
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SEARCHED):
                 part = batch.slice(at, SEARCHED)
-                found = lists_of(graph, _unit(_matrix(part.column("embedding"))))
-                row = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int32()), part.column("vec_id").take(row), part.column("embedding").take(row)], names=["list", "vec_id", "embedding"])
-
-    posted = written(clean.select("vec_id", "embedding").mapInArrow(post, "list int, vec_id long, embedding array<double>"), "posting-lists")
-    size = {r.list: r.n for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
-    sizes = np.array([size.get(c, 0) for c in range(len(graph.centres))])
+                unit = _unit(_matrix(part.column("embedding")))
+                found = lists_of(graph, unit)
+                row, of = np.repeat(np.arange(part.num_rows), [len(f) for f in found]), np.array([c for f in found for c in f])
+                close = (unit[row] * graph.centres[of]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), part.column("vec_id").take(pa.array(row)), part.column("embedding").take(pa.array(row)), pa.array(close)], names=["list", "vec_id", "embedding", "close"])
+
+    posted = written(clean.select("vec_id", "embedding").mapInArrow(post, "list int, vec_id long, embedding array<double>, close double"), "posting-lists")
+    size = {r.list: r for r in posted.groupBy("list").agg(F.count("*").alias("n"), F.min("close").alias("close")).collect()}  # at most LISTS rows
+    sizes = np.array([size[c].n if c in size else 0 for c in range(len(graph.centres))])
+    radii = np.array([np.arccos(np.clip(size[c].close, -1, 1)) if c in size else 0.0 for c in range(len(graph.centres))])
     enough = (k + 1) * COPIES  # postings that hold k vectors besides the query's own, whatever is posted twice
-
     beam = BEAM
+    if seen:
+        seen({"ratio": reach, "lists": len(graph.centres), "postings": int(sizes.sum()), "sizes": sizes, "graph": graph})
 
-    def to_read(ids: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """Which of the found lists, nearest first, a query reads."""
+    def to_read(ids: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the found lists, nearest first, a query reads, and which of these first."""
         held = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
         before = np.hstack([np.zeros((len(ids), 1)), held[:, :-1]])
-        read = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-9) | (before < enough))
+        read = (ids >= 0) & ((far <= reach * far[:, :1] + 1e-9) | (before < enough))
+        first = (ids >= 0) & (before < FIRST) & read
         # where the graph's search found fewer than the beam holds, those may be not all
         read[:, -1] |= ids[:, -1] < 0
-        return read
+        return read, first
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SEARCHED):
                 part = batch.slice(at, SEARCHED)
-                x = _unit(_matrix(part.column("embedding")))
-                ids, far = graph.search(x, beam)
-                read = to_read(ids, far)
-                lists = [i[r] for i, r in zip(ids, read, strict=True)]
+                unit = _unit(_matrix(part.column("embedding")))
+                ids, far = graph.search(unit, beam)
+                read, first = to_read(ids, far)
+                rows = [(i[r], d[r], f[r]) for i, d, r, f in zip(ids, far, read, first, strict=True)]
                 cut = np.flatnonzero(read[:, -1])  # the beam ends before the ratio does, or holds too little
                 if len(cut):
-                    ids, far = graph.all(x[cut])
-                    for i, row, r in zip(cut, ids, to_read(ids, far), strict=True):
-                        lists[i] = row[r]
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), part.column("vec_id"), part.column("embedding")], names=["lists", "query_id", "query"])
+                    ids, far = graph.all(unit[cut])
+                    for c, i, d, r, f in zip(cut, ids, far, *to_read(ids, far), strict=True):
+                        rows[c] = (i[r], d[r], f[r])
+                # the best cosine that a list may hold: its centroid's angle less its radius
+                best = [np.cos(np.maximum(2 * np.arcsin(np.minimum(d / 2, 1)) - radii[i], 0)) + 1e-9 for i, d, _ in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i[f].tolist() for i, _, f in rows], pa.list_(pa.int32())), pa.array([i[~f].tolist() for i, _, f in rows], pa.list_(pa.int32())), pa.array([b[~f].tolist() for b, (_, _, f) in zip(best, rows, strict=True)], pa.list_(pa.float64())), part.column("vec_id"), part.column("embedding")],
+                    names=["first", "later", "best", "query_id", "query"])
 
     # a query's lists lie in one row, so its vector is written once however many it reads
-    wanted = written(clean.filter("asks").select("vec_id", "embedding").mapInArrow(ask, "lists array<int>, query_id long, query array<double>"), "posting-queries")
-    asked = wanted.select(F.explode("lists").alias("list"), "query_id", "query")
-    load = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    wanted = written(clean.filter("asks").select("vec_id", "embedding").mapInArrow(ask, "first array<int>, later array<int>, best array<double>, query_id long, query array<double>"), "posting-queries")
     parts = F.array(*[F.lit(max(1, math.ceil(int(s) / BLOCK))) for s in sizes])
-    turns = F.array(*[F.lit(max(1, math.ceil(load.get(c, 0) / BLOCK))) for c in range(len(sizes))])
-    many = lambda a: F.get(a, F.col("list"))
-    every = lambda a: F.explode(F.sequence(F.lit(0), many(a) - 1))
-    left = posted.withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), many(parts)).cast("int")).withColumn("turn", every(turns))
-    right = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), many(turns)).cast("int")).withColumn("part", every(parts))
-
-    def score(key, p: pa.Table, q: pa.Table) -> pa.Table:
-        out = []
-        if p.num_rows and q.num_rows:
-            ids, x = np.asarray(p["vec_id"]), _matrix(p["embedding"].combine_chunks())
-            who, y = np.asarray(q["query_id"]), _matrix(q["query"].combine_chunks())
-            norms, own = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            order = np.argsort(ids, kind="stable")
-            ids, x, norms = ids[order], x[order], norms[order]
-            most = int(np.unique(ids, return_counts=True)[1].max())  # an id's vectors may score equally and are one place then
-            for at in range(0, len(who), 512):
-                close = (y[at : at + 512] / own[at : at + 512, None]) @ (x / norms[:, None]).T
-                close[who[at : at + 512, None] == ids[None, :]] = -np.inf
-                top = min(k * most, close.shape[1])
-                least = np.partition(close, -top, axis=1)[:, -top]
-                for i, row in enumerate(close):
-                    near = np.flatnonzero((row >= least[i] - 1e-9) & np.isfinite(row))
-                    # scored one by one, so that equal vectors score equally wherever they lie
-                    exact = (x[near] * y[at + i]).sum(axis=1) / (norms[near] * own[at + i])
-                    best = np.argsort(-exact, kind="stable")
-                    if most > 1:
-                        _, first = np.unique(np.rec.fromarrays([exact[best], ids[near[best]]]), return_index=True)
-                        best = best[np.sort(first)]
-                    out += [(int(who[at + i]), int(ids[near[b]]), float(exact[b])) for b in best[:k]]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    keys = ["list", "part", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double").distinct()
+
+    def score(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        if not p.num_rows or not q.num_rows:
+            return _table([])
+        x, y = _matrix(p["embedding"].combine_chunks()), _matrix(q["query"].combine_chunks())
+        return _table(_scored(y, np.linalg.norm(y, axis=1), np.asarray(q["query_id"]), x, np.linalg.norm(x, axis=1), np.asarray(p["vec_id"]), k, np.asarray(q["least"])))
+
+    def found_in(asked: DataFrame) -> DataFrame:
+        """What the lists of ``asked`` (list, query_id, query, least) return."""
+        load = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
+        turns = F.array(*[F.lit(max(1, math.ceil(load.get(c, 0) / BLOCK))) for c in range(len(sizes))])
+        many = lambda a: F.get(a, F.col("list"))
+        every = lambda a: F.explode(F.sequence(F.lit(0), many(a) - 1))
+        left = posted.select("list", "vec_id", "embedding").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), many(parts)).cast("int")).withColumn("turn", every(turns))
+        right = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), many(turns)).cast("int")).withColumn("part", every(parts))
+        keys = ["list", "part", "turn"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _FOUND)
+
+    none = F.lit(float("-inf")).alias("least")
+    start = written(found_in(wanted.select(F.explode("first").alias("list"), "query_id", "query", none)).distinct(), "neighbours")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    ranked = start.withColumn("rank", rank).filter(F.col("rank") <= k)
+    # rows of one id are queries of their own vectors; the score to reach is the least of theirs
+    due = ranked.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).select("query_id", F.when(F.col("c") == k, F.col("s")).alias("least"))
+    rest = wanted.join(due, "query_id", "left").select("query_id", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.explode(F.arrays_zip("later", "best")).alias("l"))
+    rest = written(rest.filter(F.col("l.best") >= F.col("least")).select(F.col("l.later").alias("list"), "query_id", "query", "least"), "posting-queries")
+    found = start.unionByName(found_in(rest)).distinct()
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
