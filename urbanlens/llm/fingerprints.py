@@ -1,17 +1,19 @@
 """Document fingerprints by winnowing, on DataFrame functions only.
 
-A text's units are its runs of up to ``UNIT`` characters other than ASCII white space. Rolling hashes
-stand for every K units in a row (doubling: a hash of two neighbouring hashes of half the length), and of every WINDOW
-hashes in a row the least is selected, the rightmost among equals, with its position. Selected hashes and positions
-are the fingerprint. Two texts that share K + WINDOW - 1 units in a row (whose words are cut alike) share a
-selected hash, and none is shared for less than K units. Hash and position are packed into one number, the complement
-of the position below the hash, so that the least number is the rightmost least hash; windows are doubled as well.
+A text's units are its runs of characters other than ASCII white space; of runs longer than ``UNIT`` characters, and in
+scripts that are written without spaces, every character is a unit, so that passages there match at any offset. Hashes
+stand for every K units in a row, and of every WINDOW hashes in a row the least is selected, the rightmost among equals,
+with its position. Selected hashes and positions are the fingerprint. Two texts that share K + WINDOW - 1 units in a row
+share a selected hash, and none is shared for less than K units (but for chance, of 64-bit hashes).
+
+Both are made by doubling: a gram's hash is that of two neighbouring hashes of half as many units, and a window's place
+that of the lesser of two half windows' places. In native functions this stands for rolling hashes and a running minimum:
+log2(K) and log2(WINDOW) passes over the units.
 
 Results by case: a null or empty text, or one of white space only, has an empty fingerprint; with fewer than K units
 all of them are one hash; with fewer than WINDOW hashes the least of all is selected; equal texts have equal
 fingerprints; two empty fingerprints are alike (1), an empty and another aren't (0). Rows of equal ids keep an order
-by text; null ids come last; columns other than the id and the text are ignored. Units beyond 2^24 in one text
-count their positions anew.
+by text; null ids come last; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 
 from urbanlens.llm.common import ASCII_SPACE, shuffle_partitions
 
-UNIT, K, WINDOW, POSITION_BITS = 16, 4, 16, 24
-_LAST = (1 << POSITION_BITS) - 1
+UNIT, K, WINDOW = 16, 4, 16
+#: Scripts without spaces between words, as the inside of a character class.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_ONE = rf"[^{ASCII_SPACE}{UNSPACED}]"
+#: A whole run of up to UNIT characters, else one character.
+UNITS = rf"((?<!{_ONE}){_ONE}{{1,{UNIT}}}+(?!{_ONE})|[^{ASCII_SPACE}])"
 
 
 def _let(value: Column, body) -> Column:
@@ -32,9 +38,13 @@ def _let(value: Column, body) -> Column:
 
 def _windows(a: Column, width: int, join) -> Column:
     """Of every ``width`` (a power of two) neighbours their value under ``join``, by doubling; the last ones have fewer."""
+    def doubled(by: int):
+        # a function of one argument: a second one would be the element's index
+        return lambda x: F.zip_with(x, F.slice(x, F.lit(by + 1), F.greatest(F.size(x) - by, F.lit(0))), join)
+
     by = 1
     while by < width:
-        a = _let(a, lambda x, by=by: F.zip_with(x, F.slice(x, F.lit(by + 1), F.greatest(F.size(x) - by, F.lit(0))), join))
+        a = _let(a, doubled(by))
         by *= 2
     return a
 
@@ -45,26 +55,29 @@ def _whole(a: Column, width: int) -> Column:
 
 
 def selected(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The selected numbers, hash above position, in the order of their positions."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([^{ASCII_SPACE}]{{1,{UNIT}}})"), F.lit(1))
+    """The selected (hash, position) pairs, in the order of their positions."""
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(1))
     hashes = F.transform(units, lambda u: F.xxhash64(u))
     grams = _whole(_windows(hashes, k, lambda x, y: F.when(y.isNull(), x).otherwise(F.xxhash64(x, y))), k)
-    packed = F.transform(grams, lambda h, i: h.bitwiseAND(F.lit(~_LAST)).bitwiseOR(F.lit(_LAST).cast("long") - F.pmod(i, F.lit(_LAST + 1))))
-    return F.array_distinct(_whole(_windows(packed, window, lambda x, y: F.least(x, y)), window))
 
+    def least(h: Column) -> Column:
+        places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+        # of two neighbouring windows' places the one of the lesser hash, the right one if they are equal
+        lesser = lambda x, y: F.when(y.isNull() | (F.get(h, y) > F.get(h, x)), x).otherwise(y)
+        found = F.array_distinct(_whole(_windows(places, window, lesser), window))
+        return F.transform(found, lambda i: F.struct(F.get(h, i).alias("hash"), i.alias("position")))
 
-def hashes_of(numbers: Column) -> Column:
-    return F.array_distinct(F.transform(numbers, lambda v: F.shiftright(v, POSITION_BITS)))
+    return _let(grams, least)
 
 
-def positions_of(numbers: Column) -> Column:
-    return F.transform(numbers, lambda v: F.lit(_LAST) - v.bitwiseAND(F.lit(_LAST)))
+def hashes_of(pairs: Column) -> Column:
+    return F.array_distinct(F.transform(pairs, lambda v: v["hash"]))
 
 
-def printed(numbers: Column) -> Column:
-    """``hash@position`` with commas between: ten hexadecimal digits, and the position in units."""
-    one = lambda v: F.concat(F.lpad(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), 10, "0"), F.lit("@"), (F.lit(_LAST) - v.bitwiseAND(F.lit(_LAST))).cast("string"))
-    return F.array_join(F.transform(numbers, one), ",")
+def printed(pairs: Column) -> Column:
+    """``hash@position`` with commas between: sixteen hexadecimal digits, and the position in units."""
+    one = lambda v: F.concat(F.lpad(F.hex(v["hash"]), 16, "0"), F.lit("@"), v["position"].cast("string"))
+    return F.array_join(F.transform(pairs, one), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,9 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, fingerprint: array of (hash, position)) of each row of ``docs`` (doc_id, text)."""
-    numbers = docs.select("doc_id", selected(F.col("text"), k, window).alias("_n"))
-    pairs = F.transform("_n", lambda v: F.struct(F.shiftrightunsigned(v, POSITION_BITS).alias("hash"), (F.lit(_LAST) - v.bitwiseAND(F.lit(_LAST))).cast("int").alias("position")))
-    return numbers.select("doc_id", pairs.alias("fingerprint"))
+    return docs.select("doc_id", selected(F.col("text"), k, window).alias("fingerprint"))
 
 
 def _range_of(doc_id: Column, bounds: list[int]) -> Column:
