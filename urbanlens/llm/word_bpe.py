@@ -2,9 +2,11 @@
 
 Frequent words of the corpus are compiled, with their ids, into a minimal acyclic transducer: states that accept the
 same endings are shared, and each arc carries the number of words that sort before those behind it, so the sum along
-a word's path is its place in the table of ids (:class:`Lexicon`). It is one flat byte string, bounded by
-``LEXICON_WORDS``; each worker maps it into memory and reads it there. A word that the lexicon lacks is merged exactly,
-pair by pair in rank order (:class:`Merger`). Words are counted over all documents; counts decide speed only, never ids.
+a word's path is its place in the table of ids (:class:`Lexicon`). It is one flat file, bounded by ``LEXICON_WORDS``,
+that Spark hands to every executor; the executor's workers map it into memory, read-only, and so share it. A word that
+the lexicon lacks is merged exactly, pair by pair in rank order (:class:`Merger`). Words are counted over all documents;
+counts decide speed only, never ids. Texts with characters that this Python's tables don't know, being newer, are
+normalized and split by the library's own normalizer and pre-tokenizer, whose tables decide.
 
 Results by case: a null or empty text, or one of white space only, has no ids and decodes to an empty text; special
 strings inside texts become their ids, as the library does; very long texts and words are encoded whole (the merging of
@@ -18,21 +20,25 @@ import heapq
 import json
 import mmap
 import re
+import sys
 import unicodedata
 from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanlens.llm.common import SPACE, Remembered, row_slices, written
-from urbanlens.llm.pieces import byte_characters
+from urbanlens.llm.pieces import byte_characters, load_tokenizer
+from urbanlens.session import fresh_dir
 
 LEXICON_WORDS = 50_000
 SLICE_BYTES, COUNTED_WORDS, WORD_CHARS = 1 << 20, 500_000, 64
@@ -64,11 +70,20 @@ class Vocabulary:
         return " ".join(self.symbols[i] for i in ids if i in self.symbols)
 
 
+@cache
+def _unknown() -> re.Pattern:
+    """Characters that Python's tables don't assign."""
+    codes = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+    first, last = (np.flatnonzero(codes & ~np.roll(codes, s)) for s in (1, -1))
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last, strict=True)) + "]")
+
+
 class Words:
     """The words of a text, special strings among them, as the vocabulary's normalizer and pattern find them."""
 
-    def __init__(self, special: Iterable[str]):
-        self.special = set(special)
+    def __init__(self, special: Iterable[str], path: str):
+        self.special, self.path, self.library = set(special), path, None
+        self.bytes = {c: b for b, c in byte_characters().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
 
     def __call__(self, text: str) -> list[str]:
@@ -76,8 +91,16 @@ class Words:
             return self.plain(text)
         return [w for part in self.split(text) for w in ([part] if part in self.special else self.plain(part))]
 
+    def by_library(self, text: str) -> list[str]:
+        """The same words from the library's own steps."""
+        self.library = self.library or load_tokenizer(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.bytes[c] for c in w).decode() for w, _ in found]
+
     def plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if text and max(text) > "\u024f" and _unknown().search(text):
+                return self.by_library(text)
             text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # letter by letter: no final sigma
         try:
@@ -210,12 +233,12 @@ class Lexicon:
         return self.ids[self.span[place] : self.span[place + 1]].tolist()
 
 
-def frequent_words(docs: DataFrame, special: Iterable[str], most: int = LEXICON_WORDS) -> list[str]:
+def frequent_words(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) -> list[str]:
     """The commonest words over all texts, ``most`` at most: those above a count. Tasks sum before they hand on."""
-    special = list(special)
+    special = list(Vocabulary(tokenizer_path).special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(special), Counter()
+        words, counts = Words(special, tokenizer_path), Counter()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -248,13 +271,13 @@ def build_lexicon(words: Iterable[str], tokenizer_path: str) -> bytes:
 
 
 class Encoder:
-    """A worker's encoder: the mapped lexicon, the exact merger, and what they gave of late."""
+    """A worker's encoder: the mapped lexicon file, the exact merger, and what they gave of late."""
 
-    def __init__(self, tokenizer_path: str, lexicon: bytes):
+    def __init__(self, tokenizer_path: str, lexicon: str):
         self.vocabulary = Vocabulary(tokenizer_path)
-        self.words, merge = Words(self.vocabulary.special), Merger(self.vocabulary)
-        self.map = mmap.mmap(-1, max(1, len(lexicon)))
-        self.map.write(lexicon)
+        self.words, merge = Words(self.vocabulary.special, tokenizer_path), Merger(self.vocabulary)
+        with open(lexicon, "rb") as f:
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)  # stays when the file is closed
         known = Lexicon(self.map)
 
         def compute(words: list[str]) -> list[tuple[bytes, str]]:
@@ -275,20 +298,36 @@ class Encoder:
                 yield b"", ""
 
 
+def shipped(spark: SparkSession, data: bytes, name: str) -> str:
+    """The name by which tasks find ``data`` as a file (``SparkFiles.get``): it is written to the shared folder, and Spark
+    fetches it once for each executor."""
+    path = fresh_dir(spark, name)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, False)
+    try:
+        for start in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[start : start + (1 << 20)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
+
+
 _ENCODERS: dict = {}
 
 
 def word_bpe(docs: DataFrame, tokenizer_path: str, outputs: dict, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``doc_id`` and one column for each of ``outputs``: name -> (SQL type, function of the ids' bytes and the decoded text)."""
     spark = docs.sparkSession
-    lexicon = spark.sparkContext.broadcast(build_lexicon(frequent_words(docs, Vocabulary(tokenizer_path).special, lexicon_words), tokenizer_path))
+    lexicon = shipped(spark, build_lexicon(frequent_words(docs, tokenizer_path, lexicon_words), tokenizer_path), "lexicon")
     makers = [f for _, f in outputs.values()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_path, hash(lexicon.value))
+        key = (tokenizer_path, lexicon)
         if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(tokenizer_path, lexicon.value)
+            _ENCODERS[key] = Encoder(tokenizer_path, SparkFiles.get(lexicon))
         encoder = _ENCODERS[key]
         for batch in batches:
             for rows in row_slices(batch, "text", SLICE_BYTES):
