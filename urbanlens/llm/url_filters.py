@@ -7,9 +7,9 @@ rules, the second those other keys of the corpus that the first lets pass, the t
 pass, and so on until none is left. A key's answer is the parity of the first filter that stops it. As the cascade is
 built over the complete key universe, membership is exact and urls are judged without a join.
 
-The filters are literals in the plan and only used up to ``MAX_RULES`` rules, a bound on their size; longer lists, and
-corpora of so many keys that a filter would hold more than twice as many of them, are judged by joining the candidate
-keys with the rules, with the same result.
+The first filter's size follows the universe: as many hashes as keys double the rules, so that about as many false
+positives as rules are expected however large the corpus, and no later filter holds more. So the filters, literals in the
+plan, grow with the rules alone, some dozens of bits a rule.
 
 Results by case: a null url or one without ``://`` has an empty host and path and fits no rule; a url that no rule
 fits gets the default verdict (it is in no list); rules given twice count once, and of one key both allowed and
@@ -24,7 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES, BITS_A_KEY, HASHES, WORD = 100_000, 10, 4, 64
+#: Hashes of the filters after the first, and bits a key for every hash (half of a filter's bits are set then).
+HASHES, BITS_A_HASH, WORD = 4, 1.5, 64
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -43,76 +44,80 @@ def _shapes(rules: DataFrame) -> list[tuple[int, int]]:
 
 
 def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """The keys of the given shapes that fit, as (chars of the host ending, key), the longest last."""
+    """The keys of the given shapes that fit, as (chars of the host ending, key), the longest last. One expression over a
+    literal array, however many shapes there are."""
     labels = F.size(F.split(host, r"\."))
-    keys = []
-    for n, chars in shapes:
-        ending = F.substring_index(host, ".", -n)
-        key = F.struct(F.length(F.concat(ending, F.left(path, F.lit(chars)))).alias("chars"), F.length(ending).alias("host_chars"), F.concat(ending, F.left(path, F.lit(chars))).alias("key"))
-        keys.append(F.when((host != "") & (labels >= n) & (F.length(path) >= chars), key))
-    return F.array_sort(F.array_compact(F.array(*keys)))
+    literal = F.from_json(F.lit(json.dumps([{"n": n, "chars": c} for n, c in shapes])), "array<struct<n:int,chars:int>>")
 
+    def key(s: Column) -> Column:
+        ending = F.call_function("substring_index", host, F.lit("."), -s["n"])
+        start = F.left(path, s["chars"])
+        made = F.struct((F.length(ending) + F.length(start)).alias("chars"), F.length(ending).alias("host_chars"), F.concat(ending, start).alias("key"))
+        return F.when((host != "") & (labels >= s["n"]) & (F.length(path) >= s["chars"]), made)
 
-def _places(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(level * HASHES + i), key), F.lit(bits)) for i in range(HASHES)]
+    return F.array_sort(F.array_compact(F.transform(literal, key)))
 
 
-def _passes(key: Column, level: int, bits: int, words: Column) -> Column:
-    passes = F.lit(True)
-    for place in _places(key, level, bits):
-        word = F.get(words, F.floor(place / WORD).cast("int"))
-        passes = passes & (F.getbit(word, (place % WORD).cast("int")) == 1)
-    return passes
+def _passes(key: Column, level: int, bits: int, hashes: int, words: Column) -> Column:
+    """Whether all of the key's places are set; they step from one hash by another."""
+    first, step = (F.xxhash64(F.lit(2 * level + i), key) for i in (0, 1))
+
+    def held(i: Column) -> Column:
+        place = F.pmod(F.xxhash64(first, step, i), F.lit(bits))
+        return F.getbit(F.get(words, F.floor(place / WORD).cast("int")), (place % WORD).cast("int")) == 1
+
+    return F.forall(F.array(*[F.lit(i) for i in range(hashes)]), held)
 
 
 def _literal(words: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
 
 
-def _filter_of(keys: DataFrame, level: int, n: int) -> tuple[int, list[int]]:
-    """The Bloom filter of the column ``key`` as 64-bit words; set bits are or-ed together before they are dealt."""
-    bits = max(WORD, math.ceil(n * BITS_A_KEY / WORD) * WORD)
-    place = F.explode(F.array(*_places(F.col("key"), level, bits)))
+def _filter_of(keys: DataFrame, level: int, n: int, hashes: int) -> tuple[int, int, list[int]]:
+    """The Bloom filter of the column ``key``: bits, hashes and 64-bit words. Set bits are or-ed together in the tasks."""
+    bits = max(WORD, math.ceil(n * hashes * BITS_A_HASH / WORD) * WORD)
+    first, step = (F.xxhash64(F.lit(2 * level + i), F.col("key")) for i in (0, 1))
+    place = F.explode(F.array(*[F.pmod(F.xxhash64(first, step, F.lit(i)), F.lit(bits)) for i in range(hashes)]))
     found = keys.select(place.alias("place")).groupBy(F.floor(F.col("place") / WORD).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % WORD).cast("int"))).alias("set"))
     words = [0] * (bits // WORD)
     for r in found.collect():  # at most as many rows as the filter has words
         words[r.word] = r.set
-    return bits, words
+    return bits, hashes, words
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, list[int]]] | None:
-    """The filters, level by level, of the distinct ``listed.key`` over all of ``universe.key``; None if one would hold
-    too many keys for a literal."""
-    levels: list[tuple[int, list[int]]] = []
+def build_cascade(listed: DataFrame, universe: DataFrame, keys: int) -> list[tuple[int, int, list[int]]]:
+    """The filters, level by level, of the distinct ``listed.key`` over all of ``universe.key``, of about ``keys`` keys or
+    fewer."""
     members = listed.select("key").distinct()
     n = members.count()
     if not n:
-        return levels
-    levels.append(_filter_of(members, 0, n))
-    first = _passes(F.col("key"), 0, levels[0][0], _literal(levels[0][1]))
+        return []
+    levels = [_filter_of(members, 0, n, max(HASHES, math.ceil(math.log2(max(2, keys / n)))))]
     # the keys of the corpus that the first filter lets pass, rules or not; one aggregation, no join
-    both = members.select("key", F.lit(True).alias("in_list")).unionByName(universe.filter(first).select("key", F.lit(False).alias("in_list")))
+    both = members.select("key", F.lit(True).alias("in_list")).unionByName(universe.filter(_stops([F.col("key")], levels)[0]).select("key", F.lit(False).alias("in_list")))
     passed = both.groupBy("key").agg(F.max("in_list").alias("in_list")).checkpoint()
     side = False  # the keys that the next filter encodes: false positives, then members, in turn
     while True:
         rest = passed.filter(F.col("in_list") == side)
-        for level, (bits, words) in enumerate(levels):
-            rest = rest.filter(_passes(F.col("key"), level, bits, _literal(words)))
+        for x in _stops([F.col("key")] * len(levels), levels):
+            rest = rest.filter(x)
         n = rest.count()
         if not n:
             return levels
-        if n > 2 * MAX_RULES:
-            return None
-        levels.append(_filter_of(rest, len(levels), n))
+        levels.append(_filter_of(rest, len(levels), n, HASHES))
         side = not side
 
 
-def in_cascade(key: Column, levels: list[tuple[int, list[int]]]) -> Column:
+def _stops(keys: list[Column], levels: list[tuple[int, int, list[int]]]) -> list[Column]:
+    """Whether each level lets its key pass."""
+    return [_passes(k, level, bits, hashes, _literal(words)) for k, (level, (bits, hashes, words)) in zip(keys, enumerate(levels), strict=True)]
+
+
+def in_cascade(key: Column, levels: list[tuple[int, int, list[int]]]) -> Column:
     """Whether the key, one of the universe, is listed."""
     answer = F.lit(len(levels) % 2 == 1)
-    for level in reversed(range(len(levels))):
-        bits, words = levels[level]
-        answer = F.when(~_passes(key, level, bits, _literal(words)), F.lit(level % 2 == 1)).otherwise(answer)
+    for level, passes in reversed(list(enumerate(_stops([key] * len(levels), levels)))):
+        answer = F.when(~passes, F.lit(level % 2 == 1)).otherwise(answer)
     return answer
 
 
@@ -122,28 +127,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     host, path = url_parts(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     shapes = _shapes(rules)
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        return _by_join(judged, rules, shapes, default)
-    judged = judged.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.expr("array()"))
-    universe = judged.select(F.explode("_keys.key").alias("key")) if shapes else judged.select(F.lit("").alias("key")).limit(0)
     if not shapes:
         return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    blocked = build_cascade(rules.filter("verdict = 'block'"), universe)
-    allowed = build_cascade(rules.filter("verdict = 'allow'"), universe) if blocked is not None else None
-    if blocked is None or allowed is None:
-        return _by_join(judged, rules, shapes, default)
+    judged = judged.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes))
+    universe = judged.select(F.explode("_keys.key").alias("key"))
+    keys = pages.count() * len(shapes)  # at least as many as there are
+    blocked = build_cascade(rules.filter("verdict = 'block'"), universe, keys)
+    allowed = build_cascade(rules.filter("verdict = 'allow'"), universe, keys)
     # candidate keys of one url by length; the last that is listed decides
     listed = F.filter("_keys", lambda k: in_cascade(k["key"], blocked) | in_cascade(k["key"], allowed))
     judged = judged.withColumn("rule", F.try_element_at(F.transform(listed, lambda k: k["key"]), F.lit(-1)))
     verdict = F.when(F.col("rule").isNull(), default).when(in_cascade(F.col("rule"), blocked), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
-
-
-def _by_join(judged: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]], default: str) -> DataFrame:
-    """The same for longer lists: candidate keys joined with the rules, the longest fitting one kept per page row."""
-    one = rules.groupBy("key").agg(F.max("verdict").alias("verdict"))  # 'block' sorts after 'allow'
-    # pages that share a host and path share their answer
-    distinct = judged.select("host", "path").distinct()
-    keys = distinct.select("host", "path", F.explode(candidate_keys(F.col("host"), F.col("path"), shapes)).alias("k")).select("host", "path", "k.*")
-    best = keys.join(one, "key").groupBy("host", "path").agg(F.max(F.struct("chars", "host_chars", "key", "verdict")).alias("best"))
-    return judged.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
