@@ -5,7 +5,8 @@
 2. The table is range-partitioned by hash and document and sorted by hash, document and position, so the rows of a
    common line lie in several partitions. Each partition is streamed: a line's rows are held only until its documents
    are enough, then handed on one by one. Of a partition's first and last line, which neighbours may share, the
-   partial counts are handed on as well (two rows a partition) and added up.
+   partial counts are handed on as well (two rows a partition) and added up. So are those of a line whose rows are more
+   than ``HELD`` before its documents are enough (one document may repeat it without end), so a task holds no more.
 3. What repeats comes back as positions, packed into one compressed keep bitmap a document, and only the bitmaps are
    joined with the texts.
 
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import row_slices, shuffle_partitions, written
+from urbanlens.llm.common import row_slices, shuffle_partitions, unused, written
 
-SLICE_BYTES, BLANK = 1 << 20, b" \t\n\x0b\x0c\r"
+SLICE_BYTES, HELD, BLANK = 1 << 20, 10_000, b" \t\n\x0b\x0c\r"
 
 
 def _text_hash() -> Column:
@@ -56,8 +57,8 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lines, "h1 long, h2 long, doc_id long, text_hash long, position int")
 
 
-#: kind 0: a row of a line that enough documents hold; 1: a row whose line a neighbouring partition may hold too, with too few
-#: documents so far; 2: a partition's count of such a line. ``lead`` marks the line's first row in the partition.
+#: kind 0: a row of a line that enough documents hold; 1: a row whose line had too few documents so far, and a neighbouring
+#: partition may hold it too, or more rows came before than a task holds; 2: a partition's count of such a line. ``lead`` marks the line's first row in the partition.
 _MARKS = "kind int, h1 long, h2 long, doc_id long, text_hash long, position int, lead boolean, documents long"
 
 
@@ -66,12 +67,12 @@ def _stream(least: int):
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line, first_line, held, documents, last_doc, head = None, True, [], 0, (), None
+        line, first_line, held, documents, last_doc, head, over = None, True, [], 0, (), None, False
         out: list[tuple] = []
 
         def end(at_edge: bool) -> None:
             """The line's rows are over."""
-            if line is not None and (at_edge or first_line):
+            if line is not None and (at_edge or first_line or over):
                 out.extend((1, *line, *r, None) for r in held)
                 out.append((2, *line, *head, True, documents))
 
@@ -95,7 +96,7 @@ def _stream(least: int):
                 if key != line:
                     end(False)
                     first_line = line is None
-                    line, held, documents, last_doc, head = key, [], 0, (), None
+                    line, held, documents, last_doc, head, over = key, [], 0, (), None, False
                 part = batch.slice(s, e - s)
                 for doc, text, position in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                     lead = head is None
@@ -104,6 +105,12 @@ def _stream(least: int):
                         documents, last_doc = documents + 1, (doc,)
                     if documents < least:
                         held.append((doc, text, position, lead))
+                        if len(held) > HELD:
+                            over = True
+                            out.extend((1, *line, *r, None) for r in held)
+                            held = []
+                            if len(out) >= 50_000:
+                                yield made()
                     else:
                         out.extend((0, *line, *r, None) for r in held)
                         held = []
@@ -123,9 +130,9 @@ def repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False) -
     hashed = written(line_hashes(docs), "line-hashes")
     dealt = hashed.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "position")
     marks = written(dealt.mapInArrow(_stream(least), _MARKS), "line-marks")
-    # two rows a partition at most, so the sums are small whatever the corpus holds
+    # two rows a partition, and one for each line that a task couldn't hold; Spark broadcasts the sums if they are small
     place = F.struct("doc_id", "text_hash", "position")
-    shared = F.broadcast(marks.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("documents").alias("documents"), F.min(place).alias("head")))
+    shared = marks.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("documents").alias("documents"), F.min(place).alias("head"))
     rows = marks.filter("kind < 2").drop("documents").join(shared, ["h1", "h2"], "left").filter((F.col("kind") == 0) | (F.col("documents") >= least))
     if keep_first:
         rows = rows.filter(~F.when(F.col("head").isNull(), F.col("lead")).otherwise(place.eqNullSafe(F.col("head"))))
@@ -161,10 +168,11 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 
 
 def with_bitmaps(docs: DataFrame, least: int = 10, keep_first: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns, with their bitmap in ``_keep_bitmap`` (null: every line stays)."""
-    found = keep_bitmaps(docs, least, keep_first).select(F.col("doc_id").alias("_keep_doc"), F.col("text_hash").alias("_keep_text"), F.col("keep_bitmap").alias("_keep_bitmap"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_doc")) & (_text_hash() == F.col("_keep_text"))
-    return docs.join(found, match, "left").drop("_keep_doc", "_keep_text")
+    """The rows of ``docs``, all columns, with their bitmap in one more column, the last (null: every line stays)."""
+    doc, text, bitmap = unused(docs.columns, "_keep_doc", "_keep_text", "_keep_bitmap")
+    found = keep_bitmaps(docs, least, keep_first).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("keep_bitmap").alias(bitmap))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (_text_hash() == F.col(text))
+    return docs.join(found, match, "left").drop(doc, text)
 
 
 def line_digests(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -172,7 +180,7 @@ def line_digests(docs: DataFrame, least: int = 10) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [kept_lines(t, b) for t, b in zip(batch.column("text").to_pylist(), batch.column("_keep_bitmap").to_pylist(), strict=True)]
+            made = [kept_lines(t, b) for t, b in zip(batch.column("text").to_pylist(), batch.column(2).to_pylist(), strict=True)]
             n, dropped = (pa.array([m[k] for m in made], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, dropped, pa.array([sha256(m[2].encode()).hexdigest() for m in made], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
@@ -180,16 +188,13 @@ def line_digests(docs: DataFrame, least: int = 10) -> DataFrame:
     return with_bitmaps(docs.select("doc_id", "text"), least).mapInArrow(digest, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False, spare_whole: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns, their texts without repeated lines (a null text stays null); with ``spare_whole`` a
-    text that would be left without a word stays as it is."""
+def drop_repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, their texts without repeated lines (a null text stays null)."""
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if b is None else kept_lines(t, b)[2] for t, b in zip(batch.column("text").to_pylist(), batch.column("_keep_bitmap").to_pylist(), strict=True)]
-            if spare_whole:
-                texts = [t if x is not None and not x.strip(BLANK.decode()) else x for x, t in zip(texts, batch.column("text").to_pylist(), strict=True)]
+            texts = [t if b is None else kept_lines(t, b)[2] for t, b in zip(batch.column("text").to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
     return with_bitmaps(docs, least, keep_first).mapInArrow(cut, docs.schema)

@@ -10,8 +10,9 @@ Format: a folder of three Parquet tables, written by Spark and so readable where
 * ``starts``: by part, the ids of all parts before it.
 
 Tasks encode and compress where the rows are; only the compressed frames are dealt out by doc_id ranges (from
-approximate quantiles of the ids) and sorted there. The dictionary is trained on the starts of the first
-``SAMPLE_DOCS`` rows that Spark hands out: a bound on what shapes compression, never on what is written.
+approximate quantiles of the ids) and sorted there. The dictionary is trained on about ``SAMPLE_DOCS`` documents of the
+smallest id hashes, each encoded whole where it is and giving ``SAMPLE_IDS`` ids at most from a place that its hash
+chooses: a bound on what shapes compression, the same in every run, never on what is written.
 
 Results by case: a null or empty text is the end id alone; null ids come first, repeated ids follow one another and
 each row keeps its own ids; a table too small to train on gets an empty dictionary; an empty table gives empty files
@@ -31,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import row_slices, shuffle_partitions
+from urbanlens.llm.common import about, row_slices, shuffle_partitions
 from urbanlens.llm.pieces import coder, load_tokenizer, pieces, segments
 
 BLOCK_BYTES, SLICE_BYTES = 1 << 20, 1 << 20
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, LEVEL = 1 << 16, 1000, 8192, 1
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS, LEVEL = 1 << 16, 1000, 4096, 1
 _BLOCKS = "part int, block int, before long, first_doc long, last_doc long, dict_hash string, id_bytes int, doc_ids array<long>, lengths array<int>, offsets array<int>, payload binary"
 
 
@@ -53,9 +54,20 @@ def _coder(path: str):
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_bytes: int) -> bytes:
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect()
-    known = _coder(tokenizer_path)
-    arrays = [np.frombuffer(x, "<u4").astype(f"<u{id_bytes}").tobytes() for x in _ids([r.text for r in sample], known, 0)]
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in row_slices(batch, "text", SLICE_BYTES):
+                out = []
+                for ids, h in zip(_ids(rows.column("text").to_pylist(), _coder(tokenizer_path), 0), rows.column("h").to_pylist(), strict=True):
+                    n = len(ids) // 4
+                    at = h % max(1, n - SAMPLE_IDS + 1)
+                    out.append(np.frombuffer(ids, "<u4")[at : at + SAMPLE_IDS].astype(f"<u{id_bytes}").tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column("h"), pa.array(out, pa.binary())], names=["h", "ids"])
+
+    # rows of one id, or of none, have one hash: their texts' hashes tell them apart
+    hashed = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
+    chosen = about(hashed, "h", SAMPLE_DOCS, docs.count()).select("h", "text").dropDuplicates(["h"])
+    arrays = [bytes(r.ids) for r in chosen.mapInArrow(part, "h long, ids binary").orderBy("h").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too uniform samples

@@ -219,7 +219,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] |
     if not total.get(0) or not total.get(1):
         return None
     sample = about(usable.filter("_toxic = 1"), "doc_id", TRAIN_TOXIC, total[1]).unionByName(about(usable.filter("_toxic = 0"), "doc_id", TRAIN_CLEAN, total[0]))
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_toxic").cast("int").alias("_toxic")).checkpoint()
+    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one text an id, however many rows it has, so that the sample's bound holds for what is fitted
+    one = F.max_by("text", F.xxhash64("text")).alias("text")
+    train = train.groupBy("doc_id").agg(one, F.max("_toxic").cast("int").alias("_toxic")).select("text", "_toxic").checkpoint()
     seen = Counter({r._toxic: r.n for r in train.groupBy("_toxic").agg(F.count("*").alias("n")).collect()})
     if not seen[0] or not seen[1]:
         return None
