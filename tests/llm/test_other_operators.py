@@ -48,24 +48,37 @@ def test_url_filters(spark):
 def test_cascade_is_exact_and_needs_levels(spark, monkeypatch):
     from urbanlens.llm import url_filters as U
 
-    monkeypatch.setattr(U, "BITS_A_KEY", 1)  # many false positives
+    monkeypatch.setattr(U, "HASHES", 1)  # many false positives
     listed = spark.range(0, 400, 2).select(F.col("id").cast("string").alias("key"))
     universe = spark.range(3000).select(F.col("id").cast("string").alias("key"))
-    levels = U.build_cascade(listed, universe)
+    levels = U.build_cascade(listed, universe, 400)
     assert len(levels) > 2
     got = {int(r.key) for r in universe.filter(U.in_cascade(F.col("key"), levels)).collect()}
     assert got == set(range(0, 400, 2))
 
 
-def test_url_filters_beyond_the_literal_bound(spark, monkeypatch):
+def test_first_filter_follows_the_universe(spark):
+    """As many false positives as rules, about, whatever the corpus; so the second filter stays as small."""
     from urbanlens.llm import url_filters as U
-    from urbanlens.llm.queries import URL_RULES
 
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    want = set(map(tuple, U.url_filter(pages, rules).collect()))
-    monkeypatch.setattr(U, "MAX_RULES", 2)
-    assert set(map(tuple, U.url_filter(pages, rules).collect())) == want
+    listed = spark.range(5).select(F.concat(F.lit("r"), "id").alias("key"))
+    universe = spark.range(300_000).select(F.col("id").cast("string").alias("key"))
+    levels = U.build_cascade(listed, universe, 300_000)
+    assert all(len(words) <= 8 for _, _, words in levels)
+    assert universe.unionByName(listed).filter(U.in_cascade(F.col("key"), levels)).count() == 5
+
+
+def test_rules_of_many_shapes(spark):
+    """Hundreds of path lengths are one expression, without a join."""
+    from urbanlens.llm import url_filters as U
+
+    rules = [("a.org", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(300)] + [("org", "/", "allow"), ("b.a.org", "/x", "allow")]
+    urls = [f"http://{'b.' * (n % 3)}a.org/{'x' * (n * 7 % 400)}{'y' * (n % 2)}" for n in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = U.url_filter(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert set(map(tuple, out.collect())) == {(i, *(p := parts_of(u)), *rule_of(*p, rules)) for i, u in enumerate(urls)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(plan) < 60_000
 
 
 def test_neighbours(spark):
@@ -98,17 +111,14 @@ def test_neighbours(spark):
 
 
 def test_url_filters_of_many_keys(spark, monkeypatch):
-    """More false positives of the first filter than a literal may hold."""
+    """More false positives of the first filter than rules."""
     from urbanlens.llm import url_filters as U
     from urbanlens.llm.queries import URL_RULES
 
-    monkeypatch.setattr(U, "MAX_RULES", len(URL_RULES))
     monkeypatch.setattr(U, "HASHES", 1)
     urls = URLS + [f"http://x{i}.example.org/{'es' if i % 3 else 'en'}/{i}" for i in range(3000)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed, keys = rules.select(F.concat("host", "path").alias("key")), pages.select(F.col("url").alias("key"))
-    assert U.build_cascade(listed, keys) is None
     want = {(i, *(p := parts_of(u)), *rule_of(*p, URL_RULES)) for i, u in enumerate(urls)}
     assert set(map(tuple, U.url_filter(pages, rules).collect())) == want
 
@@ -293,7 +303,10 @@ def test_pipeline_against_its_operators_by_brute_force(spark):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} - toxic
     rows = {r.doc_id: r.text for r in out.collect()}
     held = Counter(k for t in rows.values() for k in {x.strip(" \t\n\x0b\x0c\r").lower() for x in t.split("\n")} if k)
-    want = {i: "\n".join(x for x in t.split("\n") if held[x.strip(" \t\n\x0b\x0c\r").lower()] < 10) for i, t in rows.items()}
+    want, met = {}, set()
+    for i in sorted(rows):  # the first occurrence of a common line stays
+        key = [x.strip(" \t\n\x0b\x0c\r").lower() for x in rows[i].split("\n")]
+        want[i] = "\n".join(x for x, k in zip(rows[i].split("\n"), key, strict=True) if held[k] < 10 or k not in met and not met.add(k))
     out = written(C.STAGES[1][1](spark, out, SMALL), "t")
     assert {r.doc_id: r.text for r in out.collect()} == want and all(r.n_chars == len(r.text) for r in out.collect())
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := t.lower().split()) else set() for i, t in want.items()}
@@ -321,13 +334,27 @@ def test_pipeline_keeps_one_of_a_large_copy_group(spark):
     copied = "first line of the copied text\nsecond line of the same text\n"
     rows = [(i, copied) for i in range(25)] + [(100 + i, f"own words {i * i} of text {i}\nCommon line\n") for i in range(12)]
     rows += [(7, copied), (200, "common line"), (201, " \n"), (202, None)]
-    docs = spark.createDataFrame([(i, t, len(t) if t else 0) for i, t in rows], "doc_id long, text string, n_chars long")
+    clash = "_keep_doc int, _keep_text int, _keep_bitmap int, _near_doc int"
+    docs = spark.createDataFrame([(i, t, len(t) if t else 0, 1, 2, 3, 4) for i, t in rows], f"doc_id long, text string, n_chars long, {clash}")
     out = written(C.line_dedup(spark, docs, SMALL), "t")
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {(1, 2, 3, 4)}
+    assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in rows)
     texts = {r.doc_id: r.text for r in out.collect()}
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
-    assert texts[0] == texts[24] == copied and texts[103] == "own words 9 of text 3\n" and texts[200] == "common line"
-    kept = Counter(r.doc_id for r in C.near_dedup(spark, out, SMALL).collect())
-    assert kept == Counter([0, *range(100, 112), 200, 201, 202])
+    # the first copy has the lines, the others nothing but the blank last line; boilerplate stays where it came first
+    assert texts[0] == copied and texts[24] == "" and texts[100] == "own words 0 of text 0\nCommon line\n"
+    assert texts[103] == "own words 9 of text 3\n" and texts[200] == "" and texts[201] == " \n" and texts[202] is None
+    kept = C.near_dedup(spark, out, SMALL)
+    assert kept.columns == docs.columns
+
+
+def test_pipeline_near_copies_keep_the_shared_text_once(spark):
+    import corpus_pipeline as C
+
+    shared = "\n".join(f"shared passage {i} of the text that all of them hold" for i in range(6))
+    docs = spark.createDataFrame([(i, f"{shared}\nown line number {i * i} of document {i}", 0) for i in range(12)], "doc_id long, text string, n_chars long")
+    texts = {r.doc_id: r.text for r in C.line_dedup(spark, docs, SMALL).collect()}
+    assert texts[0].startswith(shared) and all(texts[i] == f"own line number {i * i} of document {i}" for i in range(1, 12))
 
 
 def test_tokenizer_files_stay_outside():

@@ -1,5 +1,6 @@
 """Texts operators against brute force on odd rows and on empty tables."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -7,6 +8,8 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 from tokenizers import Tokenizer
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -115,11 +118,12 @@ def test_line_dedup(odd_docs, no_docs, keep_first):
             holders[key(line)].add(i)
             first[key(line)] = min(first.get(key(line), (9e9, 0)), (-1 if i is None else i, p))
     for least in (2, 10):
-        def kept(i, x, least=least):
+        drop = lambda p, line, least=least: bool(key(line)) and len(holders[key(line)]) >= least
+
+        def kept(i, x, drop=drop):
             if x is None:
                 return None
-            drop = lambda p, line: key(line) and len(holders[key(line)]) >= least and not (keep_first and first[key(line)] == (-1 if i is None else i, p))
-            return "\n".join(line for p, line in enumerate(x.split("\n")) if not drop(p, line))
+            return "\n".join(line for p, line in enumerate(x.split("\n")) if not (drop(p, line) and not (keep_first and first[key(line)] == (-1 if i is None else i, p))))
 
         out = drop_repeated_lines(odd_docs, least, keep_first)
         assert out.columns == odd_docs.columns
@@ -127,8 +131,9 @@ def test_line_dedup(odd_docs, no_docs, keep_first):
             assert Counter(r for r in rows_of(out) if r[0] != 6) == Counter((i, kept(i, x)) for i, x in rows if i != 6)
             continue
         assert Counter(rows_of(out)) == Counter((i, kept(i, x)) for i, x in rows)
-        want = Counter((i, (x or "").count("\n") + 1, sha256((kept(i, x) or "").encode()).hexdigest()) for i, x in rows)
-        assert Counter((r.doc_id, r.n_lines, r.kept_sha256) for r in line_digests(odd_docs, least).collect()) == want
+        dropped = lambda i, x: sum(drop(p, line) for p, line in enumerate((x or "").split("\n")))
+        want = Counter((i, (x or "").count("\n") + 1, dropped(i, x), sha256((kept(i, x) or "").encode()).hexdigest()) for i, x in rows)
+        assert Counter(map(tuple, line_digests(odd_docs, least).collect())) == want
     assert drop_repeated_lines(no_docs).count() == 0 and line_digests(no_docs).count() == 0
 
 
@@ -212,20 +217,115 @@ def test_fingerprints(odd_docs, no_docs):
     assert edited_neighbours(no_docs).count() == 0 and fingerprints(no_docs).count() == 0
 
 
+def units_of(text):
+    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    out = []
+    for run in regex.findall(r"[^\x20\x09-\x0D]+", text):
+        for part in regex.findall(rf"{unspaced.pattern}|(?:(?!{unspaced.pattern}).)+", run, regex.DOTALL):
+            out += [part] if len(part) <= 16 else list(part)
+    return out
+
+
+def winnowed(text, k, window):
+    """Selected (hash, position) pairs: of every window the rightmost least hash."""
+    of = lambda x, seed: xxhash.xxh64_intdigest(x, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    both = lambda x, y: of((y % (1 << 64)).to_bytes(8, "little"), of((x % (1 << 64)).to_bytes(8, "little"), 42))
+    h = [of(u.encode(), 42) for u in units_of(text)]
+    by = 1
+    while by < k:
+        h = [both(x, h[i + by]) if i + by < len(h) else x for i, x in enumerate(h)]
+        by *= 2
+    h = [signed(x) for x in (h[: len(h) - k + 1] if len(h) >= k else h[:1])]
+    found = []
+    for at in range(max(len(h) - window + 1, min(len(h), 1))):
+        part = h[at : at + window]
+        p = at + max(i for i, x in enumerate(part) if x == min(part))
+        if (h[p], p) not in found:
+            found.append((h[p], p))
+    return found
+
+
 def test_winnowing_by_brute_force(spark):
+    """All columns, on texts with many equal hashes, long runs and scripts without spaces."""
+    from urbanlens.llm.fingerprints import K, WINDOW, edited_neighbours, fingerprints
+
+    rnd = random.Random(6)
+    texts = [" ".join(f"u{(i * i) % 23}" for i in range(n)) for n in (0, 1, 3, 4, 5, 18, 19, 20, 60, 200)]
+    texts += [" ".join(rnd.choice("ab") for _ in range(120)), "a " * 90, "x" * 15 + " " + "y" * 16 + " " + "z" * 17, "日本語のテキストabcdefghijklmnopqrstuv。" * 9, "ข้อความภาษาไทย" * 7 + " mixed คำ words", "é" * 40 + "\x85\xa0b", "a\tb\nc\rd\x0be"]
+    texts += ["".join(rnd.choice("ab \n日本é") for _ in range(400)) for _ in range(12)]
+    rows = list(enumerate(texts)) + [(90, None), (91, texts[9]), (91, texts[9]), (None, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, window in ((K, WINDOW), (2, 4)):
+        got = Counter((r.doc_id, tuple(map(tuple, r.fingerprint))) for r in fingerprints(docs, k, window).collect())
+        assert got == Counter((i, tuple(winnowed(t or "", k, window))) for i, t in rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    show = lambda f: ",".join(f"{h % (1 << 64):016X}@{p}" for h, p in f)
+
+    def like(a, b):
+        a, b = ({h for h, _ in f} for f in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    want = Counter()
+    for n, (i, t) in enumerate(order):
+        t, after = t or "", order[(n + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        own, changed, following = (winnowed(x, K, WINDOW) for x in (t, edited, after))
+        want[i, show(own), show(changed), round(like(own, changed), 12), round(like(own, following), 12)] += 1
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12), round(r.near_next, 12)) for r in edited_neighbours(docs).collect()) == want
+
+
+def test_shared_passages_match_at_any_offset(spark):
+    """The match guarantee, in a script without spaces and inside long runs too."""
     from urbanlens.llm.fingerprints import K, WINDOW, fingerprints
 
-    rows = [(n, " ".join(f"u{(i * i) % 23}" for i in range(n))) for n in (0, 1, 3, 4, 5, 18, 19, 20, 60, 200)]
-    got = {r.doc_id: [tuple(f) for f in r.fingerprint] for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    gram = {}  # hash of each gram, as far as selections tell
-    for n, _ in rows:
-        grams = max(n - K + 1, min(n, 1))
-        windows = max(grams - WINDOW + 1, min(grams, 1))
-        positions = [p for _, p in got[n]]
-        assert positions == sorted(set(positions)) and all(p < grams for p in positions)
-        for w in range(windows):  # every window holds a selected position
-            assert any(w <= p < w + WINDOW for p in positions)
-        units = [f"u{(i * i) % 23}" for i in range(n)]
-        for h, p in got[n]:
-            if n >= K:
-                assert gram.setdefault(tuple(units[p : p + K]), h) == h
+    passage = "".join(chr(0x4E00 + (i * 37) % 900) for i in range(K + WINDOW - 1))
+    run = "".join(chr(97 + (i * i + 3 * i) % 26) for i in range(K + WINDOW - 1))
+    rows = [(n, "".join(chr(0x5E00 + (n * 11 + i) % 700) for i in range(n)) + passage) for n in range(1, 18)]
+    rows += [(100 + n, "q" * (20 + n) + run + "w" * 20) for n in range(17)]
+    got = {r.doc_id: {h for h, _ in r.fingerprint} for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for first in (1, 100):
+        group = [v for i, v in got.items() if (i >= 100) == (first == 100)]
+        assert all(group[0] & v for v in group)
+
+
+def test_held_lines_are_bounded(spark, monkeypatch):
+    """One document that repeats a line more often than a task holds rows, alone or with enough others."""
+    from urbanlens.llm import line_dedup as D
+
+    monkeypatch.setattr(D, "HELD", 50)
+    rows = [(1, "often\n" * 400 + "end"), (2, "twice\n" * 300)] + [(10 + i, "often\nown") for i in range(9)] + [(30, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = defaultdict(set)
+    for i, x in rows:
+        for p, line in enumerate(x.split("\n")):
+            if line:
+                lines[line].add((i, p))
+    for least in (2, 9, 10, 11):
+        enough = {k: v for k, v in lines.items() if len({i for i, _ in v}) >= least}
+        got = {(r.doc_id, r.position) for r in D.repeated_lines(docs, least).collect()}
+        assert got == {x for v in enough.values() for x in v}
+        kept = {(r.doc_id, r.position) for r in D.repeated_lines(docs, least, keep_first=True).collect()}
+        assert kept == {x for v in enough.values() for x in v - {min(v)}}
+
+
+def test_every_character_is_split_as_the_library_does():
+    """Alone and between letters, newer ones than Python knows included."""
+    import sys
+
+    from urbanlens.llm.word_bpe import Merger, Vocabulary, Words
+
+    v, t = Vocabulary(WORD), Tokenizer.from_file(WORD)
+    words, merge = Words(v.special, WORD), Merger(v)
+    known: dict = {}
+
+    def ids(text):
+        return [i for w in words(text) for i in (known[w] if w in known else known.setdefault(w, [v.special[w]] if w in v.special else merge(w)))]
+
+    characters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "a{}b"):
+        wrong = []
+        for at in range(0, len(characters), 50_000):
+            texts = [form.format(c) for c in characters[at : at + 50_000]]
+            wrong += [x for x, e in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False), strict=True) if ids(x) != e.ids]
+        assert not wrong, (form, len(wrong), wrong[:5])
