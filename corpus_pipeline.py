@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import table, written
+from urbanlens.llm.common import table, unused, written
 from urbanlens.llm.line_dedup import drop_repeated_lines
 from urbanlens.llm.mixing import mix
 from urbanlens.llm.near_dedup import near_duplicates
@@ -28,17 +28,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten of them or more hold. A document of such lines alone keeps its text, so
-    that of a document copied ten times or more near_dedup keeps one."""
-    cut = drop_repeated_lines(docs, least=10, spare_whole=True)
+    """All documents; of a line that ten of them or more hold the first occurrence stays, by document and position. So the
+    text of a document copied ten times or more stays once, and near copies that each add lines of their own keep these."""
+    cut = drop_repeated_lines(docs, least=10, keep_first=True)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates (five-word shingles, similarity of 0.8).
     Rows without an id and texts without words are no duplicates."""
-    out = near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("_near_doc")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_near_doc"), "left_anti")
+    (dropped,) = unused(docs.columns, "_near_doc")
+    out = near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(out, F.col("doc_id") == F.col(dropped), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
