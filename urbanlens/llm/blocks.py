@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import written
+from urbanlens.llm.common import row_slices, written
 from urbanlens.llm.components import Joined
 
 #: Most classes, and about the most shingles, of a block.
 CHUNK, WEIGHT = 128, 1 << 18
 #: Matching pairs that are counted at once.
 MATCHES = 1 << 22
+#: Bits that say which documents' sets are asked for (8 MB, whatever their number), and bytes of texts cut up at once.
+BITS, SLICE_BYTES = 1 << 26, 1 << 20
 
 
 def without(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -56,6 +58,43 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(a), len(b))
 
 
+def _bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), doc_id), F.lit(BITS))
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, make: Callable[[list[str | None]], list[tuple]], columns: dict[str, str], name: str) -> DataFrame:
+    """The rows of ``wanted`` (k, rep and more) with what ``make`` gives for the texts of their documents: the class k of a
+    text, its set and more (``columns``: name -> type), a row a class, as a table in the shared folder.
+
+    Texts stay where they are. Documents that aren't asked for are left out there by a bitmap of hashed ids, of ``BITS``
+    bits at any size; those that it lets pass by chance go in the join, which decides.
+    """
+    at = _bit(F.col("rep")) + 1
+    marked = wanted.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = {r.b - 1: bytes(r.bits) for r in marked}  # a part of the bitmap a row
+    size = len(next(iter(bits.values()), b"")) * 8 or 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {b: np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(bool) for b, x in bits.items()} if len(bits) < 256 else None
+
+        def asked(bit: np.ndarray) -> np.ndarray:
+            if parts is not None:
+                return np.array([b // size in parts and parts[b // size][b % size] for b in bit.tolist()], bool)
+            return np.array([b // size in bits and bits[b // size][b % size >> 3] >> (b & 7) & 1 for b in bit.tolist()], bool)
+
+        for batch in batches:
+            batch = batch.filter(pa.array(asked(np.asarray(batch.column("bit")))))
+            for rows in row_slices(batch, "text", SLICE_BYTES):
+                made = list(zip(*make(rows.column("text").to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([rows.column("rep"), *(pa.array(m, t) for m, t in zip(made, kinds, strict=True))], names=["rep", *columns])
+
+    kinds = [pa.int64() if t == "long" else pa.binary() for t in columns.values()]
+    asked = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null").withColumn("bit", _bit(F.col("rep")))
+    found = asked.mapInArrow(cut, "rep long, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+    # an id may have other texts, and a row be repeated
+    return written(found.join(wanted, ["rep", "k"]).dropDuplicates(["rep", "k"]), name)
+
+
 def homes(rows: DataFrame) -> DataFrame:
     """(k, rep, n, home, hub, hub_n): of each class its largest list and that list's smallest document."""
     lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "k", "n")).alias("hub"))
@@ -68,10 +107,11 @@ def fits(n: Column, other: Column, percent: int) -> Column:
     return (F.least(n, other) * 100) >= (F.greatest(n, other) * percent)
 
 
-def members(sets: DataFrame, percent: int) -> DataFrame:
+def members(sets: DataFrame, percent: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Of classes (k, rep, n, home, hub, hub_n, shingles) their relation to their hubs (k, rep, n, home, hub, label, by_hub,
     plus, minus): label names the hub that a class is linked with (else itself). Where that is shorter a class is described
-    ``by_hub``: plus and minus are its differences from the hub's set; else plus is the whole set."""
+    ``by_hub``: plus and minus are its differences from the hub's set; else plus is the whole set. Columns ``more`` (binary)
+    stay as they are."""
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,12 +128,13 @@ def members(sets: DataFrame, percent: int) -> DataFrame:
                 minus.append(lacks.tobytes() if near else b"")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(label, pa.int64()), pa.array(by_hub), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=[*names, "label", "by_hub", "plus", "minus"])
 
-    names = ["k", "rep", "n", "home", "hub"]
+    names = ["k", "rep", "n", "home", "hub", *more]
     tried = (F.col("hub") != F.col("k")) & fits(F.col("n"), F.col("hub_n"), percent)
     hubs = sets.select(F.col("k").alias("hub"), F.col("shingles").alias("hub_shingles"))
     pairs = sets.filter(tried).join(hubs, "hub").select(*names, "shingles", "hub_shingles")
     own = sets.filter(~tried).select(*names, F.col("k").alias("label"), F.lit(False).alias("by_hub"), F.col("shingles").alias("plus"), F.lit(b"").alias("minus"))
-    return pairs.mapInArrow(relate, "k long, rep long, n long, home long, hub long, label long, by_hub boolean, plus binary, minus binary").unionByName(own)
+    kinds = "k long, rep long, n long, home long, hub long, " + "".join(f"{c} binary, " for c in more)
+    return pairs.mapInArrow(relate, f"{kinds}label long, by_hub boolean, plus binary, minus binary").unionByName(own)
 
 
 def hub_links(found: DataFrame, placed: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members
+from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members, whole_sets
 from urbanlens.llm.common import row_slices, written
 from urbanlens.llm.components import components
 
@@ -140,20 +140,13 @@ def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, chun
     rows = written(index(classes, matches), "near-index")
     placed = written(homes(rows), "near-homes")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text", SLICE_BYTES):
-                made = [shingles(t, words) for t in part.column("text").to_pylist()]
-                own = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in made], np.int64) == np.asarray(part.column("k"))  # an id may have other texts too
-                # 16 bits of each coordinate: chance agreements only make a pair that is confirmed, or not, on its sets
-                signed = [(signature(s) >> _U(16)).astype("<u2").tobytes() if len(s) else b"" for s in made]
-                columns = [*(part.column(c) for c in names), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(signed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "shingles", "signed"]).filter(pa.array(own))
-
-    names = ["k", "rep", "n", "home", "hub", "hub_n"]
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep").select(*names, "text")
-    whole = written(texts.mapInArrow(sets, "k long, rep long, n long, home long, hub long, hub_n long, shingles binary, signed binary"), "near-sets").dropDuplicates(["k"])
-    found = written(members(whole, percent).join(whole.select("k", "signed"), "k"), "near-members")
+    def made(texts: list[str | None]) -> list[tuple]:
+        sets = [shingles(t, words) for t in texts]
+        # 16 bits of each coordinate: chance agreements only make a pair that is confirmed, or not, on its sets
+        return [(int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0]), s.tobytes(), (signature(s) >> _U(16)).astype("<u2").tobytes() if len(s) else b"") for s in sets]
+
+    whole = whole_sets(docs, placed, made, {"k": "long", "shingles": "binary", "signed": "binary"}, "near-sets")
+    found = written(members(whole, percent, ("signed",)), "near-members")
 
     def likely(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         x, y = (np.frombuffer(b"".join(r["signed"]), "<u2").reshape(-1, COORDINATES) for r in (a, b))

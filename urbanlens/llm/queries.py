@@ -107,6 +107,24 @@ _PARTS = r"""
 parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _links_sql(words: int, percent: int) -> str:
+    """Sets of shingles, links by shared ones, and the smallest id that links reach."""
+    shingle = f"array_to_string(w[i:least(i + {words - 1}, len(w))], ' ')"
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {words - 2}, 2)), lambda i: {shingle})) END AS s FROM words),
+rows_ AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM rows_ a JOIN rows_ b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= {percent} * (n + m - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT a, b FROM edges UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a),
+named AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(other) FROM reached r WHERE r.doc_id = sets.doc_id), doc_id)) AS component_id FROM sets)
+SELECT doc_id, n_shingles, component_id"""
+
+
 def _clusters_sql(rounds: int = 3) -> str:
     """Rounds of assignment and exact floored means over unnested components; ids name rows."""
     steps = [r"""
@@ -130,6 +148,16 @@ FROM a{rounds} JOIN c{rounds} ON near.cluster = c{rounds}.cluster"""
 
 
 SQL = {
+    "op4_line_dedup": rf"""
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM texts),
+keyed AS (SELECT *, {_LOWER.format("regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+judged AS (SELECT doc_id, line, p, k IN (SELECT k FROM common) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+    "op7_near_dedup": _links_sql(3, 85) + ", doc_id = component_id AS kept FROM named",
+    "op13_ngram_join": _links_sql(4, 85) + " FROM named",
     "op12_centroid_clusters": _clusters_sql(),
     "op11_filter_audit": r"""
 WITH RECURSIVE words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

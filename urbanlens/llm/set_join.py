@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members
+from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members, whole_sets
 from urbanlens.llm.common import row_slices, shuffle_partitions, written
 from urbanlens.llm.components import components
 from urbanlens.llm.near_dedup import shingles
@@ -206,17 +206,10 @@ def joined_documents(docs: DataFrame, words: int = 5, percent: int = 80, chunk:
     spare = F.col("n") - needed(F.col("n"), percent)
     likely = classes.join(alone, ["slice", "idx"], "left").filter(F.coalesce("alone", F.lit(0)) <= spare)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text", SLICE_BYTES):
-                made = [shingles(t, words) for t in part.column("text").to_pylist()]
-                own = np.array([key_of(s)[0] for s in made], np.int64) == np.asarray(part.column("k"))  # an id may have other texts too
-                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k", "rep", "n")), pa.array([s.tobytes() for s in made], pa.binary())], names=["k", "rep", "n", "shingles"])
-                yield part.filter(pa.array(own))
-
-    wanted = likely.select(F.col("k1").alias("k"), "rep", "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("k", "rep", "n", "text")
-    whole = written(texts.mapInArrow(sets, "k long, rep long, n long, shingles binary"), "join-sets").dropDuplicates(["k"])
+    def made(texts: list[str | None]) -> list[tuple]:
+        return [(int(key_of(s)[0]), s.tobytes()) for s in (shingles(t, words) for t in texts)]
+
+    whole = whole_sets(docs, likely.select(F.col("k1").alias("k"), "rep", "n"), made, {"k": "long", "shingles": "binary"}, "join-sets")
     rows = written(index(whole, percent), "join-index")
     placed = written(homes(rows), "join-homes")
     met_sets = whole.join(placed.select("k", "home", "hub", "hub_n"), "k")
