@@ -278,7 +278,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op1_url_filters", "op8_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_url_filters", "op4_line_dedup", "op7_near_dedup", "op8_source_mixing", "op13_ngram_join"])
 def test_queries_match_their_sql(spark, duck, name):
     from urbanlens.llm.queries import QUERIES, SQL
 
