@@ -114,9 +114,9 @@ def members(sets: DataFrame, percent: int, more: tuple[str, ...] = ()) -> DataFr
     stay as they are."""
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in (s for batch in batches for s in row_slices(batch, "shingles", SLICE_BYTES)):
             label, by_hub, plus, minus = [], [], [], []
-            for k, hub, x, h in zip(*(batch.column(c).to_pylist() for c in ("k", "hub", "shingles", "hub_shingles")), strict=True):
+            for k, hub, x, h in zip(*(rows.column(c).to_pylist() for c in ("k", "hub", "shingles", "hub_shingles")), strict=True):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 lacks, has = without(h, x), without(x, h)
                 both = len(h) - len(lacks)
@@ -126,7 +126,7 @@ def members(sets: DataFrame, percent: int, more: tuple[str, ...] = ()) -> DataFr
                 by_hub.append(near)
                 plus.append((has if near else x).tobytes())
                 minus.append(lacks.tobytes() if near else b"")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(label, pa.int64()), pa.array(by_hub), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=[*names, "label", "by_hub", "plus", "minus"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(label, pa.int64()), pa.array(by_hub), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())], names=[*names, "label", "by_hub", "plus", "minus"])
 
     names = ["k", "rep", "n", "home", "hub", *more]
     tried = (F.col("hub") != F.col("k")) & fits(F.col("n"), F.col("hub_n"), percent)

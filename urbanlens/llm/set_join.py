@@ -46,7 +46,7 @@ from urbanlens.llm.components import components
 from urbanlens.llm.near_dedup import shingles
 
 #: Shingles that are sorted at once, shingles of a range (a bound on its task's memory), and spare bits of cut hashes.
-SLICE, RANGE, SPARE = 1 << 22, 1 << 22, 5
+SLICE, RANGE, SPARE = 1 << 21, 1 << 21, 5
 EXTRA, SLICE_BYTES = 20, 1 << 20
 _U = np.uint64
 
@@ -126,10 +126,11 @@ def sketches(docs: DataFrame, words: int, bits: int, ranges: int) -> tuple[DataF
     def counted(group: list[dict]) -> pa.RecordBatch:
         values = np.concatenate([np.cumsum(np.concatenate([[r["k1"]], _large(r["cut"])])) for r in group])
         holders = [_large(r["holders"]) for r in group]
-        own = np.concatenate([np.where(h < r["n_shingles"], h, -1) for h, r in zip(holders, group, strict=True)])
-        of = np.repeat(np.arange(len(group)), [len(h) for h in holders])
+        own = np.concatenate([np.where(h < r["n_shingles"], h, -1).astype(np.int32) for h, r in zip(holders, group, strict=True)])
+        of = np.repeat(np.arange(len(group), dtype=np.int32), [len(h) for h in holders])
         order = np.argsort(values, kind="stable")
-        same = np.append(values[order][1:] == values[order][:-1], False)
+        values = values[order]
+        same = np.append(values[1:] == values[:-1], False)
         alone = order[~(same | np.append(False, same[:-1]))]
         alone = alone[own[alone] >= 0]
         own, of = own[alone], of[alone]
@@ -175,9 +176,10 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
-            many = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64)), *(batch.column(c).take(many) for c in ("k", "rep", "n"))], names=["token", "k", "rep", "n"])
+            for part in row_slices(batch, "shingles", SLICE_BYTES):  # a few rows at a time become very many
+                found = [np.frombuffer(x.as_py(), np.int64) for x in part.column("shingles")]
+                many = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(part.column(c).take(many) for c in ("k", "rep", "n"))], names=["token", "k", "rep", "n"])
 
     rows = sets.select("k", "rep", "n", "shingles").mapInArrow(tokens, "token long, k long, rep long, n long")
     counts = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
