@@ -305,3 +305,70 @@ def test_components_of_many_shapes(spark, monkeypatch):
         want = {(x, groups.root(x)) for a, b in links if a != b for x in (a, b)}
         assert {(r.node, r.component) for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---------------------------------------------------------------- toxicity, piece by piece
+def test_window_features_by_brute_force():
+    import math
+
+    from urbanlens.llm.toxicity import features
+
+    rnd = random.Random(7)
+    matched = {"scum": (0, 0), "skum": (1, 0), "vile": (0, 1), "rot": (0, 2), "wile": (1, 1)}
+    words = [*matched, *(f"w{i}" for i in range(12))]
+    for _ in range(300):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ", ", '"', ' "', "“", "” ", "\n", "   " * 9]) for _ in range(rnd.randrange(0, 60)))
+        hits = [(m.start(), m.end(), *matched[m[0]]) for m in re.finditer(r"[^\W_]+", text) if m[0] in matched]
+
+        def quoted(start, end, text=text):
+            line, rest = text[max(0, start - 60) : start].split("\n")[-1], text[end : end + 60].split("\n")[0]
+            return sum(line.count(c) for c in "\"“”„«»‹›‘") % 2 == 1 and any(c in rest for c in "\"“”«»‹›’")
+
+        kind = ["quoted" if quoted(s, e) else "fuzzy" if edits else "exact" for s, e, edits, _ in hits]
+        worth = [{"quoted": 0.25, "fuzzy": 0.5, "exact": 1.0}[k] for k in kind]
+        best = max((sum(w for (t, *_), w in zip(hits, worth, strict=True) if s - 120 <= t <= s) for s, *_ in hits), default=0)
+        want = [math.log1p(kind.count(k)) for k in ("exact", "fuzzy", "quoted")] + [min(len({h[3] for h in hits if not h[2]}), 5) / 5, math.log1p(best)]
+        assert np.allclose(features(text, matched), want), text
+
+
+def test_terms_are_chosen_greedily():
+    from urbanlens.llm.toxicity import choose_terms
+
+    rnd = random.Random(8)
+    for _ in range(60):
+        names = [f"{a}{b}ord{c}" for a in "abc" for b in "xy" for c in "12"]
+        found = [rnd.sample(names, rnd.randrange(0, 5)) for _ in range(rnd.randrange(1, 60))]
+        clean = {t: rnd.randrange(0, 2) for t in names}
+        chosen = choose_terms(found, clean)
+        held = Counter()
+        left = {t for f in found for t in f}
+        for t in chosen:  # none stems from another here, so each step is a plain maximum
+            gain = {u: sum(u in f and held[i] < 2 for i, f in enumerate(found)) - 5 * clean[u] for u in left}
+            assert gain[t] == max(gain.values()) >= 3
+            left.discard(t)
+            held.update(i for i, f in enumerate(found) if t in f)
+        assert all(sum(u in f and held[i] < 2 for i, f in enumerate(found)) - 5 * clean[u] < 3 for u in left)
+
+
+def test_fit_is_a_stationary_point():
+    from urbanlens.llm.toxicity import _fit
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=300) > 0).astype(float)
+    weight = rng.uniform(0.5, 2, 300)
+    w = _fit(x, y, weight)
+    full = np.hstack([np.ones((300, 1)), x])
+    ridge = np.r_[1e-6, np.full(4, 1e-3)] * weight.sum()
+    assert np.abs(full.T @ (weight * (1 / (1 + np.exp(-full @ w)) - y)) + ridge * w).max() < 1e-5
+
+
+def test_learning_takes_one_text_an_id(spark):
+    """However often a labelled row is repeated, the bounded sample stays bounded, and what is learned the same."""
+    from urbanlens.llm.toxicity import learn
+
+    rows = [(i, " ".join([f"w{(i * 7 + k * k) % 97}" for k in range(30)] + (["grumblor", "snarkoid"] if i % 5 == 0 else []))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    once, often = learn(docs, marks), learn(docs.unionByName(docs.filter("doc_id < 20")).unionByName(docs.filter("doc_id < 20")), marks)
+    assert once[0] == often[0] and np.allclose(once[1], often[1])
