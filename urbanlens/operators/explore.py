@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.functions import calendar, text
+from urbanlens.functions import calendar
 
 AGE_BINS = 40
 KDE_GRID = 200
