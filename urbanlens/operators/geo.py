@@ -23,7 +23,7 @@ BOX_HALF = vocab.HIST_BOX
 # Cell edges of the levels: a box overlaps at most 3 x 3 cells of the first, half as wide as the box; border cells of more
 # than LIGHT coordinates are split into 4 x 4 of the next. On the last level 1/32 of the box's width is left to test.
 EDGES = (BOX_HALF, BOX_HALF / 4, BOX_HALF / 16)
-LIGHT = 32
+LIGHT = 128
 
 
 # ---------------------------------------------------------------- J2 nearest area
