@@ -94,3 +94,15 @@ class Remembered:
         here.update(computed)
         for g in groups:
             yield [*map(here.__getitem__, g)]
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What ``make`` gave for the key, kept in this worker process for the tasks that follow until another key is asked
+    for: a worker that goes on to another operator, as in a pipeline, lets the former one's memory go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

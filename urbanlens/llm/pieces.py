@@ -11,7 +11,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
-from urbanlens.llm.common import SPACE, Remembered
+from urbanlens.llm.common import SPACE, Remembered, kept
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(f"[{SPACE}]*[{_LETTER}]++(?=[{SPACE}.,;:!?]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -65,12 +65,9 @@ def load_tokenizer(path: str):
     return t
 
 
-_CODERS: dict = {}
-
-
 def coder(path: str, kind: str, value: Callable[[list[int]], object]) -> Remembered:
     """What ``value`` makes of the ids of a piece, remembered in this worker process for the tasks that follow."""
-    if (path, kind) not in _CODERS:
+    def make() -> Remembered:
         tokenizer = load_tokenizer(path)
 
         model, characters = tokenizer.model, byte_characters()
@@ -95,5 +92,6 @@ def coder(path: str, kind: str, value: Callable[[list[int]], object]) -> Remembe
                 found[i] = value(ids)
             return found
 
-        _CODERS[path, kind] = Remembered(compute)
-    return _CODERS[path, kind]
+        return Remembered(compute)
+
+    return kept(("pieces", path, kind), make)

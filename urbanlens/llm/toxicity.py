@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import Remembered, about, row_slices
+from urbanlens.llm.common import Remembered, about, kept, row_slices
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 7500
 BEGINNINGS, FUZZY_LENGTH, MOST_STATES = (4, 5, 6), 6, 50_000
 #: A term's least toxic texts, least ratio of its rates, and the candidates looked at.
 SUPPORT, RATIO, CANDIDATES = 3, 30.0, 4000
-WINDOW_CHARS, SLICE_BYTES = 60, 1 << 20
+WINDOW_CHARS, SLICE_BYTES, REMEMBERED = 60, 1 << 20, 200_000
 _WORD = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = "\"“”„«»‹›‘", "\"“”«»‹›’"
 
@@ -158,16 +158,12 @@ def _matches(texts: list[str | None], known: Remembered) -> Iterator[list[float]
         yield features(text, matched) if matched else NO_MATCH
 
 
-_KNOWN: dict = {}
-
-
 def _matcher(terms: list[str]) -> Remembered:
-    key = tuple(terms)
-    if key not in _KNOWN:
-        _KNOWN.clear()
+    def make() -> Remembered:
         trie = FuzzyTrie(terms)
-        _KNOWN[key] = Remembered(lambda words: [trie.match(w) or () for w in words])
-    return _KNOWN[key]
+        return Remembered(lambda words: [trie.match(w) or () for w in words], REMEMBERED)
+
+    return kept(("toxicity", *terms), make)
 
 
 def _terms_of(text: str) -> set[str]:

@@ -36,11 +36,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import SPACE, Remembered, row_slices, written
+from urbanlens.llm.common import SPACE, Remembered, kept, row_slices, written
 from urbanlens.llm.pieces import byte_characters, load_tokenizer
 from urbanlens.session import fresh_dir
 
-LEXICON_WORDS = 50_000
+LEXICON_WORDS, REMEMBERED = 50_000, 200_000
 SLICE_BYTES, COUNTED_WORDS, WORD_CHARS = 1 << 20, 500_000, 64
 #: Symbols up to which a word is merged by plain search; above every rank.
 SHORT, NONE = 40, 1 << 60
@@ -285,7 +285,7 @@ class Encoder:
             found = ([special[w]] if w in special else ids if (ids := known.get(w)) is not None else merge(w) for w in words)
             return [(array("I", ids).tobytes(), self.vocabulary.decode(ids)) for ids in found]
 
-        self.known = Remembered(compute)
+        self.known = Remembered(compute, REMEMBERED)
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
@@ -314,9 +314,6 @@ def shipped(spark: SparkSession, data: bytes, name: str) -> str:
     return path.rpartition("/")[2]
 
 
-_ENCODERS: dict = {}
-
-
 def word_bpe(docs: DataFrame, tokenizer_path: str, outputs: dict, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``doc_id`` and one column for each of ``outputs``: name -> (SQL type, function of the ids' bytes and the decoded text)."""
     spark = docs.sparkSession
@@ -324,11 +321,7 @@ def word_bpe(docs: DataFrame, tokenizer_path: str, outputs: dict, lexicon_words:
     makers = [f for _, f in outputs.values()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_path, lexicon)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(tokenizer_path, SparkFiles.get(lexicon))
-        encoder = _ENCODERS[key]
+        encoder = kept(("word_bpe", tokenizer_path, lexicon), lambda: Encoder(tokenizer_path, SparkFiles.get(lexicon)))
         for batch in batches:
             for rows in row_slices(batch, "text", SLICE_BYTES):
                 made = [[f(*found) for f in makers] for found in encoder(rows.column("text").to_pylist())]
