@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from urbanlens.llm.common import ASCII_SPACE, shuffle_partitions
 
 UNIT, K, WINDOW = 16, 4, 16
-#: Scripts without spaces between words, as the inside of a character class.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: The code points of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han), as the inside
+#: of a character class. Ranges, as a script's name would be looked up for every character.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
 _ONE = rf"[^{ASCII_SPACE}{UNSPACED}]"
 #: A whole run of up to UNIT characters, else one character.
 UNITS = rf"((?<!{_ONE}){_ONE}{{1,{UNIT}}}+(?!{_ONE})|[^{ASCII_SPACE}])"
@@ -54,20 +55,27 @@ def _whole(a: Column, width: int) -> Column:
     return _let(a, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (width - 1), F.least(F.size(x), F.lit(1)))))
 
 
+def units_of(text: Column) -> Column:
+    """The text's units. Most runs are short and ASCII and are units as they are; only others are looked at by character."""
+    def cut(run: Column) -> Column:
+        plain = (F.length(run) <= UNIT) & ((F.octet_length(run) == F.length(run)) | ~F.rlike(run, F.lit(f"[{UNSPACED}]")))
+        return F.when(plain, F.array(run)).otherwise(F.regexp_extract_all(run, F.lit(UNITS), F.lit(1)))
+
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([^{ASCII_SPACE}]+)"), F.lit(1))
+    return F.flatten(F.transform(runs, cut))
+
+
 def selected(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """The selected (hash, position) pairs, in the order of their positions."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(1))
-    hashes = F.transform(units, lambda u: F.xxhash64(u))
+    hashes = F.transform(units_of(text), lambda u: F.xxhash64(u))
     grams = _whole(_windows(hashes, k, lambda x, y: F.when(y.isNull(), x).otherwise(F.xxhash64(x, y))), k)
 
-    def least(h: Column) -> Column:
-        places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-        # of two neighbouring windows' places the one of the lesser hash, the right one if they are equal
-        lesser = lambda x, y: F.when(y.isNull() | (F.get(h, y) > F.get(h, x)), x).otherwise(y)
-        found = F.array_distinct(_whole(_windows(places, window, lesser), window))
-        return F.transform(found, lambda i: F.struct(F.get(h, i).alias("hash"), i.alias("position")))
-
-    return _let(grams, least)
+    # the least (hash, -position) is the rightmost least hash
+    placed = F.transform(grams, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))
+    least = _whole(_windows(placed, window, lambda x, y: F.least(x, y)), window)
+    # positions rise along the windows, so what is selected again follows itself
+    new = lambda least: F.filter(least, lambda v, i: (i == 0) | (F.get(least, i - 1)["back"] != v["back"]))
+    return F.transform(_let(least, new), lambda v: F.struct(v["hash"].alias("hash"), (-v["back"]).alias("position")))
 
 
 def hashes_of(pairs: Column) -> Column:
