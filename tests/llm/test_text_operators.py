@@ -218,7 +218,7 @@ def test_fingerprints(odd_docs, no_docs):
 
 
 def units_of(text):
-    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    unspaced = regex.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF]")
     out = []
     for run in regex.findall(r"[^\x20\x09-\x0D]+", text):
         for part in regex.findall(rf"{unspaced.pattern}|(?:(?!{unspaced.pattern}).)+", run, regex.DOTALL):
