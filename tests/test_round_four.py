@@ -29,3 +29,29 @@ def test_repeated_ids_of_questions_keep_their_own_areas(spark):
     crimes = spark.createDataFrame([Row(area_name=a) for a in ("Alfa", "Beta")])
     got = sorted([(r.question_id or 0, r.text or "", [a.area for a in r.found]) for r in Q.areas_found(asked, crimes).collect()])
     assert got == [(0, "alfa", []), (1, "alfa", ["Alfa"]), (1, "alfa", ["Alfa"]), (1, "beta", ["Beta"]), (2, "", []), (3, "delta", [])]
+
+
+def suppliers(spark, folder, n):
+    spark.range(n).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey")).coalesce(1).write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def test_routes_of_a_small_file_of_suppliers_are_made_in_many_tasks(spark, tmp_path):
+    n = 4 * X.TRIPS_A_TASK
+    made = X.routes(spark, suppliers(spark, tmp_path, n)).select("trip_id", F.spark_partition_id().alias("task"))
+    tasks = made.groupBy("task").agg(F.count_distinct("trip_id").alias("n")).collect()
+    assert sum(r.n for r in tasks) == n and max(r.n for r in tasks) < 2 * X.TRIPS_A_TASK
+    assert made.count() == sum((6 if t % 9 == 0 else 1 + t % 3) + 10 for t in range(n))
+
+
+def test_points_and_zones_of_trips_are_dealt_over_the_tasks(spark, tmp_path):
+    trips = X.trips(spark, suppliers(spark, tmp_path, 200))
+    seen = []
+
+    def scorer(df):
+        seen.append(df)
+        return X.fixture_scorer(df)
+
+    zones = R.danger_zones(trips, scorer)
+    dealt = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert dealt(seen[0]) == dealt(R.zone_lists(zones)) == 8

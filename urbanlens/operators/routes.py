@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanlens.functions import calendar, coords, text, vocab
+from urbanlens.session import spread
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -82,7 +83,8 @@ def trip_grid(trips: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- R2
 def danger_zones(trips: DataFrame, scorer: Scorer) -> DataFrame:
     """R2: grid points predicted PELIGROSO with severity confidence > 0.55; type label cut to 40 chars."""
-    pts = trip_grid(trips).join(_trip_context(trips), "trip_id")
+    dealt = spread(trips, "trip_id")  # a trip is one small row and up to 100 points to score
+    pts = trip_grid(dealt).join(_trip_context(trips).hint("merge"), "trip_id")
     scored = scorer(pts)
     return scored.filter(
         (F.col("severity") == vocab.SEVERITY_DANGEROUS) & (F.col("severity_confidence") > vocab.DANGER_CONF_MIN)
@@ -96,7 +98,7 @@ def danger_zones(trips: DataFrame, scorer: Scorer) -> DataFrame:
 # ---------------------------------------------------------------- R3 / J5
 def zone_lists(zones: DataFrame) -> DataFrame:
     """Zones of each trip as one array in scan order (i, j) - at most 100 per trip."""
-    return zones.groupBy("trip_id").agg(
+    return spread(zones, "trip_id").groupBy("trip_id").agg(
         F.sort_array(F.collect_list(F.struct("i", "j", F.col("lat").alias("zlat"), F.col("lon").alias("zlon"),
                                              F.col("severity_conf").alias("conf")))).alias("zones")
     )
