@@ -30,6 +30,7 @@ from urbanlens.session import written
 TRUNK, TYPE_BRANCH, SEVERITY_BRANCH = (64, 32), 16, 8
 MAX_ITER, PATIENCE = 50, 10
 FIT_ROWS, VALIDATION_ROWS, BLOCK = 400_000, 100_000, 8192
+FIT_TASKS = 16
 
 
 @dataclass
@@ -114,9 +115,14 @@ def _blocks(training: DataFrame, feats: list[str], found: dict, seed: int) -> Da
 
 
 # ---------------------------------------------------------------- M7, M8: the fit
+def dealt_blocks(blocks: DataFrame) -> DataFrame:
+    """The blocks over ``FIT_TASKS`` tasks, each with its blocks in an order that only their contents decide."""
+    return blocks.repartition(FIT_TASKS, F.xxhash64("x", "types", "severities")).sortWithinPartitions("validates", "n", "types", "severities", "x")
+
+
 class Objective:
-    """Losses and gradient of all blocks, each evaluation one Spark job: a row of partial sums comes back for each block
-    of fitted rows, a number of rows that ``FIT_ROWS`` bounds."""
+    """Losses and gradient of all blocks, each evaluation one Spark job: a row of partial sums comes back for each task
+    (``FIT_TASKS`` of them, see :func:`dealt_blocks`), added up there in the order of its blocks."""
 
     def __init__(self, blocks: DataFrame, network: Network):
         self.blocks, self.network = blocks, network
@@ -126,16 +132,19 @@ class Objective:
         network = self.network
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fit, val, slope = [0, 0.0, 0.0], [0, 0.0, 0.0], np.zeros(network.size())
             for batch in batches:
-                out = []
                 for r in batch.to_pylist():
                     x = np.frombuffer(r["x"], "<f8").reshape(r["n"], -1)
                     labels = [np.frombuffer(r[c], "<i4") for c in ("types", "severities")]
                     if r["validates"]:
-                        out.append((True, r["n"], *network.losses(vector, x, labels), b""))
+                        losses, into = network.losses(vector, x, labels), val
                     else:
-                        losses, slope = network.gradient(vector, x, labels)
-                        out.append((False, r["n"], *losses, slope.tobytes()))
+                        losses, steep = network.gradient(vector, x, labels)
+                        slope, into = slope + steep, fit
+                    into[:] = [a + b for a, b in zip(into, (r["n"], *losses), strict=True)]
+            out = [(v, *sums, b"" if v else slope.tobytes()) for v, sums in ((False, fit), (True, val)) if sums[0]]
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["validates", "n", "type_loss", "severity_loss", "slope"])
 
         loss, n, val, n_val, slope = 0.0, 0, 0.0, 0, np.zeros(network.size())
@@ -208,7 +217,7 @@ def fit_models(training: DataFrame, max_iter: int = MAX_ITER, patience: int = PA
     layers = {"trunk": list(TRUNK), "type": TYPE_BRANCH, "severity": SEVERITY_BRANCH}
     models = IncidentModels(np.empty(0), layers, list(found["types"]), list(found["severities"]), feats, found["stats"], found["types"], found["severities"])
     network = models.network()
-    blocks = written(_blocks(training, feats, found, seed), "training-blocks").persist()  # read once an evaluation
+    blocks = dealt_blocks(written(_blocks(training, feats, found, seed), "training-blocks")).persist()  # read once an evaluation
     try:
         models.weights = minimize(Objective(blocks, network), network.first(seed), max_iter, patience)
     finally:
@@ -281,11 +290,13 @@ def score(models: IncidentModels, requests: DataFrame) -> DataFrame:
     whole = F.lit(True)
     for n in names:
         whole = whole & F.coalesce(F.abs(n) < float("inf"), F.lit(False))
-    scored = written(probabilities(models, asked.filter(whole).select(*names).distinct()), "scores")
-    back = [F.col(f"_b{i}").alias(c) for i, c in enumerate(base)]
     likely, severe = top_k(F.col("type_prob"), models.type_labels), top_k(F.col("severity_prob"), models.severity_labels, 1)
     added = {**likely, "severity": severe["prediction"], "severity_confidence": severe["confidence"]}
-    done = asked.filter(whole).join(scored, names).select(*back, *[v.alias(c) for c, v in added.items()])
+    found = probabilities(models, asked.filter(whole).select(*names).distinct())
+    scored = written(found.select(*names, *[v.alias(f"_r{i}") for i, v in enumerate(added.values())]), "scores")
+    back = [F.col(f"_b{i}").alias(c) for i, c in enumerate(base)]
+    # shuffled, whatever the files weigh: small ones may hold many requests or results
+    done = asked.filter(whole).join(scored.hint("merge"), names).select(*back, *[F.col(f"_r{i}").alias(c) for i, c in enumerate(added)])
     rest = asked.filter(~whole).select(*back, *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in added])
     return done.unionByName(rest)
 
