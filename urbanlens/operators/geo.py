@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.functions import text, vocab
+from urbanlens.session import written
 
 BOX_HALF = vocab.HIST_BOX
 # Cell edges of the levels: a box overlaps at most 3 x 3 cells of the first, half as wide as the box; border cells of more
@@ -160,16 +161,19 @@ def box_matches(points: DataFrame, incidents: DataFrame, key: list[str], lat: st
     """(point key, p_lat, p_lon, cnt[, hist]): sums of incidents that together are those in each point's inclusive box,
     of whole cells inside it and of single coordinates in cells on its border."""
     values = ["cnt", "hist"] if with_type else ["cnt"]
-    placed, cells = cell_index(coordinate_counts(incidents, with_type), with_type, edges)
+    # read by every level: added up once, not from the incidents each time
+    placed, cells = cell_index(written(coordinate_counts(incidents, with_type), "coordinates"), with_type, edges)
     whole, tested = _parts(points, cells, key, lat, lon, half, edges, light, values)
-    exact = tested.join(placed, ["level", "cy", "cx"]).filter(
+    # shuffled: a coordinate's file is small beside its histograms on every level
+    exact = tested.join(placed.hint("merge"), ["level", "cy", "cx"]).filter(
         F.col("i_lat").between(F.col("lo_la"), F.col("hi_la")) & F.col("i_lon").between(F.col("lo_lo"), F.col("hi_lo")))
     return whole.unionByName(exact.select(*key, "p_lat", "p_lon", *values))
 
 
 def _distinct_coords(points: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Distinct query coordinates (the heavy matching runs once per coordinate, not per point)."""
-    return points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct()
+    """Distinct query coordinates (the heavy matching runs once per coordinate, not per point), written: every level reads
+    them."""
+    return written(points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct(), "query-coordinates")
 
 
 def _back_to_points(points: DataFrame, per_coord: DataFrame, key: list[str], lat: str, lon: str, how: str) -> DataFrame:
