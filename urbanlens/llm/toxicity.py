@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import Remembered, about, kept, row_slices
+from urbanlens.llm.common import about, kept, row_slices
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 7500
 BEGINNINGS, FUZZY_LENGTH, MOST_STATES = (4, 5, 6), 6, 50_000
 #: A term's least toxic texts, least ratio of its rates, and the candidates looked at.
 SUPPORT, RATIO, CANDIDATES = 3, 30.0, 4000
-WINDOW_CHARS, SLICE_BYTES, REMEMBERED = 60, 1 << 20, 200_000
+WINDOW_CHARS, SLICE_BYTES = 60, 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = "\"“”„«»‹›‘", "\"“”«»‹›’"
 
@@ -150,20 +150,18 @@ def features(text: str, matched: dict[str, tuple[int, int]]) -> list[float]:
 NO_MATCH = [0.0] * 5
 
 
-def _matches(texts: list[str | None], known: Remembered) -> Iterator[list[float]]:
-    lowered = [t.lower() if t else "" for t in texts]
-    split = [[*set(_WORD.findall(t))] for t in lowered]
-    for text, words, found in zip(lowered, split, known.of_groups(split), strict=True):
-        matched = {w: m for w, m in zip(words, found, strict=True) if m}
-        yield features(text, matched) if matched else NO_MATCH
+def _matches(texts: list[str | None], trie: FuzzyTrie) -> Iterator[list[float]]:
+    """The features of each text. Its words go through the automaton text by text: the automaton's states, bounded in
+    number, are all that is remembered, and no table of words grows with the corpus."""
+    match = trie.match
+    for text in texts:
+        lowered = text.lower() if text else ""
+        matched = {w: m for w in set(_WORD.findall(lowered)) if (m := match(w))}
+        yield features(lowered, matched) if matched else NO_MATCH
 
 
-def _matcher(terms: list[str]) -> Remembered:
-    def make() -> Remembered:
-        trie = FuzzyTrie(terms)
-        return Remembered(lambda words: [trie.match(w) or () for w in words], REMEMBERED)
-
-    return kept(("toxicity", *terms), make)
+def _matcher(terms: list[str]) -> FuzzyTrie:
+    return kept(("toxicity", *terms), lambda: FuzzyTrie(terms))
 
 
 def _terms_of(text: str) -> set[str]:
