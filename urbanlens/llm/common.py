@@ -13,6 +13,8 @@ from urbanlens.session import fresh_dir
 
 #: Unicode white space, as the regular expressions of the public tokenizers read ``\s``; the inside of a character class.
 SPACE = "\\x09-\\x0d \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Rows of texts, sets or lines that an Arrow function gets at once.
+BATCH_ROWS = 1000
 #: ASCII white space, the word separators of the word-based operators.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
 
@@ -28,6 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Arrow functions ``BATCH_ROWS`` rows at once at most, or what it is set to if less. Spark's
+    10,000 are tens of MB of texts or sets; an executor holds several such batches a core, in its JVM and its workers, and
+    both keep what they once took. The setting stays, as lazily read results need it; rows and results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def unused(names: Iterable[str], *wanted: str) -> list[str]:
     """The wanted names, with underscores after them where a table has them already (in any case)."""
     taken, out = {n.lower() for n in names}, []

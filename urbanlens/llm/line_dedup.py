@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import row_slices, shuffle_partitions, unused, written
+from urbanlens.llm.common import row_slices, shuffle_partitions, small_batches, unused, written
 
 SLICE_BYTES, HELD, BLANK = 1 << 20, 10_000, b" \t\n\x0b\x0c\r"
 
@@ -127,6 +127,7 @@ def repeated_lines(docs: DataFrame, least: int = 10, keep_first: bool = False) -
     """(doc_id, text_hash, position) of the lines whose keys at least ``least`` documents hold; with ``keep_first``
     without each key's first occurrence by document and position."""
     spark = docs.sparkSession
+    small_batches(spark)
     hashed = written(line_hashes(docs), "line-hashes")
     dealt = hashed.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "position")
     marks = written(dealt.mapInArrow(_stream(least), _MARKS), "line-marks")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members, whole_sets
-from urbanlens.llm.common import row_slices, written
+from urbanlens.llm.common import row_slices, small_batches, written
 from urbanlens.llm.components import components
 
 #: Signature length, postings beyond the prefix rule, and bytes of texts that a task shingles at once.
@@ -160,6 +160,7 @@ def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, chun
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text): documents whose sets of
     ``words``-word shingles share at least ``percent`` of their union are linked."""
+    small_batches(docs.sparkSession)
     sketched = written(sketches(docs, words), "near-sketches")
     taking_part = sketched.filter("n_shingles > 0 and doc_id is not null")
     classes = taking_part.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanlens.llm.blocks import CHUNK, homes, hub_links, links_apart, members, whole_sets
-from urbanlens.llm.common import row_slices, shuffle_partitions, written
+from urbanlens.llm.common import row_slices, shuffle_partitions, small_batches, written
 from urbanlens.llm.components import components
 from urbanlens.llm.near_dedup import shingles
 
@@ -199,6 +199,7 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
 def joined_documents(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): documents whose sets of ``words``-word
     shingles share at least ``percent`` of their union are linked."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shingle_bound = max(1, size // 4)  # about as many shingles, or fewer
     ranges = min(1 << 23, max(shuffle_partitions(docs.sparkSession), -(-shingle_bound // RANGE)))

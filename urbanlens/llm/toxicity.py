@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import about, kept, row_slices
+from urbanlens.llm.common import about, kept, row_slices, small_batches
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 7500
 BEGINNINGS, FUZZY_LENGTH, MOST_STATES = (4, 5, 6), 6, 50_000
@@ -208,6 +208,7 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray] | None:
     """Terms and weights from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); none without both classes."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     total = {r._toxic: r.n for r in usable.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(0) or not total.get(1):
