@@ -20,8 +20,8 @@ from urbanlens.llm.components import Joined
 
 #: Most classes, and about the most shingles, of a block.
 CHUNK, WEIGHT = 128, 1 << 18
-#: Matching pairs that are counted at once.
-MATCHES = 1 << 22
+#: Matching pairs that are counted at once (their numbers take some 40 bytes each).
+MATCHES = 1 << 19
 #: Bits that say which documents' sets are asked for (8 MB, whatever their number), and bytes of texts cut up at once.
 BITS, SLICE_BYTES = 1 << 26, 1 << 20
 
