@@ -36,12 +36,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanlens.llm.common import SPACE, Remembered, kept, row_slices, written
+from urbanlens.llm.common import SPACE, Remembered, kept, row_slices, small_batches, written
 from urbanlens.llm.pieces import byte_characters, load_tokenizer
 from urbanlens.session import fresh_dir
 
-LEXICON_WORDS, REMEMBERED = 50_000, 200_000
-SLICE_BYTES, COUNTED_WORDS, WORD_CHARS = 1 << 20, 500_000, 64
+LEXICON_WORDS, REMEMBERED = 50_000, 70_000
+SLICE_BYTES, COUNTED_WORDS, WORD_CHARS = 1 << 19, 200_000, 64
 #: Symbols up to which a word is merged by plain search; above every rank.
 SHORT, NONE = 40, 1 << 60
 #: Fixed value, the vocabulary's own pattern for words; white space is spelled out as its library reads it.
@@ -67,7 +67,7 @@ class Vocabulary:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The symbols of the ids with blanks between: the file names no decoder."""
-        return " ".join(self.symbols[i] for i in ids if i in self.symbols)
+        return " ".join(filter(None, map(self.symbols.get, ids)))
 
 
 @cache
@@ -271,7 +271,8 @@ def build_lexicon(words: Iterable[str], tokenizer_path: str) -> bytes:
 
 
 class Encoder:
-    """A worker's encoder: the mapped lexicon file, the exact merger, and what they gave of late."""
+    """A worker's encoder: the mapped lexicon file, the exact merger, and the ids that they gave of late. Of a word its ids
+    alone are remembered, in one byte string: an executor has several workers, and each remembers for itself."""
 
     def __init__(self, tokenizer_path: str, lexicon: str):
         self.vocabulary = Vocabulary(tokenizer_path)
@@ -280,10 +281,10 @@ class Encoder:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)  # stays when the file is closed
         known = Lexicon(self.map)
 
-        def compute(words: list[str]) -> list[tuple[bytes, str]]:
+        def compute(words: list[str]) -> list[bytes]:
             special = self.vocabulary.special
             found = ([special[w]] if w in special else ids if (ids := known.get(w)) is not None else merge(w) for w in words)
-            return [(array("I", ids).tobytes(), self.vocabulary.decode(ids)) for ids in found]
+            return [array("I", ids).tobytes() for ids in found]
 
         self.known = Remembered(compute, REMEMBERED)
 
@@ -291,11 +292,8 @@ class Encoder:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
         split = [self.words(t) if t else [] for t in texts]
         for found in self.known.of_groups(split):
-            if found:
-                ids, decoded = zip(*found, strict=True)
-                yield b"".join(ids), " ".join(filter(None, decoded))
-            else:
-                yield b"", ""
+            ids = b"".join(found)
+            yield ids, self.vocabulary.decode(array("I", ids))
 
 
 def shipped(spark: SparkSession, data: bytes, name: str) -> str:
@@ -317,6 +315,7 @@ def shipped(spark: SparkSession, data: bytes, name: str) -> str:
 def word_bpe(docs: DataFrame, tokenizer_path: str, outputs: dict, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``doc_id`` and one column for each of ``outputs``: name -> (SQL type, function of the ids' bytes and the decoded text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     lexicon = shipped(spark, build_lexicon(frequent_words(docs, tokenizer_path, lexicon_words), tokenizer_path), "lexicon")
     makers = [f for _, f in outputs.values()]
 
