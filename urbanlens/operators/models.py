@@ -2,10 +2,9 @@
 model persistence (S5).
 
 One network with a shared trunk and two heads is fitted on a joint loss. Features are scaled by the statistics of the
-whole training frame. The rows that are fitted (``FIT_ROWS`` at most) and those that steer early stopping
-(``VALIDATION_ROWS`` at most) are chosen by a hash of the record key and written as blocks of numbers; every evaluation
-of the loss is a Spark job that sums losses and gradients by block. Everything else covers all rows: statistics, class
-counts, evaluation and scoring.
+whole training frame. All rows that are fitted and all that steer early stopping are written as blocks of numbers; every
+evaluation of the loss is a Spark job that sums losses and gradients over all blocks. Everything else covers all rows
+too: statistics, class counts, evaluation and scoring.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from urbanlens.session import written
 
 TRUNK, TYPE_BRANCH, SEVERITY_BRANCH = (64, 32), 16, 8
 MAX_ITER, PATIENCE = 50, 10
-FIT_ROWS, VALIDATION_ROWS, BLOCK = 400_000, 100_000, 8192
-FIT_TASKS = 16
+BLOCK, SLICE = 8192, 512  # rows stored together, and those put through the network at once (they stay in a core's cache)
+FIT_TASKS, TASK_ROWS = 16, 500_000  # tasks of an evaluation at least, and the rows of the frame for which there is one more
 
 
 @dataclass
@@ -80,24 +79,22 @@ def _scaled(feats: list[str], stats: dict[str, tuple[float, float]]) -> list[Col
     return [(F.col(c).cast("double") - F.lit(stats[c][0])) / F.lit(stats[c][1]) for c in feats]
 
 
-def _share(key: str, most: int, n: int) -> Column:
-    """About ``most`` of ``n`` rows by a hash of the key: a filter, so nothing is gathered to choose them."""
-    cut = 1 << 30
-    return F.lit(True) if n <= most else F.pmod(F.xxhash64(F.lit(9), key), F.lit(cut)) < int(cut * most / n)
+def fit_tasks(n: int) -> int:
+    """Tasks of an evaluation for a frame of ``n`` rows; each sends its gradient to the driver (about 34 kB)."""
+    return max(FIT_TASKS, -(-n // TASK_ROWS))
 
 
 def _blocks(training: DataFrame, feats: list[str], found: dict, seed: int) -> DataFrame:
-    """(validates, n, x, types, severities): the chosen rows as blocks of numbers, in an order that only the keys decide."""
+    """(validates, n, x, types, severities): all rows to fit or to validate as blocks of numbers, in an order that only the
+    keys decide."""
     index = lambda labels, c: F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)).cast("int") - 1
     role = F.col("role") if "role" in training.columns else F.lit("fit")
     rows = training.filter(((role == "fit") | (role == "validation")))
-    sizes = {r["r"]: r["n"] for r in rows.groupBy(role.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_fit, n_val = sizes.get("fit", 0), sizes.get("validation", 0)
-    rows = rows.filter(F.when(role == "fit", _share("dr_no", FIT_ROWS, n_fit)).otherwise(_share("dr_no", VALIDATION_ROWS, n_val)))
-    parts = -(-min(n_fit + n_val, FIT_ROWS + VALIDATION_ROWS) // BLOCK) or 1
+    n = sum(found["types"].values())  # of the whole frame: how many blocks there are needn't be exact
+    parts = -(-n // BLOCK)
     numbers = rows.select("dr_no", (role == "validation").alias("validates"), F.array(*_scaled(feats, found["stats"])).alias("x"),
                           index(found["types"], FE.TARGET).alias("t"), index(found["severities"], "severity").alias("s"))
-    numbers = numbers.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "dr_no", "x"), F.lit(parts)))
+    numbers = numbers.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "dr_no", "x"), F.lit(parts))).drop("dr_no")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by part; a part is a block of about BLOCK rows and never leaves it far behind
@@ -110,19 +107,19 @@ def _blocks(training: DataFrame, feats: list[str], found: dict, seed: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([bool(v) for v, _ in keys]), pa.array([len(a) for a in at], pa.int64()), *(pa.array([z[a].tobytes() for a in at], pa.binary()) for z in (x, t, s))], names=["validates", "n", "x", "types", "severities"])
 
     order = ["part", "validates", "t", "s", "x"]
-    dealt = numbers.repartition(parts, "part").sortWithinPartitions(*order)
+    dealt = numbers.repartition(min(parts, fit_tasks(n)), "part").sortWithinPartitions(*order)
     return dealt.mapInArrow(pack, "validates boolean, n long, x binary, types binary, severities binary")
 
 
 # ---------------------------------------------------------------- M7, M8: the fit
-def dealt_blocks(blocks: DataFrame) -> DataFrame:
-    """The blocks over ``FIT_TASKS`` tasks, each with its blocks in an order that only their contents decide."""
-    return blocks.repartition(FIT_TASKS, F.xxhash64("x", "types", "severities")).sortWithinPartitions("validates", "n", "types", "severities", "x")
+def dealt_blocks(blocks: DataFrame, tasks: int = FIT_TASKS) -> DataFrame:
+    """The blocks over the tasks, each with its blocks in an order that only their contents decide."""
+    return blocks.repartition(tasks, F.xxhash64("x", "types", "severities")).sortWithinPartitions("validates", "n", "types", "severities", "x")
 
 
 class Objective:
     """Losses and gradient of all blocks, each evaluation one Spark job: a row of partial sums comes back for each task
-    (``FIT_TASKS`` of them, see :func:`dealt_blocks`), added up there in the order of its blocks."""
+    (see :func:`fit_tasks` and :func:`dealt_blocks`), added up there in the order of its blocks."""
 
     def __init__(self, blocks: DataFrame, network: Network):
         self.blocks, self.network = blocks, network
@@ -134,15 +131,17 @@ class Objective:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fit, val, slope = [0, 0.0, 0.0], [0, 0.0, 0.0], np.zeros(network.size())
             for batch in batches:
-                for r in batch.to_pylist():
-                    x = np.frombuffer(r["x"], "<f8").reshape(r["n"], -1)
-                    labels = [np.frombuffer(r[c], "<i4") for c in ("types", "severities")]
-                    if r["validates"]:
-                        losses, into = network.losses(vector, x, labels), val
-                    else:
-                        losses, steep = network.gradient(vector, x, labels)
-                        slope, into = slope + steep, fit
-                    into[:] = [a + b for a, b in zip(into, (r["n"], *losses), strict=True)]
+                held = [batch.column(c) for c in ("x", "types", "severities")]
+                for i, (validates, n) in enumerate(zip(batch.column("validates").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                    x, *labels = (np.frombuffer(c[i].as_buffer(), k) for c, k in zip(held, ("<f8", "<i4", "<i4"), strict=True))
+                    x = x.reshape(n, -1)
+                    for some in (slice(at, at + SLICE) for at in range(0, n, SLICE)):
+                        if validates:
+                            losses, into = network.losses(vector, x[some], [y[some] for y in labels]), val
+                        else:
+                            losses, steep = network.gradient(vector, x[some], [y[some] for y in labels])
+                            slope, into = slope + steep, fit
+                        into[:] = [a + b for a, b in zip(into, (len(x[some]), *losses), strict=True)]
             out = [(v, *sums, b"" if v else slope.tobytes()) for v, sums in ((False, fit), (True, val)) if sums[0]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["validates", "n", "type_loss", "severity_loss", "slope"])
@@ -206,7 +205,7 @@ def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray, float | None]],
 
 
 def fit_models(training: DataFrame, max_iter: int = MAX_ITER, patience: int = PATIENCE, seed: int = 42) -> IncidentModels:
-    """M7 + M8: both heads fitted together on the rows of role 'fit' of :func:`features.validation_split` output (all rows
+    """M7 + M8: both heads fitted together on all rows of role 'fit' of :func:`features.validation_split` output (all rows
     without roles), early-stopped on the type loss of those of role 'validation'; test rows only enter the scaler, the
     labels and the class counts, which are the whole frame's.
 
@@ -217,7 +216,8 @@ def fit_models(training: DataFrame, max_iter: int = MAX_ITER, patience: int = PA
     layers = {"trunk": list(TRUNK), "type": TYPE_BRANCH, "severity": SEVERITY_BRANCH}
     models = IncidentModels(np.empty(0), layers, list(found["types"]), list(found["severities"]), feats, found["stats"], found["types"], found["severities"])
     network = models.network()
-    blocks = dealt_blocks(written(_blocks(training, feats, found, seed), "training-blocks")).persist()  # read once an evaluation
+    tasks = fit_tasks(sum(found["types"].values()))
+    blocks = dealt_blocks(written(_blocks(training, feats, found, seed), "training-blocks"), tasks).persist()  # read once an evaluation
     try:
         models.weights = minimize(Objective(blocks, network), network.first(seed), max_iter, patience)
     finally:
