@@ -1,10 +1,12 @@
 """The classifier is fitted on all rows of its frame."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from urbanlens.operators import features as FE
 from urbanlens.operators import models as M
+from urbanlens.plans import catalog as CT
 
 
 def held(blocks):
@@ -38,7 +40,7 @@ def test_rows_without_a_key_and_repeated_rows_are_fitted(spark):
 
 
 def test_tasks_of_the_fit_grow_with_the_frame(spark):
-    assert [M.fit_tasks(n) for n in (1, 8_000_000, 8_000_001, 1_000_000_000)] == [16, 16, 17, 2_000]
+    assert [M.fit_tasks(n) for n in (1, 16 * M.TASK_ROWS, 16 * M.TASK_ROWS + 1, 1_000 * M.TASK_ROWS)] == [16, 16, 17, 1_000]
     some = blocks(frame(spark, 50_000))
     dealt = M.dealt_blocks(some, 20)
     assert dealt.rdd.getNumPartitions() == 20 and held(dealt) == held(some)
@@ -59,3 +61,36 @@ def test_blocks_longer_than_a_slice_give_the_sums_of_all_rows(spark):
     (a, b), steep = network.gradient(w, x["fit"], y["fit"])
     assert len(x["fit"]) > M.SLICE and np.isclose(loss, (M.TYPE_WEIGHT * a + M.SEVERITY_WEIGHT * b) / len(x["fit"]))
     assert np.allclose(slope, steep / len(x["fit"])) and np.isclose(val, network.losses(w, x["validation"], y["validation"])[0] / len(x["validation"]))
+
+
+def test_a_row_has_the_same_scores_in_any_batch(spark):
+    """stream_predictions_model: a micro-batch scores a request as a batch job does, to the last bit."""
+    network = M.Network(10, M.TRUNK, M.TYPE_BRANCH, M.SEVERITY_BRANCH, 10, 2)
+    w, x = network.first(1), np.random.default_rng(0).standard_normal((1_000, 10))
+    whole = network.predict(w, x)
+    for n in range(1, 80):
+        assert all((p[:n] == q).all() for p, q in zip(whole, network.predict(w, x[:n]), strict=True)), n
+        assert all((p[-n:] == q).all() for p, q in zip(whole, network.predict(w, x[-n:]), strict=True)), n
+
+
+def small_tables(spark, folder, n=150):
+    """``n`` customers with four orders each, and five suppliers."""
+    k = F.col("id")
+    spark.range(n).select(k.alias("c_custkey"), (k % 3).alias("c_nationkey")).coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(0, "Alfa"), (1, "Beta"), (2, "Gamma")], "n_nationkey long, n_name string").coalesce(1).write.parquet(f"{folder}/nation.parquet")
+    spark.range(4 * n).select(k.alias("o_orderkey"), (k % n).alias("o_custkey"), F.lit("1995-03-04").cast("timestamp").alias("o_orderdate")).coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    spark.range(5).select(k.alias("s_suppkey"), (k % 3).cast("int").alias("s_nationkey")).coalesce(1).write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["fit_type_model", "stream_predictions_model"])
+def test_queries_fit_all_rows_whatever_a_bound_says(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(M, "FIT_ROWS", 50, raising=False)
+    monkeypatch.setattr(M, "VALIDATION_ROWS", 10, raising=False)
+    folder, fitted, dealt = small_tables(spark, tmp_path), [], M.dealt_blocks
+    monkeypatch.setattr(M, "dealt_blocks", lambda blocks, *rest: fitted.append(held(blocks)) or dealt(blocks, *rest))
+    rows = CT.REGISTRY[name](spark, folder).collect()
+    roles = {r.role: r["count"] for r in CT.split_frame(spark, folder).groupBy("role").count().collect()}
+    assert fitted == [{False: roles["fit"], True: roles["validation"]}] and roles["fit"] > 200
+    if name == "stream_predictions_model":
+        assert len(rows) == 150 and all(r.as_batch for r in rows)
