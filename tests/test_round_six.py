@@ -63,6 +63,14 @@ def test_blocks_longer_than_a_slice_give_the_sums_of_all_rows(spark):
     assert np.allclose(slope, steep / len(x["fit"])) and np.isclose(val, network.losses(w, x["validation"], y["validation"])[0] / len(x["validation"]))
 
 
+def test_batches_of_the_fit_are_small_and_the_session_keeps_its_own(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "minimize", lambda f, x, *rest: seen.append(int(spark.conf.get(M.BATCH_BYTES_CONF).rstrip("b"))) or x)
+    before = spark.conf.get(M.BATCH_BYTES_CONF)
+    M.fit_models(frame(spark, 100))
+    assert seen == [M.BATCH_BYTES] and spark.conf.get(M.BATCH_BYTES_CONF) == before
+
+
 def test_a_row_has_the_same_scores_in_any_batch(spark):
     """stream_predictions_model: a micro-batch scores a request as a batch job does, to the last bit."""
     network = M.Network(10, M.TRUNK, M.TYPE_BRANCH, M.SEVERITY_BRANCH, 10, 2)
@@ -83,7 +91,7 @@ def small_tables(spark, folder, n=150):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["fit_type_model", "stream_predictions_model"])
+@pytest.mark.parametrize("name", ["fit_type_model", "route_risk_model", "stream_predictions_model"])
 def test_queries_fit_all_rows_whatever_a_bound_says(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(M, "FIT_ROWS", 50, raising=False)
     monkeypatch.setattr(M, "VALIDATION_ROWS", 10, raising=False)
@@ -92,5 +100,7 @@ def test_queries_fit_all_rows_whatever_a_bound_says(spark, tmp_path, monkeypatch
     rows = CT.REGISTRY[name](spark, folder).collect()
     roles = {r.role: r["count"] for r in CT.split_frame(spark, folder).groupBy("role").count().collect()}
     assert fitted == [{False: roles["fit"], True: roles["validation"]}] and roles["fit"] > 200
+    if name == "route_risk_model":
+        assert len(rows) == 5 and all(r.is_route and r.is_least and r.is_whole for r in rows)
     if name == "stream_predictions_model":
         assert len(rows) == 150 and all(r.as_batch for r in rows)

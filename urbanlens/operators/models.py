@@ -28,8 +28,9 @@ from urbanlens.session import written
 
 TRUNK, TYPE_BRANCH, SEVERITY_BRANCH = (64, 32), 16, 8
 MAX_ITER, PATIENCE = 50, 10
-BLOCK, SLICE = 8192, 512  # rows stored together, and those put through the network at once (they stay in a core's cache)
-FIT_TASKS, TASK_ROWS = 16, 500_000  # tasks of an evaluation at least, and the rows of the frame for which there is one more
+BLOCK, SLICE = 8192, 1024  # rows stored together, and those put through the network at once (they stay in a core's cache)
+FIT_TASKS, TASK_ROWS = 16, 250_000  # tasks of an evaluation at least, and the rows of the frame for which there is one more
+BATCH_BYTES_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 @dataclass
@@ -218,9 +219,13 @@ def fit_models(training: DataFrame, max_iter: int = MAX_ITER, patience: int = PA
     network = models.network()
     tasks = fit_tasks(sum(found["types"].values()))
     blocks = dealt_blocks(written(_blocks(training, feats, found, seed), "training-blocks"), tasks).persist()  # read once an evaluation
+    conf = training.sparkSession.conf
+    before = conf.get(BATCH_BYTES_CONF)
+    conf.set(BATCH_BYTES_CONF, BATCH_BYTES)  # else a task's blocks go to Python all at once, 64 MB at most
     try:
         models.weights = minimize(Objective(blocks, network), network.first(seed), max_iter, patience)
     finally:
+        conf.set(BATCH_BYTES_CONF, before)
         blocks.unpersist()
     return models
 
